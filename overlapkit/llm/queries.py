@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlapkit.llm import mixing, quality, simhash, toxicity
+from overlapkit.llm import _shared as S
+from overlapkit.llm import chat, embedding_dedup, media, mixing, quality, simhash, token_counts, token_files, toxicity, unigram
 
 QUALITY_THRESHOLD = 0.5
 TOXIC_THRESHOLD = 0.3
@@ -36,11 +39,25 @@ def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{S.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, path, ids=False)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_media_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = S.materialize(media.pack_media(_table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    out = media.probe_media(stored, keep=["doc_id", "n_bytes"], digests=True)
+    ends = F.transform(F.array(F.element_at("keyframes", 1), F.element_at("keyframes", -1)), lambda k: F.concat_ws("+", k["offset"], k["size"]))
+    feature = F.concat_ws(";", "codec", F.concat_ws("/", "duration", "timescale"), "n_samples", F.size("keyframes"), ends)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op6_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(learnable(docs), learnable(labels))
@@ -51,6 +68,30 @@ def op6_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return unigram.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
+
+
+def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.render_perspectives(_table(spark, sf_dir, "conversations"))
+    spans = F.concat_ws(",", F.transform("mask", lambda m: F.concat_ws("-", m["first"], m["last"])))
+    return out.withColumn("mask", spans)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_cotraining, op2_simhash_golay, op4_mix_sources, op6_toxicity_nnpu)
+    found = (
+        op1_quality_cotraining, op2_simhash_golay, op3_token_files, op4_mix_sources, op5_media_container,
+        op6_toxicity_nnpu, op7_pivot_permutation, op8_token_counts, op9_unigram_pieces, op10_chat_perspectives,
+    )
     return {f.__name__: f for f in found}
