@@ -167,7 +167,9 @@ def link(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
     held = held.select("key", F.col("fp").alias("b"), F.col("grp").alias("b_grp"))
     asked = grouped.mapInArrow(_emit("asked"), "key long, fp long, grp long")
     groups = held.groupBy("key", "b_grp").agg(F.min("b").alias("one"), F.max("b").alias("other"))
-    met = asked.join(groups.hint("shuffle_hash"), "key").where(F.col("grp") != F.col("b_grp"))
+    # a group with one fingerprint under the key is verified in the join itself
+    worth = (F.col("grp") != F.col("b_grp")) & ((F.col("one") != F.col("other")) | close("fp", "one"))
+    met = asked.join(groups.hint("shuffle_hash"), "key").where(worth)
     met = S.materialize(met.select("key", "fp", "grp", "one", "other", "b_grp"))
     sole = met.where(F.col("one") == F.col("other")).select("fp", "grp", F.col("one").alias("b"), "b_grp")
     more = met.where(F.col("one") != F.col("other")).select("key", "fp", "grp", "b_grp")
