@@ -48,33 +48,46 @@ class DoubleArray:
                     tree[len(tree)] = {}
                 node = children[c]
             value.setdefault(node, k)
-        room = 2 * len(tree) + 1024
-        taken = np.zeros(room + 256, dtype=bool)
-        self.base = np.zeros(room + 256, dtype=np.int32)
-        self.check = np.full(room + 256, -1, dtype=np.int32)
-        self.value = np.full(room + 256, -1, dtype=np.int32)
+        size = 2 * len(tree) + 1024
+        taken = np.zeros(size, dtype=bool)
         taken[0] = True
-        free, queue = 1, [(0, 0)]
-        while queue:
-            node, slot = queue.pop()
-            self.value[slot] = value.get(node, -1)
-            children = sorted(tree[node].items())
-            if not children:
+        slots, bases, parents = {0: 0}, {}, {}
+        free, hint = 1, {}
+        queue = [0]
+        for node in queue:  # grows as children are placed
+            codes = np.array(sorted(tree[node]), dtype=np.int64)
+            if not len(codes):
                 continue
             while taken[free]:
                 free += 1
-            codes = np.array([c for c, _ in children])
-            base = max(free - codes[0], 1)
-            while taken[base + codes].any():
-                base += 1
-                if base + 256 >= len(taken):
-                    taken, self.base = np.r_[taken, np.zeros(room, bool)], np.r_[self.base, np.zeros(room, np.int32)]
-                    self.check, self.value = np.r_[self.check, np.full(room, -1, np.int32)], np.r_[self.value, np.full(room, -1, np.int32)]
-            self.base[slot] = base
+            # nodes with as many children start looking where the last of them found room
+            base = max(free - int(codes[0]), 1) if len(codes) == 1 else hint.get(len(codes), 1)
+            width = 1 if len(codes) == 1 else 64
+            while True:
+                if base + width + 256 > len(taken):
+                    taken = np.r_[taken, np.zeros(len(taken) + width + 256, dtype=bool)]
+                clash = taken[base + codes[0] : base + codes[0] + width].copy()
+                for c in codes[1:].tolist():
+                    clash |= taken[base + c : base + c + width]
+                if not clash.all():
+                    base += int(np.argmin(clash))
+                    break
+                base, width = base + width, 512
+            if len(codes) > 1:
+                hint[len(codes)] = base
+            bases[node] = base
             taken[base + codes] = True
-            self.check[base + codes] = slot
-            queue += [(child, base + c) for c, child in children]
-        self.base, self.check, self.value = (np.r_[x, np.full(256, fill, np.int32)] for x, fill in ((self.base, 0), (self.check, -1), (self.value, -1)))
+            for c in codes.tolist():
+                child = tree[node][c]
+                slots[child], parents[child] = base + c, slots[node]
+                queue.append(child)
+        size = max(slots.values()) + 257
+        self.base = np.zeros(size, dtype=np.int32)
+        self.check = np.full(size, -1, dtype=np.int32)
+        self.value = np.full(size, -1, dtype=np.int32)
+        for table, found in ((self.base, bases), (self.check, parents), (self.value, value)):
+            at = np.array([slots[node] for node in found], dtype=np.int64)
+            table[at] = list(found.values())
 
 
 class Unigram:
