@@ -52,7 +52,7 @@ class DoubleArray:
         taken = np.zeros(size, dtype=bool)
         taken[0] = True
         slots, bases, parents = {0: 0}, {}, {}
-        free, hint = 1, {}
+        free, hint = 257, 257  # so that no base is below 1
         queue = [0]
         for node in queue:  # grows as children are placed
             codes = np.array(sorted(tree[node]), dtype=np.int64)
@@ -60,8 +60,8 @@ class DoubleArray:
                 continue
             while taken[free]:
                 free += 1
-            # nodes with as many children start looking where the last of them found room
-            base = max(free - int(codes[0]), 1) if len(codes) == 1 else hint.get(len(codes), 1)
+            # an only child takes the first free slot; other families look on from where the last one found room
+            base = free - int(codes[0]) if len(codes) == 1 else hint
             width = 1 if len(codes) == 1 else 64
             while True:
                 if base + width + 256 > len(taken):
@@ -74,7 +74,7 @@ class DoubleArray:
                     break
                 base, width = base + width, 512
             if len(codes) > 1:
-                hint[len(codes)] = base
+                hint = base
             bases[node] = base
             taken[base + codes] = True
             for c in codes.tolist():
