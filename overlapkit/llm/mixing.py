@@ -108,16 +108,19 @@ def mix_plan(
     block: int = 128,
     buckets: int = 1024,
     shards: int = 64,
+    carry: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, slots, sources) of the mix.
 
     documents: id, source, size, source_no, at - the place of its first word in its source's stream.
+        With ``carry``, also ``row``, a struct of all columns of ``docs``.
     slots: source_no, block_no, shard, epoch - one row per block of the output.
     sources: source_no, source, source_size, blocks, target, slots.
     """
     d = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry,
     )
     d = S.materialize(d)  # three numbers a document, read four times below
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -135,7 +138,7 @@ def mix_plan(
     within = Window.partitionBy("source", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("own_at", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("named")) & (F.col("bucket") == F.col("own_bucket")))
-    d = d.select("id", "source", "size", "source_no", "source_size", "target", (F.col("bucket_at") + F.col("own_at")).alias("at"))
+    d = d.select("id", "source", "size", "source_no", "source_size", "target", (F.col("bucket_at") + F.col("own_at")).alias("at"), *["row"] * carry)
     slices = s.where("slots > 0").withColumn("rounds", round_keys(F.col("source_no"), F.col("blocks"))).withColumn("j0", F.explode(F.expr(f"sequence(0L, slots - 1, {SLICE}L)")))
     slots = slices.repartition("source_no", "j0").withColumn("j", F.explode(F.expr(f"sequence(j0, least(j0 + {SLICE - 1}, slots - 1))")))
     slots = slots.select(
@@ -174,3 +177,30 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", block: int = 128, **
     return out.select(
         F.col("id").alias(id_col), "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame, *, text_col: str = "text", block: int = 128, max_repeat: int = 3, **options) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for each pass over a document's source
+    in which words of it were taken.
+
+    A document whose words were all taken in a pass keeps its text; of another the taken words stay,
+    in order, with single spaces. ``n_chars``, if there, is the new text's length. Documents of which
+    nothing is taken, and those without words, have no row.
+    """
+    documents, slots, _ = mix_plan(docs, text_col=text_col, block=block, max_repeat=max_repeat, carry=True, **options)
+    documents = S.materialize(documents.where("size > 0"))
+    pieces = block_pieces(documents, block).join(slots, ["source_no", "block_no"])
+    taken = pieces.groupBy("source_no", "at", "epoch").agg(
+        F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans")
+    )
+    rows = documents.select("source_no", "at", "size", "row").join(taken, ["source_no", "at"])
+    text = F.col(f"row.`{text_col}`")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    whole = F.col("taken") == F.col("size")
+    rows = rows.withColumn("new", F.when(whole, text).otherwise(part))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.col("new")}
+    if "n_chars" in out:
+        kind = docs.schema["n_chars"].dataType
+        out["n_chars"] = F.when(whole, out["n_chars"]).otherwise(F.length("new").cast(kind))
+    return rows.select(*[v.alias(c) for c, v in out.items()])

@@ -80,7 +80,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return unigram.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
+    return unigram.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], ids=False, digest=True)
 
 
 def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:

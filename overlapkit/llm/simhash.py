@@ -183,7 +183,9 @@ def link(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
 def simhash_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, words_in_shingle: int = 4
 ) -> DataFrame:
-    """(id, fp, component_id): one row per document; component_id is the smallest id reachable by links.
+    """(id, fp, component_id, component_fp): one row per document.
+
+    component_id is the smallest id reachable by links, component_fp the smallest fingerprint.
 
     Cases: null, empty and blank texts share fingerprint zero and link like any other; texts shorter
     than a shingle hash whole; repeated rows and repeated ids keep a row each; a null id keeps its
@@ -193,5 +195,22 @@ def simhash_components(
     nodes = S.materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
     parts = S.materialize(link(nodes, max_distance).join(nodes, "fp"))
     names = parts.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = parts.select("fp", "component").join(names, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    named = parts.select("fp", "component").join(names, "component").select("fp", "component_id", F.col("component").alias("component_fp"))
+    return marked.join(named, "fp").select(id_col, "fp", "component_id", "component_fp")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, words_in_shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, that of the smallest id (null last).
+
+    Rows that are equal in id and fingerprint are one document; which of them stays is not fixed.
+    """
+    found = simhash_components(docs, id_col=id_col, text_col=text_col, max_distance=max_distance, words_in_shingle=words_in_shingle)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("first")
+    stay = found.groupBy("component_fp").agg(first).select(F.col("first.id").alias("stay_id"), F.col("first.fp").alias("stay_fp"))
+    columns = docs.columns
+    marked = docs.withColumns({f"_c{k}": F.col(f"`{c}`") for k, c in enumerate(columns)}).select(*[f"_c{k}" for k in range(len(columns))])
+    text, own = f"_c{columns.index(text_col)}", f"_c{columns.index(id_col)}"
+    marked = add_fingerprint(marked, text_col=text, keep=marked.columns, words_in_shingle=words_in_shingle)
+    kept = marked.join(stay, (F.col("fp") == F.col("stay_fp")) & F.col(own).eqNullSafe(F.col("stay_id")), "left_semi")
+    kept = kept.dropDuplicates([own, "fp"])
+    return kept.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)])

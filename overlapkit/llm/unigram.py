@@ -247,14 +247,15 @@ def tokenizer(path: str) -> Unigram:
     return Unigram(*read_model(path))
 
 
-def encode_texts(docs: DataFrame, model: str, *, text_col: str = "text", keep: list[str], digest: bool = False) -> DataFrame:
-    """``keep`` columns and n_tokens, n_byte_tokens, and ``ids`` (array<int>).
+def encode_texts(docs: DataFrame, model: str, *, text_col: str = "text", keep: list[str], ids: bool = True, digest: bool = False) -> DataFrame:
+    """``keep`` columns and n_tokens, n_byte_tokens, and, if asked for, ``ids`` (array<int>).
 
-    With ``digest``, instead of ids: ids_crc32 (of the ids as little-endian 32-bit integers) and
+    ``digest`` adds ids_crc32 (of the ids as little-endian 32-bit integers) and
     round_trip (the ids decode to the text). Null and empty texts have no ids; whole texts, no shuffle.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema += ", n_tokens int, n_byte_tokens int, " + ("ids_crc32 long, round_trip boolean" if digest else "ids array<int>")
+    schema += ", n_tokens int, n_byte_tokens int" + ", ids_crc32 long, round_trip boolean" * digest + ", ids array<int>" * ids
+    with_ids = ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(model)
@@ -270,7 +271,7 @@ def encode_texts(docs: DataFrame, model: str, *, text_col: str = "text", keep: l
                 more["ids_crc32"] = pa.array([zlib.crc32(x) for x in coded], pa.int64())
                 back = [tok.decode(ids[a:b]) == t for a, b, t in zip(starts.tolist(), ends.tolist(), texts, strict=True)]
                 more["round_trip"] = pa.array(back, pa.bool_())
-            else:
+            if with_ids:
                 more["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
             yield S.with_columns(batch, keep, **more)
 
