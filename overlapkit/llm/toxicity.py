@@ -4,8 +4,9 @@ Confirmed toxic documents are the positives; every other training text is *unlab
 Learning goes in two steps, both corrected by the class prior ``pi``:
 
 1. Gram evidence. For each hashed byte gram, ``r = pi * P(gram | toxic) / P(gram | unlabelled)``
-   is the share of toxic documents among those that have the gram. Its lower bound (two standard
-   errors off the toxic count) is kept, so grams seen once or twice count for nothing.
+   is the share of toxic documents among those that have the gram. Its lower bound (a standard
+   error off the toxic count) is kept, so grams seen once or twice count for little. A confirmed
+   document that takes part in the fit is described by the evidence of the others alone.
    The document frequencies are a Spark aggregation.
 2. Risk estimator. Each document becomes a few numbers (its strongest gram, how many and how dense
    the grams above several levels of ``r`` are), and a numpy logistic model minimises
@@ -41,15 +42,19 @@ class ToxicityModel:
     bits: int
     prior: float
     evidence: np.ndarray | None = None
+    evidence_of_others: np.ndarray | None = None
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
     slope: float = 1.0
     intercept: float = 0.0
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def features(self, texts: list[bytes], own: np.ndarray | None = None) -> np.ndarray:
+        """``own``: which of the texts are confirmed ones that the evidence was counted on."""
         h, offsets = S.grams(texts, self.bits)
         v, starts, n = self.evidence[h], offsets[:-1], np.diff(offsets)
+        if own is not None and own.any():
+            v = np.where(np.repeat(own, n), self.evidence_of_others[h], v)
         out = [np.maximum.reduceat(v, starts)]
         for level in LEVELS:
             c = np.add.reduceat((v > level).astype(np.float32), starts)
@@ -140,23 +145,31 @@ def fit_toxicity(
     )  # toxic: 1 a positive, 2 and 3 for calibration
     unlabelled = S.bounded_sample(text.select("id"), max_unlabelled, "id").withColumn("toxic", F.lit(0))
     ids = S.materialize(chosen.unionByName(unlabelled.select("id", "toxic")))
-    sample = S.materialize(text.join(F.broadcast(ids), "id").select("text", "toxic"))  # ids: three bounded samples
+    known = ids.where("toxic = 1").select("id", F.lit(True).alias("own"))
+    ids = S.materialize(ids.join(known, "id", "left").select("id", "toxic", F.coalesce("own", F.lit(False)).alias("own")))
+    sample = S.materialize(text.join(F.broadcast(ids), "id").select("text", "toxic", "own"))  # ids: three bounded samples
     p, u = _frequencies(sample.where("toxic < 2"), bits)
     n_pos, n_unl = (sample.where(F.col("toxic") == k).count() for k in (1, 0))
     if not n_pos or not n_unl:
         return model
-    lower = np.maximum(p - 2 * np.sqrt(p), 0) / n_pos
-    model.evidence = np.clip(prior * lower / ((u + 1) / n_unl), 0, 1).astype(np.float32)
+
+    def share(p: np.ndarray, u: np.ndarray, n_pos: int) -> np.ndarray:
+        lower = np.maximum(p - np.sqrt(p), 0) / max(n_pos, 1)
+        return np.clip(prior * lower / ((u + 1) / n_unl), 0, 1).astype(np.float32)
+
+    model.evidence = share(p, u, n_pos)
+    model.evidence_of_others = share(np.maximum(p - 1, 0), np.maximum(u - 1, 0), n_pos - 1)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, "text"):
-            x = model.features(S.utf8(batch.column("text")))
+            x = model.features(S.utf8(batch.column("text")), batch.column("own").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(x))], names=["toxic", "x"])
 
     found = sample.mapInArrow(describe, "toxic int, x array<double>").toArrow()  # a few numbers a sampled row
     kind, x = found["toxic"].to_numpy(), np.array(found["x"].to_pylist())
     order = np.lexsort((*x.T, kind))  # the fit does not depend on the order in which tasks end
     kind, x = kind[order], x[order]
+    model.evidence_of_others = None  # of no use in scoring
     S.discard(ids)
     S.discard(sample)
     unl = x[kind == 0]
