@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,11 +13,21 @@ from pyspark.sql.types import StructType
 MANIFEST = "struct<default: string, models: map<string, struct<dir_name: string, revision: string, backend: string, min_os: string, assets: map<string, string>>>>"
 
 
-def read_frames(spark: SparkSession, path: str, schema: StructType | None = None, streaming: bool = False) -> DataFrame:
-    """Sample or frame rows from Parquet; as a stream, from a directory to which files are added."""
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; set only where unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="overlapkit-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return f"{found.rstrip('/')}/overlapkit-{uuid.uuid4().hex}"
+
+
+def read_frames(spark: SparkSession, path: str, schema: StructType | None = None, streaming: bool = False, files: int | None = None) -> DataFrame:
+    """Sample or frame rows from Parquet; as a stream, from a directory to which files are added (``files`` a batch)."""
     if streaming:
         schema = schema or spark.read.parquet(path).schema
-        return spark.readStream.schema(schema).parquet(path)
+        reader = spark.readStream.schema(schema)
+        return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
