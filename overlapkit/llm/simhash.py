@@ -137,8 +137,8 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _emit(which: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for a in range(0, big.num_rows, 5_000):
-                batch = big.slice(a, 5_000)
+            for a in range(0, big.num_rows, 1_000):  # up to 36 * 3 keys each: small batches on both sides
+                batch = big.slice(a, 1_000)
                 fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
                 stored, asked, owner = keys(fps)
                 if which == "stored":
