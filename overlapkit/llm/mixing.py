@@ -128,7 +128,7 @@ def mix_plan(
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     wanted = F.col("target") * F.col("blocks") / F.col("source_size")
     s = s.withColumn("slots", F.when(F.col("blocks") > 0, F.least(F.col("blocks") * max_repeat, F.floor(wanted + 0.5))).otherwise(0).cast("long"))
-    d = d.withColumn("bucket", (mix_hash(F.coalesce(F.col("id"), F.lit(-1)), F.floor(F.col("id") / F.lit(PRIME))) % buckets).cast("int"))
+    d = d.withColumn("bucket", (F.coalesce(mix_hash(F.col("id"), F.floor(F.col("id") / F.lit(PRIME))), F.lit(0)) % buckets).cast("int"))
     part = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
     part = part.withColumn("bucket_at", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))

@@ -152,6 +152,8 @@ def _gram_odds(sample: DataFrame, bits: int) -> np.ndarray:
     good, bad = np.zeros(1 << bits), np.zeros(1 << bits)
     good[table["gram"].to_numpy()] = table["good"].to_numpy()
     bad[table["gram"].to_numpy()] = table["bad"].to_numpy()
+    if not good.sum() or not bad.sum():
+        return np.zeros(1 << bits, dtype=np.float32)
     prior = 50.0
     odds = np.log((good + prior * good.sum() / (good.sum() + bad.sum())) / max(good.sum(), 1))
     odds -= np.log((bad + prior * bad.sum() / (good.sum() + bad.sum())) / max(bad.sum(), 1))

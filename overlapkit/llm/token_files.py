@@ -163,8 +163,6 @@ class WordEncoder:
 
     def _learn(self, stretches: set[str]) -> None:
         known = self.known
-        if len(known) + len(stretches) > self.room:
-            known.clear()
         simple = {x: x[:-1] for x in stretches if x[-1] in ENDS and x[:-1].isalpha()}
         need = [x for x in {*(stretches - simple.keys()), *simple.values(), *(x[-1] for x in simple)} if x not in known]
         for a in range(0, len(need), 5_000):
@@ -184,12 +182,13 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.lower().split() if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = {w for words in cut if words for w in words} - self.known.keys()
+        wanted = {w for words in cut if words for w in words}
+        new = wanted - self.known.keys()
+        if len(self.known) + len(new) > self.room:  # start over with what these texts need
+            self.known.clear()
+            new = wanted
         if new:
-            before = len(self.known)
             self._learn(new)
-            if len(self.known) < before:
-                self._learn({w for words in cut if words for w in words} - self.known.keys())
         get = self.known.__getitem__
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
         return [whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]

@@ -204,8 +204,6 @@ class Unigram:
         return [flat[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, stretches: set[str]) -> None:
-        if len(self.known) + len(stretches) > self.room:
-            self.known.clear()
         coded = [(w, w.replace(" ", MARK).encode()) for w in stretches]
         coded.sort(key=lambda x: len(x[1]))
         short = [x for x in coded if len(x[1]) <= LONG]
@@ -220,11 +218,11 @@ class Unigram:
         cut = [self.split.findall(" " + t) if t else [] for t in texts]
         wanted = {w for words in cut for w in words}
         new = wanted - self.known.keys()
+        if len(self.known) + len(new) > self.room:  # start over with what these texts need
+            self.known.clear()
+            new = wanted
         if new:
-            before = len(self.known)
             self._learn(new)
-            if len(self.known) < before + len(new):
-                self._learn(wanted - self.known.keys())
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
