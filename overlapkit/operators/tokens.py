@@ -31,7 +31,7 @@ def byte_fallback_runs(tokens: DataFrame, key: list[str], ord_col: str = "ord")
     runs = known.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(w))
     hexes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ord_col, "piece"))), lambda x: F.substring(x["piece"], 4, 2)), "")
     grouped = runs.groupBy(*key, "_run", "is_byte").agg(F.min(ord_col).alias(ord_col), F.count("*").alias("n"), hexes.alias("_hex"), F.min_by("piece", ord_col).alias("_piece"))
-    text = F.when(F.col("is_byte"), F.decode(F.unhex("_hex"), "UTF-8")).otherwise(F.col("_piece"))
+    text = F.when(F.col("is_byte"), F.make_valid_utf8(F.unhex("_hex").cast("string"))).otherwise(F.col("_piece"))
     return grouped.select(*key, ord_col, "n", text.alias("piece"), F.col("is_byte"))
 
 
