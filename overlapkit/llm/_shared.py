@@ -91,13 +91,18 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
 # connected components
 
 
+SMALL = 100_000  # edges that one task may hold (a few MB)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in ``edges``; component is the smallest node reachable.
 
     Alternates the two star contractions: every node hangs its larger neighbours, then its smaller
     ones, on the smallest node it knows. Minimum per node is an aggregation (combined before the
     shuffle) joined back, so no node's neighbours meet in one task. Each round is written to the
-    shared folder, and the rounds end when one changes nothing. Nulls and self-links are ignored.
+    shared folder, and the rounds end when one changes nothing. A round on up to ``SMALL`` edges, or
+    one that earlier rounds have brought down to as many, runs in one task without shuffles.
+    Nulls and self-links are ignored.
     """
     spark = edges.sparkSession
     now = materialize(
@@ -108,7 +113,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if not size:
         return nodes
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if size <= SMALL:
+            edge = now.coalesce(1)
+            both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(1)
+        else:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
@@ -118,15 +127,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where(F.col("u") != F.col("v"))
-            .distinct()
         )
-        new = materialize(small)
+        new = materialize((small.coalesce(1) if size <= SMALL else small).distinct())
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = new
         if mark == before:
             break
-        before = mark
+        before, size = mark, mark[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
