@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,13 +15,41 @@ from pyspark.sql.types import StructType
 MANIFEST = "struct<default: string, models: map<string, struct<dir_name: string, revision: string, backend: string, min_os: string, assets: map<string, string>>>>"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; set only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+_roots: set[str] = set()  # scratch folders of this driver, deleted when it ends
+
+
+@atexit.register
+def _clear() -> None:
+    jvm = SparkContext._jvm
+    for root in _roots if jvm is not None else ():
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(root)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except Exception:  # the JVM may have ended first
+            return
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where the session has no such setting, a local master gets a temporary folder; on a cluster that
+    is an error. The folder goes when the driver ends.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="overlapkit-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return f"{found.rstrip('/')}/overlapkit-{uuid.uuid4().hex}"
+        if not context.master.startswith("local") or context.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="overlapkit-"))
+        found = context.getCheckpointDir()
+    root = f"{found.rstrip('/')}/overlapkit-{context.applicationId}"
+    _roots.add(root)
+    return root
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new path in ``shared_dir``."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def read_frames(spark: SparkSession, path: str, schema: StructType | None = None, streaming: bool = False, files: int | None = None) -> DataFrame:
