@@ -2,36 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session has none (tests, a laptop) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="overlapkit-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+from overlapkit.sources import scratch_dir
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/overlapkit-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there.
+
+    ``discard`` deletes the table; what is left goes when the driver ends.
+    """
+    path = scratch_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._overlapkit_path = path
     return out
 
@@ -74,24 +64,56 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], **more: pa.Array) -> pa
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more.values()], names=[*keep, *more])
 
 
+def schema_of(df: DataFrame, columns: list[str], **more: str) -> StructType:
+    """Schema of an Arrow map's result: ``columns`` of ``df`` as they are, and more by type name."""
+    kept = [StructField(c, df.schema[c].dataType, True) for c in columns]
+    added = df.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in more.items())).schema.fields if more else []
+    return StructType([*kept, *added])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """At most ``rows`` rows, the same ones on every run: those with the smallest hash of ``by``.
+    """About ``rows`` rows (all of a smaller table), the same ones on every run: a share by the hash of ``by``.
 
-    Rows are counted first, and a bound on the hash leaves about 1.5 times as many as wanted, so the
-    final ordering sees a bounded number whatever the input.
+    ``by`` tells rows apart, so the number taken strays by the square root of ``rows`` at most times a
+    few. Rows are counted and filtered where they lie; nothing is ordered and nothing moves.
     """
-    total = df.count()
-    hashed = F.xxhash64(*by)
-    if total > 2 * rows:
-        df = df.where(F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * rows / total)))
-    return df.orderBy(F.pmod(hashed, F.lit(1 << 30)), *by).limit(rows)
+    bound = int((1 << 30) * min(1.0, rows / max(df.count(), 1)))
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < bound)
 
 
-# ---------------------------------------------------------------------------------------------
-# connected components
+def ordered_sums(df: DataFrame, order: list[Column], sums: dict[str, str], group: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with, for each new name in ``sums``, the sum of a column over all rows before, in ``order``.
+
+    With ``group`` the sums run within it. Rows are dealt by ranges of (group, order), summed within
+    each range, and ranges add what earlier ones hold: neither a table nor a group meets in one task.
+    ``order`` must tell rows apart where their places matter.
+    """
+    ranged = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged)  # the ranges stay as they are
+    own = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part", *group).agg(*[F.sum(c).alias(f"_n{k}") for k, c in enumerate(sums.values())])
+    starts = totals.select(
+        F.col("_part").alias("_at"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)],
+        *[F.coalesce(F.sum(f"_n{k}").over(before), F.lit(0)).alias(f"_s{k}") for k in range(len(sums))],
+    )
+    on = F.col("_part") == F.col("_at")
+    for k, g in enumerate(group):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    out = ranged.withColumns({f"_o{k}": F.coalesce(F.sum(c).over(own), F.lit(0)) for k, c in enumerate(sums.values())}).join(starts, on)
+    return out.select(*df.columns, *[(F.col(f"_o{k}") + F.col(f"_s{k}")).alias(n) for k, n in enumerate(sums)])
 
 
-SMALL = 100_000  # edges that one task may hold (a few MB)
+# ---------------------------------------------------------------------------------------------
+# connected components
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -100,24 +122,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates the two star contractions: every node hangs its larger neighbours, then its smaller
     ones, on the smallest node it knows. Minimum per node is an aggregation (combined before the
     shuffle) joined back, so no node's neighbours meet in one task. Each round is written to the
-    shared folder, and the rounds end when one changes nothing. A round on up to ``SMALL`` edges, or
-    one that earlier rounds have brought down to as many, runs in one task without shuffles.
-    Nulls and self-links are ignored.
+    shared folder, and the rounds end when one changes nothing. Nulls and self-links are ignored.
     """
     spark = edges.sparkSession
     now = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") > F.col("v")).distinct()
     )
     nodes = spark.createDataFrame([], f"node {dict(now.dtypes)['u']}, component {dict(now.dtypes)['u']}")
-    size, before = now.count(), None
-    if not size:
+    if now.isEmpty():
+        discard(now)
         return nodes
+    before = None
     while True:
-        if size <= SMALL:
-            edge = now.coalesce(1)
-            both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(1)
-        else:
-            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
@@ -128,13 +145,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where(F.col("u") != F.col("v"))
         )
-        new = materialize((small.coalesce(1) if size <= SMALL else small).distinct())
+        new = materialize(small.distinct())
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = new
         if mark == before:
             break
-        before, size = mark, mark[0]
+        before = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlapkit.llm import _shared as S
+from overlapkit.sources import scratch_dir
 from overlapkit.llm import chat, embedding_dedup, media, mixing, quality, simhash, token_counts, token_files, toxicity, unigram
 
 QUALITY_THRESHOLD = 0.5
@@ -40,14 +40,14 @@ def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{S.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch_dir(spark)
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_token_files(spark, path, ids=False)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
 def op5_media_container(spark: SparkSession, sf_dir: str) -> DataFrame:

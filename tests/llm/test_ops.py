@@ -200,6 +200,37 @@ def test_mix_sources(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_shard_counts_are_multinomial_and_sum_to_the_quotas(spark):
+    slots = [40_000, 20_000, 3_000, 1, 0, 17_000]
+    total, rows, lo = sum(slots), [], 0
+    for k, n in enumerate(slots):
+        rows.append((k, n, lo))
+        lo += n
+    t = spark.createDataFrame(rows, "source_no long, slots long, lo long")
+    for size in (500, 1024):
+        found = mixing.shard_counts(t, total, len(rows), size).collect()
+        by, shards = defaultdict(list), -(-total // size)
+        for r in found:
+            by[r.source_no].append((r.first, r.last, r.shard))
+        for k, n in enumerate(slots):  # the slots of a source are cut into its shards' without gaps
+            spans = sorted(by[k])
+            assert [a for a, _, _ in spans] + [n] == [0] * bool(n) + [b for _, b, _ in spans] if n else not spans
+            assert len({x for _, _, x in spans}) == len(spans)
+        for k in (0, 1, 2, 5):  # dispersion of a source's counts over whole shards, as multinomial draws have it
+            n = {x: b - a for a, b, x in by[k]}
+            counts, p = np.array([n.get(x, 0) for x in range(shards - 1)]), slots[k] / total
+            chi = ((counts - size * p) ** 2 / (size * p * (1 - p))).sum()
+            assert abs(chi - shards) < 4.5 * np.sqrt(2 * shards)
+
+
+def test_shards_reach_the_result(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [{r.doc_id: (r.taken, r.first_shard, r.last_shard) for r in mixing.mix_sources(d, shard_blocks=n).collect()} for n in (64, 200)]
+    assert some[0] != some[1] and max(r[2] for r in some[0].values() if r[2] is not None) > max(r[2] for r in some[1].values() if r[2] is not None)
+    out = mixing.mixed_documents(d, shard_blocks=64)
+    assert "shard" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_targets_at_the_cap(spark):
     sizes = {"a": 1000, "b": 10, "c": 5, None: 20, "d": 0}
     got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
@@ -218,6 +249,8 @@ def test_mix_edges(spark):
     got = mixing.mix_sources(d).collect()
     assert len(got) == len(EDGES) and all(0 <= r.taken <= 3 * r.size for r in got)
     assert mixing.mix_sources(d.limit(0)).count() == 0
+    odd = d.withColumnsRenamed({"fp": "shard", "score": "spans", "component": "whole"})
+    assert {(r.shard, r.spans, r.whole) for r in mixing.mixed_documents(odd).collect()} == {("x", "y", "z")}
     out = mixing.mixed_documents(d)
     assert out.columns == d.columns
     words = defaultdict(int)
