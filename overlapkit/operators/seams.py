@@ -1,198 +1,297 @@
 """Overlap reconciliation: windows that were scored independently become one sequence.
 
 Tokens are rows (key, window_no, ord, piece, initial, pos); ``ord`` counts from 0 in a window. Two
-neighbouring windows are spliced at the longest run of words that both have; all seams of all keys
-are found at once by equi-joins, and only keys whose seams depend on each other go through a fold.
+neighbouring windows are spliced at the longest run of words that both have. The work is done on
+*window rows* (key, window_no, toks: the window's tokens as an array in order), which every function
+here takes as well as token rows: each window meets the one before it by ``lag``, and the run is found
+inside the row. Only keys whose seams depend on each other are folded, window by window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from overlapkit.functions import word_core
-from overlapkit.operators.tokens import segment_words
 
+WORD_TYPE = "array<struct<at: int, pos: bigint, core: string>>"
 
-def overlap_slices(tokens: DataFrame, key: str, search: int | None = None) -> DataFrame:
-    """Candidate tokens of every seam: ``tokens`` with side ("left" or "right") and seam.
 
-    Seam k lies between window k and the window before it. Left: tokens of the earlier window with
-    pos + search >= boundary, its last position. Right: tokens of the later one up to the first with
-    pos > max(boundary, its first position) + search. ``search`` None is unbounded.
+def window_rows(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, window_no, toks) of token rows; window rows come back as they are."""
+    if "toks" in tokens.columns:
+        return tokens
+    rest = F.struct(*[c for c in tokens.columns if c not in (key, "window_no", "ord")])
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("ord"), rest.alias("tok"))))
+    # one shuffle for the windows and for what meets across them
+    dealt = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return dealt.groupBy(key, "window_no").agg(F.transform(in_order, lambda x: x["tok"]).alias("toks"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def left_slice(toks: Column, search: int | None) -> Column:
+    """Number of tokens of the earlier window before its candidates, which have pos + search >= its last pos."""
+    if search is None:
+        return F.lit(0)
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below = F.get(toks, mid)["pos"] + search < F.element_at(toks, -1)["pos"]
+        lo = F.when(at["lo"] < at["hi"], F.when(below, mid + 1).otherwise(at["lo"])).otherwise(at["lo"])
+        hi = F.when(at["lo"] < at["hi"], F.when(below, at["hi"]).otherwise(mid)).otherwise(at["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(toks) + 1)).cast("int") + 1)
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(toks).alias("hi")), halve)["lo"]
+
+
+def right_slice(toks: Column, boundary: Column, search: int | None) -> Column:
+    """The later window's tokens up to the first with pos > max(boundary, its first position) + search."""
+    if search is None:
+        return toks
+    limit = F.greatest(boundary, F.element_at(toks, 1)["pos"]) + search
+    over = _let(limit, lambda most: F.array_position(F.transform(toks, lambda t: t["pos"] > most), True))
+    return F.when(over > 0, F.slice(toks, F.lit(1), (over - 1).cast("int"))).otherwise(toks)
+
+
+def words_of(toks: Column) -> Column:
+    """Words of an array of tokens: token index, position, core. One begins at every initial token and at the first."""
+
+    def words(toks: Column) -> Column:
+        def spell(starts: Column) -> Column:
+            def one(k: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(starts, i + 1), F.size(toks))
+                pieces = F.transform(F.slice(toks, k + 1, end - k), lambda t: F.coalesce(t["piece"], F.lit("")))
+                return F.struct(k.alias("at"), F.get(toks, k)["pos"].cast("bigint").alias("pos"), word_core(F.array_join(pieces, "")).alias("core"))
+
+            return F.transform(starts, one)
+
+        begins = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda k: (k == 0) | F.coalesce(F.get(toks, k)["initial"], F.lit(False)))
+        return F.when(F.size(toks) > 0, _let(begins, spell)).otherwise(F.array().cast(WORD_TYPE))
+
+    return _let(toks, words)
+
+
+def longest_common_run(left: Column, right: Column, tolerance: int | None = None) -> Column:
+    """struct(run, left_at, right_at): the longest run of words (as of ``words_of``) with equal cores, in place.
+
+    Two words match with the same core, not empty, and positions at most ``tolerance`` apart. The
+    smallest place on the left, then on the right, wins ties. Many pairs of lists go through numpy
+    together, a word of the left at a time (array functions took some 2 us for two words).
     """
-    reach = F.lit(2**61 if search is None else search)
-    ordered = Window.partitionBy(key, "window_no").orderBy("ord")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = tokens.groupBy(key, "window_no").agg(F.max_by("pos", "ord").alias("last_pos"))
-    by_window = Window.partitionBy(key).orderBy("window_no")
-    ends = ends.select(
-        F.col(key).alias("_key"), F.col("window_no").alias("_no"), F.lag("last_pos").over(by_window).alias("boundary"),
-        F.lead("window_no").over(by_window).alias("next_no"),
-    )
-    t = tokens.join(ends, (F.col(key) == F.col("_key")) & (F.col("window_no") == F.col("_no"))).drop("_key", "_no")
-    t = t.withColumn("_first", F.first("pos").over(whole)).withColumn("_last", F.last("pos").over(whole))
-    over = (F.col("pos") > F.greatest("boundary", "_first") + reach).cast("int")
-    t = t.withColumn("_over", F.max(over).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    left = F.col("next_no").isNotNull() & (F.col("pos") + reach >= F.col("_last"))
-    right = F.col("boundary").isNotNull() & (F.col("_over") == 0)
-    sides = F.array_compact(F.array(
-        F.when(left, F.struct(F.lit("left").alias("side"), F.col("next_no").alias("seam"))),
-        F.when(right, F.struct(F.lit("right").alias("side"), F.col("window_no").alias("seam"))),
-    ))
-    return t.withColumn("_s", F.explode(sides)).select(*tokens.columns, F.col("_s.side").alias("side"), F.col("_s.seam").alias("seam"))
-
-
-def longest_common_run(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int | None = None) -> DataFrame:
-    """(keys, left_at, right_at, run): the longest run of words with equal cores, in place.
-
-    Words are (keys, word_no, pos, core). Two match with the same core, not empty, and positions at
-    most ``tolerance`` apart. The smallest place on the left, then on the right, wins ties. Matches
-    are an equi-join on the core; a run is an island on a diagonal.
+    near = np.inf if tolerance is None else tolerance
+
+    @F.arrow_udf("struct<run: long, left_at: long, right_at: long>")
+    def run(core_a: pa.Array, pos_a: pa.Array, core_b: pa.Array, pos_b: pa.Array) -> pa.Array:
+        found = np.zeros((3, len(core_a)), dtype=np.int64)
+        sizes = [np.diff(x.offsets.to_numpy()) if len(x) else np.zeros(0, int) for x in (core_a, core_b)]
+        codes = pa.concat_arrays([core_a.flatten(), core_b.flatten()]).cast(pa.string()).dictionary_encode()
+        words = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        none = [k for k, x in enumerate(codes.dictionary.to_pylist()) if not x]
+        sides = (words[: sizes[0].sum()], words[sizes[0].sum() :])
+        places = [x.flatten().to_numpy(zero_copy_only=False) for x in (pos_a, pos_b)]
+        starts = [np.cumsum(n) - n for n in sizes]
+        for part in np.array_split(np.arange(len(core_a)), max(1, len(core_a) * max(1, sizes[1].max(initial=0)) // 2_000_000)):
+            if not len(part):
+                continue
+            grid = []
+            for n, at, word, place, missing in zip(sizes, starts, sides, places, (-1, -2), strict=True):
+                col = np.arange(max(1, n[part].max()))
+                real = col < n[part][:, None]
+                index = np.where(real, at[part][:, None] + col, 0)
+                grid += [np.where(real, word[index] if len(word) else 0, missing), np.where(real, place[index] if len(place) else 0, 0)]
+            a, p, b, q = grid
+            a[np.isin(a, none)] = -1
+            rows, length = np.arange(len(part)), np.zeros(b.shape, dtype=np.int64)
+            best = np.zeros((3, len(part)), dtype=np.int64)
+            for i in range(a.shape[1]):
+                before = np.pad(length[:, :-1], ((0, 0), (1, 0)))
+                length = np.where((a[:, i, None] == b) & (np.abs(q - p[:, i, None]) <= near), before + 1, 0)
+                j = length.argmax(axis=1)
+                n = length[rows, j]
+                more = n > best[0]
+                best[:, more] = n[more], (i - n + 1)[more], (j - n + 1)[more]
+            found[:, part] = best
+        return pa.StructArray.from_arrays([pa.array(x) for x in found], names=["run", "left_at", "right_at"])
+
+    full = lambda words, field, kind: F.coalesce(words[field], F.array().cast(f"array<{kind}>"))
+    return run(full(left, "core", "string"), full(left, "pos", "bigint"), full(right, "core", "string"), full(right, "pos", "bigint"))
+
+
+def _run_in_row(left: Column, right: Column, tolerance: int | None) -> Column:
+    """``longest_common_run`` in array functions, for use inside a fold."""
+
+    def extend(state: Column, w: Column) -> Column:
+        def length(v: Column, j: Column) -> Column:
+            same = (w["core"] != "") & (v["core"] == w["core"])
+            if tolerance is not None:
+                same &= F.abs(v["pos"] - w["pos"]) <= tolerance
+            return F.when(same, F.coalesce(F.get(state["row"], j - 1), F.lit(0)) + 1).otherwise(F.lit(0))
+
+        def keep(row: Column) -> Column:
+            # places are negated, so that the greatest struct is the longest run that starts first
+            ends = F.transform(row, lambda n, j: F.struct(n.alias("run"), (n - w["no"] - 1).alias("i"), (n - j - 1).alias("j")))
+            return F.struct(row.alias("row"), F.greatest(state["best"], F.array_max(ends)).alias("best"))
+
+        return _let(F.transform(right, length), keep)
+
+    numbered = F.transform(left, lambda w, k: F.struct(k.alias("no"), w["pos"].alias("pos"), w["core"].alias("core")))
+    nothing = F.struct(F.lit(0).alias("run"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    state = F.struct(F.array_repeat(F.lit(0), F.size(right)).alias("row"), nothing.alias("best"))
+    return F.aggregate(
+        numbered, state, extend, lambda s: F.struct(s["best"]["run"].alias("run"), (-s["best"]["i"]).alias("left_at"), (-s["best"]["j"]).alias("right_at"))
+    )
+
+
+def _candidates(left: Column, right: Column, search: int | None) -> Column:
+    """struct(lo, a, b): where the left slice begins, and the words of both slices."""
+
+    def both(lo: Column) -> Column:
+        a = words_of(F.slice(left, lo + 1, F.size(left)))
+        b = words_of(right_slice(right, F.element_at(left, -1)["pos"], search))
+        return F.struct(lo.alias("lo"), a.alias("a"), b.alias("b"))
+
+    return _let(left_slice(left, search), both)
+
+
+def _cut(left: Column, right: Column, lo: Column, a: Column, b: Column, run: Column) -> tuple[Column, Column]:
+    """(keep_len, append_from). A run of two words or more cuts the left where the run starts and takes
+    the right's copy from there; else the left is kept whole and the right loses what lies at or
+    before the boundary."""
+    beyond = _let(F.element_at(left, -1)["pos"], lambda end: F.array_position(F.transform(right, lambda t: t["pos"] > end), True))
+    fallback = F.when(beyond > 0, beyond - 1).otherwise(F.size(right))
+    good = run["run"] >= 2
+    keep = F.when(good, lo + F.get(a, run["left_at"].cast("int"))["at"]).otherwise(F.size(left))
+    return keep.cast("bigint"), F.when(good, F.get(b, run["right_at"].cast("int"))["at"]).otherwise(fallback).cast("bigint")
+
+
+def overlap_slices(tokens: DataFrame, key: str, search: int | None = None) -> DataFrame:
+    """Candidate tokens of every seam: token rows with side ("left" or "right") and seam.
+
+    Seam k lies between window k and the window before it. ``search`` None is unbounded.
     """
-    a = left.where("core != ''").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("word_no").alias("i"), F.col("pos").alias("_p"), F.col("core").alias("_core"))
-    b = right.select(*keys, F.col("word_no").alias("j"), "pos", "core")
-    same = F.col("core") == F.col("_core")
-    for k in keys:
-        same &= F.col(k) == F.col(f"_{k}")
-    if tolerance is not None:
-        same &= F.abs(F.col("pos") - F.col("_p")) <= tolerance
-    hits = b.join(a, same).select(*keys, "i", "j", (F.col("i") - F.col("j")).alias("d"))
-    island = F.col("i") - F.row_number().over(Window.partitionBy(*keys, "d").orderBy("i"))
-    runs = hits.withColumn("island", island).groupBy(*keys, "d", "island").agg(F.count("*").alias("run"), F.min("i").alias("i"), F.min("j").alias("j"))
-    best = F.min(F.struct((-F.col("run")).alias("run"), "i", "j")).alias("best")
-    return runs.groupBy(*keys).agg(best).select(*keys, F.col("best.i").alias("left_at"), F.col("best.j").alias("right_at"), (-F.col("best.run")).alias("run"))
+    w = Window.partitionBy(key).orderBy("window_no")
+    t = window_rows(tokens, key).withColumn("_left", F.lag("toks").over(w)).withColumn("_no", F.lag("window_no").over(w)).where("_left is not null")
+    number = lambda toks, at: F.transform(toks, lambda x, k: F.struct((k + at).cast("bigint").alias("ord"), x.alias("tok")))
+    left = _let(left_slice(F.col("_left"), search), lambda lo: number(F.slice("_left", lo + 1, F.size("_left")), lo))
+    right = number(right_slice(F.col("toks"), F.element_at("_left", -1)["pos"], search), F.lit(0))
+    sides = F.array(
+        F.struct(F.lit("left").alias("side"), F.col("_no").alias("no"), left.alias("slice")),
+        F.struct(F.lit("right").alias("side"), F.col("window_no").alias("no"), right.alias("slice")),
+    )
+    t = t.select(key, F.col("window_no").alias("seam"), F.inline_outer(sides)).select(key, "seam", "side", F.col("no").alias("window_no"), F.inline_outer("slice"))
+    return t.select(key, "window_no", "ord", "tok.*", "side", "seam")
 
 
 def splice_pairs(tokens: DataFrame, key: str, search: int | None = None, tolerance: int | None = None) -> DataFrame:
-    """One row per seam: (key, seam, keep_len, append_from, run, spliced, dropped, sizes, slice start).
+    """One row per window: (key, seam, toks, left_n, n, falls, keep_len, append_from, run, spliced, left_at, right_at, slice_start).
 
-    A run of two words or more cuts the earlier window where the run starts and takes the later
-    one's copy from there; else the earlier is kept whole and the later loses what lies at or before
-    the boundary.
+    The seam is that with the window before; a key's first window has none and appends all it has.
     """
-    slices = overlap_slices(tokens, key, search)
-    words = segment_words(slices, [key, "seam", "side"])
-    left, right = words.where("side = 'left'").drop("side"), words.where("side = 'right'").drop("side")
-    run = longest_common_run(left, right, [key, "seam"], tolerance)
-    at = left.select(key, "seam", F.col("word_no").alias("left_at"), F.col("tok_start").alias("cut"))
-    to = right.select(key, "seam", F.col("word_no").alias("right_at"), F.col("tok_start").alias("from"))
-    run = run.join(at, [key, "seam", "left_at"]).join(to, [key, "seam", "right_at"])
-    rising = Window.partitionBy(key, "window_no").orderBy("ord")
-    t = tokens.withColumn("_falls", (F.lag("pos").over(rising) > F.col("pos")).cast("int"))
-    size = t.groupBy(key, "window_no").agg(F.count("*").alias("n"), F.max_by("pos", "ord").alias("last_pos"), F.max(F.coalesce("_falls", F.lit(0))).alias("falls"))
-    by_window = Window.partitionBy(key).orderBy("window_no")
-    seams = size.select(key, "window_no", "n", "falls", F.lag("last_pos").over(by_window).alias("boundary"), F.lag("n").over(by_window).alias("left_n"))
-    ahead = tokens.select(key, "window_no", "ord", "pos").join(seams.select(key, "window_no", "boundary"), [key, "window_no"])
-    ahead = ahead.groupBy(key, "window_no").agg(F.min(F.when(F.col("pos") > F.col("boundary"), F.col("ord"))).alias("beyond"))
-    begin = slices.where("side = 'left'").groupBy(key, "seam").agg(F.min("ord").alias("slice_start"))
-    out = seams.join(ahead, [key, "window_no"]).withColumnRenamed("window_no", "seam")
-    out = out.join(run, [key, "seam"], "left").join(begin, [key, "seam"], "left")
-    good = F.coalesce(F.col("run") >= 2, F.lit(False))
-    first = F.col("boundary").isNull()
-    append_from = F.when(first, 0).when(good, F.col("from")).otherwise(F.coalesce("beyond", "n"))
-    keep = F.when(good, F.col("cut")).otherwise(F.col("left_n"))
-    return out.select(
-        key, "seam", keep.cast("long").alias("keep_len"), append_from.cast("long").alias("append_from"), F.coalesce("run", F.lit(0)).cast("long").alias("run"),
-        good.alias("spliced"), F.col("left_n").cast("long").alias("left_n"), F.col("n").cast("long").alias("n"), "slice_start", "falls",
+    w = Window.partitionBy(key).orderBy("window_no")
+    t = window_rows(tokens, key).withColumn("_left", F.lag("toks").over(w))
+    falls = F.col("toks.pos") != F.sort_array("toks.pos")
+    t = t.select(
+        key, F.col("window_no").alias("seam"), "toks", "_left", falls.alias("falls"),
+        F.inline_outer(F.when(F.col("_left").isNotNull(), F.array(_candidates(F.col("_left"), F.col("toks"), search)))),
+    )
+    # a generator, so that no filter is pushed below it and makes the runs twice
+    t = t.select(key, "seam", "toks", "_left", "falls", "lo", "a", "b", F.inline_outer(F.array(longest_common_run(F.col("a"), F.col("b"), tolerance))))
+    t = t.withColumn("_run", F.struct("run", "left_at", "right_at"))
+    keep, start = _cut(F.col("_left"), F.col("toks"), F.col("lo"), F.col("a"), F.col("b"), F.col("_run"))
+    first = F.col("_left").isNull()
+    return t.select(
+        key, "seam", "toks", F.when(~first, F.size("_left")).cast("bigint").alias("left_n"), F.size("toks").cast("bigint").alias("n"), "falls",
+        F.when(~first, keep).alias("keep_len"), F.when(first, 0).otherwise(start).cast("bigint").alias("append_from"), "run",
+        (F.col("run") >= 2).alias("spliced"), "left_at", "right_at", F.col("lo").cast("bigint").alias("slice_start"),
     )
 
 
-def _fold(rows: pd.DataFrame, key: str, search: int, tolerance: int) -> pd.DataFrame:
-    """The exact fold of one key's windows, for seams that reach over more than one window."""
-    committed: list[tuple] = []  # (window_no, ord, pos, piece, initial)
-    taken: dict[int, int] = {}
-
-    def words(tokens: list[tuple]) -> list[tuple[int, int, str]]:
-        out: list[list] = []
-        for k, (_, _, pos, piece, initial) in enumerate(tokens):
-            if not out or initial:
-                out.append([k, pos, ""])
-            out[-1][2] += piece or ""
-        return [(k, p, _core(w)) for k, p, w in out]
-
-    for number, window in rows.sort_values(["window_no", "ord"]).groupby("window_no", sort=True):
-        fresh = list(window[["window_no", "ord", "pos", "piece", "initial"]].itertuples(index=False, name=None))
-        start = 0
-        if committed:
-            boundary = committed[-1][2]
-            lo, hi = 0, len(committed)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if committed[mid][2] + search < boundary else (lo, mid)
-            limit = max(boundary, fresh[0][2]) + search
-            end = next((k for k, t in enumerate(fresh) if t[2] > limit), len(fresh))
-            a, b = words(committed[lo:]), words(fresh[:end])
-            best, above = (0, 0, 0), {}
-            for i in range(len(a) - 1, -1, -1):  # run lengths from the ends backwards
-                row = {}
-                for j in range(len(b)):
-                    if a[i][2] and a[i][2] == b[j][2] and abs(a[i][1] - b[j][1]) <= tolerance:
-                        row[j] = above.get(j + 1, 0) + 1
-                        best = max(best, (row[j], -i, -j))
-                above = row
-            if best[0] >= 2:
-                committed = committed[: lo + a[-best[1]][0]]
-                start = b[-best[2]][0]
-            else:
-                start = next((k for k, t in enumerate(fresh) if t[2] > boundary), len(fresh))
-        taken[number] = start
-        committed += fresh[start:]
-    stays = pd.Series([t[0] for t in committed], dtype="int64").value_counts()
-    numbers = sorted(taken)
-    return pd.DataFrame({
-        key: [rows[key].iloc[0]] * len(numbers), "window_no": numbers, "append_from": [taken[k] for k in numbers],
-        "cut": [taken[k] + int(stays.get(k, 0)) for k in numbers], "exact": True,
-    })
-
-
-def _core(word: str) -> str:
-    a, b = 0, len(word)
-    while a < b and not word[a].isalnum():
-        a += 1
-    while b > a and not word[b - 1].isalnum():
-        b -= 1
-    return word[a:b].lower()
+def _folded(windows: DataFrame, key: str, search: int | None, tolerance: int | None) -> DataFrame:
+    """The exact fold of each key's windows, for seams that reach over more than one window."""
+    kind = windows.schema["toks"].dataType.simpleString()
+    one = F.struct("window_no", "toks")
+    g = windows.groupBy(key).agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["window_no"] < b["window_no"], -1).otherwise(1)).alias("_ws"))
+    start = F.struct(F.array().cast(kind).alias("all"), F.array().cast("array<struct<append_from: bigint, start: bigint>>").alias("taken"))
+
+    def step(state: Column, w: Column) -> Column:
+        def add(at: Column) -> Column:
+            fresh = F.slice(w["toks"], (at["append_from"] + 1).cast("int"), F.size(w["toks"]))
+            mark = F.struct(at["append_from"].alias("append_from"), at["keep_len"].alias("start"))
+            return F.struct(
+                F.concat(F.slice(state["all"], F.lit(1), at["keep_len"].cast("int")), fresh).alias("all"), F.concat(state["taken"], F.array(mark)).alias("taken")
+            )
+
+        def meet(c: Column) -> Column:
+            return _let(_run_in_row(c["a"], c["b"], tolerance), lambda run: F.struct(*[
+                x.alias(n) for x, n in zip(_cut(state["all"], w["toks"], c["lo"], c["a"], c["b"], run), ("keep_len", "append_from"), strict=True)
+            ]))
+
+        first = F.struct(F.lit(0).cast("bigint").alias("keep_len"), F.lit(0).cast("bigint").alias("append_from"))
+        return _let(F.when(F.size(state["all"]) > 0, _let(_candidates(state["all"], w["toks"], search), meet)).otherwise(first), add)
+
+    g = g.select(key, "_ws", F.inline_outer(F.array(F.aggregate("_ws", start, step))))
+    g = g.select(key, F.size("all").cast("bigint").alias("_end"), F.inline_outer(F.arrays_zip("_ws", "taken")))
+    # what a window left is cut by every later one's start
+    later = Window.partitionBy(key).orderBy(F.desc("window_no")).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.select(key, "_ws.window_no", "_ws.toks", "taken.append_from", "taken.start", "_end")
+    left = F.coalesce(F.min("start").over(later), F.col("_end")) - F.col("start")
+    cut = F.col("append_from") + F.greatest(left, F.lit(0))
+    return g.select(key, "window_no", "toks", "append_from", cut.alias("cut"), "start", F.lit(True).alias("exact"))
 
 
 def window_spans(tokens: DataFrame, key: str, search: int | None = None, tolerance: int | None = None) -> DataFrame:
-    """(key, window_no, append_from, cut, exact): what each window gives to the merged sequence.
+    """(key, window_no, toks, append_from, cut, start, exact): what each window gives to the merged sequence.
 
-    A window appended its tokens from ``append_from`` on, of which those below ``cut`` are left at the
-    end. Where every seam can be decided from its two windows alone (positions never fall, each
+    A window appended its tokens from ``append_from`` on, after ``start`` tokens of earlier windows, and
+    those below ``cut`` are left at the end. Where every seam can be decided from its two windows alone (positions never fall, each
     window leaves something, and no committed slice reaches back over its window's start) the seams
-    give the spans at once; the other keys are folded one by one, each in a task of its own rows.
+    give the spans at once; the other keys are folded, each in its own row.
     """
-    seams = splice_pairs(tokens, key, search, tolerance)
     w = Window.partitionBy(key).orderBy("seam")
-    s = seams.withColumn("cut", F.lead("keep_len").over(w)).withColumn("next_slice", F.lead("slice_start").over(w))
-    s = s.withColumn("is_first", F.lag("seam").over(w).isNull()).withColumn("is_last", F.lead("seam").over(w).isNull())
-    bad = (F.col("falls") > 0) | (~F.col("is_last") & ((F.col("append_from") >= F.col("n")) | (F.col("append_from") > F.col("cut")))) | (
-        ~F.col("is_first") & ~F.col("is_last") & ~F.coalesce(F.col("next_slice") > F.col("append_from"), F.lit(False))
+    s = splice_pairs(tokens, key, search, tolerance)
+    # dealt once more, so that both branches below read the seams from one exchange
+    s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    s = s.withColumn("cut", F.lead("keep_len").over(w)).withColumn("next_slice", F.lead("slice_start").over(w))
+    s = s.withColumn("is_last", F.lead("seam").over(w).isNull())
+    bad = F.col("falls") | (~F.col("is_last") & ((F.col("append_from") >= F.col("n")) | (F.col("append_from") > F.col("cut")))) | (
+        F.col("left_n").isNotNull() & ~F.col("is_last") & ~F.coalesce(F.col("next_slice") > F.col("append_from"), F.lit(False))
     )
-    s = s.withColumn("_bad", F.max(bad.cast("int")).over(Window.partitionBy(key)))
-    quick = s.where("_bad = 0").select(key, F.col("seam").alias("window_no"), "append_from", F.coalesce("cut", "n").alias("cut"), F.lit(False).alias("exact"))
-    rest = tokens.join(s.where("_bad = 1").select(key).distinct(), key, "left_semi").select(key, "window_no", "ord", "pos", "piece", "initial")
-    kind = tokens.schema[key].dataType.simpleString()
-    reach, near = (2**61 if search is None else search), (2**61 if tolerance is None else tolerance)
-    folded = rest.groupBy(key).applyInPandas(lambda rows: _fold(rows, key, reach, near), f"`{key}` {kind}, window_no long, append_from long, cut long, exact boolean")
-    return quick.unionByName(folded)
+    s = s.withColumn("_bad", F.max(bad).over(Window.partitionBy(key))).withColumnRenamed("seam", "window_no")
+    s = s.withColumn("cut", F.coalesce("cut", "n"))
+    before = F.sum(F.col("cut") - F.col("append_from")).over(Window.partitionBy(key).orderBy("window_no").rowsBetween(Window.unboundedPreceding, -1))
+    quick = s.where("not _bad").select(key, "window_no", "toks", "append_from", "cut", F.coalesce(before, F.lit(0)).alias("start"), F.lit(False).alias("exact"))
+    return quick.unionByName(_folded(s.where("_bad").select(key, "window_no", "toks"), key, search, tolerance))
+
+
+def _left(upto: str) -> Column:
+    return F.slice("toks", (F.col("append_from") + 1).cast("int"), F.greatest(F.col(upto) - F.col("append_from"), F.lit(0)).cast("int"))
+
+
+def _text(toks: Column, separator: str) -> Column:
+    return F.array_join(F.transform(toks, lambda t: t["piece"]), separator)
 
 
 def merge_windows(tokens: DataFrame, key: str, search: int | None = None, tolerance: int | None = None) -> DataFrame:
-    """The merged sequence: ``tokens`` that stay, to be read in the order (window_no, ord)."""
+    """The merged sequence: token rows that stay, to be read in the order (window_no, ord)."""
     spans = window_spans(tokens, key, search, tolerance)
-    t = tokens.join(spans, [key, "window_no"])
-    return t.where("ord >= append_from and ord < cut").select(*tokens.columns)
+    rows = spans.select(key, "window_no", "append_from", F.posexplode(_left("cut")).alias("_k", "_t"))
+    return rows.select(key, "window_no", (F.col("append_from") + F.col("_k")).alias("ord"), "_t.*")
 
 
-def merged_text(merged: DataFrame, key: str, separator: str = " ") -> DataFrame:
-    """(key, n_tokens, text) of word-level tokens in merged order."""
-    words = F.transform(F.array_sort(F.collect_list(F.struct("window_no", "ord", "piece"))), lambda x: x["piece"])
-    return merged.groupBy(key).agg(F.count("*").alias("n_tokens"), F.array_join(words, separator).alias("text"))
+def merged_text(spans: DataFrame, key: str, separator: str = " ") -> DataFrame:
+    """(key, n_tokens, text) of ``window_spans``, its pieces in merged order."""
+    parts = spans.select(key, "window_no", _left("cut").alias("_t"))
+    parts = parts.select(key, "window_no", F.size("_t").alias("_n"), _text(F.col("_t"), separator).alias("_text")).where("_n > 0")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window_no", "_text"))), lambda x: x["_text"]), separator)
+    return parts.groupBy(key).agg(F.sum("_n").alias("n_tokens"), text.alias("text"))
 
 
 def segments(tokens: DataFrame, key: str, search: int | None = None, tolerance: int | None = None, frame_ms: int = 80, separator: str = " ") -> DataFrame:
@@ -200,14 +299,12 @@ def segments(tokens: DataFrame, key: str, search: int | None = None, tolerance:
 
     Later seams never change a segment.
     """
-    spans = window_spans(tokens, key, search, tolerance)
-    t = tokens.join(spans, [key, "window_no"]).where("ord >= append_from")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), separator)
-    g = t.groupBy(key, "window_no").agg(
-        text.alias("text"), (F.min_by("pos", "ord") * frame_ms).cast("long").alias("start_ms"), (F.max_by("pos", "ord") * frame_ms).cast("long").alias("end_ms")
-    )
+    s = window_spans(tokens, key, search, tolerance).withColumn("_n", F.size("toks")).where("_n > append_from")
     number = (F.row_number().over(Window.partitionBy(key).orderBy("window_no")) - 1).cast("long")
-    return g.select(key, number.alias("segment_id"), "text", "start_ms", "end_ms")
+    first, last = F.get("toks", F.col("append_from").cast("int"))["pos"], F.element_at("toks", -1)["pos"]
+    return s.select(
+        key, number.alias("segment_id"), _text(_left("_n"), separator).alias("text"), (first * frame_ms).cast("long").alias("start_ms"), (last * frame_ms).cast("long").alias("end_ms")
+    )
 
 
 def confirmed_split(tokens: DataFrame, key: str, search: int | None = None, tolerance: int | None = None, separator: str = " ") -> DataFrame:
@@ -216,21 +313,12 @@ def confirmed_split(tokens: DataFrame, key: str, search: int | None = None, tole
     (key, step, confirmed_before, kept, unconfirmed, confirmed_after). A step shows its own tokens
     from append_from on as unconfirmed; its promotion truncates and appends as one.
     """
-    seg = window_spans(tokens, key, search, tolerance)
-    size = tokens.groupBy(key, "window_no").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy("window_no")
-    s = seg.join(size, [key, "window_no"])
-    s = s.withColumn("added", F.col("n") - F.col("append_from")).withColumn("left", F.col("cut") - F.col("append_from"))
-    before_final = F.coalesce(F.sum("left").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.coalesce(before_final - F.lag("left").over(w) + F.lag("added").over(w), F.lit(0))
-    s = s.withColumn("kept", before_final).withColumn("confirmed_before", before)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), separator)
-    new = tokens.join(s.select(key, "window_no", "append_from"), [key, "window_no"]).where("ord >= append_from")
-    new = new.groupBy(key, "window_no").agg(text.alias("unconfirmed"))
-    out = s.join(new, [key, "window_no"], "left")
-    return out.select(
-        key, F.col("window_no").alias("step"), F.col("confirmed_before").cast("long").alias("confirmed_before"), F.col("kept").cast("long").alias("kept"),
-        F.coalesce("unconfirmed", F.lit("")).alias("unconfirmed"), (F.col("kept") + F.col("added")).cast("long").alias("confirmed_after"),
+    s = window_spans(tokens, key, search, tolerance).withColumn("_n", F.size("toks"))
+    after = F.col("start") + F.col("_n") - F.col("append_from")
+    before = F.coalesce(F.lag(after).over(Window.partitionBy(key).orderBy("window_no")), F.lit(0))
+    return s.select(
+        key, F.col("window_no").alias("step"), before.cast("long").alias("confirmed_before"), F.col("start").cast("long").alias("kept"),
+        _text(_left("_n"), separator).alias("unconfirmed"), after.cast("long").alias("confirmed_after"),
     )
 
 
@@ -247,23 +335,30 @@ def seam_audit(tokens: DataFrame, key: str, search: int | None = None, tolerance
 def phrase_audit(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str, phrase_id: str, phrase_col: str) -> DataFrame:
     """(id, phrase id, hits) where a phrase occurs: occurrences that do not overlap, in any case.
 
-    A phrase of three words or more has a word between spaces, which must stand so in the text: texts
-    and phrases meet on it by an equi-join. Shorter phrases meet on their first three characters.
+    The words of a phrase but its first and last stand between spaces, and must stand so in the text.
+    Texts and phrases meet by equi-joins: on the first three such words in a row; phrases with fewer
+    on the longest one; phrases without any on their first three characters (or all, if fewer).
     """
     t = texts.select(F.col(id_col), F.lower(F.col(text_col)).alias("_t"))
     p = phrases.select(F.col(phrase_id).alias("_pid"), F.lower(F.col(phrase_col)).alias("_p")).where("length(_p) > 0")
     parts = F.split("_p", " ")
-    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    p = p.withColumn("_word", F.try_element_at(longest, F.lit(1))["w"])
-    words = t.select(id_col, F.explode(F.array_distinct(F.split("_t", " "))).alias("_key"))
-    pairs = words.join(p.where("_word is not null").select(F.col("_word").alias("_key"), "_pid", "_p"), "_key").select(id_col, "_pid", "_p")
-    at = F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))
-    starts = t.select(id_col, F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("_t"), i, F.lit(3))))).alias("_s"))
-    short = p.where("_word is null").select("_pid", "_p")
-    pairs = pairs.unionByName(starts.join(short, F.startswith("_s", F.substring("_p", 1, 3)) & (F.substring("_s", 1, 1) == F.substring("_p", 1, 1))).select(id_col, "_pid", "_p").distinct())
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    key = F.when(F.size(inner) >= 3, F.array_join(F.slice(inner, 1, 3), " ")).otherwise(F.try_element_at(longest, F.lit(1))["w"])
+    kind = F.when(F.size(inner) >= 3, 3).when(F.size(longest) > 0, 1).otherwise(0)
+    p = p.select("_pid", "_p", kind.alias("_kind"), F.coalesce(key, F.substring("_p", 1, 3)).alias("_key"))
+    words = F.split("_t", " ")
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda k: F.array_join(F.slice("_w", k, 3), " "))
+    chars = lambda n: F.transform("_c", lambda x, i: F.array_join(F.slice("_c", i + 1, n), ""))
+    of_kind = {
+        3: t.select(id_col, words.alias("_w")).select(id_col, F.explode(F.array_distinct(triples)).alias("_key")),
+        1: t.select(id_col, F.explode(F.array_distinct(words)).alias("_key")),
+        0: t.select(id_col, F.split("_t", "").alias("_c")).select(id_col, F.explode(F.array_distinct(F.concat(chars(1), chars(2), chars(3)))).alias("_key")),
+    }
+    pairs = [rows.join(p.where(F.col("_kind") == k).drop("_kind"), "_key").select(id_col, "_pid", "_p") for k, rows in of_kind.items()]
     hit = ((F.length("_t") - F.length(F.replace(F.col("_t"), F.col("_p"), F.lit("")))) / F.length("_p")).cast("long")
-    return pairs.join(t, id_col).select(F.col(id_col), F.col("_pid").alias(phrase_id), hit.alias("hits")).where("hits > 0")
+    found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+    return found.join(t, id_col).select(F.col(id_col), F.col("_pid").alias(phrase_id), hit.alias("hits")).where("hits > 0")
 
 
 def table_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 0.0) -> DataFrame:

@@ -48,7 +48,7 @@ def detokenize(tokens: DataFrame, key: list[str], ord_col: str = "ord") -> DataF
     w = Window.partitionBy(*key).orderBy(ord_col)
     first = F.row_number().over(w) == 1
     marked = F.col("piece").startswith(MARK) & ~F.col("is_byte")
-    bare = F.substring("piece", 2, 1_000_000_000)
+    bare = F.expr("substr(piece, 2)")
     part = (
         F.when(marked & first, bare).when(marked, F.concat(F.lit(" "), bare))
         .when(first & F.col("piece").startswith(" ") & ~F.col("is_byte"), bare).otherwise(F.col("piece"))

@@ -12,9 +12,9 @@ FRAME, SIZE, OVERLAP = 1280, 240_000, 32_000  # samples in a frame, a window, an
 
 
 def plan_windows(
-    lengths: DataFrame, key: str, n: str, size: int = SIZE, overlap: int = OVERLAP, align: int = FRAME, cover_tail: bool = False
+    lengths: DataFrame, key: str, n: str, size: int = SIZE, overlap: int = OVERLAP, align: int = FRAME, cover_tail: bool = False, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(key, window_no, start, len, frame_offset) of every window over a sequence of ``n`` elements.
+    """(key, window_no, start, len, frame_offset) of every window over a sequence of ``n`` elements, and columns to ``keep``.
 
     Full windows every ``size - overlap``; if they leave an end uncovered, one more that is aligned
     to the end, its start floored to ``align`` and its length at most ``size`` (with ``cover_tail``
@@ -26,7 +26,7 @@ def plan_windows(
     advance = size - overlap
     n_col = F.col(n).cast("long")
     full = F.when(n_col < size, F.lit(0)).otherwise(F.floor((n_col - size) / advance) + 1).cast("long")
-    base = lengths.select(F.col(key), n_col.alias("_n"), full.alias("_full")).where("_n is not null")
+    base = lengths.select(F.col(key), *keep, n_col.alias("_n"), full.alias("_full")).where("_n is not null")
     covered = F.when(F.col("_full") > 0, (F.col("_full") - 1) * advance + size).otherwise(-1)
     tail = covered < F.col("_n")
     base = base.withColumn("_tail", tail).withColumn("_count", F.col("_full") + F.col("_tail").cast("long"))
@@ -38,7 +38,7 @@ def plan_windows(
     reach = F.col("_n") - F.col("start")
     length = F.when(is_tail, reach if cover_tail else F.least(F.lit(size), reach)).otherwise(F.lit(size))
     rows = rows.withColumn("start", start.cast("long")).withColumn("_is_tail", is_tail)
-    return rows.select(key, "window_no", "start", length.cast("long").alias("len"), F.floor(F.col("start") / align).cast("long").alias("frame_offset"))
+    return rows.select(key, "window_no", "start", length.cast("long").alias("len"), F.floor(F.col("start") / align).cast("long").alias("frame_offset"), *keep)
 
 
 def assign_windows(elements: DataFrame, windows: DataFrame, key: str, idx: str = "idx", stride: int | None = None, size: int | None = None) -> DataFrame:

@@ -35,11 +35,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\x0b\x0c]+'), lambda w: w <> '') AS ws FROM documents"
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, words): the words of each document, as an array."""
-    d = read(spark, sf_dir, "documents")
+def words(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """(series_id, words): the words of each document, as an array; dealt out by document if asked for."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("series_id"), "text")
+    if dealt:
+        d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "series_id")
     ws = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\x0b\x0c]+"), lambda w: w != "")
-    return d.select(F.col("doc_id").alias("series_id"), ws.alias("words"))
+    return d.select("series_id", ws.alias("words"))
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,24 +54,31 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("series_id", F.posexplode("words").alias("idx", "piece")).withColumn("idx", F.col("idx").cast("long"))
 
 
-def window_tokens(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
-    """(series_id, window_no, ord, piece, initial, pos): words by window, each word a token.
+def window_arrays(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
+    """(series_id, window_no, toks): the words of every window, each word a token (piece, initial, pos).
 
     Noisy: in odd windows the word at pos % 11 = 0 is upper-cased (unless it has an "ß") with "," after it, and that at
-    pos % 29 = 0 is "zz". The windows slice the word array, so nothing is joined or shuffled.
+    pos % 29 = 0 is "zz". Texts are dealt out by document, then cut; windows slice the word array, so nothing is joined.
     """
-    w = words(spark, sf_dir).withColumn("n", F.size("words").cast("long"))
-    plan = windows.plan_windows(w.select(F.struct("series_id", "words").alias("doc"), "n"), "doc", "n", W, OVERLAP, 1)
-    t = plan.where("len > 0").select(
-        F.col("doc.series_id").alias("series_id"), "window_no", "start",
-        F.posexplode(F.slice("doc.words", (F.col("start") + 1).cast("int"), F.col("len").cast("int"))).alias("ord", "piece"),
-    )
-    t = t.select("series_id", "window_no", F.col("ord").cast("long").alias("ord"), "piece", F.lit(True).alias("initial"), (F.col("start") + F.col("ord")).alias("pos"))
-    if not noisy:
-        return t
-    odd = F.col("window_no") % 2 == 1
-    changed = F.when(odd & (F.col("pos") % 29 == 0), "zz").when(odd & (F.col("pos") % 11 == 0), F.concat(F.when(F.contains("piece", F.lit("ß")), F.col("piece")).otherwise(F.upper("piece")), F.lit(","))).otherwise(F.col("piece"))
-    return t.withColumn("piece", changed)
+    w = words(spark, sf_dir, dealt=True).withColumn("n", F.size("words").cast("long"))
+    plan = windows.plan_windows(w, "series_id", "n", W, OVERLAP, 1, keep=("words",)).where("len > 0")
+
+    def token(piece, k):
+        pos = F.col("start") + k
+        if noisy:
+            odd = F.col("window_no") % 2 == 1
+            loud = F.concat(F.when(F.contains(piece, F.lit("ß")), piece).otherwise(F.upper(piece)), F.lit(","))
+            piece = F.when(odd & (pos % 29 == 0), "zz").when(odd & (pos % 11 == 0), loud).otherwise(piece)
+        return F.struct(piece.alias("piece"), F.lit(True).alias("initial"), pos.alias("pos"))
+
+    own = F.slice("words", (F.col("start") + 1).cast("int"), F.col("len").cast("int"))
+    return plan.select("series_id", "window_no", F.transform(own, token).alias("toks"))
+
+
+def window_tokens(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
+    """(series_id, window_no, ord, piece, initial, pos): ``window_arrays`` as token rows."""
+    t = window_arrays(spark, sf_dir, noisy).select("series_id", "window_no", F.posexplode("toks").alias("ord", "tok"))
+    return t.select("series_id", "window_no", F.col("ord").cast("long").alias("ord"), "tok.*")
 
 
 #: Windows of the documents' words by the plan's closed form.
@@ -97,6 +106,6 @@ def subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements(spark, sf_dir)
     long = F.length("piece") >= 4
     head = F.concat(F.lit("▁"), F.when(long, F.substring("piece", 1, 2)).otherwise(F.col("piece")))
-    parts = F.when(long, F.array(head, F.substring("piece", 3, 1_000_000))).otherwise(F.array(head))
+    parts = F.when(long, F.array(head, F.expr("substr(piece, 3)"))).otherwise(F.array(head))
     p = e.select("series_id", F.col("idx").alias("pos"), F.posexplode(parts).alias("h", "piece"))
     return p.select("series_id", (F.col("pos") * 2 + F.col("h")).alias("ord"), "pos", "piece")

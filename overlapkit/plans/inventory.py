@@ -46,7 +46,7 @@ def s2_read_vocab(spark, sf_dir):
     ws = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\x0b\x0c]+"), lambda w: w != "")
     pairs = F.transform(ws, lambda w, i: F.struct(i.cast("string").alias("k"), w.alias("v")))
     doc = d.select(F.to_json(F.map_from_entries(F.concat(pairs, F.array(F.struct(F.lit("pad").alias("k"), F.lit("x").alias("v")))))).alias("json"))
-    v = sources.parse_vocab(doc, "json", reserved_id=1_000_000)
+    v = sources.parse_vocab(doc, "json", reserved_id=2**31 - 1)
     return v.select("token_id", "piece", "has_byte_fallback")
 
 
@@ -201,7 +201,7 @@ _P = f"SELECT *, bytes - lag(bytes, 1, 0) OVER (PARTITION BY user_id, file ORDER
 _PH = "SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'progress' END AS kind FROM events"
 ORACLE = {
     "s2_read_vocab": f"""SELECT (i - 1)::INT AS token_id, max(ws[i]) AS piece, false AS has_byte_fallback FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM ({WORDS})) GROUP BY 1
- UNION ALL SELECT 1000000, NULL, false""",
+ UNION ALL SELECT 2147483647, NULL, false""",
     "s3_read_manifest": f"SELECT model_id, 'r' || page_id AS role, path AS file FROM ({_A})",
     "s6_upsert_by_key": f"""SELECT model_id, path, CASE WHEN model_id::INT < 3 THEN size * 10 ELSE size END AS size FROM ({_A}) WHERE model_id::INT >= 3 OR page_id % 2 = 0
  OR model_id NOT IN (SELECT model_id FROM ({_A}) WHERE model_id::INT < 3 AND page_id % 2 = 0)""".replace("CASE WHEN model_id::INT < 3 THEN", "CASE WHEN model_id::INT < 3 AND page_id % 2 = 0 THEN"),

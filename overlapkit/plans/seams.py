@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from overlapkit.functions import word_core, word_initial
+from overlapkit.functions import position_to_ms, word_core, word_initial
 from overlapkit.operators import seams, tokens, windows
 from overlapkit.plans import fixtures as fx
 from overlapkit.plans import read
@@ -15,8 +15,7 @@ N_DIFF = 6  # tolerance of the noisy runs: half the overlap
 
 def entry_merge_round_trip(spark, sf_dir):
     """Windows of every document's words, merged back: the text must be the document's words."""
-    merged = seams.merge_windows(fx.window_tokens(spark, sf_dir), KEY, O, 0)
-    return seams.merged_text(merged, KEY)
+    return seams.merged_text(seams.window_spans(fx.window_arrays(spark, sf_dir), KEY, O, 0), KEY)
 
 
 def b1_plan_windows(spark, sf_dir):
@@ -58,7 +57,7 @@ def b4_score_windows(spark, sf_dir):
 def b5_stamp_positions(spark, sf_dir):
     t = fx.window_tokens(spark, sf_dir)
     t = t.select(KEY, "window_no", "ord", (F.col("pos") - F.col("ord")).alias("frame_offset"), F.lit(50).cast("long").alias("valid_frames"))
-    return windows.stamp_positions(t, [KEY, "window_no"]).select(KEY, "window_no", "ord", "pos", (F.col("pos") * 80).alias("ms"))
+    return windows.stamp_positions(t, [KEY, "window_no"]).select(KEY, "window_no", "ord", "pos", position_to_ms(F.col("pos")).alias("ms"))
 
 
 def c1_piece_info(spark, sf_dir):
@@ -79,10 +78,10 @@ def c3_byte_fallback_runs(spark, sf_dir):
     spelt = F.transform(F.regexp_extract_all(F.hex("piece"), F.lit("(..)")), lambda x: F.concat(F.lit("<0x"), x, F.lit(">")))
     t = e.select(KEY, "idx", F.posexplode(F.when(plain, F.array("piece")).otherwise(spelt)).alias("k", "piece"))
     # a plain piece between words keeps runs of neighbouring words apart
-    t = t.select(KEY, (F.col("idx") * 10_000 + F.col("k")).alias("ord"), "piece")
-    t = t.unionByName(e.select(KEY, (F.col("idx") * 10_000 - 1).alias("ord"), F.lit("▁").alias("piece")))
+    place = lambda k: F.struct("idx", F.lit(k).alias("k") if isinstance(k, int) else k).alias("ord")
+    t = t.select(KEY, place(F.col("k")), "piece").unionByName(e.select(KEY, place(-1), F.lit("▁").alias("piece")))
     runs = tokens.byte_fallback_runs(t, [KEY]).where("is_byte")
-    return runs.select(KEY, F.floor(F.col("ord") / 10_000).alias("idx"), F.col("n").cast("long").alias("n"), "piece")
+    return runs.select(KEY, F.col("ord.idx").alias("idx"), F.col("n").cast("long").alias("n"), "piece")
 
 
 def c4_segment_words(spark, sf_dir):
@@ -96,40 +95,39 @@ def c5_word_core(spark, sf_dir):
 
 
 def d1_overlap_slices(spark, sf_dir):
-    s = seams.overlap_slices(fx.window_tokens(spark, sf_dir, noisy=True), KEY, O)
+    s = seams.overlap_slices(fx.window_arrays(spark, sf_dir, noisy=True), KEY, O)
     return s.groupBy(KEY, "seam", "side").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 def d2_longest_common_run(spark, sf_dir):
-    s = tokens.segment_words(seams.overlap_slices(fx.window_tokens(spark, sf_dir, noisy=True), KEY, O), [KEY, "seam", "side"])
-    return seams.longest_common_run(s.where("side = 'left'"), s.where("side = 'right'"), [KEY, "seam"], N_DIFF)
+    s = seams.splice_pairs(fx.window_arrays(spark, sf_dir, noisy=True), KEY, O, N_DIFF)
+    return s.where("run > 0").select(KEY, "seam", "left_at", "right_at", "run")
 
 
 def d3_splice_pairs(spark, sf_dir):
-    s = seams.splice_pairs(fx.window_tokens(spark, sf_dir, noisy=True), KEY, O, N_DIFF).where("left_n is not null")
+    s = seams.splice_pairs(fx.window_arrays(spark, sf_dir, noisy=True), KEY, O, N_DIFF).where("left_n is not null")
     return s.select(KEY, "seam", "keep_len", "append_from", "run", "spliced")
 
 
 def d4_merge_windows(spark, sf_dir):
     """The noisy windows merged at half the overlap's tolerance; keys that need it are folded exactly."""
-    return seams.merged_text(seams.merge_windows(fx.window_tokens(spark, sf_dir, noisy=True), KEY, O, N_DIFF), KEY)
+    return seams.merged_text(seams.window_spans(fx.window_arrays(spark, sf_dir, noisy=True), KEY, O, N_DIFF), KEY)
 
 
 def d5_segments(spark, sf_dir):
-    return seams.segments(fx.window_tokens(spark, sf_dir), KEY, O, 0)
+    return seams.segments(fx.window_arrays(spark, sf_dir), KEY, O, 0)
 
 
 def d6_confirmed_split(spark, sf_dir):
-    return seams.confirmed_split(fx.window_tokens(spark, sf_dir, noisy=True), KEY, O, 0)
+    return seams.confirmed_split(fx.window_arrays(spark, sf_dir, noisy=True), KEY, O, 0)
 
 
 def d7_seam_audit(spark, sf_dir):
-    return seams.seam_audit(fx.window_tokens(spark, sf_dir, noisy=True), KEY, O, 0)
+    return seams.seam_audit(fx.window_arrays(spark, sf_dir, noisy=True), KEY, O, 0)
 
 
 def d8_phrase_audit(spark, sf_dir):
-    phrases = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("phrase"))
-    return seams.phrase_audit(read(spark, sf_dir, "documents"), phrases, "doc_id", "text", "item_id", "phrase")
+    return seams.phrase_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 def d9_table_diff(spark, sf_dir):
@@ -197,7 +195,7 @@ ORACLE = {
  round(avg(CASE WHEN spliced THEN 0.0 ELSE 1.0 END), 6) AS fallback_rate, max(run) AS longest_run, sum(left_n - keep_len)::BIGINT AS cut_tokens, sum(append_from)::BIGINT AS dropped_tokens
  FROM splice GROUP BY 1""",
     "d8_phrase_audit": """SELECT doc_id, item_id, ((length(t) - length(replace(t, p, ''))) // length(p))::BIGINT AS hits FROM (SELECT doc_id, lower(text) AS t FROM documents),
- (SELECT item_id, lower(substr(text, 1, 60)) AS p FROM benchmark) WHERE contains(t, p)""",
+ (SELECT item_id, lower(text) AS p FROM benchmark) WHERE contains(t, p)""",
     "d9_table_diff": f"""WITH a AS (SELECT doc_id AS k, sum(len(ws))::DOUBLE AS n FROM ({fx.WORDS}) GROUP BY 1), b AS (SELECT k, n + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS n FROM a WHERE k % 7 <> 0),
  j AS (SELECT CASE WHEN b.k IS NULL THEN 'missing_right' WHEN abs(a.n - b.n) <= 0.5 THEN 'match' ELSE 'differs' END AS status, abs(a.n - b.n) AS d FROM a LEFT JOIN b ON a.k = b.k)
  SELECT status, count(*) AS n, round(avg(d), 6) AS mean_delta, round(max(d), 6) AS max_delta FROM j GROUP BY 1""",

@@ -38,27 +38,104 @@ def test_merge_overlap_and_fallback(spark):
     assert merged(spark, [(" a", 0), ("sk", 1), (" not", 2)], [(" as", 0), ("k", 1), (" not", 2), (" what", 3)], search=9, tolerance=2) == "ask not what"
 
 
-def test_fast_path_equals_the_fold(spark):
-    rng = random.Random(4)
-    rows, keys = [], []
+def core(word):
+    a, b = 0, len(word)
+    while a < b and not word[a].isalnum():
+        a += 1
+    while b > a and not word[b - 1].isalnum():
+        b -= 1
+    return word[a:b].lower()
+
+
+def fold(window_list, search, tolerance):
+    """{window: (append_from, cut)} by taking windows one after another; a window is a list of (piece, initial, pos)."""
+    committed, taken = [], {}
+
+    def words(toks):
+        out = []
+        for k, (piece, initial, pos) in enumerate(toks):
+            if not out or initial:
+                out.append([k, pos, ""])
+            out[-1][2] += piece or ""
+        return [(k, p, core(w)) for k, p, w in out]
+
+    for number, fresh in window_list:
+        start = 0
+        if committed:
+            boundary = committed[-1][1][2]
+            lo, hi = 0, len(committed)
+            while lo < hi:
+                mid = (lo + hi) // 2
+                lo, hi = (mid + 1, hi) if committed[mid][1][2] + search < boundary else (lo, mid)
+            limit = max(boundary, fresh[0][2]) + search
+            end = next((k for k, t in enumerate(fresh) if t[2] > limit), len(fresh))
+            a, b = words([t for _, t in committed[lo:]]), words(fresh[:end])
+            best = (0, 0, 0)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n][2] and a[i + n][2] == b[j + n][2] and abs(a[i + n][1] - b[j + n][1]) <= tolerance:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            if best[0] >= 2:
+                committed = committed[: lo + a[-best[1]][0]]
+                start = b[-best[2]][0]
+            else:
+                start = next((k for k, t in enumerate(fresh) if t[2] > boundary), len(fresh))
+        taken[number] = start
+        committed += [(number, t) for t in fresh[start:]]
+    return {w: (s, s + sum(n == w for n, _ in committed)) for w, s in taken.items()}
+
+
+def random_streams(seed, jumps):
+    rng, rows, keys = random.Random(seed), [], {}
     for k in range(60):
         n = rng.randint(3, 40)
         base = [rng.choice("abcd") for _ in range(n)]
-        size, step, w = rng.randint(4, 9), rng.randint(2, 5), 0
-        for at in range(0, max(1, n - 2), step):
-            part = base[at : at + size]
-            noisy = [x if rng.random() > 0.2 else "z" for x in part]
-            rows += [(f"k{k}", w, o, " " + x, True, at + o) for o, x in enumerate(noisy)]
-            w += 1
-        keys.append(f"k{k}")
+        size, step = rng.randint(4, 9), rng.randint(2, 5)
+        keys[f"k{k}"] = []
+        for w, at in enumerate(range(0, max(1, n - 2), step)):
+            noisy = [x if rng.random() > 0.2 else "z" for x in base[at : at + size]]
+            toks = [(" " + x, rng.random() > 0.1, at + o + (rng.randint(-2, 2) if jumps else 0)) for o, x in enumerate(noisy)]
+            keys[f"k{k}"].append((w, toks))
+            rows += [(f"k{k}", w, o, *t) for o, t in enumerate(toks)]
+    return rows, keys
+
+
+@pytest.mark.parametrize("jumps", [False, True])
+def test_spans_equal_the_fold(spark, jumps):
+    rows, keys = random_streams(4, jumps)
     t = frame(spark, rows)
     for search, tolerance in ((4, 0), (6, 3), (None, None)):
-        spans = {(r.series_id, r.window_no): (r.append_from, max(r.append_from, r.cut)) for r in seams.window_spans(t, "series_id", search, tolerance).collect()}
+        found = seams.window_spans(t, "series_id", search, tolerance).drop("toks").collect()
         reach, near = (2**61 if search is None else search), (2**61 if tolerance is None else tolerance)
-        whole = t.orderBy("series_id").toPandas()
-        folded = [seams._fold(rows, "series_id", reach, near) for _, rows in whole.groupby("series_id")]
-        exact = {(r.series_id, r.window_no): (r.append_from, r.cut) for f in folded for r in f.itertuples()}
-        assert spans == exact
+        want = {(k, w): span for k, ws in keys.items() for w, span in fold(ws, reach, near).items()}
+        assert {(r.series_id, r.window_no): (r.append_from, max(r.append_from, r.cut)) for r in found} == want
+        assert any(r.exact for r in found)
+
+
+def test_confirmed_split_follows_the_fold(spark):
+    rows, keys = random_streams(9, False)
+    got = {(r.series_id, r.step): r for r in seams.confirmed_split(frame(spark, rows), "series_id", 6, 3).collect()}
+    for k, ws in keys.items():
+        before = 0
+        for n in range(len(ws)):  # after n + 1 windows the committed text has this many tokens
+            spans = fold(ws[: n + 1], 6, 3)
+            after, r = sum(b - a for a, b in spans.values()), got[k, n]
+            own = [p for p, _, _ in ws[n][1][spans[n][0] :]]
+            assert (r.confirmed_before, r.unconfirmed, r.confirmed_after) == (before, " ".join(own), after)
+            assert r.kept == after - len(own)
+            before = after
+
+
+def test_seams_read_their_input_once(spark):
+    rows, _ = random_streams(1, False)
+    t = frame(spark, rows)
+    df = seams.merged_text(seams.window_spans(t, "series_id", 6, 3), "series_id")
+    assert df.count()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("ArrowEvalPython") == 1
 
 
 def plan(spark, n, **k):
@@ -105,6 +182,24 @@ def test_detokenize(spark):
     assert detok(spark, ["<0xZZ>", "▁a"]) == "a"
 
 
+def test_long_words_and_pieces(spark):
+    """A word of 12,000 bytes spelt in byte pieces is one run; a piece of 2 million characters stays whole."""
+    rows = [("s", 0, -1, "▁")] + [("s", 0, k, "<0xC3>" if k % 2 == 0 else "<0xA9>") for k in range(12_000)] + [("s", 1, -1, "▁"), ("s", 1, 0, "<0x41>")]
+    t = spark.createDataFrame(rows, "k string, idx long, j int, piece string").select("k", F.struct("idx", "j").alias("ord"), "piece")
+    got = sorted((r.ord.idx, r.n, r.piece) for r in tokens.byte_fallback_runs(t, ["k"]).where("is_byte").collect())
+    assert got == [(0, 12_000, "é" * 6_000), (1, 1, "A")]
+    assert detok(spark, ["▁" + "x" * 2_000_000]) == "x" * 2_000_000
+
+
+def test_phrase_audit(spark):
+    texts = ["the red fox  ran off, the red fox RAN off", "a b", "xé", "", None, "fox", "red fox ran", "predated fox rants here now today"]
+    phrases = ["the red fox ran off", "red fox ran", "d fox r", "é", "a b", "x", "now today", "ed fox ran", "fox  ran", "ate fox rant", ""]
+    t = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    p = spark.createDataFrame(list(enumerate(phrases)), "j long, p string")
+    want = {(i, j, x.lower().count(y.lower())) for i, x in enumerate(texts) for j, y in enumerate(phrases) if x and y and y.lower() in x.lower()}
+    assert {tuple(r) for r in seams.phrase_audit(t, p, "i", "t", "j", "p").collect()} == want
+
+
 def test_words_and_spaces(spark):
     row = spark.range(1).select(word_core(F.lit("«Naïve!»")).alias("a"), word_core(F.lit("--")).alias("b"), word_initial(F.lit("▁x")).alias("c"), word_initial(F.lit("x")).alias("d"),
                                 normalize_spaces(F.lit("a  b ,  c 。 \t x ")).alias("e"), normalize_samples(F.lit(-32767), "i16").alias("f")).first()
