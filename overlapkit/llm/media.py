@@ -169,8 +169,14 @@ def payload_of(data: bytes, found: dict) -> bytes:
 
 
 def pack_media(docs: DataFrame, *, text_col: str = "text", keep: list[str], media_col: str = "media") -> DataFrame:
-    """``keep`` columns, n_bytes (of the text), and the container of the padded text. Null is empty."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    """``keep`` columns, n_bytes (of the text), and the container of the padded text. Null is empty.
+
+    Equal texts, in repeated rows or others, have equal containers; an empty table gives no rows. A
+    column to keep may not be called ``n_bytes`` or ``media_col``; other columns are dropped.
+    """
+    if clash := {"n_bytes", media_col} & set(keep):
+        raise ValueError(f"columns to keep have the results' names: {sorted(clash)}")
+    schema = S.schema_of(docs, keep, **{"n_bytes": "long", media_col: "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, text_col):
@@ -178,19 +184,24 @@ def pack_media(docs: DataFrame, *, text_col: str = "text", keep: list[str], medi
             n = pa.array([len(t) for t in texts], pa.int64())
             yield S.with_columns(batch, keep, n_bytes=n, **{media_col: pa.array([build(padded(t)) for t in texts], pa.binary())})
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, f"{schema}, n_bytes long, `{media_col}` binary")
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
 def probe_media(media: DataFrame, *, media_col: str = "media", keep: list[str], digests: bool = False) -> DataFrame:
     """``keep`` columns and codec, timescale, duration, n_samples, keyframes (array of offset and size), error.
 
     ``digests`` adds media_bytes, media_sha256 and, over the samples' bytes, payload_bytes,
-    payload_sha256 and tail_crc32 (of the last 64). Null media give nulls and error "null".
+    payload_sha256 and tail_crc32 (of the last 64).
+
+    Cases: null media give nulls and error "null", and damaged ones their error; repeated rows are read
+    alike, each with a row; an empty table gives no rows; a column to keep may not have a result's name.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*keep).schema)
-    schema += ", codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset: long, size: long>>, error string"
+    more = {"codec": "string", "timescale": "long", "duration": "long", "n_samples": "long", "keyframes": "array<struct<offset: long, size: long>>", "error": "string"}
     if digests:
-        schema += ", media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long"
+        more |= {"media_bytes": "long", "media_sha256": "string", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long"}
+    if clash := set(more) & set(keep):
+        raise ValueError(f"columns to keep have the results' names: {sorted(clash)}")
+    schema = S.schema_of(media, keep, **more)
     pairs = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
     types = {"codec": pa.string(), "timescale": pa.int64(), "duration": pa.int64(), "n_samples": pa.int64(), "keyframes": pairs, "error": pa.string()}
     if digests:

@@ -249,7 +249,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, score_col: str = "sco
     """``docs`` with ``score_col``, the probability of good quality. Whole texts, one pass, no shuffle."""
     spark, keep = docs.sparkSession, [c for c in docs.columns if c != score_col]
     shared = spark.sparkContext.broadcast(model)  # 2**bits floats, whatever the input
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + f", `{score_col}` double"
+    schema = S.schema_of(docs, keep, **{score_col: "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -65,7 +65,7 @@ def fingerprint(text: bytes, words_in_shingle: int = 4) -> int:
 
 def add_fingerprint(docs: DataFrame, *, text_col: str = "text", keep: list[str], words_in_shingle: int = 4) -> DataFrame:
     """``keep`` columns and ``fp``, the signed 64-bit fingerprint. Null and blank texts give zero."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", fp long"
+    schema = S.schema_of(docs, keep, fp="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, text_col):
@@ -202,7 +202,8 @@ def simhash_components(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, words_in_shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that of the smallest id (null last).
 
-    Rows that are equal in id and fingerprint are one document; which of them stays is not fixed.
+    Of rows that are equal in id and fingerprint the one with the smallest hash of its text stays, and
+    of equal texts any. Cases as in ``simhash_components``; other columns pass through whatever their names.
     """
     found = simhash_components(docs, id_col=id_col, text_col=text_col, max_distance=max_distance, words_in_shingle=words_in_shingle)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("first")
@@ -212,5 +213,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text, own = f"_c{columns.index(text_col)}", f"_c{columns.index(id_col)}"
     marked = add_fingerprint(marked, text_col=text, keep=marked.columns, words_in_shingle=words_in_shingle)
     kept = marked.join(stay, (F.col("fp") == F.col("stay_fp")) & F.col(own).eqNullSafe(F.col("stay_id")), "left_semi")
-    kept = kept.dropDuplicates([own, "fp"])
+    whole = F.struct(*[F.col(f"_c{k}") for k in range(len(columns))]).alias("whole")
+    kept = kept.groupBy(own, "fp").agg(F.min_by(whole, F.xxhash64(text)).alias("whole")).select("whole.*")
     return kept.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)])

@@ -87,7 +87,6 @@ def count_tokens(
     whole = rows.select("id", F.concat_ws(separator, *[F.col(f"f.f{k}") for k in range(len(fields))]).alias("text"),
                         F.array(*[F.octet_length(F.col(f"f.f{k}")) for k in range(len(fields))]).alias("sizes"))
     gap = len(separator.encode())
-    id_type = rows.schema["id"].dataType.simpleString()
     number = "double" if rule == "split" else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,5 +114,6 @@ def count_tokens(
             made = [x.astype(np.float64 if k == 4 and rule == "split" else np.int64) for k, x in enumerate(made)]
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, made)], names=["id", "section_no", "field", "first", "last", "n_tokens", "doc_tokens"])
 
-    out = whole.mapInArrow(run, f"id {id_type}, section_no long, field long, first long, last long, n_tokens {number}, doc_tokens long")
+    schema = S.schema_of(whole, ["id"], section_no="long", field="long", first="long", last="long", n_tokens=number, doc_tokens="long")
+    out = whole.mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

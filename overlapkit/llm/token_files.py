@@ -24,9 +24,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from overlapkit.llm import _shared as S
 
@@ -141,22 +143,24 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 # encoding, with what a piece of text between white space gives kept per worker
 
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*")  # letters without context in lower-casing, and no combining marks
+PLAIN = r"\A[\t\n\r -~¡-įı-ɏ]*\z"  # letters without context in lower-casing, and no combining marks
 ENDS = ".,!?;:"
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose pieces never cross white space.
 
-    A text of plain letters is cut at white space; each new stretch is encoded by the tokenizer
-    (many at once, told apart by the word-end mark of their last piece) and remembered, up to
-    ``room`` of them. Any other text, or one that may hold a special token, is encoded as it is.
+    Texts of plain letters are lower-cased, cut at white space and numbered by their distinct stretches
+    as Arrow arrays; each new stretch is encoded by the tokenizer (many at once, told apart by the
+    word-end mark of their last piece) and remembered, up to ``room`` bytes of them: half a room of new
+    ones at most, and what the half before has seen. Any other text, or one that may hold a special
+    token, is encoded as it is.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 128_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.tokenizer, self.room, self.known, self.older, self.held = Tokenizer.from_file(path), room, {}, {}, 0
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
@@ -179,19 +183,41 @@ class WordEncoder:
         for x, stem in simple.items():
             known[x] = known[stem] + known[x[-1]]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.lower().split() if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        wanted = {w for words in cut if words for w in words}
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > self.room:  # start over with what these texts need
-            self.known.clear()
-            new = wanted
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        numbered = words.flatten().dictionary_encode()
+        names = numbered.dictionary.to_pylist()
+        if self.held > self.room / 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        new, before = {w for w in names if w not in self.known and w}, len(self.known)
+        old = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(old)
+        new -= old.keys()
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-        return [whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
+        self.held += sum(2 * len(w) + 8 for w in new) + sum(len(w) + len(x) for w, x in old.items())
+        self.held += 150 * (len(self.known) - before)  # what Python adds to two small objects
+        self.known[""] = b""
+        ids = [self.known[w] for w in names]
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        start = np.cumsum(size) - size
+        flat, code = np.frombuffer(b"".join(ids), dtype="<u4"), numbered.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        take = np.repeat(start[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        out = flat[take].tobytes()
+        cuts = 4 * np.r_[0, ends][words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        plain = pc.and_(pc.match_substring_regex(column, PLAIN), pc.invert(pc.match_substring(column, "<|")))
+        made = iter(self._plain(column.filter(plain)))
+        return [next(made) if ok else self._whole(text) for ok, text in zip(plain.to_pylist(), pc.if_else(plain, "", column).to_pylist(), strict=True)]
 
 
 @cache
@@ -207,13 +233,21 @@ def token_files(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text
     """(shard, file_no, n_docs, n_ids, image): files of ids in ascending order of ``id_col``.
 
     One range shuffle of the texts; a shard's rows stream through in order, and a file is closed at
-    ``FILE_IDS`` ids, documents whole. Null ids come first; repeated ids keep a document each; null
-    texts are empty and hold the end id alone.
+    ``FILE_IDS`` ids, documents whole.
+
+    Cases: null ids come first; of rows with one id, or none, the order is that of a hash of the text,
+    so that ``start`` does not depend on how the rows lie, and however many they are, several shards
+    share them; null texts are empty and hold the end id alone; ids that are no integers are an error;
+    other columns are dropped; an empty table has no files.
     """
+    if not isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{id_col} is no integer column")
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions, "id").sortWithinPartitions("id")
+    order = ["id", F.xxhash64(F.coalesce("text", F.lit(""))), F.monotonically_increasing_id()]  # the last tells equal rows apart
+    rows = rows.select("*", *[o.alias(f"o{k}") for k, o in enumerate(order[1:])])
+    rows = rows.repartitionByRange(partitions, "id", "o0", "o1").sortWithinPartitions("id", "o0").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, shard = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
@@ -226,7 +260,7 @@ def token_files(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text
             return pa.RecordBatch.from_arrays([row[0].cast("int32"), row[1].cast("int32"), *row[2:], pa.array([data], pa.binary())], names=names)
 
         for batch in S.slices(batches, "text"):
-            for doc, data in zip(batch.column("id").to_pylist(), encode(S.strings(batch.column("text"))), strict=True):
+            for doc, data in zip(batch.column("id").to_pylist(), encode(batch.column("text")), strict=True):
                 ids.append(doc)
                 parts.append(data + end)
                 counts.append(len(data) // 4 + 1)

@@ -1,16 +1,22 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The pieces and their scores come from a SentencePiece model file; the file is read by the library,
-the segmentation is this module's: the sequence of pieces with the highest sum of scores, a longer
-last piece winning ties. A character that no piece covers costs the lowest score less 10 and is
-written as its UTF-8 bytes' pieces ``<0xNN>``. Spaces become the marker U+2581, and one is put before
-the text; decoding joins pieces, turns bytes back into text (each invalid byte run into U+FFFD), and
-markers into spaces, and drops the first.
+The pieces come from a SentencePiece model file, which the library reads; the segmentation is this
+module's: the sequence of pieces with the highest sum of log scores, a longer last piece winning ties.
+A unigram model's file holds the pieces' log-probabilities, which are taken as they are. A BPE model's
+file holds merge ranks in their place, and no tokenizer is trained here: log-probabilities are then
+read off the ranks by Zipf's law, log(1 / (rank + 2.7)) less the logarithm of their sum, since merges
+are ranked by how often they occur. Ids are thus those of a unigram model with these pieces and
+scores, and not those that BPE merging gives.
+
+A character that no piece covers costs the lowest score less 10 and is written as its UTF-8 bytes'
+pieces ``<0xNN>``. Spaces become the marker U+2581, and one is put before the text; decoding joins
+pieces, turns bytes back into text (each invalid byte run into U+FFFD), and markers into spaces, and
+drops the first.
 
 No piece has a marker after another character, so a text's best path is the best paths of its
 stretches "markers, then the rest" one after another. Stretches are found once per batch and many of
 them go through the trie together, a byte at a time, as numpy arrays; a worker remembers up to
-``room`` of them. Stretches above ``LONG`` bytes take the same steps one by one.
+``room`` bytes of them. Stretches above ``LONG`` bytes take the same steps one by one and are not kept.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from overlapkit.llm import _shared as S
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
+ZIPF_SHIFT = 2.7  # Mandelbrot's constant for words
 LONG = 48
 BREAK = re.compile(r"\n| *[^ \n]+| +")  # a new line is cut off alone where no piece holds one
 PLAIN_BREAK = re.compile(r" *[^ ]+| +")
@@ -93,15 +100,16 @@ class DoubleArray:
 class Unigram:
     """Pieces with scores; ``kinds`` are "normal", "byte" or "control" for each."""
 
-    def __init__(self, pieces: list[str], scores: list[float], kinds: list[str], room: int = 300_000):
-        self.room, self.known = room, {}
+    def __init__(self, pieces: list[str], scores: list[float], kinds: list[str], room: int = 64_000_000):
+        self.room, self.known, self.held = room, {}, 0
         plain = [k for k, kind in enumerate(kinds) if kind == "normal"]
         if any(MARK in pieces[k].lstrip(MARK) for k in plain):
             raise ValueError("a piece has a marker after another character")
         self.trie = DoubleArray([pieces[k].encode() for k in plain])
         self.plain = np.array(plain, dtype=np.int64)
         self.score = np.array([scores[k] for k in plain])
-        self.unknown = min(self.score, default=0.0) - UNKNOWN_COST
+        self.unknown = float(min(self.score, default=0.0)) - UNKNOWN_COST
+        self.lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.score.tolist()
         byte = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(pieces, kinds, strict=True)) if kind == "byte"}
         if len(byte) < 256:
             raise ValueError("the pieces of some bytes are missing")
@@ -114,7 +122,7 @@ class Unigram:
 
     # one stretch: the plain form of the same steps
     def best(self, word: bytes) -> list[int]:
-        base, check, value, n = self.trie.base, self.trie.check, self.trie.value, len(word)
+        base, check, value, score, n = *self.lists, len(word)
         top, back = [0.0] + [-np.inf] * n, [(-1, -1)] * (n + 1)
         for i in range(n):
             if top[i] == -np.inf:
@@ -122,14 +130,14 @@ class Unigram:
             width = 1 + (word[i] >= 0xC0) + (word[i] >= 0xE0) + (word[i] >= 0xF0)
             node, single = 0, False
             for k in range(i, n):
-                child = int(base[node]) + word[k]
+                child = base[node] + word[k]
                 if check[child] != node:
                     break
-                node, v = child, int(value[child])
+                node, v = child, value[child]
                 if v >= 0:
                     single |= k + 1 - i == width
-                    if top[i] + self.score[v] > top[k + 1]:
-                        top[k + 1], back[k + 1] = top[i] + self.score[v], (i, v)
+                    if top[i] + score[v] > top[k + 1]:
+                        top[k + 1], back[k + 1] = top[i] + score[v], (i, v)
             if not single and top[i] + self.unknown > top[i + width]:
                 top[i + width], back[i + width] = top[i] + self.unknown, (i, -1)
         out, at = [], n
@@ -203,41 +211,55 @@ class Unigram:
         cuts = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))].tolist()
         return [flat[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, stretches: set[str]) -> None:
+    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
+        """Ids of stretches; those up to ``LONG`` bytes are remembered."""
         coded = [(w, w.replace(" ", MARK).encode()) for w in stretches]
         coded.sort(key=lambda x: len(x[1]))
-        short = [x for x in coded if len(x[1]) <= LONG]
+        short, found = [x for x in coded if len(x[1]) <= LONG], {}
         for a in range(0, len(short), 8_192):
             part = short[a : a + 8_192]
-            self.known.update(zip((w for w, _ in part), self._many([b for _, b in part]), strict=True))
-        for w, b in coded[len(short) :]:
-            self.known[w] = np.array(self.best(b), dtype="<u4").tobytes()
+            found.update(zip((w for w, _ in part), self._many([b for _, b in part]), strict=True))
+        self.known.update(found)
+        self.held += sum(len(w) + len(x) + 150 for w, x in found.items())  # 150: what Python adds to two small objects
+        return {w: np.array(self.best(b), dtype="<u4").tobytes() for w, b in coded[len(short) :]}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
         cut = [self.split.findall(" " + t) if t else [] for t in texts]
-        wanted = {w for words in cut for w in words}
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > self.room:  # start over with what these texts need
-            self.known.clear()
-            new = wanted
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        if self.held > self.room:  # start over
+            self.known, self.held = {}, 0
+        new = {w for words in cut for w in words} - self.known.keys()
+        long = self._learn(new) if new else {}
+        get = self.known.__getitem__ if not long else lambda w: long[w] if w in long else self.known[w]
+        return [b"".join(map(get, words)) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+def zipf_scores(scores: list[float], kinds: list[str]) -> list[float]:
+    """Log-probabilities of ranked pieces: the higher a normal piece's score, the lower its rank; equal scores keep their order."""
+    plain = [k for k, kind in enumerate(kinds) if kind == "normal"]
+    order = sorted(plain, key=lambda k: -scores[k])
+    share = 1 / (np.arange(len(order)) + 1 + ZIPF_SHIFT)
+    out = np.zeros(len(scores))
+    out[order] = np.log(share / share.sum())
+    return out.astype(np.float32).astype(float).tolist()  # as a model file would hold them
+
+
 def read_model(path: str) -> tuple[list[str], list[float], list[str]]:
-    """(pieces, scores, kinds) of a SentencePiece model file."""
+    """(pieces, log scores, kinds) of a SentencePiece model file."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(sp.vocab_size())
     kinds = ["byte" if sp.is_byte(k) else "control" if sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k) else "normal" for k in ids]
-    return [sp.id_to_piece(k) for k in ids], [sp.get_score(k) for k in ids], kinds
+    scores = [sp.get_score(k) for k in ids]
+    plain = [s for s, kind in zip(scores, kinds, strict=True) if kind == "normal"]
+    if all(s == int(s) for s in plain):  # whole numbers: merge ranks
+        scores = zipf_scores(scores, kinds)
+    return [sp.id_to_piece(k) for k in ids], scores, kinds
 
 
 @cache
@@ -249,11 +271,16 @@ def encode_texts(docs: DataFrame, model: str, *, text_col: str = "text", keep: l
     """``keep`` columns and n_tokens, n_byte_tokens, and, if asked for, ``ids`` (array<int>).
 
     ``digest`` adds ids_crc32 (of the ids as little-endian 32-bit integers) and
-    round_trip (the ids decode to the text). Null and empty texts have no ids; whole texts, no shuffle.
+    round_trip (the ids decode to the text). Whole texts, no shuffle.
+
+    Cases: null and empty texts have no ids; repeated rows are encoded alike, each with a row; columns
+    outside ``keep`` are dropped, and one in it that has a result's name is an error; an empty table
+    gives no rows.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema += ", n_tokens int, n_byte_tokens int" + ", ids_crc32 long, round_trip boolean" * digest + ", ids array<int>" * ids
-    with_ids = ids
+    more = {"n_tokens": "int", "n_byte_tokens": "int"} | ({"ids_crc32": "long", "round_trip": "boolean"} if digest else {}) | ({"ids": "array<int>"} if ids else {})
+    if clash := set(more) & set(keep):
+        raise ValueError(f"columns to keep have the results' names: {sorted(clash)}")
+    schema, with_ids = S.schema_of(docs, keep, **more), ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(model)
@@ -278,7 +305,7 @@ def encode_texts(docs: DataFrame, model: str, *, text_col: str = "text", keep: l
 
 def decode_ids(tokens: DataFrame, model: str, *, ids_col: str = "ids", keep: list[str]) -> DataFrame:
     """``keep`` columns and ``text`` from an array column of ids. Null ids give a null text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*keep).schema) + ", text string"
+    schema = S.schema_of(tokens, keep, text="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(model)

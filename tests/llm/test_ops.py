@@ -141,7 +141,8 @@ def test_word_encoder_is_the_tokenizer(spark):
     t = Tokenizer.from_file(path)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [x[1] or "" for x in EDGES]
     texts += ["don't can't 'S x's''s _a_ 12½ ²x soft­hyphen", "á combining", "\x1c\x85\xa0 odd", "x<|startoftext|>y", "it's...fine!?,; a.b. I'LL"]
-    for room in (400_000, 50):
+    texts += ["".join(chr(c) + "x " * (c % 7 == 0) for c in range(32, 0x250)), "İstanbul ǄX ŉ"]
+    for room in (64_000_000, 5_000):
         enc = token_files.WordEncoder(path, room)
         got = [np.frombuffer(b, "<u4").tolist() for k in range(0, len(texts), 40) for b in enc(texts[k : k + 40])]
         assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
@@ -165,6 +166,18 @@ def test_token_files_query(spark, tmp_path):
     assert [r.start for r in back] == np.cumsum([0] + [r.n_tokens for r in back])[:-1].tolist()
 
 
+def test_token_files_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rows = [(k % 3 or None, f"text {k % 11} of many", "en", "a") for k in range(300)]
+    found = []
+    for n, order in enumerate((1, -1)):
+        at = str(tmp_path / str(n))
+        token_files.write_token_files(docs(spark, rows[::order]).repartition(1 + 3 * n), at, P.path("word_bpe_49k.json"))
+        found.append(sorted((r.start, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, at).collect()))
+    assert found[0] == found[1] and len(found[0]) == 300
+    with pytest.raises(TypeError):
+        token_files.token_files(docs(spark, rows).withColumn("doc_id", F.lit("x")), P.path("word_bpe_49k.json"))
+
+
 # --- mixing
 
 
@@ -442,13 +455,71 @@ def test_unigram_against_brute_force(spark):
     assert t.decode(np.array([number["<0xE6>"], number["▁the"]])) == "� the"
 
 
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def read_varint(data, at):
+    n = shift = 0
+    while data[at] > 127:
+        n, shift, at = n | (data[at] & 127) << shift, shift + 7, at + 1
+    return n | data[at] << shift, at + 1
+
+
+def unigram_file(path, scores):
+    """The model file with other scores, as one of the library's unigram models."""
+    data, at, out, k = open(path, "rb").read(), 0, b"", 0
+    while at < len(data):
+        tag, start = read_varint(data, at)
+        size, start = read_varint(data, start)
+        body, at = data[start : start + size], start + size
+        if tag >> 3 == 1:  # a piece: its text (1), score (2, a float) and kind (3)
+            n, first = read_varint(body, 1)
+            kind = body[first + n + 5 :]
+            body, k = body[: first + n] + b"\x15" + struct.pack("<f", scores[k]) + kind, k + 1
+        elif tag >> 3 == 2:
+            body += b"\x18\x01"  # the trainer's model type: unigram
+        out += varint(tag) + varint(len(body)) + body
+    return out
+
+
+def test_unigram_against_the_library(spark):
+    """Whole texts: ids equal those of the library's unigram mode, or have the same score (it adds in 32 bits)."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    pieces, scores, _ = unigram.read_model(path)
+    assert abs(sum(np.exp(s) for s in scores if s < 0) - 1) < 1e-3
+    sp = sentencepiece.SentencePieceProcessor(model_proto=unigram_file(path, scores))
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [x[1] or "" for x in EDGES] + ["ab日本" * 500]
+    small = unigram.Unigram(*unigram.read_model(path), room=1_000)
+    same = 0
+    for k, text in enumerate(texts):
+        want, ids = sp.encode(text), np.frombuffer(small.encode([text])[0], "<u4").tolist()
+        same += ids == want
+        assert len(ids) == len(want) and abs(sum(scores[i] for i in ids) - sum(scores[i] for i in want)) <= 1e-6 * len(ids)
+    assert same >= 0.95 * len(texts)
+
+
 def test_pieces_query(spark):
-    got = queries.op9_unigram_pieces(spark, SF)
-    assert got.where("not round_trip").count() == 0 and got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    got = queries.op9_unigram_pieces(spark, SF).collect()
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    tok = unigram.Unigram(*unigram.read_model(P.path("piece_bpe_32k.model")))
+    want = {}
+    for r in rows:
+        ids = [k for word in tok.split.findall(" " + r.text) for k in tok.best(word.replace(" ", "▁").encode())] if r.text else []
+        want[r.doc_id] = (len(ids), int(tok.is_byte[ids].sum()), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), True)
+    assert {r.doc_id: (r.n_tokens, r.n_byte_tokens, r.ids_crc32, r.round_trip) for r in got} == want
     d = docs(spark, EDGES)
-    coded = unigram.encode_texts(d, P.path("piece_bpe_32k.model"), keep=["doc_id"])
+    coded = unigram.encode_texts(d, P.path("piece_bpe_32k.model"), keep=["doc_id", "score"])
     back = unigram.decode_ids(coded, P.path("piece_bpe_32k.model"), keep=["doc_id"])
     assert sorted(r.text for r in back.collect()) == sorted(t or "" for _, t, _, _ in EDGES)
+    assert unigram.encode_texts(d.limit(0), P.path("piece_bpe_32k.model"), keep=["doc_id"]).count() == 0
+    with pytest.raises(ValueError):
+        unigram.encode_texts(d.withColumnRenamed("fp", "ids"), P.path("piece_bpe_32k.model"), keep=["ids"])
 
 
 def test_chat(spark):
