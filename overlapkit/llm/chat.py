@@ -8,8 +8,9 @@ what the assistant says, so each participant's words are learnt in their own ren
     <|user|name>text<|end|>
     <|assistant|>text<|end|>
 
-A dialogue is rendered in parts of ``part_turns`` turn numbers, each a row, so that no conversation,
-however long, is gathered into one row or task; a part's spans count from its own start.
+A dialogue is rendered in parts of ``part_turns`` turns, each a row, so that no conversation, however
+long, and no turn number, however often it occurs, is gathered into one row or task; a part's spans
+count from its own start.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from overlapkit.llm import _shared as S
+
 PART_TURNS = 256
 
 
@@ -26,24 +29,29 @@ def render_perspectives(turns: DataFrame, *, part_turns: int = PART_TURNS, conv_
     ``turns`` has the conversation's id, turn, role and text. A span covers the assistant's text and
     its end mark, in characters, last exclusive. Turns are ordered by turn, then role, then text.
 
-    Cases: a null role is a participant named "unknown", a null text is empty, a null turn goes
-    before all in part 0; rows of a null conversation form one of their own; repeated rows are rendered as
-    often as they occur; a conversation with only system turns has no participant and no row; a part
-    in which the assistant is silent has an empty mask. Markers inside texts and names are broken up
-    (``<|`` becomes ``< |``), so that a text cannot pose as a turn.
+    Cases: a null role is a participant of its own, whose perspective is null and whose name is
+    ``&null;``; a null text is empty; null turns, roles and texts go first; rows of a null
+    conversation form one of their own; repeated rows are rendered as often as they occur; a
+    conversation with only system turns has no participant and no row; a part in which the assistant
+    is silent has an empty mask; other columns are dropped; an empty table gives no rows. Markers
+    inside texts are broken up (``<|`` becomes ``< |``), and in names ``&`` and ``>`` are written
+    ``&amp;`` and ``&gt;`` as well, so that neither can pose as a turn and no two names are alike.
     """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    name = F.replace(F.replace(safe(F.col("role")), F.lit("&"), F.lit("&amp;")), F.lit(">"), F.lit("&gt;"))
     t = turns.select(
-        F.col(conv_col).alias("conv"), F.col("turn").cast("long").alias("turn"),
-        safe(F.coalesce(F.col("role"), F.lit("unknown"))).alias("role"),
-        safe(F.coalesce(F.col("text"), F.lit(""))).alias("said"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)))
-    speakers = t.where("role != 'system'").select(F.col("conv").alias("own"), F.col("role").alias("perspective")).distinct()
+        F.col(conv_col).alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"),
+        F.monotonically_increasing_id().alias("row"), F.lit(1).alias("one"),
+    )
+    t = S.ordered_sums(t, [F.col(c) for c in ("turn", "role", "text", "row")], {"place": "one"}, ("conv",))
+    t = t.select("conv", "place", "role", F.coalesce(name, F.lit("&null;")).alias("name"), safe(F.coalesce("text", F.lit(""))).alias("said"))
+    t = t.withColumn("part", F.floor(F.col("place") / part_turns))
+    speakers = t.where(~F.col("role").eqNullSafe("system")).select(F.col("conv").alias("own"), F.col("role").alias("perspective")).distinct()
     views = t.join(speakers, F.col("conv").eqNullSafe(F.col("own"))).drop("own")
-    mine = F.col("role") == F.col("perspective")
-    head = F.when(mine, "<|assistant|>").when(F.col("role") == "system", "<|system|>").otherwise(F.concat(F.lit("<|user|"), "role", F.lit(">")))
+    mine = F.col("role").eqNullSafe(F.col("perspective"))
+    head = F.when(mine, "<|assistant|>").when(F.col("role") == "system", "<|system|>").otherwise(F.concat(F.lit("<|user|"), "name", F.lit(">")))
     lines = views.groupBy("conv", "perspective", "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**62))).alias("turn"), "role", "said", head.alias("head"), mine.alias("mine")))).alias("lines")
+        F.array_sort(F.collect_list(F.struct("place", "said", head.alias("head"), mine.alias("mine")))).alias("lines")
     )
     end = F.lit("<|end|>\n")
     body = F.concat_ws("", F.transform("lines", lambda x: F.concat(x["head"], x["said"], end)))

@@ -10,7 +10,8 @@ A pair meets in as many lists as it shares pairs of pivots; it is counted only i
 two lowest shared pivots, so counts need no removal of repeats. Lists above ``list_rows`` are dealt
 into blocks by a hash, and every two blocks are compared, each in a group of its own: no list is
 gathered whole, and none is cut short. A group returns a row per linked vector and the edges of a
-spanning forest, never all pairs. Equal vectors of a label are one node with a weight.
+spanning forest, never all pairs. Equal vectors of a label are one node with a weight; nodes are
+numbered, and rows find theirs by label and vector, so no two vectors are taken for one another.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,9 @@ from overlapkit.llm import _shared as S
 
 
 def choose_pivots(nodes: DataFrame, count: int) -> np.ndarray:
-    """(count, dimensions) unit vectors: those with the smallest hash; at most ``count`` rows reach the driver."""
-    rows = S.bounded_sample(nodes.select("vector").distinct(), count, "vector").collect()
-    found = np.array([r["vector"] for r in rows], dtype=np.float64)
+    """(about ``count``, dimensions) unit vectors, taken by hash; no more rows reach the driver."""
+    rows = S.bounded_sample(nodes.select("label", "vector"), count, "label", "vector").select("vector").collect()
+    found = np.unique(np.array([r["vector"] for r in rows], dtype=np.float64), axis=0)
     return found / np.linalg.norm(found, axis=1, keepdims=True) if len(found) else found
 
 
@@ -104,15 +106,17 @@ def near_duplicates(
     good = F.coalesce(good, F.lit(False)) & F.col("label").isNotNull()
     t = t.withColumn("vector", F.when(good, F.transform("vector", lambda v: v + F.lit(0.0))))  # -0.0 becomes 0.0
     nodes = t.where("vector is not null").groupBy("label", "vector").agg(F.count("*").alias("weight"), F.min("id").alias("least"))
-    nodes = S.materialize(nodes.withColumn("node", F.xxhash64("label", "vector")))
+    nodes = S.materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     of_size = nodes.withColumn("dim", F.size("vector"))
     found: list[DataFrame] = []
+    made: list[DataFrame] = []
     edges: list[DataFrame] = []
     for (dim,) in of_size.select("dim").distinct().orderBy("dim").collect():  # one index for each length of vectors
         own = of_size.where(F.col("dim") == dim)
         points = choose_pivots(own, pivots)
         links = _links(own, points, cosine, prefix, min_shared, list_rows, dim)
         links = S.materialize(links)
+        made.append(links)
         found.append(links.where("other is null").select("node", "links"))
         edges.append(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     if not found:
@@ -126,12 +130,14 @@ def near_duplicates(
     named = nodes.join(counts, "node", "left").join(parts, F.col("node") == F.col("in_part"), "left")
     named = named.select("label", "vector", "weight", "least", F.coalesce("links", F.lit(0.0)).alias("links"), F.coalesce("component", "node").alias("part"))
     named = S.materialize(named)
+    for links in made:
+        S.discard(links)
+    S.discard(nodes)
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "part").select(F.xxhash64("label", "vector").alias("node"), "weight", "links", "component_id")
-    rows = t.select("id", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")).alias("own"))
-    out = rows.join(named, F.col("own") == F.col("node"), "left")
+    named = named.join(least, "part").select("label", "vector", F.lit(True).alias("known"), "weight", "links", "component_id")
+    out = t.join(named, ["label", "vector"], "left")
     n = F.coalesce(F.round(F.col("links")).cast("long") + F.col("weight") - 1, F.lit(0)).cast("long")
-    part = F.when(F.col("own").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    part = F.when(F.col("known").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(id_col), n.alias("n_links"), part.alias("component_id"), F.coalesce(F.col("id") == part, F.lit(False)).alias("kept")
     )
@@ -162,8 +168,8 @@ def _links(nodes: DataFrame, points: np.ndarray, cosine: float, prefix: int, min
                     names=["label", "node", "weight", "key", "near", "unit"],
                 )
 
-    kind = nodes.schema["label"].dataType.simpleString()
-    described = nodes.select("label", "node", "weight", "vector").mapInArrow(describe, f"label {kind}, node long, weight long, key long, near binary, unit binary")
+    schema = S.schema_of(nodes, ["label"], node="long", weight="long", key="long", near="binary", unit="binary")
+    described = nodes.select("label", "node", "weight", "vector").mapInArrow(describe, schema)
     lists = described.select("label", "key").groupBy("label", "key").agg(F.count("*").alias("n")).where("n > 1")
     lists = S.materialize(lists.select("label", "key", F.ceil(F.col("n") / list_rows).cast("long").alias("blocks")))
     rows = described.join(lists, ["label", "key"])
@@ -198,12 +204,7 @@ def _links(nodes: DataFrame, points: np.ndarray, cosine: float, prefix: int, min
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def flush(table: pa.Table) -> pa.RecordBatch | None:
-            keys = [np.array(table[c].to_pylist(), dtype=object) for c in names]
-            change = np.zeros(table.num_rows, dtype=bool)
-            for k in keys:
-                change[1:] |= k[1:] != k[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), table.num_rows]
+        def flush(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
             node, other, links = [], [], []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b - a < 2:
@@ -222,17 +223,15 @@ def _links(nodes: DataFrame, points: np.ndarray, cosine: float, prefix: int, min
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            tail = [table[c][-1].as_py() for c in names] if table.num_rows else None
-            if tail is None:
-                continue
-            at = table.num_rows
-            cols = [table[c].to_pylist() for c in names]
-            while at and all(col[at - 1] == v for col, v in zip(cols, tail, strict=True)):
-                at -= 1
-            held = table.slice(at)  # the last group may go on in the next batch; a group is bounded
-            if at:
-                yield flush(table.slice(0, at))
+            change = np.zeros(table.num_rows, dtype=bool)
+            for c in names if table.num_rows else ():
+                column = table[c].combine_chunks()
+                change[1:] |= pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *np.flatnonzero(change).tolist()]
+            held = table.slice(cuts[-1])  # the last group may go on in the next batch; a group is bounded
+            if len(cuts) > 1:
+                yield flush(table, cuts)
         if held is not None and held.num_rows:
-            yield flush(held)
+            yield flush(held, [0, held.num_rows])
 
     return rows.mapInArrow(run, "node long, other long, links double")

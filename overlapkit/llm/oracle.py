@@ -45,5 +45,16 @@ def _mix(block: int = 128, shard_blocks: int = 1024) -> str:
  SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_shard, last_shard FROM doc LEFT JOIN tk USING (doc_id)"""
 
 
+_CHAT = """WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS k,
+  coalesce(replace(replace(replace(role, '<|', '< |'), '&', '&amp;'), '>', '&gt;'), '&null;') AS name, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+ sp AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS DISTINCT FROM 'system'),
+ v AS (SELECT t.*, perspective, k // 256 AS part, role IS NOT DISTINCT FROM perspective AS mine,
+  CASE WHEN role IS NOT DISTINCT FROM perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user|' || name || '>' END AS head
+  FROM t JOIN sp ON t.conv_id IS NOT DISTINCT FROM sp.conv_id),
+ w AS (SELECT *, sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY k)::BIGINT AS past FROM v)
+ SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (mine) AS n_own, string_agg(head || said || '<|end|>' || chr(10), '' ORDER BY k) AS text,
+ coalesce(string_agg((past - 8 - length(said)) || '-' || (past - 1), ',' ORDER BY k) FILTER (mine), '') AS mask FROM w GROUP BY conv_id, perspective, part"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _mix()}
+    return {"op4_mix_sources": _mix(), "op10_chat_perspectives": _CHAT}

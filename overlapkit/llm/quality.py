@@ -1,9 +1,8 @@
 """Quality classifier by co-training two views of a document.
 
-* content view: what the text says - hashed-gram log-odds and shares of letters, capitals, digits,
-  symbols, distinct and repeated words;
-* metadata view: what the record and its page say without the words - length, number and length of
-  lines, repeated lines, line ends, average word length, language and source.
+* content view: the text itself - hashed-gram log-odds, shares of letters, capitals, digits, symbols,
+  distinct and repeated words, and how its lines are laid out;
+* metadata view: the record without its text - length as recorded, language and source.
 
 Each round fits a logistic model per view on that view's training set, scores a pool of unlabelled
 documents, and hands its most confident documents, with the labels it gave them, to the *other*
@@ -11,13 +10,14 @@ view. After ``rounds`` rounds each view is calibrated (Platt) on labelled rows t
 seen, and a logistic combination of the two calibrated log-odds, fitted on the same rows, gives the
 score of every document.
 
-The fit reads at most ``max_labelled`` labelled rows and ``max_pool`` unlabelled ones (smallest hash
-of the id). Scoring reads every whole text once.
+The fit reads about ``max_labelled`` labelled rows and ``max_pool`` unlabelled ones (a share by the
+hash of the id). Scoring reads every whole text once.
 
 Cases: null and empty texts have zero counts and a score like any other text; null source or lang is
 a value of its own; duplicate label rows count once by their minimum; without labels of both kinds
-every score is the share of good labels (1.0 with none), so nothing is rejected for want of labels.
-Extra columns pass through.
+every score is the share of good labels (1.0 with none), so nothing is rejected for want of labels;
+repeated rows are scored alike; an empty table gives no rows. Extra columns pass through, but for one
+that has the score column's name, which the score replaces.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from overlapkit.llm import _shared as S
 
 SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?")
 SLOTS = 8  # hashed indicators of source and of lang
+LENGTHS = 26  # indicators of lengths by powers of two, the last but one for longer ones, the last for none
 
 
 @dataclass
@@ -84,9 +85,9 @@ class QualityModel:
 
 
 def content_features(texts: list[bytes], odds: np.ndarray, bits: int) -> np.ndarray:
-    """One row a text: gram log-odds (mean, extremes smoothed) and shares of character and word kinds."""
+    """One row a text: gram log-odds, shares of character and word kinds, and the layout of its lines."""
     mean = S.pooled(odds, texts, bits)
-    rows = np.zeros((len(texts), 8))
+    rows = np.zeros((len(texts), 15))
     for k, t in enumerate(texts):
         n = max(len(t), 1)
         words = t.split()
@@ -96,37 +97,36 @@ def content_features(texts: list[bytes], odds: np.ndarray, bits: int) -> np.ndar
         symbols = len(t) - len(t.translate(None, SYMBOLS))
         digits = len(t) - len(t.translate(None, b"0123456789"))
         repeated = sum(map(operator.eq, words, words[1:]))
+        lines = t.split(b"\n")
+        long = [x for x in lines if x.strip()]
+        m = max(len(long), 1)
+        spaces = t.count(b" ")
         rows[k] = (
             caps / n, symbols / n, digits / n, letters / n,
             len(set(words)) / w / (1 - 0.05 * min(np.log1p(w), 12)), repeated / w,
             np.sqrt(symbols / w), np.log1p(w),
+            np.log1p(len(lines)), np.log1p(sum(map(len, long)) / m), len(set(long)) / m,
+            len(t) / (spaces + len(lines)), sum(x.rstrip().endswith((b".", b"?", b"!")) for x in long) / m,
+            (len(lines) - len(long)) / len(lines), spaces / (len(t) + 1),
         )
     return np.c_[mean, rows]
 
 
-def metadata_features(texts: list[bytes], source: list, lang: list, n_chars: list) -> np.ndarray:
-    """One row a text: lengths, line layout, and hashed indicators of source and language."""
-    rows = np.zeros((len(texts), 9 + 2 * SLOTS))
-    for k, t in enumerate(texts):
-        lines = t.split(b"\n")
-        long = [x for x in lines if x.strip()]
-        m = max(len(long), 1)
-        spaces = t.count(b" ")
-        said = n_chars[k] if n_chars[k] is not None and n_chars[k] >= 0 else len(t)
-        rows[k, :9] = (
-            np.log1p(said), np.log1p(len(lines)), np.log1p(sum(map(len, long)) / m), len(set(long)) / m,
-            len(t) / (spaces + len(lines)), sum(x.rstrip().endswith((b".", b"?", b"!")) for x in long) / m,
-            said / (len(t) + 1), (len(lines) - len(long)) / len(lines), spaces / (len(t) + 1),
-        )
-        rows[k, 9 + zlib.crc32(repr(source[k]).encode()) % SLOTS] = 1
-        rows[k, 9 + SLOTS + zlib.crc32(repr(lang[k]).encode()) % SLOTS] = 1
+def metadata_features(source: list, lang: list, n_chars: list) -> np.ndarray:
+    """One row a record: its length and which of several lengths, and hashed indicators of source and language."""
+    rows = np.zeros((len(source), 1 + LENGTHS + 2 * SLOTS))
+    for k, (s, g, n) in enumerate(zip(source, lang, n_chars, strict=True)):
+        known = n is not None and n >= 0
+        rows[k, 0] = np.log1p(n) if known else 0.0
+        rows[k, 1 + (min(int(n).bit_length(), LENGTHS - 2) if known else LENGTHS - 1)] = 1
+        rows[k, 1 + LENGTHS + zlib.crc32(repr(s).encode()) % SLOTS] = 1
+        rows[k, 1 + LENGTHS + SLOTS + zlib.crc32(repr(g).encode()) % SLOTS] = 1
     return rows
 
 
 def _views(batch: pa.RecordBatch, odds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    texts = S.utf8(batch.column("text"))
-    meta = metadata_features(texts, *(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-    return content_features(texts, odds, bits), meta
+    meta = metadata_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+    return content_features(S.utf8(batch.column("text")), odds, bits), meta
 
 
 def _gram_odds(sample: DataFrame, bits: int) -> np.ndarray:
@@ -160,28 +160,38 @@ def _gram_odds(sample: DataFrame, bits: int) -> np.ndarray:
     return np.round(odds, 6).astype(np.float32)
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, rounds: int, share: float) -> tuple[Logistic, Logistic]:
+def sure_above(score: np.ndarray, right: np.ndarray, precision: float) -> float:
+    """The lowest score such that of the labelled rows from it on, three or more, ``precision`` are right; else infinity."""
+    order = np.argsort(-score, kind="stable")
+    good = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    enough = np.flatnonzero((good >= precision) & (np.arange(len(order)) >= 2))
+    return float(score[order[enough[-1]]]) if len(enough) else np.inf
+
+
+def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, rounds: int, share: float, precision: float = 0.98) -> tuple[Logistic, Logistic]:
     """Two logistic models; ``y`` is 1, 0 or -1 (unlabelled).
 
-    A round hands over ``share`` of the pool's most confident good and bad documents each way, in
-    the proportion of the labels; a document keeps the first label that it was given in a view.
+    A round hands over up to ``share`` of the pool's most confident good and bad documents each way, in
+    the proportion of the labels, and of these only those with a score that is right for ``precision``
+    of the labelled rows; a document keeps the first label that it was given in a view.
     """
     views = [content, metadata]
     given = [y.astype(float).copy(), y.astype(float).copy()]
-    good = (y == 1).sum() / max((y >= 0).sum(), 1)
+    known = y >= 0
+    good = (y == 1).sum() / max(known.sum(), 1)
     for _ in range(rounds):
         models = [fit_logistic(x[g >= 0], g[g >= 0]) for x, g in zip(views, given, strict=True)]
         for teacher, pupil in ((0, 1), (1, 0)):
             free = np.flatnonzero(given[pupil] < 0)
-            n = int(share * (y < 0).sum())
+            n = int(share * (~known).sum())
             if not n or not len(free):
                 continue
-            score = models[teacher].raw(views[teacher][free])
+            score, on_known = models[teacher].raw(views[teacher][free]), models[teacher].raw(views[teacher][known])
             order = np.argsort(score, kind="stable")
             n_bad, n_good = max(1, int(n * (1 - good))), max(1, int(n * good))
             bad, best = order[:n_bad], order[max(n_bad, len(order) - n_good) :]
-            given[pupil][free[bad[score[bad] < -1]]] = 0
-            given[pupil][free[best[score[best] > 1]]] = 1
+            given[pupil][free[bad[-score[bad] >= max(1, sure_above(-on_known, y[known] == 0, precision))]]] = 0
+            given[pupil][free[best[score[best] >= max(1, sure_above(on_known, y[known] == 1, precision))]]] = 1
     return tuple(fit_logistic(x[g >= 0], g[g >= 0]) for x, g in zip(views, given, strict=True))
 
 
@@ -212,7 +222,7 @@ def fit_quality(
     known = S.bounded_sample(marks, max_labelled, "id").withColumn("y", (F.col("y") > 0).cast("int"))
     known = known.withColumn("y", F.when(F.abs(F.xxhash64("id", F.lit("fold"))) % 4 == 0, F.col("y") + 2).otherwise(F.col("y")))
     pool = base.select("id").where("id is not null").join(marks.select("id"), "id", "left_anti")
-    pool = S.bounded_sample(pool, max_pool, "id").withColumn("y", F.lit(-1))
+    pool = S.bounded_sample(pool.distinct(), max_pool, "id").withColumn("y", F.lit(-1))
     ids = S.materialize(known.unionByName(pool))
     sample = S.materialize(base.join(F.broadcast(ids), "id"))  # ids: two bounded samples
     model.odds = _gram_odds(sample.where("y in (0, 1)"), bits)

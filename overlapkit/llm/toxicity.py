@@ -7,19 +7,23 @@ Learning goes in two steps, both corrected by the class prior ``pi``:
    is the share of toxic documents among those that have the gram. Its lower bound (a standard
    error off the toxic count) is kept, so grams seen once or twice count for little. A confirmed
    document that takes part in the fit is described by the evidence of the others alone.
-   The document frequencies are a Spark aggregation.
+   P(gram | unlabelled) is counted over all texts that may be learnt from, a Spark aggregation over
+   the grams that some confirmed texts share.
 2. Risk estimator. Each document becomes a few numbers (its strongest gram, how many and how dense
    the grams above several levels of ``r`` are), and a numpy logistic model minimises
    ``pi R_p(+) + max(0, R_u(-) - pi R_p(-))`` over positives and unlabelled; where the second part
    falls below zero, the step goes against it, as the non-negative estimator prescribes.
 
-Platt scaling on the training labels makes the score a probability. The fit reads at most
-``max_positive``, ``max_unlabelled`` and ``max_calibration`` rows (those with the smallest hash of
-id and text); scoring reads every whole text. Only the text is an input of the score.
+The logistic loss makes the model's output log-odds; its intercept is then moved until the mean
+score of the unlabelled sample is ``pi``. No label 0 is used anywhere but in counting ``pi``. The fit
+takes about ``max_positive`` confirmed rows and, for the risk's mean over unlabelled ones,
+about ``max_unlabelled`` (shares by the hash of the id); scoring reads every whole text. Only the
+text is an input of the score.
 
 Cases: null or empty text scores as a text without evidence. No positives or no labels: every
 score is the prior (0 where that is unknown). Duplicate label rows count once by their maximum;
-null labels count as unlabelled. Repeated documents are scored alike. Extra columns pass through.
+null labels count as unlabelled. Repeated documents are scored alike; an empty table gives no rows.
+Extra columns pass through, but for one that has the score column's name, which the score replaces.
 """
 
 from __future__ import annotations
@@ -46,7 +50,6 @@ class ToxicityModel:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
-    slope: float = 1.0
     intercept: float = 0.0
 
     def features(self, texts: list[bytes], own: np.ndarray | None = None) -> np.ndarray:
@@ -67,7 +70,7 @@ class ToxicityModel:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None or not texts:
             return np.full(len(texts), self.prior)
-        return S.sigmoid(self.slope * self.raw(self.features(texts)) + self.intercept)
+        return S.sigmoid(self.raw(self.features(texts)) + self.intercept)
 
 
 def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> np.ndarray:
@@ -85,32 +88,33 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate:
     return w
 
 
-def _frequencies(sample: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with each gram, among toxic and among unlabelled ones of ``sample(text, toxic)``."""
+def _frequencies(texts: DataFrame, bits: int, only: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """(documents with each gram, documents) of ``texts(text)``; with ``only``, a flag a gram, for these alone."""
+    wanted = texts.sparkSession.sparkContext.broadcast(only)  # 2**bits flags, whatever the input
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((2, 1 << bits), dtype=np.int64)
+        found, texts, flags = np.zeros(1 << bits, dtype=np.int64), 0, wanted.value
         for batch in S.slices(batches, "text", 1_000_000):
             h, offsets = S.grams(S.utf8(batch.column("text")), bits)
-            kind = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(kind), dtype=np.int64), np.diff(offsets))
+            doc = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(offsets))
+            if flags is not None:
+                keep = flags[h]
+                h, doc = h[keep], doc[keep]
             pairs = np.unique(doc << bits | h)
-            for k in (0, 1):
-                own = pairs[kind[pairs >> bits] == k] & ((1 << bits) - 1)
-                found[k] += np.bincount(own, minlength=1 << bits)
-        at = np.flatnonzero(found.any(axis=0))
+            found += np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits)
+            texts += batch.num_rows
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([texts], pa.int64())], names=["gram", "n"])
         for a in range(0, len(at), 100_000):
             part = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(found[1][part]), pa.array(found[0][part])], names=["gram", "p", "u"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(found[part])], names=["gram", "n"])
 
-    rows = sample.mapInArrow(count, "gram int, p long, u long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    table = rows.toArrow()  # at most 2**bits rows, whatever the input
-    p, u = np.zeros(1 << bits), np.zeros(1 << bits)
-    at = table["gram"].to_numpy()
-    p[at], u[at] = table["p"].to_numpy(), table["u"].to_numpy()
-    return p, u
+    rows = texts.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    table = rows.toArrow()  # at most 2**bits rows and one more, whatever the input
+    gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
+    out = np.zeros(1 << bits)
+    out[gram[gram >= 0]] = n[gram >= 0]
+    return out, int(n[gram < 0].sum())
 
 
 def fit_toxicity(
@@ -122,7 +126,6 @@ def fit_toxicity(
     bits: int = 20,
     max_positive: int = 4_000,
     max_unlabelled: int = 12_000,
-    max_calibration: int = 4_000,
     prior: float | None = None,
 ) -> ToxicityModel:
     """Fit on ``docs(id, text)`` and ``labels(id, toxic)``; pass only the rows that may be learnt from.
@@ -140,45 +143,45 @@ def fit_toxicity(
     model = ToxicityModel(bits, float(prior))
     if not toxic or toxic == total:
         return model
-    chosen = S.bounded_sample(marks.where("toxic > 0"), max_positive, "id").unionByName(
-        S.bounded_sample(marks, max_calibration, "id").withColumn("toxic", F.col("toxic") + 2)
-    )  # toxic: 1 a positive, 2 and 3 for calibration
-    unlabelled = S.bounded_sample(text.select("id"), max_unlabelled, "id").withColumn("toxic", F.lit(0))
-    ids = S.materialize(chosen.unionByName(unlabelled.select("id", "toxic")))
-    known = ids.where("toxic = 1").select("id", F.lit(True).alias("own"))
-    ids = S.materialize(ids.join(known, "id", "left").select("id", "toxic", F.coalesce("own", F.lit(False)).alias("own")))
-    sample = S.materialize(text.join(F.broadcast(ids), "id").select("text", "toxic", "own"))  # ids: three bounded samples
-    p, u = _frequencies(sample.where("toxic < 2"), bits)
-    n_pos, n_unl = (sample.where(F.col("toxic") == k).count() for k in (1, 0))
-    if not n_pos or not n_unl:
+    confirmed = S.bounded_sample(marks.where("toxic > 0"), max_positive, "id").select("id", F.lit(1).alias("own"))
+    unlabelled = S.bounded_sample(text.select("id").distinct(), max_unlabelled, "id").select("id", F.lit(1).alias("drawn"))
+    ids = S.materialize(confirmed.join(unlabelled, "id", "full_outer"))
+    sample = S.materialize(text.join(F.broadcast(ids), "id").groupBy("id", "own", "drawn").agg(F.min("text").alias("text")))  # ids: two bounded samples
+    p, n_pos = _frequencies(sample.where("own = 1"), bits)
+    n_drawn = sample.where("drawn = 1").count()
+    if not n_pos or not n_drawn:
         return model
+    u, n_unl = _frequencies(text, bits, p >= 2)  # the evidence of a gram of one confirmed text is nothing
 
     def share(p: np.ndarray, u: np.ndarray, n_pos: int) -> np.ndarray:
         lower = np.maximum(p - np.sqrt(p), 0) / max(n_pos, 1)
-        return np.clip(prior * lower / ((u + 1) / n_unl), 0, 1).astype(np.float32)
+        return np.where(p >= 2, np.clip(prior * lower / ((u + 1) / n_unl), 0, 1), 0).astype(np.float32)
 
     model.evidence = share(p, u, n_pos)
     model.evidence_of_others = share(np.maximum(p - 1, 0), np.maximum(u - 1, 0), n_pos - 1)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, "text"):
-            x = model.features(S.utf8(batch.column("text")), batch.column("own").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(x))], names=["toxic", "x"])
-
-    found = sample.mapInArrow(describe, "toxic int, x array<double>").toArrow()  # a few numbers a sampled row
-    kind, x = found["toxic"].to_numpy(), np.array(found["x"].to_pylist())
-    order = np.lexsort((*x.T, kind))  # the fit does not depend on the order in which tasks end
-    kind, x = kind[order], x[order]
+            x = model.features(S.utf8(batch.column("text")), batch.column("own").fill_null(0).to_numpy() > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("drawn"), pa.array(list(x))], names=["own", "drawn", "x"])
+
+    found = sample.select("text", "own", "drawn").mapInArrow(describe, "own int, drawn int, x array<double>").toArrow()  # a few numbers a sampled row
+    x = np.array(found["x"].to_pylist())
+    own, drawn = (found[c].fill_null(0).to_numpy() > 0 for c in ("own", "drawn"))
+    order = np.lexsort((*x.T, drawn, own))  # the fit does not depend on the order in which tasks end
+    x, own, drawn = x[order], own[order], drawn[order]
     model.evidence_of_others = None  # of no use in scoring
     S.discard(ids)
     S.discard(sample)
-    unl = x[kind == 0]
+    unl = x[drawn]
     model.mean, model.scale = unl.mean(axis=0), unl.std(axis=0) + 1e-6
     scaled = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
-    model.weights = nnpu(scaled[kind == 1], scaled[kind == 0], prior)
-    known = kind >= 2
-    if len(set(kind[known])) == 2:
-        model.slope, model.intercept = S.platt(model.raw(x[known]), kind[known] - 2)
+    model.weights = nnpu(scaled[own], scaled[drawn], prior)
+    raw, low, high = model.raw(unl), -30.0, 30.0
+    for _ in range(60):  # the mean score rises with the intercept
+        mid = (low + high) / 2
+        low, high = (mid, high) if S.sigmoid(raw + mid).mean() < prior else (low, mid)
+    model.intercept = low
     return model
 
 

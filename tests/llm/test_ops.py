@@ -315,7 +315,7 @@ def test_toxicity(spark):
     rows = queries.op6_toxicity_nnpu(spark, "/root/testdata/sf0.01").join(l, "doc_id").where("held_out").collect()
     pos, neg = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
-    assert auc > 0.8 and np.mean([s >= 0.3 for s in neg]) < 0.05
+    assert auc > 0.9 and np.mean([s >= 0.3 for s in neg]) < 0.05 and np.mean([s >= 0.3 for s in pos]) > 0.55
     edge = docs(spark, EDGES)
     none = toxicity.fit_toxicity(edge, l.limit(0))
     assert {r.score2 for r in toxicity.score_toxicity(edge, none, score_col="score2").collect()} == {0.0}
@@ -391,6 +391,31 @@ def test_embedding_links(spark, block):
     assert embedding_dedup.near_duplicates(t.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_the_registered_parameters(spark):
+    """Planted pairs at a cosine of 0.93 to 0.97 among 3,000 vectors of two labels, against brute force."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(900, 64))
+    side -= (side * base[:900]).sum(axis=1, keepdims=True) * base[:900]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = np.repeat([0.931, 0.935, 0.94, 0.96, 0.9299, 0.97], 150)[:, None]
+    x = np.concatenate([base, c * base[:900] + np.sqrt(1 - c * c) * side])
+    label = np.r_[np.arange(3_000), np.arange(900)] % 2
+    t = spark.createDataFrame([(k, v.tolist(), int(y)) for k, (v, y) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(t).collect()}
+    want = np.zeros(len(x), dtype=int)
+    for y in (0, 1):
+        at = np.flatnonzero(label == y)
+        u = x[at] / np.linalg.norm(x[at], axis=1, keepdims=True)
+        want[at] = ((u @ u.T) >= 0.93).sum(axis=1) - 1
+    assert want.sum() >= 1_500
+    assert all(got[k].n_links <= want[k] for k in range(len(x)))
+    assert sum(r.n_links for r in got.values()) >= 0.97 * want.sum()
+    linked = [(k, 3_000 + k) for k in range(900) if got[k].n_links]
+    assert all(got[b].component_id == a and not got[b].kept for a, b in linked)
+
+
 # --- token counts, pieces, chat
 
 
@@ -523,12 +548,16 @@ def test_pieces_query(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|assistant|>"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, "x"), (3, 300, "ann", "late"), (None, 1, "ann", "n")]
-    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|assistant|>"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, "x"), (3, 300, "unknown", "late"), (None, 1, "ann", "n"), (4, 1, "<|user|x>y>", "a"), (4, 2, "b&gt;", "c")]
+    t = spark.createDataFrame([(*r, "z", "q") for r in rows], "conv_id long, turn long, role string, text string, place string, lines string")
     got = {(r.conv_id, r.perspective, r.part): r for r in chat.render_perspectives(t).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, "unknown", 0), (3, "ann", 0), (3, "unknown", 1), (3, "ann", 1), (None, "ann", 0)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, None, 0), (3, "unknown", 0), (None, "ann", 0), (4, "<|user|x>y>", 0), (4, "b&gt;", 0)}
     a = got[1, "ann", 0]
     assert a.text == "<|system|>rules<|end|>\n<|assistant|>hi < |assistant|><|end|>\n<|user|bob>yo<|end|>\n<|assistant|><|end|>\n"
     assert [a.text[m.first : m.last] for m in a.mask] == ["hi < |assistant|><|end|>", "<|end|>"]
-    assert got[3, "ann", 0].mask == [] and got[3, "ann", 0].n_own == 0
+    assert got[3, "unknown", 0].text == "<|user|&null;>x<|end|>\n<|assistant|>late<|end|>\n"
+    assert got[4, "b&gt;", 0].text.startswith("<|user|< |user|x&gt;y&gt;>a<|end|>") and got[4, "<|user|x>y>", 0].text.endswith("<|user|b&amp;gt;>c<|end|>\n")
     assert chat.render_perspectives(t.limit(0)).count() == 0
+    many = spark.createDataFrame([(1, 5, "ann" if k % 2 else "bob", "same") for k in range(600)], "conv_id long, turn long, role string, text string")
+    parts = chat.render_perspectives(many, part_turns=100).collect()
+    assert sorted((r.part, r.n_turns) for r in parts) == [(k, 100) for k in range(6) for _ in range(2)] and sum(r.n_own for r in parts) == 600
