@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from overlapkit.functions import micros
+from overlapkit.sources import scratch_dir
 
 # How long an outcome is shown, in ms, and the margin after it.
 SHOW_MS = {"Inserted": 1800, "ClipboardOnly": 3000, "NothingToInject": 800}
@@ -170,5 +171,25 @@ def stop_to_result_latency(commands: DataFrame, results: DataFrame, key: str, ts
 
 
 def latency_percentiles(latencies: DataFrame) -> DataFrame:
-    p = F.percentile("latency_s", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return latencies.agg(F.count("*").alias("n"), p.alias("p")).select("n", *[F.round(F.col("p")[k], 6).alias(f"p{q}") for k, q in enumerate((50, 90, 99))])
+    """(n, p50, p90, p99), exact, between ranks by straight lines; one row, null without latencies.
+
+    Values are counted, dealt by ranges, and ranked by sums within and before their range, so that no
+    task holds them all.
+    """
+    spark, at = latencies.sparkSession, scratch_dir(latencies.sparkSession)
+    counts = latencies.where("latency_s is not null").groupBy("latency_s").agg(F.count("*").alias("n"))
+    counts.repartitionByRange("latency_s").withColumn("_part", F.spark_partition_id()).write.parquet(at)  # the ranges stay as they are
+    ranged = spark.read.schema("latency_s double, n long, _part int").parquet(at)
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.groupBy("_part").agg(F.sum("n").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("_part").orderBy("latency_s")
+    last = F.col("_start") + F.sum("n").over(own) - 1
+    total = ranged.agg(F.sum("n").alias("_all"))
+    r = ranged.join(starts, "_part").withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("n") + 1).crossJoin(F.broadcast(total))  # one row
+    out = [F.coalesce(F.max("_all"), F.lit(0)).alias("n")]
+    for q in (50, 90, 99):
+        place = F.col("_all").cast("double") * (q / 100) - q / 100
+        value = lambda rank: F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col("latency_s")))
+        low, part = value(F.floor(place)), F.max(place - F.floor(place))
+        out.append(F.round(low + (value(F.ceil(place)) - low) * part, 6).alias(f"p{q}"))
+    return r.agg(*out)

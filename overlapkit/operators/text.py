@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from overlapkit.functions import collapse_newlines, normalize_spaces, trim_unicode
 
-# Filler words by language, in the order in which they are removed.
+# Filler words by language, in the order in which they are removed. The last one begins with
+# a space, so the character before that space decides whether it stands alone.
 FILLERS = {
     "en": ["uhm", "uh", "um", "erm", "er", "like", "you know", "so like"],
     "de": ["ähm", "äh", "hm", "na ja", "also", "wie soll ich sagen"],
     "fr": ["euh", "ben", "alors", "donc", "en fait", "vous savez"],
-    "vi": ["ừm", "ờ", "uhm", "thì", "kiểu như"],
+    "vi": ["ừm", "ờ", "uhm", "thì", " kiểu như"],
 }
 # Fillers that are words of their own as well.
 REAL_WORDS = {"like", "so like", "also", "alors", "donc", "thì"}
 # Primary language subtags that have a code (their own), and those that the second kind of model takes.
-LANGUAGES = "bg cs da de el en es et fi fr hr hu it ja ko lt lv mt nl pl pt ro ru sk sl sv uk vi zh".split()
-MODEL_LANGUAGES = "bg cs da de el en es et fi fr hr hu it lt lv mt nl pl pt ro ru sk sl sv uk".split()
+LANGUAGES = [
+    "bg", "cs", "da", "de", "el", "en", "es", "et", "fi", "fr", "hr", "hu", "it", "ja", "ko", "lt", "lv", "mt", "nl", "pl", "pt", "ro", "ru", "sk", "sl", "sv", "uk", "vi", "zh",
+]
+MODEL_LANGUAGES = [
+    "bg", "cs", "da", "de", "el", "en", "es", "et", "fi", "fr", "hr", "hu", "it", "lt", "lv", "mt", "nl", "pl", "pt", "ro", "ru", "sk", "sl", "sv", "uk",
+]
 
 
 def fillers(conservative: bool = False) -> dict[str, list[str]]:
@@ -98,7 +103,8 @@ def reachable_languages(models: DataFrame, accepted: DataFrame, codes: DataFrame
     limited = accepted.select("backend").distinct().withColumn("limited", F.lit(True))
     m = models.join(limited, "backend", "left")
     some = m.where("limited").join(accepted, "backend").join(codes, "code", "left_semi").select("model_id", "code")
-    every = m.where("limited is null").select("model_id", F.lit(1).alias("one")).join(codes.withColumn("one", F.lit(1)), "one").select("model_id", "code")
+    all_codes = codes.agg(F.collect_set("code").alias("codes"))  # one row, of as many codes as there are languages
+    every = m.where("limited is null").crossJoin(F.broadcast(all_codes)).select("model_id", F.explode("codes").alias("code"))
     return some.unionByName(every).groupBy("model_id").agg(F.sort_array(F.collect_set("code")).alias("languages"))
 
 

@@ -56,9 +56,22 @@ def s3_read_manifest(spark, sf_dir):
 
 
 def s4_scan_artifacts(spark, sf_dir):
-    """The given tables' own files, listed without reading them."""
-    f = sources.scan_artifacts(spark, sf_dir)
-    return f.where("path like '%.parquet%'").select("path", "size")
+    """The pages written out as files, a folder each, and scanned at full depth."""
+    at = sources.scratch_dir(spark)
+    read(spark, sf_dir, "pages").where("html is not null").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(at, lineSep="\n")
+    f = sources.scan_artifacts(spark, at, full=True)
+    page = F.regexp_extract("path", "page_id=([0-9]+)/part-", 1)
+    return f.where(page != "").select(page.cast("long").alias("page_id"), "size", "sha256")
+
+
+def s5_publish_verified(spark, sf_dir):
+    """Artifacts published after a check that passes; a second table, whose check fails, leaves them as they are."""
+    at, a = sources.scratch_dir(spark), artifacts(spark, sf_dir).select("model_id", "path", "size", "sha256")
+    bad = F.col("size").isNull() | (F.length("sha256") != 64)
+    first = sources.publish_verified(a, at, lambda t: t.where(bad))
+    second = sources.publish_verified(a.withColumn("sha256", F.lit("?")), at, lambda t: t.where(bad))
+    out = spark.read.schema(a.schema).parquet(at)
+    return out.withColumn("published", F.lit(f"{first}, {second}"))
 
 
 def s6_upsert_by_key(spark, sf_dir):
@@ -152,6 +165,12 @@ def g11_phase_replay(spark, sf_dir):
     return inv.phase_replay(phase_events(spark, sf_dir), "user_id", ORDER).select("user_id", "event_id", "phase", "active_model", "note")
 
 
+def g11_override_models(spark, sf_dir):
+    """Availability with the model of the last page shown as downloading: one row differs."""
+    live = artifacts(spark, sf_dir).agg(F.max_by("model_id", "page_id").alias("model_id")).withColumn("status", F.lit("Downloading"))
+    return inv.override_models(_availability(spark, sf_dir), live).select("model_id", "status")
+
+
 def g12_quarantine_names(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
     k = F.col("page_id") % 5
@@ -181,8 +200,8 @@ def g14_manifest_lock_check(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        s2_read_vocab, s3_read_manifest, s4_scan_artifacts, s6_upsert_by_key, g1_flatten_manifest, g2_build_lock, g3_reconcile, g4_in_scope, g5_verify_artifacts, g5_verify_quick,
-        g6_resolve_source, g7_availability, g8_row_actions, g9_deletion_plan, g10_progress_rollup, g11_live_ticks, g11_phase_replay, g12_quarantine_names, g13_load_settings, g14_manifest_lock_check,
+        s2_read_vocab, s3_read_manifest, s4_scan_artifacts, s5_publish_verified, s6_upsert_by_key, g1_flatten_manifest, g2_build_lock, g3_reconcile, g4_in_scope, g5_verify_artifacts, g5_verify_quick,
+        g6_resolve_source, g7_availability, g8_row_actions, g9_deletion_plan, g10_progress_rollup, g11_live_ticks, g11_phase_replay, g11_override_models, g12_quarantine_names, g13_load_settings, g14_manifest_lock_check,
     )
 }
 
@@ -222,6 +241,19 @@ ORACLE = {
  FROM (SELECT user_id, event_id, (sum(change) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS received FROM ({_P}))""",
     "g11_live_ticks": f"""SELECT user_id, event_id, live FROM (SELECT *, coalesce(last_value(CASE WHEN kind = 'start' THEN true WHEN kind IN ('done', 'failed') THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS live
  FROM ({_PH})) WHERE kind = 'progress'""",
+    "g11_override_models": f"""SELECT model_id, CASE WHEN model_id = (SELECT arg_max(model_id, page_id) FROM ({_A})) THEN 'Downloading' ELSE status END AS status FROM ({_AV})""",
+    "g11_phase_replay": f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM
+  (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'progress' END AS kind, 'm' || event_id % 2 AS own, value < 50 AS load_ok, 'e' || event_id AS message FROM events)),
+ r AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, 'NeedsModel' AS phase, NULL::VARCHAR AS active_model, NULL::VARCHAR AS note FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.k, e.event_id,
+   CASE WHEN kind = 'start' AND phase <> 'Downloading' THEN 'Downloading' WHEN phase = 'Downloading' AND own = active_model AND kind = 'done' THEN CASE WHEN load_ok THEN 'Ready' ELSE 'LoadingModel' END
+    WHEN phase = 'Downloading' AND own = active_model AND kind = 'failed' THEN 'NeedsModel' ELSE phase END,
+   CASE WHEN kind = 'start' AND phase <> 'Downloading' THEN own ELSE active_model END,
+   CASE WHEN kind = 'start' AND phase <> 'Downloading' THEN NULL WHEN phase = 'Downloading' AND own = active_model AND kind = 'failed' THEN message ELSE note END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+ SELECT user_id, event_id, phase, active_model, note FROM r WHERE k > 0""",
+    "s4_scan_artifacts": "SELECT page_id, strlen(html) + 1 AS size, sha256(html || chr(10)) AS sha256 FROM pages WHERE html IS NOT NULL",
+    "s5_publish_verified": f"SELECT model_id, path, size, sha256, 'True, False' AS published FROM ({_A})",
     "g12_quarantine_names": r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'n' || page_id WHEN 1 THEN '..' WHEN 2 THEN 'a/' || page_id WHEN 3 THEN 'b\' || page_id ELSE '' END AS name,
  CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'relative' WHEN 4 THEN 'empty' ELSE 'separator' END AS reason FROM pages""",
     "g13_load_settings": """WITH t AS (SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'malformed' WHEN event_id % 5 = 0 OR event_id % 3 = 2 THEN NULL ELSE 'version ' || event_id % 3 END AS reason FROM events)

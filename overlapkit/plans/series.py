@@ -121,6 +121,11 @@ ORACLE = {
  FROM ({_GATE}) WHERE active)) GROUP BY ALL""".replace("sum(new)::BIGINT OVER (PARTITION BY series_id ORDER BY frame_no)", "(sum(new) OVER (PARTITION BY series_id ORDER BY frame_no))::BIGINT"),
     "a10_endpoints": f"""SELECT series_id, frame_no, silence_ms FROM (SELECT *, sum(active::INT) OVER (PARTITION BY series_id ORDER BY frame_no) AS spoke, lag(silence_ms) OVER (PARTITION BY series_id ORDER BY frame_no) AS prev
  FROM ({_SIL})) WHERE spoke > 0 AND silence_ms >= {PAUSE} AND coalesce(prev, 0) < {PAUSE}""",
+    "a11_cadence_thin": f"""WITH RECURSIVE g AS (SELECT series_id, frame_no, active, epoch_us(ts) AS us, row_number() OVER (PARTITION BY series_id ORDER BY ts, event_id) AS k FROM ({_GATE})),
+ r AS (SELECT series_id, 0::BIGINT AS k, NULL::BIGINT AS frame_no, NULL::BIGINT AS us, false AS kept, NULL::BIGINT AS last, false AS spoke FROM (SELECT DISTINCT series_id FROM g)
+  UNION ALL SELECT series_id, k, frame_no, us, take, CASE WHEN take THEN us ELSE last END, speech AND NOT take FROM
+   (SELECT g.*, r.last, r.spoke OR g.active AS speech, (r.spoke OR g.active) AND (r.last IS NULL OR g.us - r.last >= 86400000000) AS take FROM r JOIN g ON g.series_id = r.series_id AND g.k = r.k + 1))
+ SELECT series_id, frame_no, us AS "at" FROM r WHERE kept""",
     "a12_zero_crossings": f"""SELECT series_id, count(*) AS n, coalesce(sum(CASE WHEN up <> prev THEN 1 ELSE 0 END), 0)::BIGINT AS crossings FROM
  (SELECT series_id, value - 50 >= 0 AS up, lag(value - 50 >= 0) OVER (PARTITION BY series_id ORDER BY idx) AS prev FROM ({S})) GROUP BY 1""",
     "a13_gap_audit": f"""SELECT series_id, prev AS after, idx - prev - 1 AS missing FROM (SELECT series_id, idx, lag(idx) OVER (PARTITION BY series_id ORDER BY idx) AS prev FROM ({S}) WHERE event_id % 17 <> 0) WHERE idx - prev > 1""",

@@ -13,16 +13,21 @@ from overlapkit.sources import read_frames, scratch_dir
 FILES = 2  # in a part, and in a micro-batch
 
 
-def _stream(spark, sf_dir):
+def _stream(spark, sf_dir, closing=None):
     """``events`` as a stream of three micro-batches: written to a folder in three parts by time.
 
-    The parts' bounds are two percentiles of the time column.
+    The parts' bounds are two percentiles of the time column. ``closing``: days after the last
+    event at which rows without user or value come as a part of their own, and once more after as many.
     """
     at, e = scratch_dir(spark), read(spark, sf_dir, "events")
     t = e.withColumn("_us", micros("ts"))
     first, second = t.agg(F.percentile_approx("_us", [0.33, 0.66])).first()[0] or (0, 0)
     for part in (F.col("_us") <= first, (F.col("_us") > first) & (F.col("_us") <= second), F.coalesce(F.col("_us") > second, F.lit(True))):
         t.where(part).drop("_us").repartition(FILES).write.mode("append").parquet(at)
+    for k in (1, 2) if closing else ():
+        end = e.agg((F.max("ts") + F.expr(f"interval {k * closing} days")).alias("ts")).crossJoin(spark.range(FILES))
+        end = end.select(*[F.col("ts").cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema])
+        end.repartition(FILES).write.mode("append").parquet(at)
     return read_frames(spark, at, e.schema, streaming=True, files=FILES).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -47,12 +52,11 @@ def st1_stream_activity(spark, sf_dir):
 
 
 def st2_stream_utterances(spark, sf_dir):
-    e = _stream(spark, sf_dir).withColumn("active", F.col("value") > 35)
+    """In append mode: a closing row moves the watermark past all utterances."""
+    e = _stream(spark, sf_dir, closing=30).withColumn("active", F.coalesce(F.col("value") > 35, F.lit(False)))
     s = st.stream_utterances(e, "user_id", "ts", gap="12 hours")
     s = s.select("user_id", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
-    out = st.run_available(s, "complete")
-    last = out.agg(F.max("batch").alias("_last"))
-    return out.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("batch", "_last")  # one row
+    return st.run_available(s, "append").drop("batch")
 
 
 def st3_stream_transcript(spark, sf_dir):

@@ -1,6 +1,10 @@
-"""Streaming twins of the batch operators: event time only, state bounded by watermarks or by key.
+"""Streaming twins of the batch operators: decisions by event time only.
 
-State that Spark's own aggregations can't hold is kept by ``transformWithStateInPandas`` in RocksDB.
+State that Spark's own aggregations can't hold is kept by ``transformWithStateInPandas`` in RocksDB: a
+few values a key (the transcript's tail is bounded by its window), which stay as long as the query, for
+a late row may refer to any key. (A time to live needs processing-time mode, which Spark 4.1's planner
+fails on here.) Windowed aggregations drop theirs by the watermark. ``stream_status`` keeps a row a key
+and attribute: its answer is that table.
 """
 
 from __future__ import annotations
@@ -55,8 +59,13 @@ def stream_activity(df: DataFrame, key: str, ts: str, value: str, size: str, sli
 
 
 def stream_utterances(df: DataFrame, key: str, ts: str, active: str = "active", gap: str = "800 milliseconds", delay: str = "1 day") -> DataFrame:
-    """(key, session_window, n) of active rows; a pause of ``gap`` closes an utterance."""
-    return df.where(active).withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("n"))
+    """(key, session_window, n) of active rows; a pause of ``gap`` closes an utterance.
+
+    Every row moves the watermark, so in append mode silence closes utterances as well.
+    """
+    # a predicate that reads ``ts`` stays above the watermark, which then sees rows of silence too
+    on = F.when(F.col(ts).isNotNull(), F.col(active))
+    return df.withWatermark(ts, delay).where(on).groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("n"))
 
 
 class _PerKey(StatefulProcessor):
@@ -160,47 +169,62 @@ def stream_status(events: DataFrame, key: str = "user_id") -> DataFrame:
 class _Transcript(StatefulProcessor):
     """Incremental transcript of a key: see ``stream_transcript``."""
 
-    def __init__(self, window: int, overlap: int, interval_us: int):
-        self.window, self.overlap, self.interval = window, overlap, interval_us
+    def __init__(self, window: int, overlap: int, interval_us: int, pause_us: int):
+        self.window, self.overlap, self.interval, self.pause = window, overlap, interval_us, pause_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "open boolean, committed long, last_us long, spoke boolean")
+        # shown: tokens at the tail's start that a pause has promoted; flushed: no speech since the last promotion
+        self.state = handle.getValueState("state", "open boolean, committed long, shown long, ran_us long, spoke_us long, spoke boolean, flushed boolean")
         self.tail = handle.getListState("tail", "token string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        is_open, committed, last, spoke = tuple(self.state.get()) if self.state.exists() else (False, 0, None, False)
+        fresh = (False, 0, 0, None, None, False, True)
+        is_open, committed, shown, ran, spoke_at, spoke, flushed = tuple(self.state.get()) if self.state.exists() else fresh
         tail = [t[0] for t in self.tail.get()] if self.tail.exists() else []
         out = []
 
-        def emit(row, kind: str, confirmed: list[str], unconfirmed: list[str]) -> None:
-            out.append((row.user_id, row.event_id, kind, committed, " ".join(confirmed), " ".join(unconfirmed)))
+        def emit(row, kind: str, confirmed: list[str]) -> None:
+            out.append((row.user_id, row.event_id, kind, committed, " ".join(confirmed), " ".join(tail[shown:])))
 
         for r in batch.itertuples(index=False):
+            now = r.ts.value // 1000
             if r.event_type == "SessionStarted":
-                is_open, committed, last, spoke, tail = True, 0, None, False, []
-            elif not is_open:
+                is_open, committed, shown, ran, spoke_at, spoke, flushed = (True, *fresh[1:])
+                tail = []
+                continue
+            if not is_open:
                 continue
-            elif r.event_type == "Error":
-                emit(r, "error", [], tail)
+            if r.event_type == "Error":
+                emit(r, "error", [])
                 is_open = bool(r.recoverable)
-            elif r.event_type == "SessionCompleted":
-                committed += len(tail)
-                emit(r, "final", tail, [])
-                is_open, tail = False, []
-            else:
-                if r.token:
-                    tail, spoke = [*tail, *r.token.split(" ")], True
-                while len(tail) >= self.window:  # a long block may fill several windows
-                    step = self.window - self.overlap
-                    committed += step
-                    emit(r, "commit", tail[:step], tail[step:])
-                    tail = tail[step:]
-                now = r.ts.value // 1000
-                if spoke and (last is None or now - last >= self.interval):
-                    emit(r, "partial", [], tail)
-                    last, spoke = now, False
-        self.state.update((is_open, committed, last, spoke))
+                continue
+            if r.event_type == "SessionCompleted":
+                new, is_open = tail[shown:], False
+                committed, shown = committed + len(new), len(tail)
+                emit(r, "final", new)
+                tail, shown = [], 0
+                continue
+            if r.token:
+                tail, spoke_at, spoke, flushed = [*tail, *r.token.split(" ")], now, True, False
+            if not flushed and now - spoke_at >= self.pause:  # shown once more, then promoted, once a pause
+                emit(r, "partial", [])
+                new = tail[shown:]
+                committed, shown = committed + len(new), len(tail)
+                emit(r, "promote", new)
+                ran, spoke, flushed = now, False, True
+            in_this_block = False
+            while len(tail) >= self.window:  # a long block may fill several windows
+                step = self.window - self.overlap
+                new = tail[min(shown, step) : step]
+                committed += len(new)
+                tail, shown = tail[step:], max(0, shown - step)
+                emit(r, "commit", new)
+                ran, spoke, in_this_block = now, False, True
+            if not in_this_block and spoke and (ran is None or now - ran >= self.interval):
+                emit(r, "partial", [])
+                ran, spoke = now, False
+        self.state.update((is_open, committed, shown, ran, spoke_at, spoke, flushed))
         self.tail.clear()
         if tail:
             self.tail.put([(t,) for t in tail])
@@ -211,14 +235,21 @@ class _Transcript(StatefulProcessor):
         pass
 
 
-def stream_transcript(events: DataFrame, window: int = 4, overlap: int = 1, interval_us: int = 86_400_000_000) -> DataFrame:
+def stream_transcript(
+    events: DataFrame, window: int = 4, overlap: int = 1, interval_us: int = 86_400_000_000, pause_us: int = 43_200_000_000
+) -> DataFrame:
     """(user_id, event_id, kind, committed, confirmed, unconfirmed) of an event stream with ``token``.
 
-    A start opens a transcript and forgets what was before; tokens gather in a tail, which is the
-    only text in state. Each full window commits all but its overlap, as often as the tail holds one;
-    a partial shows the tail at most once per ``interval_us`` of event time and only after new speech;
-    completion commits the tail as final; an error gives a row, and closes unless recoverable.
+    A start opens a transcript and forgets what was before; tokens gather in a tail, the open window,
+    which is the only text in state. A block without speech ``pause_us`` or more after the last speech
+    shows the tail once more and promotes it: confirmed, while the window stays open. Each full window
+    commits all but its overlap, as often as the tail holds one. A partial shows what is not confirmed,
+    at most once per ``interval_us``, only after new speech, and not in a block that committed; commits
+    and promotions count as partials for the interval. Completion confirms the rest as final; an error
+    gives a row, and closes unless recoverable. ``confirmed`` is what a row adds: its rows put together
+    are the transcript. Every token comes once, so windows need no splicing here (``seams`` does that
+    for windows that were scored apart).
     """
     g = events.select("user_id", "ts", "event_id", "event_type", "recoverable", "token").groupBy("user_id")
     schema = "user_id long, event_id long, kind string, committed long, confirmed string, unconfirmed string"
-    return g.transformWithStateInPandas(_Transcript(window, overlap, interval_us), schema, "Append", "None")
+    return g.transformWithStateInPandas(_Transcript(window, overlap, interval_us, pause_us), schema, "Append", "None")

@@ -47,8 +47,11 @@ def core(word):
     return word[a:b].lower()
 
 
-def fold(window_list, search, tolerance):
-    """{window: (append_from, cut)} by taking windows one after another; a window is a list of (piece, initial, pos)."""
+def fold(window_list, search, tolerance, steps=None):
+    """{window: (append_from, cut)} by taking windows one after another; a window is a list of (piece, initial, pos).
+
+    ``steps`` collects how many tokens were committed before a window, stayed, and were so after it.
+    """
     committed, taken = [], {}
 
     def words(toks):
@@ -60,7 +63,7 @@ def fold(window_list, search, tolerance):
         return [(k, p, core(w)) for k, p, w in out]
 
     for number, fresh in window_list:
-        start = 0
+        start, before = 0, len(committed)
         if committed:
             boundary = committed[-1][1][2]
             lo, hi = 0, len(committed)
@@ -83,7 +86,10 @@ def fold(window_list, search, tolerance):
             else:
                 start = next((k for k, t in enumerate(fresh) if t[2] > boundary), len(fresh))
         taken[number] = start
+        kept = len(committed)
         committed += [(number, t) for t in fresh[start:]]
+        if steps is not None:
+            steps.append((before, kept, len(committed)))
     return {w: (s, s + sum(n == w for n, _ in committed)) for w, s in taken.items()}
 
 
@@ -118,14 +124,11 @@ def test_confirmed_split_follows_the_fold(spark):
     rows, keys = random_streams(9, False)
     got = {(r.series_id, r.step): r for r in seams.confirmed_split(frame(spark, rows), "series_id", 6, 3).collect()}
     for k, ws in keys.items():
-        before = 0
-        for n in range(len(ws)):  # after n + 1 windows the committed text has this many tokens
-            spans = fold(ws[: n + 1], 6, 3)
-            after, r = sum(b - a for a, b in spans.values()), got[k, n]
-            own = [p for p, _, _ in ws[n][1][spans[n][0] :]]
-            assert (r.confirmed_before, r.unconfirmed, r.confirmed_after) == (before, " ".join(own), after)
-            assert r.kept == after - len(own)
-            before = after
+        steps = []
+        spans = fold(ws, 6, 3, steps)
+        for n, (before, kept, after) in enumerate(steps):
+            r, own = got[k, n], [p for p, _, _ in ws[n][1][spans[n][0] :]]
+            assert (r.confirmed_before, r.kept, r.unconfirmed, r.confirmed_after) == (before, kept, " ".join(own), after)
 
 
 def test_seams_read_their_input_once(spark):
@@ -210,7 +213,7 @@ def test_words_and_spaces(spark):
 
 def test_clean_corpus(spark):
     cases = {("Um, hello world, uh like that", "en"): ", hello world, that", ("um  hello", "und"): "um hello", ("the number 5um is", "en"): "the number 5is",
-             ("Xin chào uhm thế giới", "vi"): "Xin chào thế giới", ("umbrella er", "en"): "umbrella", ("a\n\n\n\nb", "xx"): "a\n\nb"}
+             ("Xin chào uhm thế giới", "vi"): "Xin chào thế giới", ("là kiểu như vậy. kiểu như thế", "vi"): "là kiểu như vậy.thế", (" kiểu như thế", "vi"): "thế", ("umbrella er", "en"): "umbrella", ("a\n\n\n\nb", "xx"): "a\n\nb"}
     d = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "i long, text string, lang string")
     assert [r.text for r in text.clean_corpus(d, "text", "lang").orderBy("i").collect()] == list(cases.values())
     assert "like" not in text.fillers(conservative=True)["en"]
@@ -264,6 +267,40 @@ def test_platform_floor(spark):
     assert list(row) == [True, True, False, False, False, False, False]
 
 
+def transcript(spark, tmp_path, rows, **options):
+    """Rows of the streamed transcript; a micro-batch a list of (seconds, type, token)."""
+    from overlapkit import streaming as st
+
+    schema = "user_id long, ts timestamp, event_id long, event_type string, recoverable boolean, token string"
+    at, n = str(tmp_path / "events"), 0
+    for batch in rows:
+        made = []
+        for t, kind, token in batch:
+            made.append((1, t, n, kind, True, token))
+            n += 1
+        d = spark.createDataFrame(made, schema.replace("timestamp", "long"))
+        d.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(at)
+    stream = sources.read_frames(spark, at, d.withColumn("ts", F.timestamp_seconds("ts")).schema, streaming=True, files=1)
+    out = st.run_available(st.stream_transcript(stream, **options), "append").collect()
+    return [(r.event_id, r.kind, r.committed, r.confirmed, r.unconfirmed) for r in sorted(out, key=lambda r: (r.event_id, r.batch))]
+
+
+def test_stream_transcript(spark, tmp_path):
+    say, hush = "PartialTranscript", "Activity"
+    rows = [
+        [(0, "SessionStarted", None), (1, say, "a"), (2, say, "b"), (3, hush, None)],  # a partial at once, then none within the interval
+        [(20, hush, None), (30, hush, None)],  # the pause shows and promotes once
+        [(31, say, "c"), (32, say, "d e f g h")],  # one block fills two windows, and makes no partial of its own
+        [(60, say, "i"), (61, "SessionCompleted", None), (62, say, "late")],
+    ]
+    got = transcript(spark, tmp_path, rows, window=4, overlap=1, interval_us=10_000_000, pause_us=15_000_000)
+    assert got == [
+        (1, "partial", 0, "", "a"), (4, "partial", 0, "", "a b"), (4, "promote", 2, "a b", ""), (6, "partial", 2, "", "c"),
+        (7, "commit", 3, "c", "d e f g h"), (7, "commit", 6, "d e f", "g h"), (8, "partial", 6, "", "g h i"), (9, "final", 9, "g h i", ""),
+    ]
+    assert " ".join(r[3] for r in got if r[3]) == "a b c d e f g h i"
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "vocab.json").write_text('{"0": "▁a", "2": "<0x0A>", "x": "no"}')
     got = {(r.token_id, r.piece, r.has_byte_fallback) for r in sources.read_vocab(spark, str(tmp_path / "vocab.json"), 5).collect()}
