@@ -43,6 +43,38 @@ def components(ids, linked):
     return {i: find(i) for i in ids}
 
 
+# --- what the operators share
+
+
+def test_ordered_sums(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(g) if g else None, int(o), int(v) if v else None, k) for k, (g, o, v) in enumerate(rng.integers(0, 5, (400, 3)))]
+    t = spark.createDataFrame(rows, "g string, o long, v long, k long")
+    order = [F.col("o"), F.col("k")]
+    for group in ((), ("g",)):
+        want, total = {}, defaultdict(int)
+        for g, o, v, k in sorted(rows, key=lambda r: (r[1], r[3])):
+            own = g if group else None
+            want[k] = total[own]
+            total[own] += v or 0
+        got = S.ordered_sums(t, order, {"before": "v"}, group)
+        assert {r.k: r.before for r in got.collect()} == want and got.columns == [*t.columns, "before"]
+    assert S.ordered_sums(t.limit(0), order, {"before": "v"}).count() == 0
+
+
+def test_samples_names_and_schemas(spark):
+    t = spark.range(5_000)
+    some = {r.id for r in S.bounded_sample(t, 500, "id").collect()}
+    assert 400 < len(some) < 600 and some == {r.id for r in S.bounded_sample(t.repartition(7), 500, "id").collect()}
+    assert S.bounded_sample(t, 9_000, "id").count() == 5_000
+    d = docs(spark, EDGES).withColumn("odd", F.struct(F.lit(1).alias("a b:c"), F.lit("x").alias("d,e")))
+    assert S.free_name(d, "SCORE") == "_SCORE" and S.free_name(d, "new") == "new"
+    out = simhash.keep_one(d)
+    assert out.schema["odd"].dataType == d.schema["odd"].dataType and {tuple(r.odd) for r in out.collect()} == {(1, "x")}
+    model = quality.QualityModel(10)
+    assert {r.q for r in quality.score_quality(d, model, score_col="q").collect()} == {1.0}
+
+
 # --- connected components, SimHash
 
 
@@ -301,7 +333,26 @@ def test_media_query_and_edges(spark):
     for r in queries.op5_media_container(spark, SF).collect():
         p = media.padded(text[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    stored = {r.doc_id: bytes(r.media) for r in media.pack_media(spark.read.parquet(f"{SF}/documents.parquet"), keep=["doc_id"]).collect()}
+    for r in queries.op5_media_container(spark, SF).collect():
+        data, p = stored[r.doc_id], media.padded(text[r.doc_id])
+        boxes, at = {}, 0  # the outermost boxes, read again by hand
+        while at < len(data):
+            size, kind = struct.unpack_from(">I4s", data, at)
+            boxes[kind] = (at + 8, at + size)
+            at += size
+        first, last = boxes[b"mdat"]
+        assert list(boxes) == [b"ftyp", b"moov", b"mdat"] and at == len(data) and data[first:last] == p
+        chunks = -(-len(p) // 1024)
+        at = data.index(b"stco") + 8
+        offsets = struct.unpack_from(f">{chunks}I", data, at + 4)
+        assert struct.unpack_from(">I", data, at)[0] == chunks and list(offsets) == [first + 1024 * k for k in range(chunks)]
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        assert r.feature == f"ipcm;{len(p)}/8000;{len(p) // 64};{chunks};{offsets[0]}+64;{offsets[-1]}+64"
     m = media.pack_media(docs(spark, EDGES), keep=["doc_id"])
+    assert media.pack_media(docs(spark, []), keep=["doc_id"]).count() == 0
+    with pytest.raises(ValueError):
+        media.pack_media(docs(spark, EDGES).withColumnRenamed("fp", "n_bytes"), keep=["n_bytes"])
     bad = spark.createDataFrame([(1, None), (2, b""), (3, b"\0\0\0\x08junk"), (4, b"abc")], "doc_id long, media binary")
     assert media.probe_media(m, keep=["doc_id"]).where("error is null").count() == len(EDGES)
     assert media.probe_media(bad, keep=["doc_id"]).where("error is not null").count() == 4
@@ -436,6 +487,32 @@ def test_token_counts(spark):
     assert len(fields) == 2 * d.count()
 
 
+def test_token_counts_query_against_brute_force(spark):
+    """Every line's tokens on the given table: a token goes to the line with most of its bytes, the earlier of equals."""
+    enc, _ = token_counts.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        text = r.text or ""
+        lines = [x + "\n" for x in text.split("\n")[:-1]] + [text.split("\n")[-1]]
+        lines = lines[:-1] if len(lines) > 1 and not lines[-1] else lines
+        ends = np.cumsum([len(x.encode()) for x in lines]).tolist()
+        counts, at = [0] * len(lines), 0
+        for token in enc.decode_tokens_bytes(enc.encode_ordinary(text)):
+            part = {}
+            for b in range(at, at + len(token)):
+                k = next(k for k, e in enumerate(ends) if b < e) if len(lines) > 1 else 0
+                part[k] = part.get(k, 0) + 1
+            counts[max(part, key=lambda k: (part[k], -k))] += 1
+            at += len(token)
+        want |= {(r.doc_id, k): (n, sum(counts)) for k, n in enumerate(counts)}
+    got = queries.op8_token_counts(spark, SF).collect()
+    assert {(r.doc_id, r.section_no): (r.n_tokens, r.doc_tokens) for r in got} == want and len(got) == len(want)
+    d = docs(spark, [(None, "a b\nc", "en", "a"), (6, "x\n", "en", "a"), (6, "x\n", "en", "a")])
+    found = token_counts.count_tokens(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert sorted((r.doc_id or 0, r.section_no) for r in found) == [(0, 0), (0, 1), (6, 0), (6, 0)]
+    assert token_counts.count_tokens(d.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
 def test_attribution_rules():
     lengths, bounds = np.array([3, 4, 1, 2]), np.array([0, 4, 4, 6, 10])
     assert token_counts.attribute(lengths, bounds, "first").tolist() == [2, 0, 0, 2]
