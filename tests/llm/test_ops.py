@@ -442,8 +442,10 @@ def test_embedding_links(spark, block):
     assert embedding_dedup.near_duplicates(t.limit(0)).count() == 0
 
 
-def test_embedding_recall_at_the_registered_parameters(spark):
-    """Planted pairs at a cosine of 0.93 to 0.97 among 3,000 vectors of two labels, against brute force."""
+@pytest.mark.parametrize("given", [{}, {"pivots": 512, "prefix": 8}])
+def test_embedding_recall(spark, given):
+    """Planted pairs at a cosine of 0.93 to 0.97 among 3,000 vectors of two labels, against brute force: at the
+    registered parameters, and at those of 16 times as many rows."""
     rng = np.random.default_rng(11)
     base = rng.normal(size=(3_000, 64))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
@@ -454,7 +456,7 @@ def test_embedding_recall_at_the_registered_parameters(spark):
     x = np.concatenate([base, c * base[:900] + np.sqrt(1 - c * c) * side])
     label = np.r_[np.arange(3_000), np.arange(900)] % 2
     t = spark.createDataFrame([(k, v.tolist(), int(y)) for k, (v, y) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(t).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(t, **given).collect()}
     want = np.zeros(len(x), dtype=int)
     for y in (0, 1):
         at = np.flatnonzero(label == y)
