@@ -56,5 +56,31 @@ _CHAT = """WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv
  coalesce(string_agg((past - 8 - length(said)) || '-' || (past - 1), ',' ORDER BY k) FILTER (mine), '') AS mask FROM w GROUP BY conv_id, perspective, part"""
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII string, bit by bit."""
+    bits = "list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce([4294967295] || list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT), lambda c, b: {bits}), 4294967295)"
+
+
+_NEAREST = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings),
+ g AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score FROM g q JOIN g c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+ SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+def _trie() -> str:
+    return f"""WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS size, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT conv_id, {crc32_sql("any_value(conv_id)::VARCHAR")} % 6 AS h, list({{'name': name, 'size': size}} ORDER BY turn NULLS FIRST, name) AS own FROM t GROUP BY conv_id),
+ r AS (SELECT a.conv_id, coalesce(b.own, [])[1:a.h] || a.own[a.h + 1:] AS s FROM o a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 100),
+ m AS (SELECT conv_id, d, array_to_string(list_transform(s[1:d], lambda x: x.name), ',') AS key, CASE WHEN d > 0 THEN s[d].size ELSE 0 END AS size, d = len(s) AS here FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM r)),
+ nd AS (SELECT key, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (here), '') AS ends,
+  CASE WHEN any_value(d) > 0 THEN left(key, greatest(length(key) - 65, 0)) END AS parent FROM m GROUP BY key),
+ kid AS (SELECT parent, count(*) AS n_children FROM nd GROUP BY parent),
+ nk AS (SELECT nd.*, coalesce(n_children, 0) AS n_children FROM nd LEFT JOIN kid ON kid.parent = nd.key),
+ sub AS (SELECT left(key, greatest(65 * e - 1, 0)) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM nk) GROUP BY ALL)
+ SELECT nk.conv_id, nk.depth, up.conv_id AS parent_conv_id, nk.n_convs, nk.n_children, n_leaves, saved_tokens, sha256(nk.ends) AS ends_sha256
+ FROM nk JOIN sub USING (key) LEFT JOIN nk up ON up.key = nk.parent"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _mix(), "op10_chat_perspectives": _CHAT}
+    return {"op4_mix_sources": _mix(), "op10_chat_perspectives": _CHAT, "op12_block_neighbours": _NEAREST, "op13_prefix_trie": _trie()}

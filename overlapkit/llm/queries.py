@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from overlapkit.llm import _shared as S
 from overlapkit.sources import scratch_dir
-from overlapkit.llm import chat, embedding_dedup, media, mixing, quality, simhash, token_counts, token_files, toxicity, unigram
+from overlapkit.llm import chat, embedding_dedup, media, mixing, nearest, prefix_trie, quality, simhash, token_counts, token_files, toxicity, unigram
 
 QUALITY_THRESHOLD = 0.5
 TOXIC_THRESHOLD = 0.3
@@ -89,9 +89,22 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", spans)
 
 
+def op12_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose id is divisible by 100, among all vectors."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    own = prefix_trie.turn_sequences(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_nodes(prefix_trie.graft_heads(own))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_cotraining, op2_simhash_golay, op3_token_files, op4_mix_sources, op5_media_container,
         op6_toxicity_nnpu, op7_pivot_permutation, op8_token_counts, op9_unigram_pieces, op10_chat_perspectives,
+        op12_block_neighbours, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
