@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from overlapkit.llm import _shared as S
 from overlapkit.sources import scratch_dir
-from overlapkit.llm import chat, embedding_dedup, media, mixing, nearest, prefix_trie, quality, simhash, token_counts, token_files, toxicity, unigram
+from overlapkit.llm import chat, embedding_dedup, media, mixing, nearest, periodic_runs, prefix_trie, quality, simhash, token_counts, token_files, toxicity, unigram
 
 QUALITY_THRESHOLD = 0.5
 TOXIC_THRESHOLD = 0.3
@@ -89,6 +89,21 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", spans)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, one in ten of them with a tail made periodic, and digests of what is found."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = docs.withColumn("text", periodic_runs.repeat_tails(F.col("text"), F.col("doc_id")))
+    out = periodic_runs.periodic_runs(made, keep=["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("top.n")
+    return out.select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"),
+        F.expr("(-top.n * 1000) div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def op12_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of every vector whose id is divisible by 100, among all vectors."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -105,6 +120,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_cotraining, op2_simhash_golay, op3_token_files, op4_mix_sources, op5_media_container,
         op6_toxicity_nnpu, op7_pivot_permutation, op8_token_counts, op9_unigram_pieces, op10_chat_perspectives,
-        op12_block_neighbours, op13_prefix_trie,
+        op11_periodic_runs, op12_block_neighbours, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from overlapkit.llm import nearest, prefix_trie, queries
+from overlapkit.llm import nearest, periodic_runs, prefix_trie, queries
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<double>, score string, rank int, dim int"
@@ -129,3 +129,88 @@ def test_trie_takes_odd_turns(spark):
     got = prefix_trie.conversation_trie(t)
     assert got.count() == 3_001 and got.agg(F.max("depth"), F.sum("n_convs")).first() == (3_000, 6_001)
     assert prefix_trie.conversation_trie(t.limit(0)).count() == 0
+
+
+# --- periodic runs
+
+
+def runs_by_hand(words, least=6, exponent=4):
+    """Every stretch of every period, from left to right; a period is the smallest if no smaller one fits."""
+    found, n = [], len(words)
+    for p in range(1, n // exponent + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and words[j] == words[j + p]:
+                j += 1
+            length = j - i + p
+            if j > i and length >= max(least, exponent * p):
+                part = words[i : i + length]
+                if not any(part[q:] == part[:-q] for q in range(1, p)):
+                    found.append((i, length, p))
+            i = j + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def collapsed_by_hand(words, runs):
+    gone = {k for a, n, p in runs for k in range(a + p, a + n)}
+    return " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def words_of(text):
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def test_runs_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = ["a " * 200, "ab " * 5, "ab " * 6, "a b " * 3, "a b " * 4 + "a", "x " + "a b c " * 5 + "a b d", "", None, " \t\r\n\x0b\x0c ", "eins"]
+    for _ in range(300):
+        size = int(rng.integers(1, 4))
+        words = [chr(97 + int(k)) for k in rng.integers(0, size, int(rng.integers(1, 60)))]
+        for _ in range(int(rng.integers(0, 4))):
+            a, p, times = int(rng.integers(0, len(words))), int(rng.integers(1, 9)), int(rng.integers(3, 9))
+            words[a : a + p] = words[a : a + p] * times
+        texts.append(" ".join(words))
+    t = spark.createDataFrame([(k, x, "r", "c", 1) for k, x in enumerate(texts)], "doc_id long, text string, Runs2 string, start string, owner int")
+    for least, exponent in ((6, 4), (4, 3), (9, 3), (12, 5)):
+        for r in periodic_runs.periodic_runs(t, words=least, exponent=exponent).collect():
+            words = words_of(texts[r.doc_id])
+            want = runs_by_hand(words, least, exponent)
+            assert [tuple(x) for x in r.runs] == want, (texts[r.doc_id], least, exponent)
+            assert r.collapsed == collapsed_by_hand(words, want)
+
+
+def test_runs_of_the_table(spark):
+    got = {r.doc_id: r for r in queries.queries()["op11_periodic_runs"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    planted = 0
+    for d in docs:
+        words, h = words_of(d.text), zlib.crc32(str(d.doc_id).encode())
+        g, n = h // 10, len(words)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        runs = runs_by_hand(words) if n < 3_000 or h % 10 == 0 else None
+        r = got[d.doc_id]
+        if runs is None:
+            continue
+        planted += bool(runs)
+        top = min(runs, key=lambda x: (-x[1], x[0], x[2]), default=(None, None, None))
+        assert (r.n_runs, r.start, r.length, r.period) == (len(runs), *top), d.doc_id
+        assert r.exponent_milli == (1000 * top[1] // top[2] if runs else None)
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{a},{m},{p}\n" for a, m, p in runs).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(collapsed_by_hand(words, runs).encode()).hexdigest()
+    assert planted > 5
+
+
+def test_runs_of_very_long_texts(spark):
+    long = [("a " * 300_000, [(0, 300_000, 1)]), ("a b " * 150_000, [(0, 300_000, 2)]), (" ".join(map(str, range(50_000))) + " " + "k " * 9, [(50_000, 9, 1)])]
+    long.append((" ".join(map(str, range(20_000))) + " " + (" ".join(f"w{k}" for k in range(7_000)) + " ") * 4, [(20_000, 28_000, 7_000)]))
+    t = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(long)], "doc_id long, text string")
+    for r in periodic_runs.periodic_runs(t).collect():
+        assert [tuple(x) for x in r.runs] == long[r.doc_id][1]
+    assert periodic_runs.periodic_runs(t.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        periodic_runs.periodic_runs(t.withColumnRenamed("doc_id", "Runs"))
