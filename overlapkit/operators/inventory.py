@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from overlapkit.operators.scan import RANGE_ROWS, Scan, State
+
 PLAIN_NAME = r"^(?!\.{1,2}$)[^/\\\x00]+\z"
 
 
@@ -124,28 +126,25 @@ def deletion_plan(avail: DataFrame, selected: Column, in_flight: Column) -> Data
     return avail.select("model_id", refusal.isNull().alias("delete"), refusal.alias("refusal"))
 
 
-def progress_rollup(deltas: DataFrame, key: str, file: str, order: list[str], value: str, total: str) -> DataFrame:
+def progress_rollup(deltas: DataFrame, key: str, file: str, order: list[str], value: str, total: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``deltas`` with ``received`` (sum over files of the latest value so far), ``fraction`` and ``percent``.
 
     A file's value counts by its change from the file's last one, so the sum runs on without being
-    made anew. Rows with a null file are totals and are left out.
+    made anew. Rows with a null file are totals and are left out. A key above ``range_rows`` rows is
+    scanned by ranges (``scan``).
     """
-    t = deltas.where(F.col(file).isNotNull())
-    change = F.col(value) - F.lag(value, 1, 0).over(Window.partitionBy(key, file).orderBy(*order))
-    t = t.withColumn("_change", change)
-    run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("received", F.sum("_change").over(run)).drop("_change")
+    s = Scan(deltas.where(F.col(file).isNotNull()), [key], order, range_rows).with_states(_was=State("lag", F.col(value), by=(file,)), _later=State("sum", F.lit(1), by=(file,)))
+    change = F.col(value) - F.when(F.col("_later") == 1, F.lit(0)).otherwise(F.col("_was"))
+    t = s.with_states(received=State("sum", change)).rows().drop("_was", "_later")
     fraction = F.when(F.col(total) > 0, F.col("received") / F.col(total))
     return t.withColumn("fraction", fraction).withColumn("percent", F.floor(F.least(F.greatest(F.col("fraction"), F.lit(0.0)), F.lit(1.0)) * 100 + 0.5).cast("long"))
 
 
-def live_ticks(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+def live_ticks(events: DataFrame, key: str, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Progress rows with ``live``: only while downloading. A tick after an end never revives it."""
     kind = F.col("kind")
     flag = F.when(kind == "start", True).when(kind.isin("done", "failed"), False)
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = events.withColumn("live", F.coalesce(F.last(flag, ignorenulls=True).over(w), F.lit(False)))
-    return t.where("kind = 'progress'")
+    return Scan(events, [key], order, range_rows).with_states(live=State("last", flag, default=F.lit(False))).where("kind = 'progress'").rows()
 
 
 def phase_replay(events: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from overlapkit.functions import fold_rows, micros
+from overlapkit.operators.scan import RANGE_ROWS, Scan, State
 
 
 def _running(key: str, *order: str):
@@ -49,46 +50,54 @@ def frame_chunks(df: DataFrame, key: str, order: list[str], value: str, size: in
     return t.groupBy(key, "frame_no").agg(values.alias("values")).where(F.size("values") == size)
 
 
-def hysteresis_gate(df: DataFrame, key: str, order: list[str], p: str, enter: float = 0.35, leave: float = 0.20) -> DataFrame:
-    """``active``: on above ``enter``, off below ``leave``, else as before; off at first."""
+def hysteresis_gate(df: DataFrame, key: str, order: list[str], p: str, enter: float = 0.35, leave: float = 0.20, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``active``: on above ``enter``, off below ``leave``, else as before; off at first.
+
+    A key above ``range_rows`` rows is scanned by ranges, here and in the operators below (``scan``).
+    """
+    return _gated(Scan(df, [key], order, range_rows), p, enter, leave).rows()
+
+
+def _gated(s: Scan, p: str, enter: float, leave: float) -> Scan:
     if enter < leave:
         raise ValueError("enter is not below leave")
     mark = F.when(F.col(p) > enter, True).when(F.col(p) < leave, False)
-    return df.withColumn("active", F.coalesce(F.last(mark, ignorenulls=True).over(_running(key, *order)), F.lit(False)))
+    return s.with_states(active=State("last", mark, default=F.lit(False)))
+
+
+def _silent(s: Scan, frame_ms: int) -> Scan:
+    """With silence_ms: frames since the last active one, or since the start."""
+    s = s.with_states(_n=State("sum", F.lit(1)))
+    s = s.with_states(_on=State("max", F.when(F.col("active"), F.col("_n")), default=F.lit(0)))
+    return s.with_columns({"silence_ms": ((F.col("_n") - F.col("_on")) * frame_ms).cast("long")})
 
 
-def trailing_silence(df: DataFrame, key: str, order: list[str], frame_ms: int = 32) -> DataFrame:
+def trailing_silence(df: DataFrame, key: str, order: list[str], frame_ms: int = 32, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``silence_ms`` up to and with each frame of ``df`` (with ``active``): 0 on active frames."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    last = F.coalesce(F.max(F.when(F.col("active"), F.col("_n"))).over(_running(key, *order)), F.lit(0))
-    return df.withColumn("_n", n).withColumn("silence_ms", ((F.col("_n") - last) * frame_ms).cast("long")).drop("_n")
+    return _silent(Scan(df, [key], order, range_rows), frame_ms).rows().drop("_n", "_on")
 
 
-def utterances(df: DataFrame, key: str, order: list[str], min_silence_ms: int = 800, frame_ms: int = 32) -> DataFrame:
+def utterances(df: DataFrame, key: str, order: list[str], min_silence_ms: int = 800, frame_ms: int = 32, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(key, utterance_no, first_frame, last_frame, frames, duration_ms) of active islands.
 
     A pause shorter than ``min_silence_ms`` does not end an utterance.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    t = df.withColumn("_n", F.row_number().over(w) - 1).where("active")
-    v = Window.partitionBy(key).orderBy("_n")
-    pause = (F.col("_n") - F.lag("_n").over(v) - 1) * frame_ms
-    new = F.coalesce((pause >= min_silence_ms).cast("long"), F.lit(1))
-    t = t.withColumn("_new", new).withColumn("utterance_no", F.sum("_new").over(v) - 1)
+    s = Scan(df.select(key, *order, "active"), [key], order, range_rows).with_states(_n=State("sum", F.lit(1), before=True, default=F.lit(0)))
+    s = s.where("active").with_states(_last=State("lag", F.col("_n")))
+    new = F.coalesce(((F.col("_n") - F.col("_last") - 1) * frame_ms >= min_silence_ms).cast("long"), F.lit(1))
+    t = s.with_states(_no=State("sum", new)).rows().withColumn("utterance_no", F.col("_no") - 1)
     u = t.groupBy(key, "utterance_no").agg(F.min("_n").cast("long").alias("first_frame"), F.max("_n").cast("long").alias("last_frame"), F.count("*").alias("frames"))
     return u.withColumn("duration_ms", (F.col("last_frame") - F.col("first_frame") + 1) * frame_ms)
 
 
-def endpoints(df: DataFrame, key: str, order: list[str], min_silence_ms: int = 800) -> DataFrame:
+def endpoints(df: DataFrame, key: str, order: list[str], min_silence_ms: int = 800, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The rows of ``df`` (with active and silence_ms) that end a pause's wait: one for each pause.
 
     The first frame at which silence reaches the threshold after speech; silence before any never does.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    spoke = F.sum(F.col("active").cast("long")).over(_running(key, *order)) > 0
-    before = F.coalesce(F.lag("silence_ms").over(w), F.lit(0))
-    t = df.withColumn("_end", spoke & (F.col("silence_ms") >= min_silence_ms) & (before < min_silence_ms))
-    return t.where("_end").drop("_end")
+    s = Scan(df, [key], order, range_rows).with_states(_spoke=State("max", F.col("active")), _before=State("lag", F.col("silence_ms"), default=F.lit(0)))
+    end = F.coalesce(F.col("_spoke"), F.lit(False)) & (F.col("silence_ms") >= min_silence_ms) & (F.col("_before") < min_silence_ms)
+    return s.where(end).rows().drop("_spoke", "_before")
 
 
 def cadence_thin(df: DataFrame, key: str, order: list[str], at: str, interval: int) -> DataFrame:

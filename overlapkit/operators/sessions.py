@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from overlapkit.functions import micros
+from overlapkit.operators.scan import RANGE_ROWS, Scan, State
 from overlapkit.sources import scratch_dir
 
 # How long an outcome is shown, in ms, and the margin after it.
@@ -30,22 +31,21 @@ def momentary_toggles(df: DataFrame, modifiers: str, required: int, mask: int, r
     return df.where(exact & ~F.col(repeat)).withColumn("command", F.lit("Toggle"))
 
 
-def dispatch_commands(df: DataFrame, key: str, order: list[str], command: str = "command") -> DataFrame:
+def dispatch_commands(df: DataFrame, key: str, order: list[str], command: str = "command", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``recording`` after each command, and ``action``: SessionStarted, SessionEnded or Continue.
 
     Start records, Stop idles, Toggle flips; a command that changes nothing continues. The state is
-    that of the last Start or Stop, flipped by the parity of the toggles since.
+    that of the last Start or Stop, flipped by the parity of the toggles since. A key above
+    ``range_rows`` rows is scanned by ranges, here and below (``scan``).
     """
-    w = _so_far(key, order)
     c = F.col(command)
-    toggles = F.sum((c == "Toggle").cast("long")).over(w)
-    t = df.withColumn("_toggles", toggles).withColumn("_set", F.when(c == "Start", F.struct(F.lit(1).alias("on"), "_toggles")).when(c == "Stop", F.struct(F.lit(0).alias("on"), "_toggles")))
-    t = t.withColumn("_set", F.last("_set", ignorenulls=True).over(w))
-    on = (F.coalesce(F.col("_set.on"), F.lit(0)) + F.col("_toggles") - F.coalesce(F.col("_set._toggles"), F.lit(0))) % 2 == 1
-    t = t.withColumn("recording", on)
-    before = F.coalesce(F.lag("recording").over(Window.partitionBy(key).orderBy(*order)), F.lit(False))
-    action = F.when(F.col("recording") & ~before, "SessionStarted").when(~F.col("recording") & before, "SessionEnded").otherwise("Continue")
-    return t.withColumn("action", action).drop("_toggles", "_set")
+    s = Scan(df, [key], order, range_rows).with_states(_toggles=State("sum", (c == "Toggle").cast("long"), default=F.lit(0)))
+    on = F.when(c == "Start", 1).when(c == "Stop", 0)
+    s = s.with_states(_set=State("last", F.when(on.isNotNull(), F.struct(on.alias("on"), F.col("_toggles").alias("at")))))
+    state = (F.coalesce(F.col("_set.on"), F.lit(0)) + F.col("_toggles") - F.coalesce(F.col("_set.at"), F.lit(0))) % 2 == 1
+    s = s.with_columns({"recording": state}).with_states(_was=State("lag", F.col("recording"), default=F.lit(False)))
+    action = F.when(F.col("recording") & ~F.col("_was"), "SessionStarted").when(~F.col("recording") & F.col("_was"), "SessionEnded").otherwise("Continue")
+    return s.rows().withColumn("action", action).drop("_toggles", "_set", "_was")
 
 
 def discard_not_ready(commands: DataFrame, phases: DataFrame, key: str, ts: str) -> DataFrame:
@@ -85,12 +85,12 @@ def sessionize(events: DataFrame, key: str, order: list[str], ts: str = "ts") ->
                     F.when(done, F.col("_outcome")).alias("outcome"), F.when(done, F.col("_chars")).alias("chars"))
 
 
-def drop_stale_completions(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+def drop_stale_completions(events: DataFrame, key: str, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """``events`` with ``stale``: a completion while no session is tracked. Starts track; completions and errors end it."""
     kind = F.col("event_type")
     flag = F.when(kind == "SessionStarted", True).when(kind.isin("SessionCompleted", "Error"), False)
-    before = F.last(flag, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return events.withColumn("stale", (kind == "SessionCompleted") & ~F.coalesce(before, F.lit(False)))
+    t = Scan(events, [key], order, range_rows).with_states(_tracked=State("last", flag, before=True, default=F.lit(False))).rows()
+    return t.withColumn("stale", (kind == "SessionCompleted") & ~F.col("_tracked")).drop("_tracked")
 
 
 def classify_errors(events: DataFrame, sessions: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -130,20 +130,19 @@ def session_rollup(sessions: DataFrame, key: str) -> DataFrame:
     )
 
 
-def view_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+def view_state(events: DataFrame, key: str, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """What is shown after each event: ``recording``, ``confirmed`` and ``unconfirmed`` text since the last reset.
 
-    Starts, completions and errors reset; a partial sets both texts.
+    Starts, completions and errors reset; a partial sets both texts, but for null ones.
     """
     kind = F.col("event_type")
-    w = _so_far(key, order)
     reset = kind.isin("SessionStarted", "SessionCompleted", "Error")
-    t = events.withColumn("_group", F.sum(reset.cast("long")).over(w))
-    t = t.withColumn("recording", F.coalesce(F.last(F.when(reset, kind == "SessionStarted"), ignorenulls=True).over(w), F.lit(False)))
-    inside = Window.partitionBy(key, "_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for c in ("confirmed", "unconfirmed"):
-        t = t.withColumn(c, F.coalesce(F.last(F.when(kind == "PartialTranscript", F.col(c)), ignorenulls=True).over(inside), F.lit("")))
-    return t.drop("_group")
+    text = lambda c: F.when(reset, F.lit("")).when(kind == "PartialTranscript", F.col(c))
+    s = Scan(events.withColumnsRenamed({"confirmed": "_c", "unconfirmed": "_u"}), [key], order, range_rows).with_states(
+        recording=State("last", F.when(reset, kind == "SessionStarted"), default=F.lit(False)),
+        confirmed=State("last", text("_c"), default=F.lit("")), unconfirmed=State("last", text("_u"), default=F.lit("")),
+    )
+    return s.rows().select(*events.columns, "recording")
 
 
 def status_of(recording: Column, permissions_missing: Column, launch_blocked: Column, model: Column, percent: Column, engine: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,18 +16,18 @@ from pyspark.sql.types import StructType
 MANIFEST = "struct<default: string, models: map<string, struct<dir_name: string, revision: string, backend: string, min_os: string, assets: map<string, string>>>>"
 
 
-_roots: set[str] = set()  # scratch folders of this driver, deleted when it ends
+_roots: dict[str, object] = {}  # scratch folders of this driver, with their session's settings; deleted when it ends
 
 
 @atexit.register
 def _clear() -> None:
     jvm = SparkContext._jvm
-    for root in _roots if jvm is not None else ():
+    for root, settings in _roots.items() if jvm is not None else ():
         try:
             at = jvm.org.apache.hadoop.fs.Path(root)
-            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-        except Exception:  # the JVM may have ended first
-            return
+            at.getFileSystem(settings).delete(at, True)
+        except Exception as e:  # the JVM may have ended first; the other folders are still tried
+            print(f"scratch folder not deleted: {root} ({type(e).__name__})", file=sys.stderr)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="overlapkit-"))
         found = context.getCheckpointDir()
     root = f"{found.rstrip('/')}/overlapkit-{context.applicationId}"
-    _roots.add(root)
+    _roots[root] = spark._jsc.hadoopConfiguration()
     return root
 
 
@@ -52,6 +53,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: its lineage ends there."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_frames(spark: SparkSession, path: str, schema: StructType | None = None, streaming: bool = False, files: int | None = None) -> DataFrame:
     """Sample or frame rows from Parquet; as a stream, from a directory to which files are added (``files`` a batch)."""
     if streaming:
