@@ -4,7 +4,7 @@ Tokens are rows (key, window_no, ord, piece, initial, pos); ``ord`` counts from
 neighbouring windows are spliced at the longest run of words that both have. The work is done on
 *window rows* (key, window_no, toks: the window's tokens as an array in order), which every function
 here takes as well as token rows: each window meets the one before it by ``lag``, and the run is found
-inside the row. Only keys whose seams depend on each other are folded, window by window.
+inside the row. Only stretches of windows whose seams depend on each other are folded, window by window.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from overlapkit.functions import word_core
+from overlapkit.sources import written
 
 WORD_TYPE = "array<struct<at: int, pos: bigint, core: string>>"
 
@@ -38,18 +39,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def left_slice(toks: Column, search: int | None) -> Column:
-    """Number of tokens of the earlier window before its candidates, which have pos + search >= its last pos."""
+    """Number of tokens of the earlier window before its candidates: the longest end all of which has pos + search >= the last pos."""
     if search is None:
         return F.lit(0)
-    def halve(at: Column, _: Column) -> Column:
-        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
-        below = F.get(toks, mid)["pos"] + search < F.element_at(toks, -1)["pos"]
-        lo = F.when(at["lo"] < at["hi"], F.when(below, mid + 1).otherwise(at["lo"])).otherwise(at["lo"])
-        hi = F.when(at["lo"] < at["hi"], F.when(below, at["hi"]).otherwise(mid)).otherwise(at["hi"])
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(toks) + 1)).cast("int") + 1)
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(toks).alias("hi")), halve)["lo"]
+    least = F.element_at(toks, -1)["pos"] - search
+    return F.coalesce(_let(least, lambda at: F.array_max(F.transform(toks, lambda t, k: F.when(t["pos"] < at, k + 1)))), F.lit(0))
 
 
 def right_slice(toks: Column, boundary: Column, search: int | None) -> Column:
@@ -215,10 +209,11 @@ def splice_pairs(tokens: DataFrame, key: str, search: int | None = None, toleran
 
 
 def _folded(windows: DataFrame, key: str, search: int | None, tolerance: int | None) -> DataFrame:
-    """The exact fold of each key's windows, for seams that reach over more than one window."""
+    """The exact fold of each stretch's windows, in array functions; its first window begins at its own append_from."""
     kind = windows.schema["toks"].dataType.simpleString()
-    one = F.struct("window_no", "toks")
-    g = windows.groupBy(key).agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["window_no"] < b["window_no"], -1).otherwise(1)).alias("_ws"))
+    one = F.struct("window_no", "toks", "append_from", "cut", "n", "is_last")
+    in_order = F.array_sort(F.collect_list(one), lambda a, b: F.when(a["window_no"] < b["window_no"], -1).otherwise(1))
+    g = windows.groupBy(key, "stretch").agg(in_order.alias("_ws"))
     start = F.struct(F.array().cast(kind).alias("all"), F.array().cast("array<struct<append_from: bigint, start: bigint>>").alias("taken"))
 
     def step(state: Column, w: Column) -> Column:
@@ -234,41 +229,64 @@ def _folded(windows: DataFrame, key: str, search: int | None, tolerance: int | N
                 x.alias(n) for x, n in zip(_cut(state["all"], w["toks"], c["lo"], c["a"], c["b"], run), ("keep_len", "append_from"), strict=True)
             ]))
 
-        first = F.struct(F.lit(0).cast("bigint").alias("keep_len"), F.lit(0).cast("bigint").alias("append_from"))
-        return _let(F.when(F.size(state["all"]) > 0, _let(_candidates(state["all"], w["toks"], search), meet)).otherwise(first), add)
+        first = F.when(F.size(state["taken"]) == 0, w["append_from"]).otherwise(0).cast("bigint")
+        alone = F.struct(F.lit(0).cast("bigint").alias("keep_len"), first.alias("append_from"))
+        return _let(F.when(F.size(state["all"]) > 0, _let(_candidates(state["all"], w["toks"], search), meet)).otherwise(alone), add)
 
-    g = g.select(key, "_ws", F.inline_outer(F.array(F.aggregate("_ws", start, step))))
-    g = g.select(key, F.size("all").cast("bigint").alias("_end"), F.inline_outer(F.arrays_zip("_ws", "taken")))
-    # what a window left is cut by every later one's start
-    later = Window.partitionBy(key).orderBy(F.desc("window_no")).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.select(key, "_ws.window_no", "_ws.toks", "taken.append_from", "taken.start", "_end")
-    left = F.coalesce(F.min("start").over(later), F.col("_end")) - F.col("start")
-    cut = F.col("append_from") + F.greatest(left, F.lit(0))
-    return g.select(key, "window_no", "toks", "append_from", cut.alias("cut"), "start", F.lit(True).alias("exact"))
+    g = g.select(key, "stretch", "_ws", F.inline_outer(F.array(F.aggregate("_ws", start, step))))
+    g = g.select(key, "stretch", F.size("all").cast("bigint").alias("_end"), F.inline_outer(F.arrays_zip("_ws", "taken")))
+    # what a window left is cut by every later one's start; the last one's by the cut point after the stretch
+    w = Window.partitionBy(key, "stretch")
+    later = w.orderBy(F.desc("window_no")).rowsBetween(Window.unboundedPreceding, -1)
+    past = w.orderBy("window_no").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.select(key, "stretch", "_end", "_ws.window_no", "_ws.toks", "_ws.cut", "_ws.is_last", "taken.append_from", "taken.start").withColumn("_next", F.min("start").over(later))
+    left = F.col("append_from") + F.greatest(F.coalesce("_next", "_end") - F.col("start"), F.lit(0))
+    g = g.withColumn("cut", F.when(F.col("_next").isNull() & ~F.col("is_last"), F.col("cut")).otherwise(left))
+    shift = F.col("start") - F.coalesce(F.sum(F.greatest(F.col("cut") - F.col("append_from"), F.lit(0))).over(past), F.lit(0))
+    return g.select(key, "window_no", "toks", "append_from", "cut", shift.alias("_shift"), F.lit(True).alias("exact"))
 
 
 def window_spans(tokens: DataFrame, key: str, search: int | None = None, tolerance: int | None = None) -> DataFrame:
     """(key, window_no, toks, append_from, cut, start, exact): what each window gives to the merged sequence.
 
     A window appended its tokens from ``append_from`` on, after ``start`` tokens of earlier windows, and
-    those below ``cut`` are left at the end. Where every seam can be decided from its two windows alone (positions never fall, each
-    window leaves something, and no committed slice reaches back over its window's start) the seams
-    give the spans at once; the other keys are folded, each in its own row.
+    those below ``cut`` are left at the end.
+
+    A seam is a *cut point* where its two windows alone decide it, whatever came before: the earlier
+    one's candidates begin beyond all that it can have dropped, that is beyond the tokens within
+    ``search`` of the furthest position of the windows before it. Cut points part a key into stretches.
+    Where every window of a stretch leaves enough for the next seam, the pairs' decisions hold; the other
+    stretches are folded, each gathered in a row of its own (``exact``). Offsets are a sum over the
+    windows. A fold never looks behind its stretch: no window of it ends within ``search`` of the
+    stretch's first token. A key with a stretch of which that can't be said is one stretch.
     """
-    w = Window.partitionBy(key).orderBy("seam")
-    s = splice_pairs(tokens, key, search, tolerance)
+    s = splice_pairs(tokens, key, search, tolerance).withColumnRenamed("seam", "window_no")
     # dealt once more, so that both branches below read the seams from one exchange
     s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    s = s.withColumn("cut", F.lead("keep_len").over(w)).withColumn("next_slice", F.lead("slice_start").over(w))
-    s = s.withColumn("is_last", F.lead("seam").over(w).isNull())
-    bad = F.col("falls") | (~F.col("is_last") & ((F.col("append_from") >= F.col("n")) | (F.col("append_from") > F.col("cut")))) | (
-        F.col("left_n").isNotNull() & ~F.col("is_last") & ~F.coalesce(F.col("next_slice") > F.col("append_from"), F.lit(False))
-    )
-    s = s.withColumn("_bad", F.max(bad).over(Window.partitionBy(key))).withColumnRenamed("seam", "window_no")
-    s = s.withColumn("cut", F.coalesce("cut", "n"))
-    before = F.sum(F.col("cut") - F.col("append_from")).over(Window.partitionBy(key).orderBy("window_no").rowsBetween(Window.unboundedPreceding, -1))
-    quick = s.where("not _bad").select(key, "window_no", "toks", "append_from", "cut", F.coalesce(before, F.lit(0)).alias("start"), F.lit(False).alias("exact"))
-    return quick.unionByName(_folded(s.where("_bad").select(key, "window_no", "toks"), key, search, tolerance))
+    w = Window.partitionBy(key).orderBy("window_no")
+    past, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumns({
+        "cut": F.lead("keep_len").over(w), "next_slice": F.lead("slice_start").over(w), "is_last": F.lead("window_no").over(w).isNull(), "reach": F.max(F.array_max("toks.pos")).over(past),
+    })
+    first = F.col("left_n").isNull()
+    held = F.coalesce(F.col("next_slice") > F.col("append_from"), F.lit(False))
+    dropped = F.when(first, 0).otherwise(F.size(right_slice(F.col("toks"), F.col("reach"), search)))
+    s = s.withColumn("free", F.coalesce(F.col("next_slice") > dropped, F.lit(False)))
+    s = s.withColumn("stretch", F.sum((first | (F.lag("free").over(w) & (F.col("is_last") | held))).cast("long")).over(w))
+    # a pair's decision on the next seam needs the window to leave its candidates
+    bad = ~F.col("is_last") & ((F.col("append_from") >= F.col("n")) | (F.col("append_from") > F.col("cut")) | (~first & ~held))
+    at = F.when(first | (F.col("stretch") == 1), None).otherwise(F.get("toks", F.col("append_from").cast("int"))["pos"])
+    v = Window.partitionBy(key, "stretch").orderBy("window_no")
+    of_stretch = v.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lasts = F.min(F.when(~F.col("is_last"), F.element_at("toks.pos", -1))).over(of_stretch)
+    s = s.withColumns({"_bad": F.max(F.coalesce(bad, F.lit(True))).over(of_stretch) & (F.count("*").over(of_stretch) > 1), "_first": F.first(at).over(of_stretch), "_lasts": lasts})
+    torn = F.col("_bad") & (F.col("stretch") > 1) & ~F.coalesce(F.col("_lasts") - (search or 0) > F.col("_first"), F.lit(False))
+    s = s.withColumns({"_torn": F.max(torn).over(whole)}).withColumns({"_bad": F.col("_bad") | F.col("_torn"), "stretch": F.when(F.col("_torn"), 0).otherwise(F.col("stretch"))})
+    s = s.withColumn("append_from", F.when(F.col("_torn") & first, 0).otherwise(F.col("append_from")))
+    quick = s.where("not _bad").select(key, "window_no", "toks", "append_from", F.coalesce("cut", "n").alias("cut"), F.lit(0).cast("bigint").alias("_shift"), F.lit(False).alias("exact"))
+    t = quick.unionByName(_folded(s.where("_bad"), key, search, tolerance))
+    before = F.coalesce(F.sum(F.greatest(F.col("cut") - F.col("append_from"), F.lit(0))).over(past), F.lit(0))
+    return t.withColumn("start", before + F.col("_shift")).select(key, "window_no", "toks", "append_from", "cut", "start", "exact")
 
 
 def _left(upto: str) -> Column:
@@ -332,33 +350,61 @@ def seam_audit(tokens: DataFrame, key: str, search: int | None = None, tolerance
     )
 
 
+def _word_triples(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda k: F.array_join(F.slice(words, k, F.lit(3)), " "))
+
+
+def _char_grams(text: Column, n: int) -> Column:
+    return _let(F.split(text, ""), lambda c: F.transform(c, lambda x, i: F.array_join(F.slice(c, i + 1, F.lit(n)), "")))
+
+
+def phrase_candidates(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str, phrase_id: str, phrase_col: str) -> DataFrame:
+    """(_row, id, _t, phrase id, _p): lower-cased texts and phrases that share the phrase's rarest gram.
+
+    A phrase's words but its first and last stand between spaces, and must stand so in the text. Its
+    grams are every three such words in a row; with one or two of them, each; without any, all its
+    stretches of three characters (or the phrase, if shorter). Texts are cut into grams once, and those
+    that some phrase has are kept with their row and counted. Each phrase then meets the texts by the
+    one of its grams that the fewest have: a gram that many texts hold is a key only for phrases that
+    have no other. A phrase with a gram that no text has is nowhere. Rows of both tables are told apart
+    by number, so repeated and null ids stay rows of their own.
+    """
+    t = written(texts.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.lower(F.col(text_col)).alias("_t")).where("_t is not null"))
+    p = phrases.select(F.col(phrase_id).alias("_pid"), F.lower(F.col(phrase_col)).alias("_p")).where("length(_p) > 0")
+    p = written(p.withColumn("_no", F.monotonically_increasing_id()))
+    inner = _let(F.split("_p", " "), lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))
+    q = p.withColumn("_w", inner).withColumn("_full", F.filter("_w", lambda w: w != ""))
+    kind = F.when(F.size("_w") >= 3, 3).when(F.size("_full") > 0, 1).otherwise(0)
+    letters = F.when(F.length("_p") < 3, F.array("_p")).otherwise(F.filter(_char_grams(F.col("_p"), 3), lambda g: F.length(g) == 3))
+    grams = F.when(kind == 3, _word_triples(F.col("_w"))).when(kind == 1, F.col("_full")).otherwise(letters)
+    q = written(q.select("_no", kind.alias("_kind"), F.explode(F.array_distinct(grams)).alias("_gram")))
+    words = t.select("_row", F.split("_t", " ").alias("_w"))
+    of_kind = {3: words.select("_row", _word_triples(F.col("_w")).alias("_g")), 1: words.select("_row", F.col("_w").alias("_g")), 0: t.select("_row", F.concat(*[_char_grams(F.col("_t"), n) for n in (1, 2, 3)]).alias("_g"))}
+    asked = {r["_kind"] for r in q.select("_kind").distinct().collect()}  # three kinds at most
+    hits = None
+    for k in sorted(asked):
+        rows = of_kind[k].select("_row", F.lit(k).alias("_kind"), F.explode(F.array_distinct("_g")).alias("_gram"))
+        found = rows.join(q.where(F.col("_kind") == k).select("_gram").distinct(), "_gram", "left_semi").select("_row", "_kind", "_gram")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = q.select(F.col("_no").alias("_row"), "_kind", "_gram")
+    hits = written(hits)
+    counts = hits.groupBy("_kind", "_gram").agg(F.count("*").alias("_n"))
+    rarest = F.min_by(F.struct("_kind", "_gram"), F.struct(F.coalesce("_n", F.lit(0)), "_gram"))
+    keys = q.join(counts, ["_kind", "_gram"], "left").groupBy("_no").agg(rarest.alias("_k"), F.min(F.coalesce("_n", F.lit(0))).alias("_n")).where("_n > 0")
+    met = hits.join(keys.select("_no", "_k._kind", "_k._gram"), ["_kind", "_gram"]).select("_row", "_no")
+    return met.join(p, "_no").join(t, "_row").select("_row", id_col, "_t", F.col("_pid").alias(phrase_id), "_p")
+
+
 def phrase_audit(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str, phrase_id: str, phrase_col: str) -> DataFrame:
     """(id, phrase id, hits) where a phrase occurs: occurrences that do not overlap, in any case.
 
-    The words of a phrase but its first and last stand between spaces, and must stand so in the text.
-    Texts and phrases meet by equi-joins: on the first three such words in a row; phrases with fewer
-    on the longest one; phrases without any on their first three characters (or all, if fewer).
+    Candidates share the phrase's rarest gram (``phrase_candidates``). A row of texts and a row of
+    phrases give one row, whatever their ids; null texts and empty phrases give none.
     """
-    t = texts.select(F.col(id_col), F.lower(F.col(text_col)).alias("_t"))
-    p = phrases.select(F.col(phrase_id).alias("_pid"), F.lower(F.col(phrase_col)).alias("_p")).where("length(_p) > 0")
-    parts = F.split("_p", " ")
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    key = F.when(F.size(inner) >= 3, F.array_join(F.slice(inner, 1, 3), " ")).otherwise(F.try_element_at(longest, F.lit(1))["w"])
-    kind = F.when(F.size(inner) >= 3, 3).when(F.size(longest) > 0, 1).otherwise(0)
-    p = p.select("_pid", "_p", kind.alias("_kind"), F.coalesce(key, F.substring("_p", 1, 3)).alias("_key"))
-    words = F.split("_t", " ")
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda k: F.array_join(F.slice("_w", k, 3), " "))
-    chars = lambda n: F.transform("_c", lambda x, i: F.array_join(F.slice("_c", i + 1, n), ""))
-    of_kind = {
-        3: t.select(id_col, words.alias("_w")).select(id_col, F.explode(F.array_distinct(triples)).alias("_key")),
-        1: t.select(id_col, F.explode(F.array_distinct(words)).alias("_key")),
-        0: t.select(id_col, F.split("_t", "").alias("_c")).select(id_col, F.explode(F.array_distinct(F.concat(chars(1), chars(2), chars(3)))).alias("_key")),
-    }
-    pairs = [rows.join(p.where(F.col("_kind") == k).drop("_kind"), "_key").select(id_col, "_pid", "_p") for k, rows in of_kind.items()]
     hit = ((F.length("_t") - F.length(F.replace(F.col("_t"), F.col("_p"), F.lit("")))) / F.length("_p")).cast("long")
-    found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
-    return found.join(t, id_col).select(F.col(id_col), F.col("_pid").alias(phrase_id), hit.alias("hits")).where("hits > 0")
+    found = phrase_candidates(texts, phrases, id_col, text_col, phrase_id, phrase_col)
+    return found.select(id_col, phrase_id, hit.alias("hits")).where("hits > 0")
 
 
 def table_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 0.0) -> DataFrame:
