@@ -6,29 +6,43 @@ from pyspark.sql import functions as F
 
 from overlapkit import streaming as st
 from overlapkit.functions import micros
-from overlapkit.plans import inventory, read, sessions
+from overlapkit.plans import fixtures as fx
+from overlapkit.plans import inventory, read, seams, sessions
 from overlapkit.sources import read_frames, scratch_dir
 
 
+KEY = "series_id"
 FILES = 2  # in a part, and in a micro-batch
 
 
-def _stream(spark, sf_dir, closing=None):
-    """``events`` as a stream of three micro-batches: written to a folder in three parts by time.
+def _in_parts(spark, rows, parts, closing=None):
+    """``rows`` as a stream, a micro-batch a condition of ``parts``, written to a folder one after the other.
 
-    The parts' bounds are two percentiles of the time column. ``closing``: days after the last
-    event at which rows without user or value come as a part of their own, and once more after as many.
+    ``closing``: days after the last ``ts`` at which rows without any other value come as a part of
+    their own, and once more after as many: they move the watermark past all that waits.
     """
-    at, e = scratch_dir(spark), read(spark, sf_dir, "events")
-    t = e.withColumn("_us", micros("ts"))
-    first, second = t.agg(F.percentile_approx("_us", [0.33, 0.66])).first()[0] or (0, 0)
-    for part in (F.col("_us") <= first, (F.col("_us") > first) & (F.col("_us") <= second), F.coalesce(F.col("_us") > second, F.lit(True))):
-        t.where(part).drop("_us").repartition(FILES).write.mode("append").parquet(at)
+    at = scratch_dir(spark)
+    for part in parts:
+        rows.where(part).repartition(FILES).write.mode("append").parquet(at)
     for k in (1, 2) if closing else ():
-        end = e.agg((F.max("ts") + F.expr(f"interval {k * closing} days")).alias("ts")).crossJoin(spark.range(FILES))
-        end = end.select(*[F.col("ts").cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema])
+        end = rows.agg((F.max("ts") + F.expr(f"interval {k * closing} days")).alias("ts")).crossJoin(spark.range(FILES))
+        end = end.select(*[F.col("ts").cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
         end.repartition(FILES).write.mode("append").parquet(at)
-    return read_frames(spark, at, e.schema, streaming=True, files=FILES).withColumn("ts", F.col("ts").cast("timestamp"))
+    return read_frames(spark, at, rows.schema, streaming=True, files=FILES).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _stream(spark, sf_dir, closing=None, late=False):
+    """``events`` as a stream of three micro-batches by time; the parts' bounds are two percentiles of the time column.
+
+    ``late``: every fifth event up to half a day later comes a micro-batch after its own, out of order.
+    """
+    e = read(spark, sf_dir, "events").withColumn("_us", micros("ts"))
+    first, second = e.agg(F.percentile_approx("_us", [0.33, 0.66])).first()[0] or (0, 0)
+    us = F.col("_us")
+    if late:
+        us = us + F.when(F.coalesce(F.col("event_id") % 5 == 0, F.lit(False)), 43_200_000_000).otherwise(0)
+    parts = (us <= first, (us > first) & (us <= second), F.coalesce(us > second, F.lit(True)))
+    return _in_parts(spark, e, parts, closing).drop("_us")
 
 
 class _Source:
@@ -38,7 +52,7 @@ class _Source:
         self.read, self._spark = self, spark
 
     def parquet(self, path):
-        return _stream(self._spark, path.rsplit("/", 1)[0])
+        return _stream(self._spark, path.rsplit("/", 1)[0], closing=30, late=True)
 
 
 def _session_events(spark, sf_dir):
@@ -64,6 +78,14 @@ def st3_stream_transcript(spark, sf_dir):
     return st.run_available(st.stream_transcript(e), "append").drop("batch")
 
 
+def st3_stream_splice(spark, sf_dir):
+    """The windows of every document, scored apart, as a stream in which every third one comes late; spliced in state."""
+    w = fx.window_arrays(spark, sf_dir).select(KEY, F.timestamp_seconds((F.col("window_no") + 1) * 60).alias("ts"), "window_no", "toks")
+    late = F.col("window_no") % 3 == 1
+    rows = st.run_available(st.stream_splice(_in_parts(spark, w, (~late, late), closing=30), KEY, fx.OVERLAP, 0), "append")
+    return st.spliced_text(rows, KEY)
+
+
 def st4_stream_drop_stale(spark, sf_dir):
     return st.run_available(st.stream_drop_stale(_session_events(spark, sf_dir)), "append").drop("batch")
 
@@ -85,7 +107,7 @@ def st7_stream_status(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        st1_stream_activity, st2_stream_utterances, st3_stream_transcript, st4_stream_drop_stale,
+        st1_stream_activity, st2_stream_utterances, st3_stream_transcript, st3_stream_splice, st4_stream_drop_stale,
         st5_stream_progress, st6_stream_terminal_latch, st7_stream_status,
     )
 }
@@ -95,6 +117,7 @@ ORACLE = {
  FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, sqrt(avg(value * value)) AS rms FROM events GROUP BY ALL)""",
     "st2_stream_utterances": """WITH t AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 43200000000 THEN 0 ELSE 1 END AS new FROM events WHERE value > 35),
  u AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM t) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 43200000000 AS end_us, count(*) AS n FROM u GROUP BY user_id, g""",
+    "st3_stream_splice": seams.ORACLE["entry_merge_round_trip"],
     "st4_stream_drop_stale": sessions.ORACLE["f5_drop_stale_completions"],
     "st5_stream_progress": f"SELECT user_id, event_id, received FROM ({inventory.ORACLE['g10_progress_rollup']})",
     "st6_stream_terminal_latch": inventory.ORACLE["g11_live_ticks"],

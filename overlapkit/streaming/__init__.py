@@ -1,18 +1,21 @@
-"""Streaming twins of the batch operators: decisions by event time only.
-
-State that Spark's own aggregations can't hold is kept by ``transformWithStateInPandas`` in RocksDB: a
-few values a key (the transcript's tail is bounded by its window), which stay as long as the query, for
-a late row may refer to any key. (A time to live needs processing-time mode, which Spark 4.1's planner
-fails on here.) Windowed aggregations drop theirs by the watermark. ``stream_status`` keeps a row a key
-and attribute: its answer is that table.
+"""Streaming twins of the batch operators: decisions by event time only, in the order of event time.
+
+State that Spark's own aggregations can't hold is kept by ``transformWithStateInPandas`` in RocksDB. Rows
+may come late by up to ``delay``: they wait in a list until the watermark has passed them, then an
+event-time timer releases them in order, so a row is never applied after a newer one. (Rows that come
+later than that are dropped by Spark, and counted in its metrics.) A key that was silent for ``idle``
+is forgotten, also by a timer. Windowed aggregations drop their state by the watermark.
+``stream_status`` keeps a row a key and attribute: its answer is that table.
 """
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -68,97 +71,170 @@ def stream_utterances(df: DataFrame, key: str, ts: str, active: str = "active",
     return df.withWatermark(ts, delay).where(on).groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("n"))
 
 
-class _PerKey(StatefulProcessor):
-    """Rows of a key in order, one value of state: subclasses say how a row changes it."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key in the order of (us, event_id), each once the watermark is past it.
+
+    Subclasses open their state, say what a run of released rows gives (``fold``), and how a silent key
+    ends (``expire``). ``columns`` are those of a waiting row after us and event_id. One timer a key is
+    enough: the earliest waiting row's, or the one that ends its silence.
+    """
 
-    state_schema = ""
+    def __init__(self, schema: str, out: list[str], idle_ms: int):
+        self.schema, self.out, self.idle = schema, out, idle_ms
+        self.names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.state_schema)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.clock = handle.getValueState("clock", "timer long, last long")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
 
-    def fold(self, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+    def fold(self, key: tuple, rows: list[tuple]) -> list[tuple]:
         raise NotImplementedError
 
+    def expire(self, key: tuple) -> list[tuple]:
+        raise NotImplementedError
+
+    def _wake(self, at: int, last: int) -> None:
+        timer = self.clock.get()[0] if self.clock.exists() else None
+        if timer is None or at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+        self.clock.update((at, last))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        state = tuple(self.state.get()) if self.state.exists() else None
-        state, out = self.fold(state, batch)
-        if state is not None:
-            self.state.update(state)
-        if len(out):
-            yield out
+        timer, last = tuple(self.clock.get()) if self.clock.exists() else (None, None)
+        for part in rows:
+            part = part[self.names].astype(object).where(part[self.names].notna(), None)
+            fresh = [(int(r[0]), int(r[1]), *r[2:]) for r in part.itertuples(index=False, name=None)]
+            if not fresh:
+                continue
+            self.waiting.appendList(fresh)
+            first, newest = min(r[0] for r in fresh), max(r[0] for r in fresh)
+            last = newest if last is None else max(last, newest)
+            timer = -(-first // 1000) if timer is None else min(timer, -(-first // 1000))
+        if timer is not None:
+            self._wake(timer, last)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        timer, last = tuple(self.clock.get())
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        out = self.fold(key, due) if due else []
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+        self.clock.update((None, last))  # the timer that fired is gone
+        if later:
+            self._wake(-(-later[0][0] // 1000), last)
+        elif passed >= last + self.idle * 1000:
+            out += self.expire(key)
+            self.clock.clear()
+        else:
+            self._wake(-(-last // 1000) + self.idle, last)
+        if out:
+            yield pd.DataFrame(out, columns=self.out)
 
     def close(self) -> None:
         pass
 
 
-class _Stale(_PerKey):
-    state_schema = "tracking boolean"
+def _in_order(processor: type[_InOrder], events: DataFrame, key: str, columns: dict[str, str], out: str, delay: str, idle_days: float, *args, need: str = "event_id") -> DataFrame:
+    """``events`` (with ts and event_id) through a processor; rows without a time, a number or ``need`` take no part."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # a predicate that reads ``ts`` stays above the watermark, which all rows move
+    real = F.when(F.col("ts").isNotNull(), F.col("event_id").isNotNull() & F.col(need).isNotNull())
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).where(real)
+    rows = rows.select(key, "ts", us.alias("us"), F.col("event_id").cast("long").alias("event_id"), *[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+    waiting = ", ".join(["us long", "event_id long", *(f"{c} {t}" for c, t in columns.items())])
+    made = processor(waiting, [f.strip().split(" ")[0] for f in out.split(",")], int(idle_days * 86_400_000), *args)
+    return rows.groupBy(key).transformWithStateInPandas(made, out, "Append", "EventTime")
+
+
+class _Stale(_InOrder):
+    def open(self, handle):
+        self.state = handle.getValueState("state", "tracking boolean")
 
-    def fold(self, state, rows):
-        tracking, out = bool(state and state[0]), []
-        for r in rows.itertuples(index=False):
-            if r.event_type == "SessionCompleted":
-                out.append((r.user_id, r.event_id, not tracking))
-            tracking = True if r.event_type == "SessionStarted" else False if r.event_type in ("SessionCompleted", "Error") else tracking
-        return (tracking,), pd.DataFrame(out, columns=["user_id", "event_id", "stale"])
+    def fold(self, key, rows):
+        tracking, out = bool(self.state.exists() and self.state.get()[0]), []
+        for _, event_id, kind in rows:
+            if kind == "SessionCompleted":
+                out.append((key[0], event_id, not tracking))
+            tracking = True if kind == "SessionStarted" else False if kind in ("SessionCompleted", "Error") else tracking
+        self.state.update((tracking,))
+        return out
 
+    def expire(self, key):
+        self.state.clear()
+        return []
 
-def stream_drop_stale(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, stale) of completions: one boolean a key."""
-    g = events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
-    return g.transformWithStateInPandas(_Stale(), "user_id long, event_id long, stale boolean", "Append", "None")
 
+def stream_drop_stale(events: DataFrame, delay: str = "1 day", idle_days: float = 30) -> DataFrame:
+    """(user_id, event_id, stale) of completions; a session silent for ``idle_days`` is tracked no longer."""
+    return _in_order(_Stale, events, "user_id", {"event_type": "string"}, "user_id long, event_id long, stale boolean", delay, idle_days)
 
-class _Latch(_PerKey):
-    state_schema = "live boolean"
 
-    def fold(self, state, rows):
-        live, out = bool(state and state[0]), []
-        for r in rows.itertuples(index=False):
-            live = True if r.kind == "start" else False if r.kind in ("done", "failed") else live
-            if r.kind == "progress":
-                out.append((r.user_id, r.event_id, live))
-        return (live,), pd.DataFrame(out, columns=["user_id", "event_id", "live"])
+class _Latch(_InOrder):
+    def open(self, handle):
+        self.state = handle.getValueState("state", "live boolean")
 
+    def fold(self, key, rows):
+        live, out = bool(self.state.exists() and self.state.get()[0]), []
+        for _, event_id, kind in rows:
+            live = True if kind == "start" else False if kind in ("done", "failed") else live
+            if kind == "progress":
+                out.append((key[0], event_id, live))
+        self.state.update((live,))
+        return out
 
-def stream_terminal_latch(events: DataFrame) -> DataFrame:
+    def expire(self, key):
+        self.state.clear()
+        return []
+
+
+def stream_terminal_latch(events: DataFrame, delay: str = "1 day", idle_days: float = 30) -> DataFrame:
     """(user_id, event_id, live) of progress rows: late progress after an end is not live."""
-    g = events.select("user_id", "ts", "event_id", "kind").groupBy("user_id")
-    return g.transformWithStateInPandas(_Latch(), "user_id long, event_id long, live boolean", "Append", "None")
+    return _in_order(_Latch, events, "user_id", {"kind": "string"}, "user_id long, event_id long, live boolean", delay, idle_days)
 
 
-class _Progress(StatefulProcessor):
+class _Progress(_InOrder):
     """Latest bytes of each file in a map, and their running sum, so that no event sums anew."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle):
         self.files = handle.getMapState("files", "file string", "bytes long")
         self.total = handle.getValueState("total", "received long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+    def fold(self, key, rows):
         received = self.total.get()[0] if self.total.exists() else 0
         last: dict[str, int] = {}
         out = []
-        for r in batch.itertuples(index=False):
-            if r.file not in last:
-                last[r.file] = self.files.getValue((r.file,))[0] if self.files.containsKey((r.file,)) else 0
-            received += int(r.bytes) - last[r.file]
-            last[r.file] = int(r.bytes)
-            out.append((r.user_id, r.event_id, received))
+        for _, event_id, file, size in rows:
+            if file not in last:
+                last[file] = self.files.getValue((file,))[0] if self.files.containsKey((file,)) else 0
+            if size is not None:
+                received += int(size) - last[file]
+                last[file] = int(size)
+            out.append((key[0], event_id, received))
         for file, value in last.items():
             self.files.updateValue((file,), (value,))
         self.total.update((received,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "received"])
+        return out
 
-    def close(self) -> None:
-        pass
+    def expire(self, key):
+        self.files.clear()
+        self.total.clear()
+        return []
 
 
-def stream_progress(deltas: DataFrame) -> DataFrame:
+def stream_progress(deltas: DataFrame, delay: str = "1 day", idle_days: float = 30) -> DataFrame:
     """(user_id, event_id, received): the running total of the files' latest values."""
-    g = deltas.where("file is not null").select("user_id", "ts", "event_id", "file", "bytes").groupBy("user_id")
-    return g.transformWithStateInPandas(_Progress(), "user_id long, event_id long, received long", "Append", "None")
+    columns = {"file": "string", "bytes": "long"}
+    return _in_order(_Progress, deltas, "user_id", columns, "user_id long, event_id long, received long", delay, idle_days, need="file")
 
 
 def stream_status(events: DataFrame, key: str = "user_id") -> DataFrame:
@@ -166,52 +242,51 @@ def stream_status(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key, F.col("event_type").alias("attr")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-class _Transcript(StatefulProcessor):
+class _Transcript(_InOrder):
     """Incremental transcript of a key: see ``stream_transcript``."""
 
-    def __init__(self, window: int, overlap: int, interval_us: int, pause_us: int):
+    def __init__(self, schema: str, out: list[str], idle_ms: int, window: int, overlap: int, interval_us: int, pause_us: int):
+        super().__init__(schema, out, idle_ms)
         self.window, self.overlap, self.interval, self.pause = window, overlap, interval_us, pause_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle):
         # shown: tokens at the tail's start that a pause has promoted; flushed: no speech since the last promotion
-        self.state = handle.getValueState("state", "open boolean, committed long, shown long, ran_us long, spoke_us long, spoke boolean, flushed boolean")
+        self.state = handle.getValueState("state", "open boolean, committed long, shown long, ran_us long, spoke_us long, spoke boolean, flushed boolean, event_id long")
         self.tail = handle.getListState("tail", "token string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+    def fold(self, key, rows):
         fresh = (False, 0, 0, None, None, False, True)
-        is_open, committed, shown, ran, spoke_at, spoke, flushed = tuple(self.state.get()) if self.state.exists() else fresh
+        is_open, committed, shown, ran, spoke_at, spoke, flushed = tuple(self.state.get())[:7] if self.state.exists() else fresh
         tail = [t[0] for t in self.tail.get()] if self.tail.exists() else []
         out = []
 
-        def emit(row, kind: str, confirmed: list[str]) -> None:
-            out.append((row.user_id, row.event_id, kind, committed, " ".join(confirmed), " ".join(tail[shown:])))
+        def emit(event_id: int, kind: str, confirmed: list[str]) -> None:
+            out.append((key[0], event_id, kind, committed, " ".join(confirmed), " ".join(tail[shown:])))
 
-        for r in batch.itertuples(index=False):
-            now = r.ts.value // 1000
-            if r.event_type == "SessionStarted":
+        for now, event_id, event_type, recoverable, token in rows:
+            if event_type == "SessionStarted":
                 is_open, committed, shown, ran, spoke_at, spoke, flushed = (True, *fresh[1:])
                 tail = []
                 continue
             if not is_open:
                 continue
-            if r.event_type == "Error":
-                emit(r, "error", [])
-                is_open = bool(r.recoverable)
+            if event_type == "Error":
+                emit(event_id, "error", [])
+                is_open = bool(recoverable)
                 continue
-            if r.event_type == "SessionCompleted":
+            if event_type == "SessionCompleted":
                 new, is_open = tail[shown:], False
                 committed, shown = committed + len(new), len(tail)
-                emit(r, "final", new)
+                emit(event_id, "final", new)
                 tail, shown = [], 0
                 continue
-            if r.token:
-                tail, spoke_at, spoke, flushed = [*tail, *r.token.split(" ")], now, True, False
+            if token:
+                tail, spoke_at, spoke, flushed = [*tail, *token.split(" ")], now, True, False
             if not flushed and now - spoke_at >= self.pause:  # shown once more, then promoted, once a pause
-                emit(r, "partial", [])
+                emit(event_id, "partial", [])
                 new = tail[shown:]
                 committed, shown = committed + len(new), len(tail)
-                emit(r, "promote", new)
+                emit(event_id, "promote", new)
                 ran, spoke, flushed = now, False, True
             in_this_block = False
             while len(tail) >= self.window:  # a long block may fill several windows
@@ -219,24 +294,29 @@ class _Transcript(StatefulProcessor):
                 new = tail[min(shown, step) : step]
                 committed += len(new)
                 tail, shown = tail[step:], max(0, shown - step)
-                emit(r, "commit", new)
+                emit(event_id, "commit", new)
                 ran, spoke, in_this_block = now, False, True
             if not in_this_block and spoke and (ran is None or now - ran >= self.interval):
-                emit(r, "partial", [])
+                emit(event_id, "partial", [])
                 ran, spoke = now, False
-        self.state.update((is_open, committed, shown, ran, spoke_at, spoke, flushed))
-        self.tail.clear()
-        if tail:
-            self.tail.put([(t,) for t in tail])
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "kind", "committed", "confirmed", "unconfirmed"])
+        self.state.update((is_open, committed, shown, ran, spoke_at, spoke, flushed, rows[-1][1]))
+        self.tail.put([(t,) for t in tail]) if tail else self.tail.clear()
+        return out
 
-    def close(self) -> None:
-        pass
+    def expire(self, key):
+        out = []
+        if self.state.exists():
+            is_open, committed, shown, *_, event_id = tuple(self.state.get())
+            tail = [t[0] for t in self.tail.get()] if self.tail.exists() else []
+            if is_open:
+                out.append((key[0], event_id, "unexpected end", committed, "", " ".join(tail[shown:])))
+        self.state.clear()
+        self.tail.clear()
+        return out
 
 
 def stream_transcript(
-    events: DataFrame, window: int = 4, overlap: int = 1, interval_us: int = 86_400_000_000, pause_us: int = 43_200_000_000
+    events: DataFrame, window: int = 4, overlap: int = 1, interval_us: int = 86_400_000_000, pause_us: int = 43_200_000_000, delay: str = "1 day", idle_days: float = 30
 ) -> DataFrame:
     """(user_id, event_id, kind, committed, confirmed, unconfirmed) of an event stream with ``token``.
 
@@ -246,10 +326,108 @@ def stream_transcript(
     commits all but its overlap, as often as the tail holds one. A partial shows what is not confirmed,
     at most once per ``interval_us``, only after new speech, and not in a block that committed; commits
     and promotions count as partials for the interval. Completion confirms the rest as final; an error
-    gives a row, and closes unless recoverable. ``confirmed`` is what a row adds: its rows put together
-    are the transcript. Every token comes once, so windows need no splicing here (``seams`` does that
-    for windows that were scored apart).
+    gives a row, and closes unless recoverable. A transcript still open after ``idle_days`` of silence
+    gives a row "unexpected end" with its last event and what was not confirmed, and is forgotten.
+    ``confirmed`` is what a row adds: its rows put together are the transcript. Every token comes once,
+    so windows need no splicing here (``stream_splice`` does that for windows that were scored apart).
     """
-    g = events.select("user_id", "ts", "event_id", "event_type", "recoverable", "token").groupBy("user_id")
     schema = "user_id long, event_id long, kind string, committed long, confirmed string, unconfirmed string"
-    return g.transformWithStateInPandas(_Transcript(window, overlap, interval_us, pause_us), schema, "Append", "None")
+    columns = {"event_type": "string", "recoverable": "boolean", "token": "string"}
+    return _in_order(_Transcript, events, "user_id", columns, schema, delay, idle_days, window, overlap, interval_us, pause_us)
+
+
+Token = tuple[str, bool, int]  # piece, whether it begins a word, position
+
+
+def splice(left: list[Token], right: list[Token], search: int, tolerance: int) -> tuple[int, int]:
+    """(tokens of ``left`` that stay, tokens of ``right`` that go): one seam, as ``seams.splice_pairs`` decides it."""
+    boundary = left[-1][2]
+    lo = max((k + 1 for k, t in enumerate(left) if t[2] + search < boundary), default=0)
+    limit = max(boundary, right[0][2]) + search
+    end = next((k for k, t in enumerate(right) if t[2] > limit), len(right))
+    a, b = _words(left, lo, len(left)), _words(right, 0, end)
+    best, row = (0, 0, 0), [0] * (len(b) + 1)
+    for i, (_, p, core) in enumerate(a):
+        above, row = row, [0] * (len(b) + 1)
+        for j, (_, q, other) in enumerate(b):
+            if core and core == other and abs(p - q) <= tolerance:
+                n = row[j + 1] = above[j] + 1
+                best = max(best, (n, n - i - 1, n - j - 1))
+    if best[0] >= 2:
+        return a[-best[1]][0], b[-best[2]][0]
+    return len(left), next((k for k, t in enumerate(right) if t[2] > boundary), len(right))
+
+
+def _words(tokens: list[Token], start: int, end: int) -> list[tuple[int, int, str]]:
+    """(index, position, core) of the words of a slice; a word begins at every initial token and at the first."""
+    out: list[list] = []
+    for k in range(start, end):
+        piece, initial, pos = tokens[k]
+        if initial or not out:
+            out.append([k, pos, ""])
+        out[-1][2] += piece or ""
+    return [(k, p, _core(w)) for k, p, w in out]
+
+
+def _core(word: str) -> str:
+    kept = [k for k, c in enumerate(word) if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Mn", "Mc")]
+    return word[kept[0] : kept[-1] + 1].lower() if kept else ""
+
+
+class _Splice(_InOrder):
+    """The committed tokens that a seam can still reach, and how many lie before them."""
+
+    def __init__(self, schema: str, out: list[str], idle_ms: int, search: int, tolerance: int):
+        super().__init__(schema, out, idle_ms)
+        self.search, self.tolerance = search, tolerance
+
+    def open(self, handle):
+        self.tail = handle.getListState("tail", "piece string, initial boolean, pos long")
+        self.before = handle.getValueState("before", "n long")
+
+    def fold(self, key, rows):
+        tail = [tuple(t) for t in self.tail.get()] if self.tail.exists() else []
+        before = self.before.get()[0] if self.before.exists() else 0
+        out = []
+        for _, window_no, toks in rows:
+            fresh = [(t["piece"], t["initial"], t["pos"]) for t in json.loads(toks or "[]")]
+            keep, start = splice(tail, fresh, self.search, self.tolerance) if tail and fresh else (len(tail), 0)
+            out.append((key[0], window_no, start, before + keep, [t[0] for t in fresh[start:]]))
+            tail = tail[:keep] + fresh[start:]
+            # a seam reaches ``search`` back from the end, which a run may have put back by as much and the tolerance
+            far = 4 * (self.search + self.tolerance)
+            reach = max((k for k, t in enumerate(tail) if t[2] + far < tail[-1][2]), default=0)
+            before, tail = before + reach, tail[reach:]
+        self.tail.put(tail) if tail else self.tail.clear()
+        self.before.update((before,))
+        return out
+
+    def expire(self, key):
+        self.tail.clear()
+        self.before.clear()
+        return []
+
+
+def stream_splice(windows: DataFrame, key: str, search: int, tolerance: int, delay: str = "1 day", idle_days: float = 30) -> DataFrame:
+    """(key, window_no, append_from, start, fresh) of a stream of scored windows (key, ts, window_no, toks).
+
+    Each window meets the committed tail in the order of ``ts``: the longest common run of words decides
+    what stays of the tail and from where the window's tokens follow; both happen as one row. ``start``
+    tokens of the merged sequence stay, then ``fresh`` comes: rows applied in order are ``seams``' fold.
+    State holds the tokens that later seams can reach, not the text: those within four times ``search``
+    and ``tolerance`` of the end (windows that step further back than that are spliced at what is held).
+    """
+    kind = windows.schema[key].dataType.simpleString()
+    rows = windows.withColumnRenamed("window_no", "event_id").withColumn("toks", F.to_json("toks", {"ignoreNullFields": "false"}))
+    out = f"{key} {kind}, window_no long, append_from long, start long, fresh array<string>"
+    return _in_order(_Splice, rows, key, {"toks": "string"}, out, delay, idle_days, search, tolerance)
+
+
+def spliced_text(rows: DataFrame, key: str, separator: str = " ") -> DataFrame:
+    """(key, n_tokens, text) of ``stream_splice`` rows: what each window added, less what a later one's start cuts off."""
+    later = Window.partitionBy(key).orderBy(F.desc("window_no")).rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.greatest(F.min("start").over(later), F.col("start")) - F.col("start")
+    end = F.when(F.min("start").over(later).isNull(), F.size("fresh")).otherwise(F.least(F.size("fresh"), cut)).cast("int")
+    left = rows.select(key, "window_no", F.slice("fresh", F.lit(1), end).alias("left")).where("size(left) > 0")
+    text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("window_no", "left"))), lambda x: x["left"])), separator)
+    return left.groupBy(key).agg(F.sum(F.size("left")).alias("n_tokens"), text.alias("text"))

@@ -309,7 +309,7 @@ def test_platform_floor(spark):
     assert list(row) == [True, True, False, False, False, False, False]
 
 
-def transcript(spark, tmp_path, rows, **options):
+def transcript(spark, tmp_path, rows, end=1_000, **options):
     """Rows of the streamed transcript; a micro-batch a list of (seconds, type, token)."""
     from overlapkit import streaming as st
 
@@ -318,12 +318,15 @@ def transcript(spark, tmp_path, rows, **options):
     for batch in rows:
         made = []
         for t, kind, token in batch:
-            made.append((1, t, n, kind, True, token))
+            made.append((1, 1_000 + t, n, kind, True, token))
             n += 1
         d = spark.createDataFrame(made, schema.replace("timestamp", "long"))
         d.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(at)
+    for k in (1, 2):  # silence elsewhere moves the watermark
+        d = spark.createDataFrame([(None, 1_000 + k * end, None, None, None, None)], schema.replace("timestamp", "long"))
+        d.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(at)
     stream = sources.read_frames(spark, at, d.withColumn("ts", F.timestamp_seconds("ts")).schema, streaming=True, files=1)
-    out = st.run_available(st.stream_transcript(stream, **options), "append").collect()
+    out = st.run_available(st.stream_transcript(stream, delay="20 seconds", **options), "append").collect()
     return [(r.event_id, r.kind, r.committed, r.confirmed, r.unconfirmed) for r in sorted(out, key=lambda r: (r.event_id, r.batch))]
 
 
@@ -343,6 +346,86 @@ def test_stream_transcript(spark, tmp_path):
     assert " ".join(r[3] for r in got if r[3]) == "a b c d e f g h i"
 
 
+def test_stream_transcript_in_any_order(spark, tmp_path):
+    """Rows that come later, within the delay, give what they give in order; silence ends an open transcript."""
+    say = "PartialTranscript"
+    numbered = [(0, "SessionStarted", None), (4, say, "a"), (8, say, "b"), (12, say, "c d"), (14, "SessionCompleted", None), (15, "SessionStarted", None), (16, say, "x")]
+    orders = {"in": [[0, 1, 2], [3, 4], [5, 6]], "out": [[1, 0], [6, 2], [4, 3, 5]]}
+    got = {}
+    for name, batches in orders.items():
+        made = transcript(spark, tmp_path / name, [[numbered[k] for k in b] for b in batches], end=100_000_000, window=4, overlap=1, interval_us=10_000_000, pause_us=15_000_000)
+        got[name] = [r[1:] for r in sorted(made, key=lambda r: (dict(enumerate(k for b in batches for k in b))[r[0]]))]
+    assert got["in"] == got["out"]
+    assert got["in"][-1] == ("unexpected end", 0, "", "x") and [r[2] for r in got["in"] if r[0] == "final"] == ["d"]
+
+
+KEYED = "user_id long, ts timestamp, event_id long, event_type string, kind string, file string, bytes long"
+
+
+def keyed_stream(spark, path, seed, late):
+    """Random events of six users in five micro-batches, rows up to ``late`` seconds out of order; the rows as a table, and the stream."""
+    rng = random.Random(seed)
+    kinds = [("SessionStarted", "start"), ("SessionCompleted", "done"), ("Error", "failed"), ("Activity", "progress"), ("SessionCompleted", "progress")]
+    rows = [(rng.randint(1, 6), 1_000 + 10 * k + rng.randint(0, 5), k, *rng.choice(kinds), rng.choice(["a", "b", None]), rng.randint(0, 99)) for k in range(300)]
+    batches = [[] for _ in range(5)]
+    for r in rows:
+        batches[min(4, (r[1] - 1_000 + rng.randint(0, late)) // 600)].append(r)
+    for k in (1, 2):
+        batches.append([(None, 10_000_000 * k, None, None, None, None, None)])
+    table = lambda b: spark.createDataFrame(b, KEYED.replace("timestamp", "long")).withColumn("ts", F.timestamp_seconds("ts"))
+    for b in batches:
+        table(b).coalesce(1).write.mode("append").parquet(path)
+    return table(rows), sources.read_frames(spark, path, table(rows).schema, streaming=True, files=1)
+
+
+@pytest.mark.parametrize("late", [0, 1_500])
+def test_keyed_streams_equal_their_batch_twins(spark, tmp_path, late):
+    from overlapkit import streaming as st
+
+    order = ["ts", "event_id"]
+    table, stream = keyed_stream(spark, str(tmp_path / "e"), late, late)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    stale = sessions.drop_stale_completions(table, "user_id", order).where("event_type = 'SessionCompleted'").select("user_id", "event_id", "stale")
+    assert same(st.run_available(st.stream_drop_stale(stream, "1600 seconds"), "append").drop("batch"), stale)
+    live = inventory.live_ticks(table, "user_id", order).select("user_id", "event_id", "live")
+    assert same(st.run_available(st.stream_terminal_latch(stream, "1600 seconds"), "append").drop("batch"), live)
+    sums = inventory.progress_rollup(table, "user_id", "file", order, "bytes", "bytes").select("user_id", "event_id", "received")
+    assert same(st.run_available(st.stream_progress(stream, "1600 seconds"), "append").drop("batch"), sums)
+
+
+def test_silent_keys_leave_no_state(spark, tmp_path):
+    from overlapkit import streaming as st
+
+    _, stream = keyed_stream(spark, str(tmp_path / "e"), 3, 0)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.PROVIDER)
+    try:
+        q = st.stream_terminal_latch(stream, "60 seconds").writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("noop").start()
+        q.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: __import__("json").loads(p.json), q.recentProgress)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert max(held) >= 12 and held[-1] == 0, held
+
+
+def test_stream_splice_equals_the_fold(spark, tmp_path):
+    from overlapkit import streaming as st
+
+    keys = {k: long_stream(k, 25, {5 + k, 12}) for k in range(4)}
+    kind = "series_id long, ts long, window_no long, toks array<struct<piece: string, initial: boolean, pos: long>>"
+    rows = [(k, 1_000 + w * 10, w, toks) for k, ws in keys.items() for w, toks in ws]
+    random.Random(1).shuffle(rows)
+    for part in (rows[::2], rows[1::2], [(None, 10**6, None, None)], [(None, 2 * 10**6, None, None)]):
+        t = spark.createDataFrame(part, kind).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1)
+        t.write.mode("append").parquet(str(tmp_path / "w"))
+    stream = sources.read_frames(spark, str(tmp_path / "w"), t.schema, streaming=True, files=1)
+    got = {r.series_id: (r.n_tokens, r.text) for r in st.spliced_text(st.run_available(st.stream_splice(stream, "series_id", 12, 2), "append"), "series_id", "").collect()}
+    for k, ws in keys.items():
+        spans = fold(ws, 12, 2)
+        left = [p for w, toks in ws for p, _, _ in toks[spans[w][0] : spans[w][1]]]
+        assert got[k] == (len(left), "".join(left))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "vocab.json").write_text('{"0": "▁a", "2": "<0x0A>", "x": "no"}')
     got = {(r.token_id, r.piece, r.has_byte_fallback) for r in sources.read_vocab(spark, str(tmp_path / "vocab.json"), 5).collect()}
