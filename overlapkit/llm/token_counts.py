@@ -9,6 +9,11 @@ interval. A token inside one section counts there. One that crosses a boundary g
 * "split": to each section in proportion to its bytes (counts are then fractions).
 
 Under every rule a document's sections add up to its tokens.
+
+The tokenizer's own matcher recurses over a run of white space and ends the worker at some hundred
+thousand characters. A long run is therefore cut out before it: where the pattern ends in ``RUNS``, such a
+run is one match up to its last character (or to the text's end), and matching goes on with that
+character; both sides and the run are encoded apart and give the tokens of the whole.
 """
 
 from __future__ import annotations
@@ -19,12 +24,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlapkit.llm import _shared as S
 
 RULES = ("largest", "first", "split")
+RUNS, LONG = r"|\s+(?!\S)|\s+", 10_000  # how patterns match white space; runs of so many characters are cut out
+# The characters with the property White_Space.
+SPACES = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
+
+
+NAMES = ("section_no", "field", "first", "last", "n_tokens", "doc_tokens")
 
 
 @cache
@@ -40,6 +52,19 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encode(enc, text: str, pattern: str) -> list[int]:
+    """Ids of a text with white space of any length."""
+    if len(text) < LONG or not pattern.endswith(RUNS):
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for run in SPACES.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def attribute(lengths: np.ndarray, bounds: np.ndarray, rule: str = "largest") -> np.ndarray:
     """Tokens of each section; tokens and sections both tile the same bytes.
 
@@ -79,8 +104,11 @@ def count_tokens(
     the number of the field in which a section begins. first and last are character places.
 
     Cases: null fields are empty; a document without text has its sections with 0 tokens; repeated
-    rows are counted alike, each with rows of its own; an empty table gives no rows.
+    rows are counted alike, each with rows of its own; an empty table gives no rows. A text of any length,
+    of white space too, is encoded whole. An ``id_col`` with the name of a result's column is an error.
     """
+    if id_col in NAMES:
+        raise ValueError(f"{id_col} is a column of the result: rename it")
     if rule not in RULES or sections not in ("fields", "lines"):
         raise ValueError("rule is one of " + ", ".join(RULES) + "; sections is fields or lines")
     rows = docs.select(F.col(id_col).alias("id"), F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(f"f{k}") for k, c in enumerate(fields)]).alias("f"))
@@ -96,7 +124,7 @@ def count_tokens(
             take, cols = [], [[] for _ in range(6)]
             for k, text in enumerate(texts):
                 raw = text.encode()
-                lengths = length_of[np.array(enc.encode_ordinary(text), dtype=np.int64)]
+                lengths = length_of[np.array(encode(enc, text, pattern), dtype=np.int64)]
                 field_ends = np.cumsum(np.array(sizes[k], dtype=np.int64) + gap)
                 field_ends[-1] = len(raw)
                 starts = np.r_[0, field_ends[:-1]]

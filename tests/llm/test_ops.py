@@ -489,6 +489,24 @@ def test_token_counts(spark):
     assert len(fields) == 2 * d.count()
 
 
+def test_token_counts_of_very_long_runs(spark):
+    pattern, path = P.PATTERN, P.path("byte_bpe_50k.tiktoken")
+    enc, lengths = token_counts.encoding(path, pattern)
+    for run in (" ", "\n", "\t\u3000", " \n"):  # as the library, where it survives
+        for text in ("{}", "a{}", "{} b", "{}b", "a {}\nb{}7", "{}!{}", "\x1c{}\x1c", "a{}\x85é"):
+            for size in (token_counts.LONG // 2 - 1, token_counts.LONG, token_counts.LONG + 1):
+                t = text.replace("{}", run * size)
+                assert token_counts.encode(enc, t, pattern) == enc.encode_ordinary(t)
+    million = [" " * 10**6, "\n" * 10**6, "a" * 10**6, "7" * 10**6, " \t" * 500_000 + "end", "a b " * 250_000]
+    t = spark.createDataFrame(list(enumerate(million)), "doc_id long, text string")
+    got = token_counts.count_tokens(t, path, pattern, fields=("text",), sections="fields").collect()
+    for r in got:
+        ids = token_counts.encode(enc, million[r.doc_id], pattern)
+        assert r.n_tokens == r.doc_tokens == len(ids) and lengths[np.array(ids)].sum() == 10**6 + (3 if r.doc_id == 4 else 0)
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(t.withColumnRenamed("doc_id", "first"), path, pattern, id_col="first")
+
+
 def test_token_counts_query_against_brute_force(spark):
     """Every line's tokens on the given table: a token goes to the line with most of its bytes, the earlier of equals."""
     enc, _ = token_counts.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
