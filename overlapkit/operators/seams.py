@@ -407,10 +407,29 @@ def phrase_audit(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: st
     return found.select(id_col, phrase_id, hit.alias("hits")).where("hits > 0")
 
 
-def table_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 0.0) -> DataFrame:
-    """Per key: "match", "missing_left", "missing_right" or "differs" (beyond ``tolerance``), and the largest delta."""
-    left = a.select(*[F.col(k).alias(f"_a{k}") for k in keys], *[F.col(v).alias(f"_a_{v}") for v in values], F.lit(True).alias("_in_a"))
-    right = b.select(*[F.col(k).alias(f"_b{k}") for k in keys], *[F.col(v).alias(f"_b_{v}") for v in values], F.lit(True).alias("_in_b"))
+def bucket_digests(df: DataFrame, keys: list[str], values: list[str], buckets: int) -> DataFrame:
+    """(bucket, n, total): rows and an order-free checksum of every bucket of keys, combined before the shuffle."""
+    row = F.xxhash64(*keys, *[F.coalesce(F.col(v).cast("string"), F.lit("null")) for v in values], *[F.col(v).isNull() for v in values])
+    other = F.xxhash64(row, *keys)
+    sums = [F.sum(x.cast("decimal(38,0)")).alias(n) for x, n in ((row, "total"), (other, "again"))]
+    return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"), *sums)
+
+
+def table_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 0.0, buckets: int = 1 << 16) -> DataFrame:
+    """Per key: "match", "missing_left", "missing_right" or "differs" (beyond ``tolerance``), and the largest delta.
+
+    Keys come once in each table. Both sides are digested by buckets of keys first; only rows of buckets
+    that differ are joined, all others match where they lie. Two buckets with equal counts and two equal
+    64-bit sums are taken to be equal.
+    """
+    da = bucket_digests(a, keys, values, buckets).select("bucket", F.struct("n", "total", "again").alias("a"))
+    db = bucket_digests(b, keys, values, buckets).select("bucket", F.struct("n", "total", "again").alias("b"))
+    # written, so that both tables are digested once
+    odd = written(da.join(db, "bucket", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("bucket").alias("_odd")))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    some = lambda df, how: df.withColumn("_bucket", bucket).join(F.broadcast(odd), F.col("_bucket") == F.col("_odd"), how).drop("_bucket")  # noqa: E731  ``buckets`` rows at most
+    left = some(a, "left_semi").select(*[F.col(k).alias(f"_a{k}") for k in keys], *[F.col(v).alias(f"_a_{v}") for v in values], F.lit(True).alias("_in_a"))
+    right = some(b, "left_semi").select(*[F.col(k).alias(f"_b{k}") for k in keys], *[F.col(v).alias(f"_b_{v}") for v in values], F.lit(True).alias("_in_b"))
     on: Column = F.lit(True)
     for k in keys:
         on &= F.col(f"_a{k}").eqNullSafe(F.col(f"_b{k}"))
@@ -420,8 +439,10 @@ def table_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], t
     for v, d in zip(values, deltas, strict=True):
         same &= F.col(f"_a_{v}").eqNullSafe(F.col(f"_b_{v}")) | F.coalesce(d <= tolerance, F.lit(False))
     status = F.when(F.col("_in_a").isNull(), "missing_left").when(F.col("_in_b").isNull(), "missing_right").when(same, "match").otherwise("differs")
-    largest = F.greatest(*deltas) if len(deltas) > 1 else deltas[0]
-    return joined.select(*[F.coalesce(f"_a{k}", f"_b{k}").alias(k) for k in keys], status.alias("status"), largest.alias("delta"))
+    largest = lambda of: F.greatest(*of) if len(of) > 1 else of[0]
+    met = joined.select(*[F.coalesce(f"_a{k}", f"_b{k}").alias(k) for k in keys], status.alias("status"), largest(deltas).alias("delta"))
+    alike = some(a, "left_anti").select(*keys, F.lit("match").alias("status"), largest([F.abs(F.col(v) - F.col(v)) for v in values]).alias("delta"))
+    return met.unionByName(alike)
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:

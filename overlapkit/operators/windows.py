@@ -46,12 +46,22 @@ def assign_windows(elements: DataFrame, windows: DataFrame, key: str, idx: str =
 
     With ``size`` and ``stride`` (the plan's advance) the windows that can hold an element follow
     from its place, so the join is on (key, window_no) and nothing is compared by range but the last
-    window's bounds; without them it is an equi-join on key with a range condition.
+    window's bounds. Windows of any places and lengths are joined by bins: a window of up to 2^k
+    elements lies in one or two bins of 2^k, an element in one bin of each width that some window has
+    (64 at most), and they meet on (key, k, bin), once. An element so meets only windows that begin or
+    end within their own length of it.
     """
     w = windows.select(F.col(key).alias("_key"), F.col("window_no").alias("_no"), "start", "len")
     inside = (F.col(idx) >= F.col("start")) & (F.col(idx) < F.col("start") + F.col("len"))
     if stride is None or size is None:
-        return elements.join(w, (F.col(key) == F.col("_key")) & inside).withColumnRenamed("_no", "window_no").drop("_key")
+        w = w.where("start is not null and len > 0").withColumn("_level", F.length(F.bin(F.col("len") - 1)))
+        levels = sorted(r["_level"] for r in w.select("_level").distinct().collect())  # 64 at most
+        place = lambda at: F.expr(f"shiftright({at}, _level)")
+        w = w.withColumn("_bin", F.explode(F.array_distinct(F.array(place("start"), place("start + len - 1")))))
+        e = elements.where(F.col(idx).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0]))))
+        e = e.withColumn("_bin", place(f"cast(`{idx}` as bigint)")).withColumnsRenamed({"_level": "_l", "_bin": "_b"})
+        on = (F.col(key) == F.col("_key")) & (F.col("_l") == F.col("_level")) & (F.col("_b") == F.col("_bin"))
+        return e.join(w, on & inside).withColumnRenamed("_no", "window_no").drop("_key", "_level", "_bin", "_l", "_b")
     first = F.greatest(F.floor((F.col(idx) - size) / stride) + 1, F.lit(0)).cast("long")
     last = (F.floor(F.col(idx) / stride) + 1).cast("long")  # one on: the last window is moved back to the end
     e = elements.withColumn("window_no", F.explode(F.sequence(first, last)))

@@ -33,6 +33,14 @@ def b2_assign_windows(spark, sf_dir):
     return rows.groupBy(KEY, "window_no").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.sum(F.length("piece")).alias("chars"))
 
 
+def b2_assign_irregular(spark, sf_dir):
+    """Words in windows of uneven places and lengths, by the binned join."""
+    w = fx.lengths(spark, sf_dir).where("n > 0").withColumn("window_no", F.explode(F.expr("sequence(0L, n div 20)")))
+    w = w.select(KEY, "window_no", F.expr("window_no * 20 + window_no * window_no % 13").alias("start"), F.expr(f"1 + (window_no * 31 + {KEY}) % 120").alias("len"))
+    rows = windows.assign_windows(fx.elements(spark, sf_dir), w, KEY)
+    return rows.groupBy(KEY, "window_no").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"), F.sum(F.length("piece")).alias("chars"))
+
+
 def b3_pad_windows(spark, sf_dir):
     t = fx.window_tokens(spark, sf_dir)
     sizes = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.length("piece").alias("n")))), lambda x: x["n"])
@@ -140,7 +148,7 @@ def d9_table_diff(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        entry_merge_round_trip, b1_plan_windows, b1_plan_windows_aligned, b2_assign_windows, b3_pad_windows, b4_score_windows, b5_stamp_positions,
+        entry_merge_round_trip, b1_plan_windows, b1_plan_windows_aligned, b2_assign_windows, b2_assign_irregular, b3_pad_windows, b4_score_windows, b5_stamp_positions,
         c1_piece_info, c2_detokenize, c3_byte_fallback_runs, c4_segment_words, c5_word_core, d1_overlap_slices, d2_longest_common_run, d3_splice_pairs,
         d4_merge_windows, d5_segments, d6_confirmed_split, d7_seam_audit, d8_phrase_audit, d9_table_diff,
     )
@@ -171,6 +179,10 @@ ORACLE = {
  CASE WHEN tail THEN least({W}, n - start // 8 * 8) ELSE len END AS len, start // 8 AS frame_offset
  FROM (SELECT *, n < {W} OR window_no > (n - {W}) // {W - O} AS tail FROM ({fx.PLAN}))""",
     "b2_assign_windows": f"SELECT series_id, window_no, count(*) AS n, min(pos) AS first, max(pos) AS last, sum(length(piece))::BIGINT AS chars FROM ({fx.TOKENS}) GROUP BY ALL",
+    "b2_assign_irregular": f"""WITH d AS (SELECT doc_id AS series_id, ws, len(ws) AS n FROM ({fx.WORDS}) WHERE len(ws) > 0), p AS (SELECT series_id, ws, n, unnest(range(0, n // 20 + 1)) AS window_no FROM d),
+ q AS (SELECT *, window_no * 20 + window_no * window_no % 13 AS start, 1 + (window_no * 31 + series_id) % 120 AS len FROM p),
+ x AS (SELECT series_id, window_no, start, least(start + len, n) AS stop, ws[start + 1 : least(start + len, n)] AS own FROM q WHERE start < n)
+ SELECT series_id, window_no, stop - start AS n, start AS first, stop - 1 AS last, length(array_to_string(own, ''))::BIGINT AS chars FROM x""",
     "b3_pad_windows": f"""SELECT series_id, window_no, count(*) AS valid_len, {W}::BIGINT AS size,
  string_agg(length(piece)::VARCHAR, ',' ORDER BY ord) || repeat(',0', ({W} - count(*))::INT) AS lengths FROM ({fx.TOKENS}) GROUP BY series_id, window_no""",
     "b4_score_windows": f"""WITH t AS ({fx.NOISY}), bad AS (SELECT series_id, window_no FROM t WHERE ord = 0 AND piece = 'zz')

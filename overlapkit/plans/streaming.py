@@ -65,6 +65,13 @@ def st1_stream_activity(spark, sf_dir):
     return st.newest(st.run_available(s, "update"), ["user_id", "start_us"])
 
 
+def st1_stream_sliding(spark, sf_dir):
+    """Days that begin every six hours, from panes of six hours; in append mode."""
+    s = st.stream_activity(_stream(spark, sf_dir, closing=30), "user_id", "ts", "value", "1 day", "6 hours", full_scale=1000.0)
+    s = s.select("user_id", F.unix_micros("window.start").alias("start_us"), "n", F.round("rms", 6).alias("rms"), F.round("level", 6).alias("level"))
+    return st.run_available(s, "append").where("user_id is not null").drop("batch")
+
+
 def st2_stream_utterances(spark, sf_dir):
     """In append mode: a closing row moves the watermark past all utterances."""
     e = _stream(spark, sf_dir, closing=30).withColumn("active", F.coalesce(F.col("value") > 35, F.lit(False)))
@@ -107,7 +114,7 @@ def st7_stream_status(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        st1_stream_activity, st2_stream_utterances, st3_stream_transcript, st3_stream_splice, st4_stream_drop_stale,
+        st1_stream_activity, st1_stream_sliding, st2_stream_utterances, st3_stream_transcript, st3_stream_splice, st4_stream_drop_stale,
         st5_stream_progress, st6_stream_terminal_latch, st7_stream_status,
     )
 }
@@ -115,6 +122,8 @@ QUERIES = {
 ORACLE = {
     "st1_stream_activity": """SELECT user_id, epoch_us(day) AS start_us, n, round(rms, 6) AS rms, round(CASE WHEN rms > 0 THEN least(greatest((20 * log10(rms / 1000) + 50) / 50, 0.0), 1.0) ELSE 0.0 END, 6) AS level
  FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, sqrt(avg(value * value)) AS rms FROM events GROUP BY ALL)""",
+    "st1_stream_sliding": """SELECT user_id, start_us, n, round(rms, 6) AS rms, round(CASE WHEN rms > 0 THEN least(greatest((20 * log10(rms / 1000) + 50) / 50, 0.0), 1.0) ELSE 0.0 END, 6) AS level
+ FROM (SELECT user_id, (epoch_us(ts) // 21600000000 - k) * 21600000000 AS start_us, count(*) AS n, sqrt(avg(value * value)) AS rms FROM events, (SELECT unnest(range(0, 4)) AS k) GROUP BY ALL)""",
     "st2_stream_utterances": """WITH t AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 43200000000 THEN 0 ELSE 1 END AS new FROM events WHERE value > 35),
  u AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM t) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 43200000000 AS end_us, count(*) AS n FROM u GROUP BY user_id, g""",
     "st3_stream_splice": seams.ORACLE["entry_merge_round_trip"],

@@ -55,10 +55,22 @@ def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stream_activity(df: DataFrame, key: str, ts: str, value: str, size: str, slide: str | None = None, delay: str = "1 day", full_scale: float = 1.0) -> DataFrame:
-    """(key, window, n, rms, level) over tumbling or sliding event-time windows."""
-    w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    g = df.withWatermark(ts, delay).groupBy(key, w).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
-    return g.withColumn("level", activity_level(F.col("rms") / full_scale))
+    """(key, window, n, rms, level) over tumbling or sliding event-time windows.
+
+    Sliding windows are put together from panes: rows are summed once, in tumbling windows of ``slide``,
+    and each pane counts in the size / slide windows over it, so no row is copied. ``slide`` divides
+    ``size``. Two aggregations in a row run in append mode.
+    """
+    power = F.col(value) * F.col(value)
+    panes = df.withWatermark(ts, delay).groupBy(key, F.window(ts, slide or size)).agg(F.count("*").alias("n"), F.sum(power).alias("_power"), F.count(power).alias("_m"))
+    if slide:
+        span = lambda x: f"unix_micros(timestamp_seconds(0) + interval {x})"
+        if df.sparkSession.range(1).select(F.expr(f"{span(size)} % {span(slide)}")).first()[0]:
+            raise ValueError("slide divides size")
+        over = F.window(F.window_time("window"), size, slide)
+        panes = panes.groupBy(key, over).agg(*[F.sum(c).alias(c) for c in ("n", "_power", "_m")])
+    rms = F.sqrt(F.col("_power") / F.nullif(F.col("_m"), F.lit(0)))
+    return panes.select(key, "window", "n", rms.alias("rms"), activity_level(rms / full_scale).alias("level"))
 
 
 def stream_utterances(df: DataFrame, key: str, ts: str, active: str = "active", gap: str = "800 milliseconds", delay: str = "1 day") -> DataFrame:

@@ -190,6 +190,33 @@ def test_assign_paths_agree(spark):
     assert both[0] == both[1]
 
 
+def test_irregular_windows(spark):
+    rng = random.Random(3)
+    w = [(rng.choice("ab"), k, rng.randint(-20, 400), rng.choice([0, 1, 2, 7, 8, 9, 64, 300, None])) for k in range(120)] + [(None, 900, 0, 10)]
+    e = [(rng.choice("ab"), rng.randint(-30, 500)) for _ in range(400)] + [("a", None), (None, 5)]
+    dw, de = spark.createDataFrame(w, "k string, window_no long, start long, len long"), spark.createDataFrame(e, "k string, idx long")
+    got = sorted(map(tuple, windows.assign_windows(de, dw, "k").select("k", "idx", "window_no", "start", "len").collect()))
+    assert got == sorted((k, i, no, at, n) for k, i in e for key, no, at, n in w if k and k == key and i is not None and n and at <= i < at + n)
+    assert windows.assign_windows(de, dw.limit(0), "k").count() == 0 == windows.assign_windows(de.limit(0), dw, "k").count()
+
+
+def test_many_windows_on_one_key(spark):
+    """10^5 windows and 3 * 10^5 elements of one key: only what begins or ends near an element meets it."""
+    w = spark.range(100_000).select(F.lit("a").alias("k"), F.col("id").alias("window_no"), (F.col("id") * 3).alias("start"), (1 + F.pmod(F.xxhash64("id"), F.lit(4))).alias("len"))
+    e = spark.range(300_000).select(F.lit("a").alias("k"), F.col("id").alias("idx"))
+    assert windows.assign_windows(e, w, "k").count() == w.agg(F.sum(F.least(F.col("len"), 300_000 - F.col("start")))).first()[0]
+
+
+def test_equal_tables_join_no_rows(spark):
+    a = spark.range(5_000).select("id", (F.col("id") % 97).cast("double").alias("v"), F.when(F.col("id") % 5 > 0, F.col("id") / 3).alias("u"))
+    assert [tuple(r) for r in seams.diff_summary(seams.table_diff(a, a.orderBy(F.desc("id")), ["id"], ["v"])).collect()] == [("match", 5_000, 0.0, 0.0)]
+    b = a.where("id != 17").withColumn("u", F.when(F.col("id") == 18, None).otherwise(F.col("u"))).withColumn("v", F.when(F.col("id") == 19, F.col("v") + 0.25).otherwise(F.col("v")))
+    b = b.unionByName(spark.createDataFrame([(9_000, 1.0, None), (None, 2.0, 2.0)], "id long, v double, u double"))
+    for buckets in (1, 64, 1 << 16):
+        got = {r.id: r.status for r in seams.table_diff(a, b, ["id"], ["v", "u"], 0.1, buckets).collect()}
+        assert len(got) == 5_002 and {k: s for k, s in got.items() if s != "match"} == {17: "missing_right", 18: "differs", 19: "differs", 9_000: "missing_left", None: "missing_left"}
+
+
 def test_score_windows_keeps_going(spark):
     def score(row):
         return [(1 // row["x"], 0)]
