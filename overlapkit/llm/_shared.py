@@ -196,6 +196,40 @@ def pooled(weights: np.ndarray, texts: list[bytes], bits: int) -> np.ndarray:
     return np.add.reduceat(weights[h], offsets[:-1]) / np.diff(offsets)
 
 
+UNIT = 1 << 16  # features are summed as whole numbers of 1 / UNIT, so that no order of tasks changes a sum
+
+
+def cell_sums(rows: DataFrame, features, columns: list[str], centres: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of rows, mean features) of each cell that has rows, over all rows.
+
+    A row falls to the nearest of ``centres`` (in units of ``scale``); ``features(batch)`` gives a batch's
+    vectors, ``columns[0]`` is its text. Counts and sums are combined within tasks, then by cell: at most
+    ``len(centres)`` rows reach the driver, however many were summed.
+    """
+    spark, dims = rows.sparkSession, centres.shape[1]
+    shared = spark.sparkContext.broadcast((centres / scale, scale))  # a bounded sample's vectors
+    names = [f"x{k}" for k in range(dims)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, unit = shared.value
+        half = (at**2).sum(axis=1) / 2
+        n, sums = np.zeros(len(at), dtype=np.int64), np.zeros((len(at), dims), dtype=np.int64)
+        for batch in slices(batches, columns[0], 1_000_000):
+            x = features(batch)
+            for a in range(0, len(x), 4_096):
+                part = x[a : a + 4_096]
+                cell = np.argmax((part / unit) @ at.T - half, axis=1)
+                n += np.bincount(cell, minlength=len(at))
+                np.add.at(sums, cell, np.rint(part * UNIT).astype(np.int64))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), *(pa.array(sums[some, k]) for k in range(dims))], names=["cell", "n", *names])
+
+    made = rows.select(*columns).mapInArrow(add, ", ".join(["cell long", "n long", *(f"{x} long" for x in names)]))
+    table = made.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).orderBy("cell").toArrow()
+    n = table["n"].to_numpy().astype(np.float64)
+    return n, np.stack([table[x].to_numpy() for x in names], axis=1).reshape(-1, dims) / UNIT / np.maximum(n, 1)[:, None]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 

@@ -4,14 +4,15 @@
   distinct and repeated words, and how its lines are laid out;
 * metadata view: the record without its text - length as recorded, language and source.
 
-Each round fits a logistic model per view on that view's training set, scores a pool of unlabelled
+Each round fits a logistic model per view on that view's training set, scores the pool of all unlabelled
 documents, and hands its most confident documents, with the labels it gave them, to the *other*
 view. After ``rounds`` rounds each view is calibrated (Platt) on labelled rows that no round has
 seen, and a logistic combination of the two calibrated log-odds, fitted on the same rows, gives the
 score of every document.
 
-The fit reads about ``max_labelled`` labelled rows and ``max_pool`` unlabelled ones (a share by the
-hash of the id). Scoring reads every whole text once.
+The fit reads about ``max_labelled`` labelled rows (a share by the hash of the id) and sums all unlabelled
+ones, in one aggregation, into at most ``cells`` cells of like documents. Scoring reads every whole text
+once.
 
 Cases: null and empty texts have zero counts and a score like any other text; null source or lang is
 a value of its own; duplicate label rows count once by their minimum; without labels of both kinds
@@ -54,11 +55,14 @@ class Logistic:
         return np.clip(self.slope * self.raw(x) + self.intercept, -12, 12)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> Logistic:
-    """Ridge logistic regression by damped Newton steps; both classes weigh the same."""
-    model = Logistic(x.mean(axis=0), x.std(axis=0) + 1e-6, np.zeros(x.shape[1] + 1))
+def fit_logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, l2: float = 1.0, steps: int = 30) -> Logistic:
+    """Ridge logistic regression by damped Newton steps; both classes weigh the same. ``rows``: what each row stands for."""
+    rows = np.ones(len(y)) if rows is None else rows
+    mean = np.average(x, axis=0, weights=rows)
+    model = Logistic(mean, np.sqrt(np.average((x - mean) ** 2, axis=0, weights=rows)) + 1e-6, np.zeros(x.shape[1] + 1))
     z = np.c_[np.clip((x - model.mean) / model.scale, -8, 8), np.ones(len(x))]
-    weight = np.where(y > 0, len(y) / max((y > 0).sum(), 1), len(y) / max((y <= 0).sum(), 1)) / 2
+    of = lambda which: rows.sum() / max(rows[which].sum(), 1e-9)
+    weight = rows * np.where(y > 0, of(y > 0), of(y <= 0)) / 2
     ridge = np.diag(np.r_[np.full(x.shape[1], l2), 1e-6])
     for _ in range(steps):
         p = S.sigmoid(z @ model.weights)
@@ -76,6 +80,7 @@ class QualityModel:
     content: Logistic | None = None
     metadata: Logistic | None = None
     mix: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0, 0.0]))
+    handed: list = field(default_factory=list)
 
     def score(self, content: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         if self.content is None:
@@ -168,31 +173,39 @@ def sure_above(score: np.ndarray, right: np.ndarray, precision: float) -> float:
     return float(score[order[enough[-1]]]) if len(enough) else np.inf
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, rounds: int, share: float, precision: float = 0.98) -> tuple[Logistic, Logistic]:
-    """Two logistic models; ``y`` is 1, 0 or -1 (unlabelled).
+def co_train(
+    content: np.ndarray, metadata: np.ndarray, y: np.ndarray, rounds: int, share: float, precision: float = 0.98, rows: np.ndarray | None = None, test: tuple | None = None
+) -> tuple[Logistic, Logistic, list]:
+    """Two logistic models and what was handed over; ``y`` is 1, 0 or -1 (unlabelled), ``rows`` what each row stands for.
 
     A round hands over up to ``share`` of the pool's most confident good and bad documents each way, in
     the proportion of the labels, and of these only those with a score that is right for ``precision``
-    of the labelled rows; a document keeps the first label that it was given in a view.
+    of the rows of ``test`` (content, metadata, y), which no round trains on; a document keeps the
+    first label that it was given in a view. The list has (round, teacher, good, bad) in rows.
     """
-    views = [content, metadata]
+    views, rows = [content, metadata], np.ones(len(y)) if rows is None else rows
     given = [y.astype(float).copy(), y.astype(float).copy()]
-    known = y >= 0
-    good = (y == 1).sum() / max(known.sum(), 1)
-    for _ in range(rounds):
-        models = [fit_logistic(x[g >= 0], g[g >= 0]) for x, g in zip(views, given, strict=True)]
+    known, handed = y >= 0, []
+    fresh, truth = (test[:2], test[2]) if test else ([x[known] for x in views], y[known])
+    good = rows[y == 1].sum() / max(rows[known].sum(), 1e-9)
+    fit = lambda k: fit_logistic(views[k][given[k] >= 0], given[k][given[k] >= 0], rows[given[k] >= 0])
+    n = share * rows[~known].sum()
+    for number in range(rounds):
+        models = [fit(0), fit(1)]
         for teacher, pupil in ((0, 1), (1, 0)):
             free = np.flatnonzero(given[pupil] < 0)
-            n = int(share * (~known).sum())
-            if not n or not len(free):
+            if not len(free):
                 continue
-            score, on_known = models[teacher].raw(views[teacher][free]), models[teacher].raw(views[teacher][known])
-            order = np.argsort(score, kind="stable")
-            n_bad, n_good = max(1, int(n * (1 - good))), max(1, int(n * good))
-            bad, best = order[:n_bad], order[max(n_bad, len(order) - n_good) :]
-            given[pupil][free[bad[-score[bad] >= max(1, sure_above(-on_known, y[known] == 0, precision))]]] = 0
-            given[pupil][free[best[score[best] >= max(1, sure_above(on_known, y[known] == 1, precision))]]] = 1
-    return tuple(fit_logistic(x[g >= 0], g[g >= 0]) for x, g in zip(views, given, strict=True))
+            score, on_test = models[teacher].raw(views[teacher][free]), models[teacher].raw(fresh[teacher])
+            count = []
+            for label, sign, part in ((1, 1.0, good), (0, -1.0, 1 - good)):
+                order = np.argsort(-sign * score, kind="stable")
+                first = order[np.cumsum(rows[free[order]]) - rows[free[order]] < n * part]  # the one that fills the share is in
+                sure = first[sign * score[first] >= max(1, sure_above(sign * on_test, truth == label, precision))]
+                given[pupil][free[sure]] = label
+                count.append(float(rows[free[sure]].sum()))
+            handed.append((number, ("content", "metadata")[teacher], *count))
+    return fit(0), fit(1), handed
 
 
 def fit_quality(
@@ -204,11 +217,14 @@ def fit_quality(
     rounds: int = 4,
     share: float = 0.1,
     max_labelled: int = 8_000,
-    max_pool: int = 8_000,
+    cells: int = 4_096,
 ) -> QualityModel:
     """Fit on ``docs(id, text, lang, source, n_chars)`` and ``labels(id, quality)``.
 
-    Three of four labelled rows (by a hash of the id) train; the fourth calibrates.
+    Three of four labelled rows (by a hash of the id) train; on the fourth the hand-over's precision is
+    measured and the views are calibrated. The pool is every unlabelled document: their features are
+    summed in ``cells`` cells around those of a sample, and a cell's mean is handed over with the weight
+    of its documents (together they weigh as much as the labelled rows).
     """
     marks = (
         labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("y"))
@@ -221,15 +237,16 @@ def fit_quality(
     base = docs.select(F.col(id_col).alias("id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     known = S.bounded_sample(marks, max_labelled, "id").withColumn("y", (F.col("y") > 0).cast("int"))
     known = known.withColumn("y", F.when(F.abs(F.xxhash64("id", F.lit("fold"))) % 4 == 0, F.col("y") + 2).otherwise(F.col("y")))
-    pool = base.select("id").where("id is not null").join(marks.select("id"), "id", "left_anti")
-    pool = S.bounded_sample(pool.distinct(), max_pool, "id").withColumn("y", F.lit(-1))
-    ids = S.materialize(known.unionByName(pool))
+    pool = base.where("id is not null").join(marks.select("id"), "id", "left_anti")
+    drawn = S.bounded_sample(pool.select("id").distinct(), cells, "id").withColumn("y", F.lit(-1))
+    ids = S.materialize(known.unionByName(drawn))
     sample = S.materialize(base.join(F.broadcast(ids), "id"))  # ids: two bounded samples
     model.odds = _gram_odds(sample.where("y in (0, 1)"), bits)
+    held_odds = docs.sparkSession.sparkContext.broadcast(model.odds)  # 2**bits floats
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, "text"):
-            c, m = _views(batch, model.odds, bits)
+            c, m = _views(batch, held_odds.value, bits)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(c)), pa.array(list(m))], names=["y", "c", "m"])
 
     found = sample.mapInArrow(describe, "y int, c array<double>, m array<double>").toArrow()  # a few numbers a sampled row
@@ -238,19 +255,34 @@ def fit_quality(
     y, c, m = found["y"].to_numpy(), np.array(found["c"].to_pylist()), np.array(found["m"].to_pylist())
     order = np.lexsort((*m.T, *c.T, y))  # the fit does not depend on the order in which tasks end
     y, c, m = y[order], c[order], m[order]
-    held = y >= 2
-    if len(set(y[(y >= 0) & ~held])) < 2 or len(set(y[held])) < 2:
+    held, train = y >= 2, (y == 0) | (y == 1)
+    if len(set(y[train])) < 2 or len(set(y[held])) < 2:
         return model
-    model.content, model.metadata = co_train(c[~held], m[~held], y[~held], rounds, share)
+    rows = np.ones(train.sum())
+    if rounds and (y < 0).any():
+        width, centres = c.shape[1], np.unique(np.c_[c, m][y < 0], axis=0)
+        n, mean = S.cell_sums(pool, lambda batch: np.hstack(_views(batch, held_odds.value, bits)), ["text", "lang", "source", "n_chars"], centres, centres.std(axis=0) + 1e-6)
+        c, m = np.r_[c, mean[:, :width]], np.r_[m, mean[:, width:]]
+        y, held, train = np.r_[y, np.full(len(n), -1)], np.r_[held, np.zeros(len(n), bool)], np.r_[train, np.zeros(len(n), bool)]
+        used = np.flatnonzero(train | (np.arange(len(y)) >= len(y) - len(n)))
+        rows = np.r_[rows, n / n.sum() * train.sum()]
+    else:
+        used = np.flatnonzero(train)
     target = y[held] - 2
+    model.content, model.metadata, model.handed = co_train(c[used], m[used], y[used], rounds, share, rows=rows, test=(c[held], m[held], target))
     for view, x in ((model.content, c[held]), (model.metadata, m[held])):
         view.slope, view.intercept = S.platt(view.raw(x), target)
     both = np.c_[model.content.log_odds(c[held]), model.metadata.log_odds(m[held]), np.ones(held.sum())]
-    mix = np.array([1.0, 0.0, 0.0])
-    for _ in range(50):  # ridge towards the content view alone, so that a useless view drops out
-        p = S.sigmoid(both @ mix)
-        hess = (both * (p * (1 - p))[:, None]).T @ both + np.eye(3)
-        mix = mix - np.linalg.solve(hess, both.T @ (p - target) + (mix - [1.0, 0.0, 0.0]))
+    start, free = np.array([1.0, 0.0, 0.0]), np.ones(3, dtype=bool)
+    while True:  # ridge towards the content view alone, so that a useless view drops out; no view counts against itself
+        mix = np.where(free, start, 0.0)
+        for _ in range(50):
+            p = S.sigmoid(both @ mix)
+            hess = (both * (p * (1 - p))[:, None]).T @ both + np.eye(3)
+            mix[free] -= np.linalg.solve(hess[np.ix_(free, free)], (both.T @ (p - target) + (mix - start))[free])
+        if (mix[:2] >= 0).all():
+            break
+        free[:2] &= mix[:2] >= 0
     model.mix = mix
     return model
 

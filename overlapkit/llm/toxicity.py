@@ -15,10 +15,10 @@ Learning goes in two steps, both corrected by the class prior ``pi``:
    falls below zero, the step goes against it, as the non-negative estimator prescribes.
 
 The logistic loss makes the model's output log-odds; its intercept is then moved until the mean
-score of the unlabelled sample is ``pi``. No label 0 is used anywhere but in counting ``pi``. The fit
-takes about ``max_positive`` confirmed rows and, for the risk's mean over unlabelled ones,
-about ``max_unlabelled`` (shares by the hash of the id); scoring reads every whole text. Only the
-text is an input of the score.
+score of all texts is ``pi``. No label 0 is used anywhere but in counting ``pi``. The fit takes about
+``max_positive`` confirmed rows (a share by the hash of the id); the unlabelled side is every text that may
+be learnt from, summed in one aggregation into at most ``cells`` cells of like features. Scoring reads
+every whole text. Only the text is an input of the score.
 
 Cases: null or empty text scores as a text without evidence. No positives or no labels: every
 score is the prior (0 where that is unknown). Duplicate label rows count once by their maximum;
@@ -73,14 +73,15 @@ class ToxicityModel:
         return S.sigmoid(self.raw(self.features(texts)) + self.intercept)
 
 
-def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic model under the non-negative positive-unlabelled risk (Adam)."""
+def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, weight: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic model under the non-negative positive-unlabelled risk (Adam); ``weight``: rows that an unlabelled one stands for."""
     w, m, s = (np.zeros(pos.shape[1]) for _ in range(3))
+    share = np.full(len(unl), 1 / len(unl)) if weight is None else weight / weight.sum()
     for k in range(1, steps + 1):
         gp, gu = pos @ w, unl @ w
         zp, zu = S.sigmoid(gp), S.sigmoid(gu)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        from_neg = unl.T @ zu / len(unl) - prior * pos.T @ zp / len(pos)
+        negative = np.logaddexp(0, gu) @ share - prior * np.logaddexp(0, gp).mean()
+        from_neg = unl.T @ (zu * share) - prior * pos.T @ zp / len(pos)
         grad = prior * pos.T @ (zp - 1) / len(pos) + from_neg if negative >= 0 else -from_neg
         grad = grad + l2 * w
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
@@ -125,12 +126,15 @@ def fit_toxicity(
     text_col: str = "text",
     bits: int = 20,
     max_positive: int = 4_000,
-    max_unlabelled: int = 12_000,
+    cells: int = 4_096,
     prior: float | None = None,
 ) -> ToxicityModel:
     """Fit on ``docs(id, text)`` and ``labels(id, toxic)``; pass only the rows that may be learnt from.
 
-    ``prior`` is the share of toxic documents; by default that of all given labels.
+    ``prior`` is the share of toxic documents; by default that of all given labels. The confirmed texts
+    are a sample of ``max_positive``; the unlabelled side is all texts: their features are summed in
+    ``cells`` cells around those of a sample of texts, and the risk runs over the cells' means, each with
+    the weight of its texts.
     """
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     marks = (
@@ -144,8 +148,8 @@ def fit_toxicity(
     if not toxic or toxic == total:
         return model
     confirmed = S.bounded_sample(marks.where("toxic > 0"), max_positive, "id").select("id", F.lit(1).alias("own"))
-    unlabelled = S.bounded_sample(text.select("id").distinct(), max_unlabelled, "id").select("id", F.lit(1).alias("drawn"))
-    ids = S.materialize(confirmed.join(unlabelled, "id", "full_outer"))
+    drawn = S.bounded_sample(text.select("id").distinct(), cells, "id").select("id", F.lit(1).alias("drawn"))
+    ids = S.materialize(confirmed.join(drawn, "id", "full_outer"))
     sample = S.materialize(text.join(F.broadcast(ids), "id").groupBy("id", "own", "drawn").agg(F.min("text").alias("text")))  # ids: two bounded samples
     p, n_pos = _frequencies(sample.where("own = 1"), bits)
     n_drawn = sample.where("drawn = 1").count()
@@ -159,28 +163,34 @@ def fit_toxicity(
 
     model.evidence = share(p, u, n_pos)
     model.evidence_of_others = share(np.maximum(p - 1, 0), np.maximum(u - 1, 0), n_pos - 1)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats twice, whatever the input
+
+    def features(batch: pa.RecordBatch) -> np.ndarray:
+        return held.value.features(S.utf8(batch.column("text")), batch.column("own").fill_null(0).to_numpy() > 0)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, "text"):
-            x = model.features(S.utf8(batch.column("text")), batch.column("own").fill_null(0).to_numpy() > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("drawn"), pa.array(list(x))], names=["own", "drawn", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("drawn"), pa.array(list(features(batch)))], names=["own", "drawn", "x"])
 
     found = sample.select("text", "own", "drawn").mapInArrow(describe, "own int, drawn int, x array<double>").toArrow()  # a few numbers a sampled row
     x = np.array(found["x"].to_pylist())
     own, drawn = (found[c].fill_null(0).to_numpy() > 0 for c in ("own", "drawn"))
     order = np.lexsort((*x.T, drawn, own))  # the fit does not depend on the order in which tasks end
     x, own, drawn = x[order], own[order], drawn[order]
+    every = text.join(F.broadcast(ids.where("own = 1").select("id", "own")), "id", "left")  # ``max_positive`` or so
+    weight, unl = S.cell_sums(every, features, ["text", "own"], np.unique(x[drawn], axis=0), x[drawn].std(axis=0) + 1e-6)
     model.evidence_of_others = None  # of no use in scoring
+    held.unpersist()
     S.discard(ids)
     S.discard(sample)
-    unl = x[drawn]
-    model.mean, model.scale = unl.mean(axis=0), unl.std(axis=0) + 1e-6
-    scaled = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
-    model.weights = nnpu(scaled[own], scaled[drawn], prior)
+    model.mean = np.average(unl, axis=0, weights=weight)
+    model.scale = np.sqrt(np.average((unl - model.mean) ** 2, axis=0, weights=weight)) + 1e-6
+    scaled = lambda x: np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
+    model.weights = nnpu(scaled(x[own]), scaled(unl), prior, weight)
     raw, low, high = model.raw(unl), -30.0, 30.0
     for _ in range(60):  # the mean score rises with the intercept
         mid = (low + high) / 2
-        low, high = (mid, high) if S.sigmoid(raw + mid).mean() < prior else (low, mid)
+        low, high = (mid, high) if np.average(S.sigmoid(raw + mid), weights=weight) < prior else (low, mid)
     model.intercept = low
     return model
 

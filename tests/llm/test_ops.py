@@ -399,6 +399,44 @@ def test_quality(spark):
     assert got.columns == [*edge.columns, "q"] and all(0 <= r.q <= 1 for r in got.collect())
 
 
+def test_cells_cover_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 3)) * [1, 10, 0.1]
+    t = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(x)], "text string, x array<double>").repartition(5)
+    n, mean = S.cell_sums(t, lambda b: np.array(b.column("x").to_pylist()), ["text", "x"], x[:9], x.std(axis=0))
+    assert len(n) <= 9 and n.sum() == 700 and np.allclose((n[:, None] * mean).sum(axis=0), x.sum(axis=0), atol=1e-2)
+    near = np.argmin((((x[:, None] - x[None, :9]) / x.std(axis=0)) ** 2).sum(axis=2), axis=1)
+    assert n.tolist() == np.bincount(near, minlength=9)[np.unique(near)].tolist()
+
+
+@pytest.mark.parametrize("cells", [50, 4_096])
+def test_few_cells_judge_as_many(spark, cells):
+    """The unlabelled side is summed over all texts: far fewer cells than texts change little."""
+    sf = "/root/testdata/sf0.01"
+    d, l = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = l.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).join(d, "doc_id")
+    model = toxicity.fit_toxicity(queries.learnable(d), queries.learnable(l), cells=cells)
+    rows = toxicity.score_toxicity(held, model).select("score", "toxic").collect()
+    bad, fine = ([r.score for r in rows if (r.toxic or 0) == k] for k in (1, 0))
+    assert np.mean([b > f for b in bad for f in fine]) > 0.93 and np.mean([f >= 0.3 for f in fine]) < 0.05 and np.mean([b >= 0.3 for b in bad]) > 0.6
+
+
+def test_co_training_never_loses(spark):
+    """With few labels and with all, and with few cells for the pool: no fewer right than without rounds; no view weighs against itself."""
+    sf = "/root/testdata/sf0.01"
+    d, l = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = l.where("quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).join(d, "doc_id")
+    pool = queries.learnable(l)
+    for some, cells in ((pool.orderBy(F.xxhash64("doc_id")).limit(100), 4_096), (pool, 4_096), (pool, 60)):
+        right = []
+        for rounds in (0, 4):
+            model = quality.fit_quality(queries.learnable(d), some, rounds=rounds, cells=cells)
+            assert (model.mix[:2] >= 0).all()
+            rows = quality.score_quality(held, model).select("score", "quality").collect()
+            right.append(sum((r.score >= 0.5) == (r.quality > 0) for r in rows))
+        assert right[1] >= right[0]
+
+
 def test_co_training_gains_from_the_other_view():
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 3_000)
