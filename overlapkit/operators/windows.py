@@ -77,24 +77,41 @@ def pad_windows(df: DataFrame, values: str, size: int) -> DataFrame:
     return df.withColumn("valid_len", n.cast("long")).withColumn(values, F.concat(F.coalesce(F.col(values), F.array().cast(df.schema[values].dataType)), zeros))
 
 
-def score_windows(df: DataFrame, fn: Callable[[dict], list[tuple]], key: str, offset: str = "frame_offset") -> DataFrame:
+def score_windows(df: DataFrame, fn: Callable, key: str, offset: str = "frame_offset", batched: bool = False) -> DataFrame:
     """Tokens of every window by a user's function, windows independent of each other.
 
     ``fn(row)`` gives (token_id, position in the window) pairs; positions are moved by the window's
-    ``offset``. A window whose function fails gives one row with ``error`` and no token; the others
-    go on. Returns (key, window_no, ord, token_id, pos, error).
+    ``offset``. With ``batched``, ``fn(batch)`` takes an Arrow batch of windows and gives a list of such
+    lists, one a window, so a model scores many at once; a batch that fails is scored window by window.
+    A window whose function fails gives one row with ``error`` and no token; the others go on. Returns
+    (key, window_no, ord, token_id, pos, error).
     """
     kind = df.schema[key].dataType.simpleString()
 
+    def made(batch: pa.RecordBatch) -> list:
+        """Pairs of each window, or what was raised."""
+        try:
+            if batched:
+                found = list(fn(batch))
+                if len(found) != batch.num_rows:
+                    raise ValueError(f"{len(found)} results for {batch.num_rows} windows")
+                return [[(str(t), int(p)) for t, p in pairs] for pairs in found]
+            if batch.num_rows == 1:
+                return [[(str(t), int(p)) for t, p in fn(batch.to_pylist()[0])]]
+        except Exception as e:  # the user's function may raise anything; the window's row says so
+            if batch.num_rows == 1:
+                return [e]
+        return [x for k in range(batch.num_rows) for x in made(batch.slice(k, 1))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                try:
-                    made = [(row[key], row["window_no"], k, str(t), int(p) + row[offset], None) for k, (t, p) in enumerate(fn(row))]
-                except Exception as e:  # the user's function may raise anything; the window's row says so
-                    made = [(row[key], row["window_no"], None, None, None, f"{type(e).__name__}: {e}")]
-                out += made
+            places = zip(*(batch.column(c).to_pylist() for c in (key, "window_no", offset)), strict=True)
+            for (k, no, at), pairs in zip(places, made(batch), strict=True):
+                if isinstance(pairs, Exception):
+                    out.append((k, no, None, None, None, f"{type(pairs).__name__}: {pairs}"))
+                else:
+                    out += [(k, no, n, t, p + at, None) for n, (t, p) in enumerate(pairs)]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             types = [batch.schema.field(key).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql.types import StructType
 MANIFEST = "struct<default: string, models: map<string, struct<dir_name: string, revision: string, backend: string, min_os: string, assets: map<string, string>>>>"
 
 
+LARGE, PIECE = 1 << 30, 8 << 20  # bytes of a file that is hashed in pieces, and of a piece
+
 _roots: dict[str, object] = {}  # scratch folders of this driver, with their session's settings; deleted when it ends
 
 
@@ -101,18 +105,41 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.withColumn("manifest", F.coalesce(problem.cast(MANIFEST), F.col("manifest")))
 
 
-def scan_artifacts(spark: SparkSession, root: str, full: bool = False, components: list[str] | None = None) -> DataFrame:
+def scan_artifacts(spark: SparkSession, root: str, full: bool = False, components: list[str] | None = None, large: int = LARGE) -> DataFrame:
     """(path, size, sha256) of every file under ``root``, relative to it; the hash at full depth only.
 
-    At quick depth the content column is pruned, so files are listed and not read.
+    At quick depth the content column is pruned, so files are listed and not read. At full depth files up
+    to ``large`` bytes are hashed as cells; larger ones, which a cell can't hold, are opened in the task
+    and hashed in pieces of 8 MB, by pyarrow's file systems.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = files.select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"))
+    if full:
+        cells = files.where(F.col("length") <= large).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+        many = listed.where(F.col("size") > large).select("path", "size").repartition(F.xxhash64("path"))
+        listed = cells.unionByName(many.mapInArrow(_hash_in_pieces, "path string, size long, sha256 string"))
     prefix = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace("path", "^.*?" + "".join("\\" + c if not c.isalnum() and c not in "/_-" else c for c in prefix) + "/", "")
-    out = files.select(path.alias("path"), F.col("length").alias("size"), (F.sha2("content", 256) if full else F.lit(None).cast("string")).alias("sha256"))
+    out = listed.select(path.alias("path"), "size", "sha256")
     return out.where(F.split_part("path", F.lit("/"), F.lit(1)).isin(components)) if components else out
 
 
+def _hash_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        hashes = []
+        for path in batch.column("path").to_pylist():
+            local = path.startswith("file:")
+            store, at = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(at, buffer_size=0) as file:
+                while piece := file.read(PIECE):
+                    digest.update(piece)
+            hashes.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size"), pa.array(hashes, pa.string())], names=["path", "size", "sha256"])
+
+
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -159,3 +186,56 @@ def upsert_by_key(current: DataFrame, new: DataFrame, keys: list[str], version:
         one = current.select(version).unionByName(new.select(version)).agg(F.coalesce(bad, F.lit(False)).alias("_bad"))
         out = out.crossJoin(F.broadcast(one)).where(F.when(F.col("_bad"), F.raise_error(F.lit("upsert: versions differ")).cast("boolean")).otherwise(True)).drop("_bad")  # one row
     return out
+
+
+def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list[str], by: str, version: str | None = None, check: Callable[[DataFrame], DataFrame] | None = None) -> list[str]:
+    """``upsert_by_key`` into the table at ``path``, partitioned by ``by``: only partitions of ``new`` are written.
+
+    A key's partition follows from the key. The touched partitions are read, merged and written to a
+    folder beside the table; what is read back must hold as many rows as were merged and give no rows of
+    ``check``. Then each old partition folder is moved aside and the new one into its place; if a move
+    fails, those before it are undone. Other partitions keep their files. Returns the folders replaced.
+    A ``version`` column must hold one value in the touched partitions and in ``new``; otherwise nothing
+    is written and ValueError is raised. Readers that list the folder between the two moves of a
+    partition miss it (on object stores, where a move is a copy, for longer).
+    """
+    hadoop, root = spark._jvm.org.apache.hadoop.fs.Path, path.rstrip("/")
+    fs, at = _fs(spark, root)
+    if new.isEmpty():
+        return []
+    touched = written(new.select(by).distinct())
+    current = spark.read.parquet(root).select(*new.columns) if fs.exists(at) else new.limit(0)
+    known = current.join(touched.select(F.col(by).alias("_by")), F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+    if version:
+        low, high = known.select(version).unionByName(new.select(version)).agg(F.min(version), F.max(version)).first()
+        if low != high:
+            raise ValueError(f"upsert: versions differ: {low}, {high}")
+    side = f"{root}.partial-{uuid.uuid4().hex}"
+    merged = written(upsert_by_key(known, new, keys))
+    merged.repartition(F.col(by)).write.partitionBy(by).parquet(side)
+    back = spark.read.parquet(side).select(*[F.col(f.name).cast(f.dataType) for f in merged.schema])
+    if back.count() != merged.count() or (check is not None and not check(back).isEmpty()):
+        fs.delete(hadoop(side), True)
+        raise ValueError("upsert: what was written does not verify; nothing is replaced")
+    fs.mkdirs(at)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(hadoop(side)) if x.isDirectory() and "=" in x.getPath().getName())
+    aside, done = f"{root}.old-{uuid.uuid4().hex}", []
+    fs.mkdirs(hadoop(aside))
+    try:
+        for name in names:
+            old = fs.exists(hadoop(f"{root}/{name}"))
+            if old and not fs.rename(hadoop(f"{root}/{name}"), hadoop(f"{aside}/{name}")):
+                raise OSError(f"{name} could not be moved aside")
+            done.append((name, old))
+            if not fs.rename(hadoop(f"{side}/{name}"), hadoop(f"{root}/{name}")):
+                raise OSError(f"{name} could not be moved into place")
+    except Exception:
+        for name, old in reversed(done):
+            fs.delete(hadoop(f"{root}/{name}"), True)
+            if old:
+                fs.rename(hadoop(f"{aside}/{name}"), hadoop(f"{root}/{name}"))
+        raise
+    finally:
+        fs.delete(hadoop(side), True)
+    fs.delete(hadoop(aside), True)
+    return names

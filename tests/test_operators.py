@@ -225,6 +225,55 @@ def test_score_windows_keeps_going(spark):
     assert sorted((r.window_no, r.pos, r.error is None) for r in got) == [(0, 5, True), (1, None, False)]
 
 
+def test_windows_scored_in_batches(spark):
+    """A batch that fails falls back on its windows; only the one at fault has an error."""
+    import pyarrow.compute as pc
+
+    def score(batch):
+        return [[(str(v), k)] for k, v in enumerate(pc.divide(12, batch.column("x")).to_pylist())]
+
+    t = spark.createDataFrame([("a", k, 100 * k, x) for k, x in enumerate([1, 2, 0, 4])], "k string, window_no long, frame_offset long, x long")
+    good = windows.score_windows(t.where("x > 0").coalesce(1), score, "k", batched=True).orderBy("window_no").collect()
+    assert [(r.token_id, r.pos, r.error) for r in good] == [("12", 0, None), ("6", 101, None), ("3", 302, None)]
+    got = windows.score_windows(t.coalesce(1), score, "k", batched=True).orderBy("window_no").collect()
+    assert [(r.token_id, r.error is None) for r in got] == [("12", True), ("6", True), (None, False), ("3", True)]
+    short = windows.score_windows(t.coalesce(1), lambda batch: [], "k", batched=True).collect()
+    assert len(short) == 4 and all("0 results for 1 windows" in r.error for r in short)
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "t" / "m").mkdir(parents=True)
+    (tmp_path / "t" / "m" / "small").write_bytes(b"abc")
+    with open(tmp_path / "t" / "m" / "sparse", "wb") as f:
+        f.truncate(3 << 30)
+    zeros, h = bytes(1 << 24), hashlib.sha256()
+    for _ in range(3 << 6):
+        h.update(zeros)
+    got = {r.path: (r.size, r.sha256) for r in sources.scan_artifacts(spark, str(tmp_path / "t"), full=True).collect()}
+    assert got == {"m/small": (3, hashlib.sha256(b"abc").hexdigest()), "m/sparse": (3 << 30, h.hexdigest())}
+
+
+def test_upsert_writes_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = lambda rows: spark.createDataFrame(rows, "id long, v string, ver long, p string")
+    assert sources.upsert_partitions(spark, path, table([(1, "a", 1, "x"), (2, "b", 1, "x"), (3, "c", 1, "y"), (4, "d", 1, None)]), ["id"], "p", "ver") == ["p=__HIVE_DEFAULT_PARTITION__", "p=x", "p=y"]
+    files = lambda name: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / name).iterdir()}
+    y, x = files("p=y"), files("p=x")
+    assert sources.upsert_partitions(spark, path, table([(2, "B", 1, "x"), (9, "n", 1, "z")]), ["id"], "p", "ver") == ["p=x", "p=z"]
+    assert files("p=y") == y and files("p=x") != x
+    rows = lambda: sorted((r.id, r.v, r.p) for r in spark.read.parquet(path).collect())
+    want = [(1, "a", "x"), (2, "B", "x"), (3, "c", "y"), (4, "d", None), (9, "n", "z")]
+    assert rows() == want
+    with pytest.raises(ValueError, match="versions differ"):
+        sources.upsert_partitions(spark, path, table([(3, "C", 2, "y")]), ["id"], "p", "ver")
+    with pytest.raises(ValueError, match="does not verify"):
+        sources.upsert_partitions(spark, path, table([(3, "bad", 1, "y")]), ["id"], "p", "ver", check=lambda d: d.where("v = 'bad'"))
+    assert rows() == want and {f.name for f in tmp_path.iterdir()} == {"t"}
+    assert sources.upsert_partitions(spark, path, table([]), ["id"], "p") == []
+
+
 def detok(spark, pieces):
     t = spark.createDataFrame([("s", k, p) for k, p in enumerate(pieces)], "k string, ord long, piece string")
     out = tokens.detokenize(t, ["k"]).collect()
