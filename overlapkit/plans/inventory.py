@@ -80,6 +80,16 @@ def s6_upsert_by_key(spark, sf_dir):
     return sources.upsert_by_key(a, new, ["model_id"], "version").select("model_id", "path", "size")
 
 
+def s6_upsert_partitions(spark, sf_dir):
+    """Artifacts in a folder a model; even pages of the first three models come again ten times as large, and one page anew."""
+    a, at = artifacts(spark, sf_dir).select("model_id", "path", "size"), sources.scratch_dir(spark)
+    sources.upsert_partitions(spark, at, a, ["path"], "model_id")
+    new = artifacts(spark, sf_dir).where("cast(model_id as int) < 3 and page_id % 2 = 0").select("model_id", "path", F.col("size") * 10)
+    more = new.groupBy("model_id").agg(F.concat(F.lit("new/"), F.max("path")).alias("path"), F.lit(1).cast("int").alias("size"))
+    sources.upsert_partitions(spark, at, new.toDF(*a.columns).unionByName(more).select("model_id", "path", F.col("size").cast(a.schema["size"].dataType).alias("size")), ["path"], "model_id")
+    return spark.read.schema(a.schema).parquet(at).select("model_id", "path", "size")
+
+
 def g1_flatten_manifest(spark, sf_dir):
     models, _ = inv.flatten_manifest(_manifest(spark, sf_dir))
     return models.groupBy("model_id", "is_default").agg(F.count("*").alias("n"), F.sum("position").cast("long").alias("positions"))
@@ -200,7 +210,7 @@ def g14_manifest_lock_check(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        s2_read_vocab, s3_read_manifest, s4_scan_artifacts, s5_publish_verified, s6_upsert_by_key, g1_flatten_manifest, g2_build_lock, g3_reconcile, g4_in_scope, g5_verify_artifacts, g5_verify_quick,
+        s2_read_vocab, s3_read_manifest, s4_scan_artifacts, s5_publish_verified, s6_upsert_by_key, s6_upsert_partitions, g1_flatten_manifest, g2_build_lock, g3_reconcile, g4_in_scope, g5_verify_artifacts, g5_verify_quick,
         g6_resolve_source, g7_availability, g8_row_actions, g9_deletion_plan, g10_progress_rollup, g11_live_ticks, g11_phase_replay, g11_override_models, g12_quarantine_names, g13_load_settings, g14_manifest_lock_check,
     )
 }
@@ -224,6 +234,8 @@ ORACLE = {
     "s3_read_manifest": f"SELECT model_id, 'r' || page_id AS role, path AS file FROM ({_A})",
     "s6_upsert_by_key": f"""SELECT model_id, path, CASE WHEN model_id::INT < 3 THEN size * 10 ELSE size END AS size FROM ({_A}) WHERE model_id::INT >= 3 OR page_id % 2 = 0
  OR model_id NOT IN (SELECT model_id FROM ({_A}) WHERE model_id::INT < 3 AND page_id % 2 = 0)""".replace("CASE WHEN model_id::INT < 3 THEN", "CASE WHEN model_id::INT < 3 AND page_id % 2 = 0 THEN"),
+    "s6_upsert_partitions": f"""SELECT model_id, path, CASE WHEN model_id::INT < 3 AND page_id % 2 = 0 THEN size * 10 ELSE size END AS size FROM ({_A})
+ UNION ALL SELECT model_id, 'new/' || max(path), 1 FROM ({_A}) WHERE model_id::INT < 3 AND page_id % 2 = 0 GROUP BY 1""",
     "g1_flatten_manifest": f"""SELECT model_id, pos = 0 AS is_default, count(*) AS n, sum(pos)::BIGINT AS positions FROM (SELECT model_id, row_number() OVER (PARTITION BY doc ORDER BY model_id) - 1 AS pos
  FROM (SELECT DISTINCT page_id // 100 AS doc, model_id FROM ({_A}))) GROUP BY ALL""",
     "g2_build_lock": f"SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY path) - 1 AS file_no, path, size, sha256, (sum(size) OVER (PARTITION BY model_id))::BIGINT AS total_bytes FROM ({_A})",

@@ -62,6 +62,23 @@ def b4_score_windows(spark, sf_dir):
     return windows.score_windows(w, score, KEY)
 
 
+def b4_score_batched(spark, sf_dir):
+    """The same scorer, an Arrow batch of windows at a time; batches that fail are scored window by window."""
+    t = fx.window_tokens(spark, sf_dir, noisy=True)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"])
+    w = t.groupBy(KEY, "window_no").agg(words.alias("words"), F.min("pos").alias("frame_offset"))
+
+    def score(batch):
+        found = []
+        for words in batch.column("words").to_pylist():
+            if words[0] == "zz":
+                raise ValueError("first word lost")
+            found.append([(f"{len(x)}:{x}", k) for k, x in enumerate(words)])
+        return found
+
+    return windows.score_windows(w, score, KEY, batched=True)
+
+
 def b5_stamp_positions(spark, sf_dir):
     t = fx.window_tokens(spark, sf_dir)
     t = t.select(KEY, "window_no", "ord", (F.col("pos") - F.col("ord")).alias("frame_offset"), F.lit(50).cast("long").alias("valid_frames"))
@@ -148,7 +165,7 @@ def d9_table_diff(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        entry_merge_round_trip, b1_plan_windows, b1_plan_windows_aligned, b2_assign_windows, b2_assign_irregular, b3_pad_windows, b4_score_windows, b5_stamp_positions,
+        entry_merge_round_trip, b1_plan_windows, b1_plan_windows_aligned, b2_assign_windows, b2_assign_irregular, b3_pad_windows, b4_score_windows, b4_score_batched, b5_stamp_positions,
         c1_piece_info, c2_detokenize, c3_byte_fallback_runs, c4_segment_words, c5_word_core, d1_overlap_slices, d2_longest_common_run, d3_splice_pairs,
         d4_merge_windows, d5_segments, d6_confirmed_split, d7_seam_audit, d8_phrase_audit, d9_table_diff,
     )
@@ -212,3 +229,4 @@ ORACLE = {
  j AS (SELECT CASE WHEN b.k IS NULL THEN 'missing_right' WHEN abs(a.n - b.n) <= 0.5 THEN 'match' ELSE 'differs' END AS status, abs(a.n - b.n) AS d FROM a LEFT JOIN b ON a.k = b.k)
  SELECT status, count(*) AS n, round(avg(d), 6) AS mean_delta, round(max(d), 6) AS max_delta FROM j GROUP BY 1""",
 }
+ORACLE["b4_score_batched"] = ORACLE["b4_score_windows"]

@@ -204,7 +204,7 @@ def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list
     if new.isEmpty():
         return []
     touched = written(new.select(by).distinct())
-    current = spark.read.parquet(root).select(*new.columns) if fs.exists(at) else new.limit(0)
+    current = spark.read.schema(new.schema).parquet(root).select(*new.columns) if fs.exists(at) else new.limit(0)
     known = current.join(touched.select(F.col(by).alias("_by")), F.col(by).eqNullSafe(F.col("_by")), "left_semi")
     if version:
         low, high = known.select(version).unionByName(new.select(version)).agg(F.min(version), F.max(version)).first()
@@ -213,7 +213,7 @@ def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list
     side = f"{root}.partial-{uuid.uuid4().hex}"
     merged = written(upsert_by_key(known, new, keys))
     merged.repartition(F.col(by)).write.partitionBy(by).parquet(side)
-    back = spark.read.parquet(side).select(*[F.col(f.name).cast(f.dataType) for f in merged.schema])
+    back = spark.read.schema(new.schema).parquet(side).select(*new.columns)
     if back.count() != merged.count() or (check is not None and not check(back).isEmpty()):
         fs.delete(hadoop(side), True)
         raise ValueError("upsert: what was written does not verify; nothing is replaced")
