@@ -83,7 +83,7 @@ def fold_rows(df: DataFrame, keys: list[str], order: list[str], start: Callable[
             out = []
             for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
-                if key != at or not state:
+                if key != at:
                     at, state = key, start()
                 out += step(state, row)
             yield pa.RecordBatch.from_pylist(out, schema=out_schema)

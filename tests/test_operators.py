@@ -359,6 +359,19 @@ def test_downmix_argmax_cadence(spark):
     assert [r.t for r in series.cadence_thin(c, "k", ["t"], "t", 10).orderBy("t").collect()] == [1, 11]
 
 
+def test_folds_start_once_a_key(spark):
+    """From an empty state too, and for a null key."""
+    from overlapkit.functions import fold_rows
+
+    def step(state, row):
+        state["n"] = state.get("n", 0) + 1
+        return [{"k": row["k"], "n": state["n"]}]
+
+    t = spark.createDataFrame([(k, i) for k in ("a", "b", None) for i in range(5)], "k string, i long")
+    got = sorted(map(repr, map(tuple, fold_rows(t, ["k"], ["i"], dict, step, "k string, n long").collect())))
+    assert got == sorted(map(repr, [(k, n + 1) for k in ("a", "b", None) for n in range(5)]))
+
+
 @pytest.mark.parametrize("seed", [1, 42, 12345, 999999, 0xDEADBEEF])
 def test_dispatch_never_opens_twice(spark, seed):
     rng = random.Random(seed)
