@@ -41,31 +41,37 @@ def plan_windows(
     return rows.select(key, "window_no", "start", length.cast("long").alias("len"), F.floor(F.col("start") / align).cast("long").alias("frame_offset"), *keep)
 
 
+LEVEL, STEP = 7, 4  # windows of up to 2^7 elements share bins of that width, longer ones bins of 2^11, 2^15 and so on
+
+
 def assign_windows(elements: DataFrame, windows: DataFrame, key: str, idx: str = "idx", stride: int | None = None, size: int | None = None) -> DataFrame:
     """Every element with every window that holds it: start <= idx < start + len.
 
-    With ``size`` and ``stride`` (the plan's advance) the windows that can hold an element follow
-    from its place, so the join is on (key, window_no) and nothing is compared by range but the last
-    window's bounds. Windows of any places and lengths are joined by bins: a window of up to 2^k
-    elements lies in one or two bins of 2^k, an element in one bin of each width that some window has
-    (64 at most), and they meet on (key, k, bin), once. An element so meets only windows that begin or
-    end within their own length of it.
+    Elements are dealt to bins by their place, each once, and windows to every bin they reach into; both
+    meet on (key, bin), and the bounds decide. With ``size`` and ``stride`` (the plan's advance) a bin is four
+    strides, so an element meets the few windows that follow from its place. Windows of any places and
+    lengths lie in one or two bins of 2^7 elements, or of 2^11, 2^15 and so on for longer ones; an element is
+    copied only for each further width that some window has (16 at most).
     """
-    w = windows.select(F.col(key).alias("_key"), F.col("window_no").alias("_no"), "start", "len")
+    w = windows.select(F.col(key).alias("_key"), F.col("window_no").alias("_no"), "start", "len").where("start is not null and len > 0")
     inside = (F.col(idx) >= F.col("start")) & (F.col(idx) < F.col("start") + F.col("len"))
+    e = elements.where(F.col(idx).isNotNull())
+    at = f"cast(floor(`{idx}`) as bigint)"
     if stride is None or size is None:
-        w = w.where("start is not null and len > 0").withColumn("_level", F.length(F.bin(F.col("len") - 1)))
-        levels = sorted(r["_level"] for r in w.select("_level").distinct().collect())  # 64 at most
-        place = lambda at: F.expr(f"shiftright({at}, _level)")
-        w = w.withColumn("_bin", F.explode(F.array_distinct(F.array(place("start"), place("start + len - 1")))))
-        e = elements.where(F.col(idx).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, levels or [0]))))
-        e = e.withColumn("_bin", place(f"cast(`{idx}` as bigint)")).withColumnsRenamed({"_level": "_l", "_bin": "_b"})
+        over = F.greatest(F.length(F.bin(F.col("len") - 1)) - LEVEL, F.lit(0))
+        w = w.withColumn("_level", (F.ceil(over / STEP) * STEP + LEVEL).cast("int"))
+        w = w.withColumn("_level", F.least("_level", F.lit(63)))
+        levels = sorted(r["_level"] for r in w.select("_level").distinct().collect()) or [LEVEL]  # 16 at most
+        place = lambda x, level: F.expr(f"shiftright({x}, {level})")
+        w = w.withColumn("_bin", F.explode(F.array_distinct(F.array(place("start", "_level"), place("start + len - 1", "_level")))))
+        e = e.withColumn("_l", F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels))))
+        e = e.withColumn("_b", place(at, "_l"))
         on = (F.col(key) == F.col("_key")) & (F.col("_l") == F.col("_level")) & (F.col("_b") == F.col("_bin"))
         return e.join(w, on & inside).withColumnRenamed("_no", "window_no").drop("_key", "_level", "_bin", "_l", "_b")
-    first = F.greatest(F.floor((F.col(idx) - size) / stride) + 1, F.lit(0)).cast("long")
-    last = (F.floor(F.col(idx) / stride) + 1).cast("long")  # one on: the last window is moved back to the end
-    e = elements.withColumn("window_no", F.explode(F.sequence(first, last)))
-    return e.join(w, (F.col(key) == F.col("_key")) & (F.col("window_no") == F.col("_no")) & inside).drop("_key", "_no")
+    place = lambda x: F.expr(f"({x} - pmod({x}, {4 * stride}L)) div {4 * stride}L")
+    w = w.withColumn("_bin", F.explode(F.sequence(place("start"), place("(start + len - 1)"))))
+    e = e.withColumn("_b", place(at))
+    return e.join(w, (F.col(key) == F.col("_key")) & (F.col("_b") == F.col("_bin")) & inside).withColumnRenamed("_no", "window_no").drop("_key", "_bin", "_b")
 
 
 def pad_windows(df: DataFrame, values: str, size: int) -> DataFrame:

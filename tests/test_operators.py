@@ -207,6 +207,20 @@ def test_many_windows_on_one_key(spark):
     assert windows.assign_windows(e, w, "k").count() == w.agg(F.sum(F.least(F.col("len"), 300_000 - F.col("start")))).first()[0]
 
 
+def test_elements_are_dealt_to_windows_once(spark):
+    """No element is copied for the windows that may hold it: windows are, and by as many bins as they reach into."""
+    w = windows.plan_windows(spark.range(1, 40).select(F.col("id").alias("k"), (F.col("id") * 9).alias("n")), "k", "n", 40, 12, 1)
+    e = spark.range(1, 40).select(F.col("id").alias("k"), F.explode(F.expr("sequence(0L, id * 9 - 1)")).alias("idx")).localCheckpoint()
+    want = w.select(F.sum("len")).first()[0]
+    for options in ({}, {"stride": 28, "size": 40}):
+        joined = windows.assign_windows(e, w, "k", **options)
+        assert joined.count() == want
+        assert joined._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # the plan's and the bins'
+    wide = spark.createDataFrame([(3, k, a, n) for k, (a, n) in enumerate([(-5, 3_000_000_000), (2, 1), (0, 129), (20, 2_500), (26, 1), (27, 5)])], "k long, window_no long, start long, len long")
+    got = {r.window_no: r["count"] for r in windows.assign_windows(e, wide, "k").groupBy("window_no").count().collect()}
+    assert got == {0: 27, 1: 1, 2: 27, 3: 7, 4: 1}
+
+
 def test_equal_tables_join_no_rows(spark):
     a = spark.range(5_000).select("id", (F.col("id") % 97).cast("double").alias("v"), F.when(F.col("id") % 5 > 0, F.col("id") / 3).alias("u"))
     assert [tuple(r) for r in seams.diff_summary(seams.table_diff(a, a.orderBy(F.desc("id")), ["id"], ["v"])).collect()] == [("match", 5_000, 0.0, 0.0)]
