@@ -6,29 +6,37 @@ from pyspark.sql import functions as F
 
 from overlapkit import streaming as st
 from overlapkit.functions import micros
+from overlapkit.operators import windows
 from overlapkit.plans import fixtures as fx
 from overlapkit.plans import inventory, read, seams, sessions
 from overlapkit.sources import read_frames, scratch_dir
 
 
 KEY = "series_id"
-FILES = 2  # in a part, and in a micro-batch
+FILES, FILE_ROWS = 2, 5_000  # least number of files in a part and a micro-batch, and of rows in a file of a larger one
 
 
-def _in_parts(spark, rows, parts, closing=None):
+def _in_parts(spark, rows, parts, closing=None, counted=None):
     """``rows`` as a stream, a micro-batch a condition of ``parts``, written to a folder one after the other.
 
-    ``closing``: days after the last ``ts`` at which rows without any other value come as a part of
-    their own, and once more after as many: they move the watermark past all that waits.
+    Every part has as many files, which grow with the smallest one (``counted``: rows that are counted in
+    their place) up to the number of shuffle partitions. ``closing``: days after the last ``ts`` at which rows
+    without any other value come as a part of their own, and once more after as many: they move the
+    watermark past all that waits.
     """
     at = scratch_dir(spark)
+    found = (rows if counted is None else counted).agg(*[F.count_if(part) for part in parts]).first()
+    files = max(FILES, min(min(found) // FILE_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for part in parts:
-        rows.where(part).repartition(FILES).write.mode("append").parquet(at)
+        rows.where(part).repartition(files).write.mode("append").parquet(at)
+    if closing:
+        last = rows.schema["ts"].dataType
+        end = spark.read.schema(rows.schema).parquet(at).agg(F.max("ts").alias("ts"))  # one row
     for k in (1, 2) if closing else ():
-        end = rows.agg((F.max("ts") + F.expr(f"interval {k * closing} days")).alias("ts")).crossJoin(spark.range(FILES))
-        end = end.select(*[F.col("ts").cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
-        end.repartition(FILES).write.mode("append").parquet(at)
-    return read_frames(spark, at, rows.schema, streaming=True, files=FILES).withColumn("ts", F.col("ts").cast("timestamp"))
+        copies = spark.range(0, files, 1, files).crossJoin(F.broadcast(end.select((F.col("ts") + F.expr(f"interval {k * closing} days")).alias("ts"))))
+        copies = copies.select(*[F.col("ts").cast(last) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        copies.write.mode("append").parquet(at)
+    return read_frames(spark, at, rows.schema, streaming=True, files=files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _stream(spark, sf_dir, closing=None, late=False):
@@ -89,7 +97,8 @@ def st3_stream_splice(spark, sf_dir):
     """The windows of every document, scored apart, as a stream in which every third one comes late; spliced in state."""
     w = fx.window_arrays(spark, sf_dir).select(KEY, F.timestamp_seconds((F.col("window_no") + 1) * 60).alias("ts"), "window_no", "toks")
     late = F.col("window_no") % 3 == 1
-    rows = st.run_available(st.stream_splice(_in_parts(spark, w, (~late, late), closing=30), KEY, fx.OVERLAP, 0), "append")
+    plan = windows.plan_windows(fx.lengths(spark, sf_dir), KEY, "n", fx.W, fx.OVERLAP, 1).where("len > 0")
+    rows = st.run_available(st.stream_splice(_in_parts(spark, w, (~late, late), closing=30, counted=plan), KEY, fx.OVERLAP, 0), "append")
     return st.spliced_text(rows, KEY)
 
 

@@ -10,12 +10,14 @@ is forgotten, also by a timer. Windowed aggregations drop their state by the wat
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -83,72 +85,96 @@ def stream_utterances(df: DataFrame, key: str, ts: str, active: str = "active",
     return df.withWatermark(ts, delay).where(on).groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("n"))
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    return pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+
+
+def _rows(blob: bytes) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in pa.ipc.open_stream(blob).read_all().columns), strict=True)
+
+
+GROUPS = 512  # of keys, which share calls to the state store
+
+
 class _InOrder(StatefulProcessor):
-    """Rows of a key in the order of (us, event_id), each once the watermark is past it.
+    """Rows of each key in the order of (us, event_id), each once the watermark is past it.
 
-    Subclasses open their state, say what a run of released rows gives (``fold``), and how a silent key
-    ends (``expire``). ``columns`` are those of a waiting row after us and event_id. One timer a key is
-    enough: the earliest waiting row's, or the one that ends its silence.
+    Keys are dealt to groups; a group's waiting rows of a micro-batch are one value in the state store, as
+    Arrow, and its keys' states are another: calls to the store and values in it are few. ``columns`` are those of a waiting row
+    after key, us and event_id. Subclasses say what a run of released rows gives and what they make of a
+    key's state (``fold``; a state is whatever JSON holds, None at first), and how a silent key ends
+    (``expire``). One timer a group is enough: the earliest waiting row's, or the first that ends a silence.
     """
 
     def __init__(self, schema: str, out: list[str], idle_ms: int):
-        self.schema, self.out, self.idle = schema, out, idle_ms
-        self.names = [f.strip().split(" ")[0] for f in schema.split(",")]
+        self.out, self.idle = out, idle_ms
+        self.names = ["key", *(f.strip().split(" ")[0] for f in schema.split(","))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.clock = handle.getValueState("clock", "timer long, last long")
-        self.open(handle)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.kept = handle.getValueState("kept", "rows binary")
+        self.clock = handle.getValueState("clock", "timer long")
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
+    def fold(self, key, state, rows: list[tuple]) -> tuple[object, list[tuple]]:
         raise NotImplementedError
 
-    def fold(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        raise NotImplementedError
-
-    def expire(self, key: tuple) -> list[tuple]:
-        raise NotImplementedError
-
-    def _wake(self, at: int, last: int) -> None:
-        timer = self.clock.get()[0] if self.clock.exists() else None
-        if timer is None or at != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(at)
-        self.clock.update((at, last))
+    def expire(self, key, state) -> list[tuple]:
+        return []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        timer, last = tuple(self.clock.get()) if self.clock.exists() else (None, None)
+        first = None
         for part in rows:
-            part = part[self.names].astype(object).where(part[self.names].notna(), None)
-            fresh = [(int(r[0]), int(r[1]), *r[2:]) for r in part.itertuples(index=False, name=None)]
-            if not fresh:
-                continue
-            self.waiting.appendList(fresh)
-            first, newest = min(r[0] for r in fresh), max(r[0] for r in fresh)
-            last = newest if last is None else max(last, newest)
-            timer = -(-first // 1000) if timer is None else min(timer, -(-first // 1000))
-        if timer is not None:
-            self._wake(timer, last)
+            if len(part):
+                self.waiting.appendValue((_packed(pa.Table.from_pandas(part[self.names], preserve_index=False)),))
+                least = int(part["us"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            timer, at = self.clock.get()[0] if self.clock.exists() else None, -(-first // 1000)
+            if timer is None or at < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(at)
+                self.clock.update((at,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        timer, last = tuple(self.clock.get())
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        out = self.fold(key, due) if due else []
+        passed, due, later = timerValues.getCurrentWatermarkInMs() * 1000, {}, []
+        for (blob,) in self.waiting.get() if self.waiting.exists() else ():
+            for r in _rows(blob):
+                due.setdefault(r[0], []).append(r[1:]) if r[1] <= passed else later.append(r)
+        before = {r[0]: r[1:] for r in (_rows(self.kept.get()[0]) if self.kept.exists() else ())}
+        out, kept, waits = [], [], {r[0] for r in later}
+        wake = [-(-r[1] // 1000) for r in later]
+        for k in dict.fromkeys([*before, *due]):
+            last, held = before.get(k, (None, None))
+            state = json.loads(held) if held is not None else None
+            if k in due:
+                rows = sorted(due[k], key=lambda r: (r[:2], [(x is not None, x) for x in r[2:]]))
+                state, made = self.fold(k, state, rows)
+                out += made
+                last, held = rows[-1][0] if last is None else max(last, rows[-1][0]), json.dumps(state)
+            if k not in waits and passed >= last + self.idle * 1000:
+                out += self.expire(k, state)
+                continue
+            kept.append((k, last, held))
+            if k not in waits:
+                wake.append(-(-last // 1000) + self.idle)
         if due:
-            self.waiting.put(later) if later else self.waiting.clear()
-        self.clock.update((None, last))  # the timer that fired is gone
-        if later:
-            self._wake(-(-later[0][0] // 1000), last)
-        elif passed >= last + self.idle * 1000:
-            out += self.expire(key)
-            self.clock.clear()
+            self.waiting.put([(_packed(_table(later, self.names)),)]) if later else self.waiting.clear()
+        self.kept.update((_packed(_table(kept, ["key", "last", "state"])),)) if kept else self.kept.clear()
+        if wake:  # the timer that fired is gone
+            self.handle.registerTimer(min(wake))
+            self.clock.update((min(wake),))
         else:
-            self._wake(-(-last // 1000) + self.idle, last)
+            self.clock.clear()
         if out:
             yield pd.DataFrame(out, columns=self.out)
 
@@ -162,28 +188,22 @@ def _in_order(processor: type[_InOrder], events: DataFrame, key: str, columns: d
     # a predicate that reads ``ts`` stays above the watermark, which all rows move
     real = F.when(F.col("ts").isNotNull(), F.col("event_id").isNotNull() & F.col(need).isNotNull())
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).where(real)
-    rows = rows.select(key, "ts", us.alias("us"), F.col("event_id").cast("long").alias("event_id"), *[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+    # rows without a key are a group of their own, so that whole numbers stay whole in pandas
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS))).cast("int")
+    rows = rows.select(group.alias("_group"), "ts", F.col(key).alias("key"), us.alias("us"), F.col("event_id").cast("long").alias("event_id"), *[F.col(c).cast(t).alias(c) for c, t in columns.items()])
     waiting = ", ".join(["us long", "event_id long", *(f"{c} {t}" for c, t in columns.items())])
     made = processor(waiting, [f.strip().split(" ")[0] for f in out.split(",")], int(idle_days * 86_400_000), *args)
-    return rows.groupBy(key).transformWithStateInPandas(made, out, "Append", "EventTime")
+    return rows.groupBy("_group").transformWithStateInPandas(made, out, "Append", "EventTime")
 
 
 class _Stale(_InOrder):
-    def open(self, handle):
-        self.state = handle.getValueState("state", "tracking boolean")
-
-    def fold(self, key, rows):
-        tracking, out = bool(self.state.exists() and self.state.get()[0]), []
+    def fold(self, key, state, rows):
+        tracking, out = bool(state), []
         for _, event_id, kind in rows:
             if kind == "SessionCompleted":
-                out.append((key[0], event_id, not tracking))
+                out.append((key, event_id, not tracking))
             tracking = True if kind == "SessionStarted" else False if kind in ("SessionCompleted", "Error") else tracking
-        self.state.update((tracking,))
-        return out
-
-    def expire(self, key):
-        self.state.clear()
-        return []
+        return tracking, out
 
 
 def stream_drop_stale(events: DataFrame, delay: str = "1 day", idle_days: float = 30) -> DataFrame:
@@ -192,21 +212,13 @@ def stream_drop_stale(events: DataFrame, delay: str = "1 day", idle_days: float
 
 
 class _Latch(_InOrder):
-    def open(self, handle):
-        self.state = handle.getValueState("state", "live boolean")
-
-    def fold(self, key, rows):
-        live, out = bool(self.state.exists() and self.state.get()[0]), []
+    def fold(self, key, state, rows):
+        live, out = bool(state), []
         for _, event_id, kind in rows:
             live = True if kind == "start" else False if kind in ("done", "failed") else live
             if kind == "progress":
-                out.append((key[0], event_id, live))
-        self.state.update((live,))
-        return out
-
-    def expire(self, key):
-        self.state.clear()
-        return []
+                out.append((key, event_id, live))
+        return live, out
 
 
 def stream_terminal_latch(events: DataFrame, delay: str = "1 day", idle_days: float = 30) -> DataFrame:
@@ -215,32 +227,17 @@ def stream_terminal_latch(events: DataFrame, delay: str = "1 day", idle_days: fl
 
 
 class _Progress(_InOrder):
-    """Latest bytes of each file in a map, and their running sum, so that no event sums anew."""
-
-    def open(self, handle):
-        self.files = handle.getMapState("files", "file string", "bytes long")
-        self.total = handle.getValueState("total", "received long")
+    """Latest bytes of each file, and their running sum, so that no event sums anew."""
 
-    def fold(self, key, rows):
-        received = self.total.get()[0] if self.total.exists() else 0
-        last: dict[str, int] = {}
+    def fold(self, key, state, rows):
+        received, files = state or (0, {})
         out = []
         for _, event_id, file, size in rows:
-            if file not in last:
-                last[file] = self.files.getValue((file,))[0] if self.files.containsKey((file,)) else 0
             if size is not None:
-                received += int(size) - last[file]
-                last[file] = int(size)
-            out.append((key[0], event_id, received))
-        for file, value in last.items():
-            self.files.updateValue((file,), (value,))
-        self.total.update((received,))
-        return out
-
-    def expire(self, key):
-        self.files.clear()
-        self.total.clear()
-        return []
+                received += int(size) - files.get(file, 0)
+                files[file] = int(size)
+            out.append((key, event_id, received))
+        return (received, files), out
 
 
 def stream_progress(deltas: DataFrame, delay: str = "1 day", idle_days: float = 30) -> DataFrame:
@@ -261,19 +258,14 @@ class _Transcript(_InOrder):
         super().__init__(schema, out, idle_ms)
         self.window, self.overlap, self.interval, self.pause = window, overlap, interval_us, pause_us
 
-    def open(self, handle):
+    def fold(self, key, state, rows):
         # shown: tokens at the tail's start that a pause has promoted; flushed: no speech since the last promotion
-        self.state = handle.getValueState("state", "open boolean, committed long, shown long, ran_us long, spoke_us long, spoke boolean, flushed boolean, event_id long")
-        self.tail = handle.getListState("tail", "token string")
-
-    def fold(self, key, rows):
         fresh = (False, 0, 0, None, None, False, True)
-        is_open, committed, shown, ran, spoke_at, spoke, flushed = tuple(self.state.get())[:7] if self.state.exists() else fresh
-        tail = [t[0] for t in self.tail.get()] if self.tail.exists() else []
+        (is_open, committed, shown, ran, spoke_at, spoke, flushed), _, tail = state or (fresh, None, [])
         out = []
 
         def emit(event_id: int, kind: str, confirmed: list[str]) -> None:
-            out.append((key[0], event_id, kind, committed, " ".join(confirmed), " ".join(tail[shown:])))
+            out.append((key, event_id, kind, committed, " ".join(confirmed), " ".join(tail[shown:])))
 
         for now, event_id, event_type, recoverable, token in rows:
             if event_type == "SessionStarted":
@@ -311,20 +303,11 @@ class _Transcript(_InOrder):
             if not in_this_block and spoke and (ran is None or now - ran >= self.interval):
                 emit(event_id, "partial", [])
                 ran, spoke = now, False
-        self.state.update((is_open, committed, shown, ran, spoke_at, spoke, flushed, rows[-1][1]))
-        self.tail.put([(t,) for t in tail]) if tail else self.tail.clear()
-        return out
+        return ((is_open, committed, shown, ran, spoke_at, spoke, flushed), rows[-1][1], tail), out
 
-    def expire(self, key):
-        out = []
-        if self.state.exists():
-            is_open, committed, shown, *_, event_id = tuple(self.state.get())
-            tail = [t[0] for t in self.tail.get()] if self.tail.exists() else []
-            if is_open:
-                out.append((key[0], event_id, "unexpected end", committed, "", " ".join(tail[shown:])))
-        self.state.clear()
-        self.tail.clear()
-        return out
+    def expire(self, key, state):
+        (is_open, committed, shown, *_), event_id, tail = state
+        return [(key, event_id, "unexpected end", committed, "", " ".join(tail[shown:]))] if is_open else []
 
 
 def stream_transcript(
@@ -381,6 +364,7 @@ def _words(tokens: list[Token], start: int, end: int) -> list[tuple[int, int, st
     return [(k, p, _core(w)) for k, p, w in out]
 
 
+@functools.lru_cache(1 << 16)
 def _core(word: str) -> str:
     kept = [k for k, c in enumerate(word) if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Mn", "Mc")]
     return word[kept[0] : kept[-1] + 1].lower() if kept else ""
@@ -393,31 +377,19 @@ class _Splice(_InOrder):
         super().__init__(schema, out, idle_ms)
         self.search, self.tolerance = search, tolerance
 
-    def open(self, handle):
-        self.tail = handle.getListState("tail", "piece string, initial boolean, pos long")
-        self.before = handle.getValueState("before", "n long")
-
-    def fold(self, key, rows):
-        tail = [tuple(t) for t in self.tail.get()] if self.tail.exists() else []
-        before = self.before.get()[0] if self.before.exists() else 0
+    def fold(self, key, state, rows):
+        before, tail = state or (0, [])
         out = []
         for _, window_no, toks in rows:
-            fresh = [(t["piece"], t["initial"], t["pos"]) for t in json.loads(toks or "[]")]
+            fresh = list(zip(*json.loads(toks), strict=True)) if toks else []
             keep, start = splice(tail, fresh, self.search, self.tolerance) if tail and fresh else (len(tail), 0)
-            out.append((key[0], window_no, start, before + keep, [t[0] for t in fresh[start:]]))
+            out.append((key, window_no, start, before + keep, [t[0] for t in fresh[start:]]))
             tail = tail[:keep] + fresh[start:]
             # a seam reaches ``search`` back from the end, which a run may have put back by as much and the tolerance
             far = 4 * (self.search + self.tolerance)
             reach = max((k for k, t in enumerate(tail) if t[2] + far < tail[-1][2]), default=0)
             before, tail = before + reach, tail[reach:]
-        self.tail.put(tail) if tail else self.tail.clear()
-        self.before.update((before,))
-        return out
-
-    def expire(self, key):
-        self.tail.clear()
-        self.before.clear()
-        return []
+        return (before, tail), out
 
 
 def stream_splice(windows: DataFrame, key: str, search: int, tolerance: int, delay: str = "1 day", idle_days: float = 30) -> DataFrame:
@@ -430,11 +402,18 @@ def stream_splice(windows: DataFrame, key: str, search: int, tolerance: int, del
     and ``tolerance`` of the end (windows that step further back than that are spliced at what is held).
     """
     kind = windows.schema[key].dataType.simpleString()
-    rows = windows.withColumnRenamed("window_no", "event_id").withColumn("toks", F.to_json("toks", {"ignoreNullFields": "false"}))
+    rows = windows.withColumnRenamed("window_no", "event_id").withColumn("toks", _token_lists(F.col("toks")))
     out = f"{key} {kind}, window_no long, append_from long, start long, fresh array<string>"
     return _in_order(_Splice, rows, key, {"toks": "string"}, out, delay, idle_days, search, tolerance)
 
 
+def _token_lists(toks: Column) -> Column:
+    """[pieces, whether they begin words, positions] as JSON: field names are not repeated with every token."""
+    text = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    begins = F.transform(toks, lambda t: F.coalesce(t["initial"], F.lit(False)).cast("int"))
+    return F.concat(F.lit("["), text(F.col("toks.piece")), F.lit(","), text(begins), F.lit(","), text(F.col("toks.pos")), F.lit("]"))
+
+
 def spliced_text(rows: DataFrame, key: str, separator: str = " ") -> DataFrame:
     """(key, n_tokens, text) of ``stream_splice`` rows: what each window added, less what a later one's start cuts off."""
     later = Window.partitionBy(key).orderBy(F.desc("window_no")).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,12 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from overlapkit import sources
+from overlapkit import sources, streaming
 from overlapkit.functions import normalize_samples, normalize_spaces, word_core, word_initial
 from overlapkit.operators import inventory, seams, series, sessions, text, tokens, windows
+from overlapkit.plans import streaming as streaming_plans
 
 
 def window_rows(*streams):
@@ -546,3 +548,55 @@ def test_sources(spark, tmp_path):
     a = spark.createDataFrame([(1, 1), (2, 1)], "k long, version int")
     with pytest.raises(Exception, match="versions differ"):
         sources.upsert_by_key(a, a.withColumn("version", F.lit(2)), ["k"], "version").collect()
+
+
+def test_keys_of_a_group_share_calls_to_the_state_store():
+    """A thousand keys in a micro-batch are one value in state, not calls for each."""
+    calls = []
+
+    class Cell:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("put", "update", "appendValue"):
+                    self.held = list(args[0]) if name == "put" else [*(self.held if name == "appendValue" else []), args[0]]
+                if name == "clear":
+                    self.held = []
+                return {"exists": bool(self.held), "get": self.held[0] if self.held and self is handle.clock else self.held}.get(name)
+
+            return call
+
+    class Handle:
+        clock = Cell()
+
+        def getListState(self, *args):
+            return Cell()
+
+        def getValueState(self, name, *args):
+            return self.clock if name == "clock" else Cell()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+        deleteTimer = registerTimer
+
+    handle = Handle()
+    p = streaming._Stale("us long, event_id long, event_type string", ["user_id", "event_id", "stale"], 86_400_000)
+    p.init(handle)
+    rows = pd.DataFrame({"key": range(1_000), "us": range(5_000_000, 5_001_000), "event_id": range(1_000), "event_type": ["SessionStarted", "SessionCompleted"] * 500})
+    assert list(p.handleInputRows((0,), iter([rows]), None)) == []
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 6_000})()
+    (out,) = p.handleExpiredTimer((0,), now, None)
+    assert list(out["user_id"]) == list(range(1, 1_000, 2)) and out["stale"].all() and len(calls) < 20
+
+
+def test_parts_of_a_stream_are_files_by_their_rows(spark, monkeypatch):
+    """A micro-batch is one part, in as many files as its rows ask for, up to the shuffle partitions."""
+    monkeypatch.setattr(streaming_plans, "FILE_ROWS", 100)
+    rows = spark.range(900).select(F.timestamp_seconds("id").alias("ts"), F.col("id").cast("long"))
+    s = streaming_plans._in_parts(spark, rows, (F.col("id") < 300, F.col("id") >= 300), closing=1)
+    sizes = streaming.run_available(s, "append").groupBy("batch").agg(F.count("*").alias("n"), F.count("id").alias("ids")).orderBy("batch").collect()
+    assert [(r.n, r.ids) for r in sizes] == [(300, 300), (600, 600), (3, 0), (3, 0)]
