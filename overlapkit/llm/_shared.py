@@ -199,12 +199,13 @@ def pooled(weights: np.ndarray, texts: list[bytes], bits: int) -> np.ndarray:
 UNIT = 1 << 16  # features are summed as whole numbers of 1 / UNIT, so that no order of tasks changes a sum
 
 
-def cell_sums(rows: DataFrame, features, columns: list[str], centres: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cell_sums(rows: DataFrame, features, columns: list[str], centres: np.ndarray, scale: np.ndarray, without: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(number of rows, mean features) of each cell that has rows, over all rows.
 
     A row falls to the nearest of ``centres`` (in units of ``scale``); ``features(batch)`` gives a batch's
     vectors, ``columns[0]`` is its text. Counts and sums are combined within tasks, then by cell: at most
-    ``len(centres)`` rows reach the driver, however many were summed.
+    ``len(centres)`` rows reach the driver, however many were summed. Rows whose ``id`` is in ``without`` do
+    not count: cells and features are joined with it then, not the texts.
     """
     spark, dims = rows.sparkSession, centres.shape[1]
     shared = spark.sparkContext.broadcast((centres / scale, scale))  # a bounded sample's vectors
@@ -224,7 +225,22 @@ def cell_sums(rows: DataFrame, features, columns: list[str], centres: np.ndarray
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), *(pa.array(sums[some, k]) for k in range(dims))], names=["cell", "n", *names])
 
-    made = rows.select(*columns).mapInArrow(add, ", ".join(["cell long", "n long", *(f"{x} long" for x in names)]))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, unit = shared.value
+        half = (at**2).sum(axis=1) / 2
+        for batch in slices(batches, columns[0], 1_000_000):
+            x = features(batch)
+            cell = np.concatenate([np.argmax((x[a : a + 4_096] / unit) @ at.T - half, axis=1) for a in range(0, len(x), 4_096)])
+            values = pa.array(np.rint(x * UNIT).astype(np.int64).ravel())
+            held = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dims), values)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell), held], names=["id", "cell", "x"])
+
+    if without is not None:
+        placed = rows.select("id", *columns).mapInArrow(place, schema_of(rows, ["id"], cell="long", x="array<long>"))
+        # sorted on both sides at every size, so that shuffled bytes grow as the rows do
+        made = placed.join(without.hint("merge"), "id", "left_anti").select("cell", F.lit(1).cast("long").alias("n"), *[F.col("x")[k].alias(n) for k, n in enumerate(names)])
+    else:
+        made = rows.select(*columns).mapInArrow(add, ", ".join(["cell long", "n long", *(f"{x} long" for x in names)]))
     table = made.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).orderBy("cell").toArrow()
     n = table["n"].to_numpy().astype(np.float64)
     return n, np.stack([table[x].to_numpy() for x in names], axis=1).reshape(-1, dims) / UNIT / np.maximum(n, 1)[:, None]

@@ -237,8 +237,8 @@ def fit_quality(
     base = docs.select(F.col(id_col).alias("id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     known = S.bounded_sample(marks, max_labelled, "id").withColumn("y", (F.col("y") > 0).cast("int"))
     known = known.withColumn("y", F.when(F.abs(F.xxhash64("id", F.lit("fold"))) % 4 == 0, F.col("y") + 2).otherwise(F.col("y")))
-    pool = base.where("id is not null").join(marks.select("id"), "id", "left_anti")
-    drawn = S.bounded_sample(pool.select("id").distinct(), cells, "id").withColumn("y", F.lit(-1))
+    pool = base.where("id is not null")  # texts stay where they are: ids, and later features, are joined with the labelled ids
+    drawn = S.bounded_sample(pool.select("id").join(marks.select("id").hint("merge"), "id", "left_anti").distinct(), cells, "id").withColumn("y", F.lit(-1))
     ids = S.materialize(known.unionByName(drawn))
     sample = S.materialize(base.join(F.broadcast(ids), "id"))  # ids: two bounded samples
     model.odds = _gram_odds(sample.where("y in (0, 1)"), bits)
@@ -261,7 +261,7 @@ def fit_quality(
     rows = np.ones(train.sum())
     if rounds and (y < 0).any():
         width, centres = c.shape[1], np.unique(np.c_[c, m][y < 0], axis=0)
-        n, mean = S.cell_sums(pool, lambda batch: np.hstack(_views(batch, held_odds.value, bits)), ["text", "lang", "source", "n_chars"], centres, centres.std(axis=0) + 1e-6)
+        n, mean = S.cell_sums(pool, lambda batch: np.hstack(_views(batch, held_odds.value, bits)), ["text", "lang", "source", "n_chars"], centres, centres.std(axis=0) + 1e-6, without=marks.select("id"))
         c, m = np.r_[c, mean[:, :width]], np.r_[m, mean[:, width:]]
         y, held, train = np.r_[y, np.full(len(n), -1)], np.r_[held, np.zeros(len(n), bool)], np.r_[train, np.zeros(len(n), bool)]
         used = np.flatnonzero(train | (np.arange(len(y)) >= len(y) - len(n)))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from overlapkit.llm import _shared as S
 from overlapkit.llm import nearest, periodic_runs, prefix_trie, queries
 
 SF = "/root/testdata/sf0.001"
@@ -214,3 +215,14 @@ def test_runs_of_very_long_texts(spark):
     assert periodic_runs.periodic_runs(t.limit(0)).count() == 0
     with pytest.raises(ValueError):
         periodic_runs.periodic_runs(t.withColumnRenamed("doc_id", "Runs"))
+
+
+def test_cells_without_labelled_rows_shuffle_no_texts(spark):
+    """Rows that do not count are told by id after their features are made; sums are those of the others."""
+    rows = spark.range(500).select("id", F.concat(F.lit("t"), F.repeat(F.lit("x"), (F.col("id") % 17).cast("int"))).alias("text"))
+    some = spark.range(0, 500, 3)
+    features = lambda b: np.array([[len(t), len(t) % 5] for t in b.column("text").to_pylist()], dtype=float)
+    centres, scale = np.array([[3.0, 0.0], [12.0, 4.0]]), np.ones(2)
+    n, mean = S.cell_sums(rows, features, ["text"], centres, scale, without=some)
+    want_n, want = S.cell_sums(rows.join(some, "id", "left_anti"), features, ["text"], centres, scale)
+    assert n.sum() == 333 and (n == want_n).all() and (mean == want).all()
