@@ -65,15 +65,17 @@ def filler_report(df: DataFrame, text: str, lang: str, dictionary: dict[str, lis
     Each filler is counted in the text that those before it have left.
     """
     dictionary = fillers() if dictionary is None else dictionary
-    found: Column | None = None
-    for code, words in dictionary.items():
-        left, rows = F.col(text), []
-        for w in words:
-            after = F.regexp_replace(left, filler_pattern(w), "")
-            rows.append(F.struct(F.lit(w).alias("filler"), F.regexp_count(left, F.lit(filler_pattern(w))).alias("n"), (F.length(left) - F.length(after)).alias("chars")))
-            left = after
-        found = F.when(F.col(lang) == code, F.array(*rows)) if found is None else found.when(F.col(lang) == code, F.array(*rows))
-    rows = df.select(F.col(lang).alias("lang"), F.explode(found).alias("r")).where("r.n > 0")
+    t, rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("_left")), []
+    for k in range(max(map(len, dictionary.values()), default=0)):
+        # columns of their own, one a step, so that no text is cleaned twice
+        here = {code: words[k] for code, words in dictionary.items() if k < len(words)}
+        pick = lambda of: F.coalesce(*[F.when(F.col("lang") == code, of(w)) for code, w in here.items()])  # noqa: B023, E731
+        t = t.withColumn("_after", pick(lambda w: F.regexp_replace("_left", filler_pattern(w), "")))
+        n = pick(lambda w: F.regexp_count("_left", F.lit(filler_pattern(w))))
+        t = t.withColumn(f"_r{k}", F.struct(pick(F.lit).alias("filler"), n.alias("n"), (F.length("_left") - F.length("_after")).alias("chars")))
+        t = t.withColumn("_left", F.col("_after")).drop("_after")
+        rows.append(f"_r{k}")
+    rows = t.select("lang", F.explode(F.array(*rows)).alias("r")).where("r.n > 0")
     return rows.groupBy("lang", F.col("r.filler").alias("filler")).agg(
         F.sum("r.n").cast("long").alias("removed"), F.count("*").alias("documents"), F.sum("r.chars").cast("long").alias("chars")
     )

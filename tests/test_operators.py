@@ -600,3 +600,11 @@ def test_parts_of_a_stream_are_files_by_their_rows(spark, monkeypatch):
     s = streaming_plans._in_parts(spark, rows, (F.col("id") < 300, F.col("id") >= 300), closing=1)
     sizes = streaming.run_available(s, "append").groupBy("batch").agg(F.count("*").alias("n"), F.count("id").alias("ids")).orderBy("batch").collect()
     assert [(r.n, r.ids) for r in sizes] == [(300, 300), (600, 600), (3, 0), (3, 0)]
+
+
+def test_filler_report_cleans_a_text_once(spark):
+    """Every filler is one pass over what those before it left, not one more over the text for each of them."""
+    words = ["a", "b", "c", "d", "e", "f"]
+    report = text.filler_report(spark.createDataFrame([("a b b e", "en"), ("f", "en"), (None, "en"), ("a", None)], "t string, l string"), "t", "l", {"en": words, "de": words[:2]})
+    assert sorted(map(tuple, report.collect())) == [("en", "a", 1, 1, 2), ("en", "b", 2, 1, 4), ("en", "e", 1, 1, 1), ("en", "f", 1, 1, 1)]
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 8
