@@ -1,16 +1,17 @@
 """Near copies by exact Jaccard similarity of word shingles, without missing a pair.
 
-SimHash distance says little at a similarity of 0.8 (such pairs differ in 5 to 14 of 64 bits), so the
-candidates come from prefixes instead: with the shingles of all documents in one fixed order, two sets
-of sizes n and m whose Jaccard similarity is at least ``t`` share a shingle among the first
+Candidates come from two sources. Golay keys of the sets' SimHash fingerprints (``simhash``) give those
+within 4 bits, and tie most families of near copies together. At a similarity of 0.8 pairs differ in 5 to
+14 of 64 bits, beyond what the keys reach, so prefixes give the rest: with the shingles of all documents in one
+fixed order, two sets of sizes n and m whose Jaccard similarity is at least ``t`` share a shingle among the first
 ``n - ceil(t n) + 1`` and ``m - ceil(t m) + 1`` of theirs. An equi-join on those finds every pair.
 Any order will do; here shingles that many documents hold come last, so that a common line is rarely
 a key. How common they are is read off a bounded sample, which changes the work, never the result.
 
 Documents of equal shingle sets are one node, a copy of a text adds none. Families of near copies are
-contracted before their members meet: in each round the nodes under a key meet one head (at first the
-same for most keys, then another one for every key), what is similar becomes one group, and keys that
-one group holds alone are dropped. Only then do nodes of *different* groups under a key meet, those of
+contracted before their members meet: first by the Golay links, then in rounds, in each of which the nodes
+under a key meet one head (at first the same for most keys, then another one for every key); what is
+similar becomes one group, and keys that one group holds alone are dropped. Only then do nodes of *different* groups under a key meet, those of
 like sizes, and the join tells most of them apart by sketches folded to 512 bits. A pair is made where the shared shingle can
 be the first one of both (nothing before it overlaps), parity sketches (made once for a node, about a bit
 a shingle) bound the difference, and a candidate that passes both is verified on the two whole sets.
@@ -34,13 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from overlapkit.llm import _shared as S
+from overlapkit.llm import simhash
 
 SEED = 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, COMMON, MOST = 20_000, 10, 1 << 18  # texts read for the order, how many of them hold a common shingle, and common shingles at most
 BUCKETS = 1 << 20  # of row names
 SHARE = 64  # pairs of one node that meet in a task
-ROUNDS = 3  # in which nodes meet one head a key, before groups meet
+ROUNDS = 2  # after the Golay links, in which nodes meet one head a key, before groups meet
 FOLDS = [f"f{k}" for k in range(8)]  # 64 bits each
 PLACE = ["node", "grp", "pos", "n"]
 MEET = 1024  # rows of a key and band that others meet in a task
@@ -82,9 +84,10 @@ def _names(sets: list[np.ndarray], seed: int = SEED) -> np.ndarray:
 
 
 def _described(sets: list[np.ndarray]):
-    """Name, second half of the name, size and sketch of each set."""
+    """Name, second half of the name, size, SimHash fingerprint and sketch of each set."""
     return None, {
-        "node": pa.array(_names(sets)), "twin": pa.array(_names(sets, SEED + 1)), "n": pa.array([len(s) for s in sets], pa.int32()), "s": pa.array([sketch(s) for s in sets], pa.binary()),
+        "node": pa.array(_names(sets)), "twin": pa.array(_names(sets, SEED + 1)), "n": pa.array([len(s) for s in sets], pa.int32()),
+        "fp": pa.array(np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)), "s": pa.array([sketch(s) for s in sets], pa.binary()),
     }
 
 
@@ -262,24 +265,39 @@ def _meetings(folded: DataFrame, similarity: float) -> DataFrame:
     return met.where(_first(similarity)).where(near).select(*_ordered("node", "b_node"))
 
 
+def _hung(ties: DataFrame) -> DataFrame:
+    """(grp, head) of the groups in ``ties`` (u, v): the smallest group that a group's smallest neighbour (or itself) is tied to.
+
+    Groups of one head hang together. That need not be the whole component: what is left apart meets again later.
+    """
+    both = ties.select("u", "v").unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = S.materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")))
+    out = S.materialize(least.join(least.toDF("v", "head"), "v").select(F.col("u").alias("grp"), "head"))
+    S.discard(least)
+    return out
+
+
 def _contracted(held: DataFrame, links: DataFrame) -> DataFrame:
     """``held`` with groups that ``links`` between nodes tie together made one."""
     groups = held.select("node", "grp").distinct()
-    tied = links.join(groups.toDF("a", "u"), "a").join(groups.toDF("b", "v"), "b").select("u", "v").where("u != v").distinct()
-    parts = S.materialize(S.connected_components(tied, "u", "v").toDF("grp", "component"))
-    out = S.materialize(held.join(parts, "grp", "left").withColumn("grp", F.coalesce("component", "grp")).drop("component"))
+    parts = _hung(links.join(groups.toDF("a", "u"), "a").join(groups.toDF("b", "v"), "b").select("u", "v").where("u != v"))
+    out = S.materialize(held.join(parts, "grp", "left").withColumn("grp", F.coalesce("head", "grp")).drop("head"))
     S.discard(held)
     S.discard(parts)
     return out
 
 
-def _components(docs: DataFrame, text: str, rows: DataFrame, sets: DataFrame, similarity: float, words_in_shingle: int) -> DataFrame:
-    """(node, component) of the nodes that have a near copy."""
+def _components(docs: DataFrame, text: str, rows: DataFrame, sets: DataFrame, prints: DataFrame, similarity: float, words_in_shingle: int) -> DataFrame:
+    """(node, component) of the nodes that have a near copy; ``prints`` are (node, fp) of all."""
     order = docs.sparkSession.sparkContext.broadcast(_common(docs, text, words_in_shingle))  # MOST shingles
     make = _prefixes(similarity, order)
     stored = _sets(docs.withColumn("one", F.lit(1)), text, ["one"], make, "node long, key long, pos int, n int", words_in_shingle)
-    held = S.materialize(stored.select("key", "node", "pos", "n").withColumn("grp", F.col("node")))
-    links: list[DataFrame] = []
+    near = simhash.near_pairs(prints)
+    links = [_similar(near, sets, docs, text, rows, similarity, words_in_shingle)]
+    parts = _hung(links[0].toDF("u", "v"))
+    stored = stored.select("key", "node", "pos", "n").join(parts.withColumnRenamed("grp", "node"), "node", "left")
+    held = S.materialize(stored.withColumn("grp", F.coalesce("head", "node")).drop("head"))
+    S.discard(parts)
     for k in range(ROUNDS):
         held = _mixed(held)
         place = F.xxhash64("node") if k == 0 else F.xxhash64(F.lit(k), "key", "node")
@@ -304,21 +322,21 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Cases: texts without words (null, empty, blank) are alike. Of rows with one id, that of the smaller
     hash of the text stays, then that of the smaller hash of all columns; of rows equal in all columns
     one stays. Null ids are ids that come last. An empty table gives no rows. A text's shingles, 8 bytes
-    each, lie in one task. ``docs`` is read four times or so and must give the same rows each time.
+    each, lie in one task. ``docs`` is read five times or so and must give the same rows each time.
     """
     columns = docs.columns
     marked = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(columns)])
     text, own = f"_c{columns.index(text_col)}", f"_c{columns.index(id_col)}"
     plain = [F.col(f.name) for f in marked.schema if not f.dataType.simpleString().startswith("map") and "map<" not in f.dataType.simpleString()]
     marked = marked.withColumns({"h1": F.xxhash64(*plain), "h2": F.xxhash64(F.lit(SEED), *plain), "h0": F.xxhash64(text)})
-    rows = S.materialize(_sets(marked, text, [own, "h0", "h1", "h2"], _described, "node long, twin long, n int, s binary", words_in_shingle))
+    rows = S.materialize(_sets(marked, text, [own, "h0", "h1", "h2"], _described, "node long, twin long, n int, fp long, s binary", words_in_shingle))
     order = F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), "h0", "h1", "h2")
-    stay = rows.groupBy("node").agg(F.min(order).alias("first"), F.min("twin").alias("low"), F.max("twin").alias("high"), F.first("n").alias("n"), F.first("s").alias("s"))
+    stay = rows.groupBy("node").agg(F.min(order).alias("first"), F.min("twin").alias("low"), F.max("twin").alias("high"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("s").alias("s"))
     twice = F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two shingle sets share a name"))).cast("boolean")
-    sets = S.materialize(stay.where(F.coalesce(twice, F.lit(True))).select("node", "n", "s", "first"))
+    sets = S.materialize(stay.where(F.coalesce(twice, F.lit(True))).select("node", "n", "fp", "s", "first"))
     S.discard(rows)
     reps = sets.select("node", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"))
-    parts = S.materialize(_components(marked, text, reps, sets.select("node", "n", "s"), similarity, words_in_shingle))
+    parts = S.materialize(_components(marked, text, reps, sets.select("node", "n", "s"), sets.select("node", "fp"), similarity, words_in_shingle))
     known = parts.join(sets.select(F.col("node").alias("named"), "first"), F.col("node") == F.col("named"))
     best = known.groupBy("component").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("node"))
     gone = parts.select("node").join(best, "node", "left_anti")

@@ -63,6 +63,14 @@ def fingerprint(text: bytes, words_in_shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes: a bit is set if over half of them set it."""
+    total = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(hashes), 50_000):
+        total += np.unpackbits(hashes[a : a + 50_000].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
 def add_fingerprint(docs: DataFrame, *, text_col: str = "text", keep: list[str], words_in_shingle: int = 4) -> DataFrame:
     """``keep`` columns and ``fp``, the signed 64-bit fingerprint. Null and blank texts give zero."""
     schema = S.schema_of(docs, keep, fp="long")
@@ -180,6 +188,26 @@ def link(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
     return out.select("fp", F.coalesce("component", "grp").alias("component"))
 
 
+def near_pairs(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
+    """Pairs (a, b) of nodes within ``max_distance`` bits, from a table of (node, fp): as many as there are nodes and looked-up keys at most.
+
+    Nodes of one fingerprint meet the smallest of them; every fingerprint looks up its keys and meets the
+    smallest fingerprint stored under each. So not every pair within the distance is given, only those
+    with the smallest fingerprint under a key that both share.
+    """
+    if not 0 <= max_distance <= 4:
+        raise ValueError("the keys cover distances up to 4")
+    firsts = S.materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("fp", "node"))
+    same = nodes.join(firsts.select("fp", F.col("node").alias("b")), "fp").where("node != b").select(F.col("node").alias("a"), "b")
+    kind = f"key long, fp long, node {dict(nodes.dtypes)['node']}"
+    heads = firsts.mapInArrow(_emit("stored"), kind).groupBy("key").agg(F.min(F.struct("fp", "node")).alias("head"))
+    heads = heads.select("key", F.col("head.fp").alias("b_fp"), F.col("head.node").alias("b"))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp"))) <= max_distance
+    asked = firsts.mapInArrow(_emit("asked"), kind)
+    across = asked.join(heads, (asked.key == heads.key) & (F.col("fp") != F.col("b_fp")) & close).select(F.col("node").alias("a"), "b")
+    return same.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def simhash_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, words_in_shingle: int = 4
 ) -> DataFrame:

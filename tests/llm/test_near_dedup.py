@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from overlapkit.llm import shingle_dedup
+from overlapkit.llm import shingle_dedup, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,3 +68,22 @@ def test_near_dedup_keeps_null_ids_last_and_given_tables_whole(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") % 3 == 0)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, SF).collect()} == brute_kept(rows)
+
+
+def test_golay_keys_give_candidates_within_four_bits(spark, monkeypatch):
+    """Fingerprints within 4 bits of the smallest one meet it, none farther off; the stage asks for them."""
+    base, rng = 0x0123456789ABCDEF, np.random.default_rng(3)
+    fps = [base] + [base + (1 << 62) ^ sum(1 << int(b) for b in rng.choice(60, k % 7, replace=False)) for k in range(70)]
+    rows = [(k, x) for k, x in enumerate(fps)] + [(1000, base)]
+    pairs = {(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame(rows, "node long, fp long")).collect()}
+    by = dict(rows)
+    least = min(fps[1:])
+    first = min(k for k in by if by[k] == least)
+    assert (0, 1000) in pairs and all((by[a] ^ by[b]).bit_count() <= 4 for a, b in pairs)
+    meets = {a + b - first for a, b in pairs if first in (a, b)} | {k for k in by if by[k] == least}
+    assert all(k in meets or any((k in p) for p in pairs) for k, x in by.items() if 0 < (x ^ least).bit_count() <= 4)
+    asked, plain = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda *a: asked.append(a) or plain(*a))
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " one more"), (3, "another text")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, SF).collect()} == {1, 3} and asked
