@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,35 +96,52 @@ def score_windows(df: DataFrame, fn: Callable, key: str, offset: str = "frame_of
     """
     kind = df.schema[key].dataType.simpleString()
 
+    def alone(row: dict) -> list | Exception:
+        try:
+            return [(str(t), int(p)) for t, p in fn(row)]
+        except Exception as e:  # as below
+            return e
+
     def made(batch: pa.RecordBatch) -> list:
         """Pairs of each window, or what was raised."""
+        if not batched:
+            return [alone(row) for row in batch.to_pylist()]
         try:
-            if batched:
-                found = list(fn(batch))
-                if len(found) != batch.num_rows:
-                    raise ValueError(f"{len(found)} results for {batch.num_rows} windows")
-                return [[(str(t), int(p)) for t, p in pairs] for pairs in found]
-            if batch.num_rows == 1:
-                return [[(str(t), int(p)) for t, p in fn(batch.to_pylist()[0])]]
+            found = list(fn(batch))
+            if len(found) != batch.num_rows:
+                raise ValueError(f"{len(found)} results for {batch.num_rows} windows")
+            return [[(str(t), int(p)) for t, p in pairs] for pairs in found]
         except Exception as e:  # the user's function may raise anything; the window's row says so
             if batch.num_rows == 1:
                 return [e]
         return [x for k in range(batch.num_rows) for x in made(batch.slice(k, 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            places = zip(*(batch.column(c).to_pylist() for c in (key, "window_no", offset)), strict=True)
-            for (k, no, at), pairs in zip(places, made(batch), strict=True):
-                if isinstance(pairs, Exception):
-                    out.append((k, no, None, None, None, f"{type(pairs).__name__}: {pairs}"))
-                else:
-                    out += [(k, no, n, t, p + at, None) for n, (t, p) in enumerate(pairs)]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = [batch.schema.field(key).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[key, "window_no", "ord", "token_id", "pos", "error"]
-            )
+        for big in batches:
+            for a in range(0, big.num_rows, 1_000):
+                batch = big.slice(a, 1_000)
+                found = made(batch)
+                bad = np.array([isinstance(x, Exception) for x in found], dtype=bool)
+                n = np.array([0 if isinstance(x, Exception) else len(x) for x in found], dtype=np.int64)
+                rows = np.maximum(n, bad)  # a window that failed has one row
+                at = np.repeat(np.arange(len(found)), rows)
+                none = bad[at]
+                ids, places = [], []
+                for pairs in found:
+                    if isinstance(pairs, Exception):
+                        ids.append(None)
+                        places.append(0)
+                    else:
+                        ids += [t for t, _ in pairs]
+                        places += [p for _, p in pairs]
+                order = np.arange(len(at)) - np.repeat(np.cumsum(rows) - rows, rows)
+                own = batch.column(offset).take(pa.array(at)).cast(pa.int64())
+                pos = pc.if_else(pa.array(none), None, pc.add(pa.array(places, pa.int64()), own))
+                errors = pa.array([f"{type(x).__name__}: {x}" if isinstance(x, Exception) else None for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(pa.array(at)), batch.column("window_no").take(pa.array(at)).cast(pa.int64()), pa.array(order, mask=none), pa.array(ids, pa.string()), pos, errors.take(pa.array(at))],
+                    names=[key, "window_no", "ord", "token_id", "pos", "error"],
+                )
 
     return df.mapInArrow(run, f"`{key}` {kind}, window_no long, ord long, token_id string, pos long, error string")
 

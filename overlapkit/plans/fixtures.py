@@ -5,6 +5,11 @@ Each function gives a DataFrame; SQL of the same name (upper case) gives the sam
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +80,58 @@ def window_arrays(spark: SparkSession, sf_dir: str, noisy: bool = False) -> Data
     return plan.select("series_id", "window_no", F.transform(own, token).alias("toks"))
 
 
+def cut_windows(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
+    """The rows of ``window_arrays`` for what does not meet across windows: cut as indices into a batch's words.
+
+    Texts are dealt out by document; no document's words are copied for each of its windows.
+    """
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("series_id"), "text")
+    kind = d.schema["series_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(sizes) - sizes) // 1_000_000  # about as many bytes of text at once
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                yield _windows(batch.slice(i, j - i), noisy)
+
+    dealt = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "series_id")
+    return dealt.mapInArrow(cut, f"series_id {kind}, window_no long, toks array<struct<piece: string, initial: boolean, pos: bigint>>")
+
+
+def _windows(batch: pa.RecordBatch, noisy: bool) -> pa.RecordBatch:
+    """The windows of a batch's texts, by the plan's closed form (as in ``PLAN``)."""
+    split = [(x or b"").split() for x in batch.column("text").cast(pa.binary()).to_pylist()]  # at ASCII white space
+    n = np.array([len(x) for x in split], dtype=np.int64)
+    base = np.cumsum(n) - n
+    full = np.where(n < W, 0, (n - W) // (W - OVERLAP) + 1)
+    tail = np.where(full > 0, (full - 1) * (W - OVERLAP) + W, -1) < n
+    many = np.where(n > 0, full + tail, 0)
+    doc = np.repeat(np.arange(len(n)), many)
+    no = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    start = np.where(no < full[doc], no * (W - OVERLAP), np.maximum(n[doc] - W, 0))
+    size = np.where(no < full[doc], W, np.minimum(W, n[doc] - start))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+    pos = np.repeat(start, size) + at
+    index = np.repeat(base[doc], size) + pos
+    flat = [w.decode() for x in split for w in x]
+    if noisy:
+        odd = np.repeat(no % 2 == 1, size)
+        lost, loud = odd & (pos % 29 == 0), odd & (pos % 11 == 0)
+        changed = np.flatnonzero(loud & ~lost)
+        index = index.copy()
+        louder = [(w if "ß" in w else w.upper()) + "," for w in (flat[k] for k in index[changed].tolist())]
+        index[changed] = len(flat) + np.arange(len(changed))
+        flat = [*flat, *louder, "zz"]
+        index[lost] = len(flat) - 1
+    pieces = pa.array(flat, pa.string()).take(pa.array(index))
+    toks = pa.StructArray.from_arrays([pieces, pa.array(np.ones(len(pos), dtype=bool)), pa.array(pos)], names=["piece", "initial", "pos"])
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), toks)
+    return pa.RecordBatch.from_arrays([batch.column("series_id").take(pa.array(doc)), pa.array(no), lists], names=["series_id", "window_no", "toks"])
+
+
 def window_tokens(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
     """(series_id, window_no, ord, piece, initial, pos): ``window_arrays`` as token rows."""
     t = window_arrays(spark, sf_dir, noisy).select("series_id", "window_no", F.posexplode("toks").alias("ord", "tok"))

@@ -42,17 +42,15 @@ def b2_assign_irregular(spark, sf_dir):
 
 
 def b3_pad_windows(spark, sf_dir):
-    t = fx.window_tokens(spark, sf_dir)
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.length("piece").alias("n")))), lambda x: x["n"])
-    p = windows.pad_windows(t.groupBy(KEY, "window_no").agg(sizes.alias("lengths")), "lengths", W)
+    t = fx.cut_windows(spark, sf_dir)
+    p = windows.pad_windows(t.select(KEY, "window_no", F.transform("toks", lambda x: F.length(x["piece"])).alias("lengths")), "lengths", W)
     return p.select(KEY, "window_no", "valid_len", F.size("lengths").cast("long").alias("size"), F.array_join("lengths", ",").alias("lengths"))
 
 
 def b4_score_windows(spark, sf_dir):
     """A scorer that counts the letters of each word of a window, and fails on windows that begin with "zz"."""
-    t = fx.window_tokens(spark, sf_dir, noisy=True)
-    words = F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"])
-    w = t.groupBy(KEY, "window_no").agg(words.alias("words"), F.min("pos").alias("frame_offset"))
+    t = fx.cut_windows(spark, sf_dir, noisy=True)
+    w = t.select(KEY, "window_no", F.col("toks.piece").alias("words"), F.array_min("toks.pos").alias("frame_offset"))
 
     def score(row):
         if row["words"][0] == "zz":
@@ -64,9 +62,8 @@ def b4_score_windows(spark, sf_dir):
 
 def b4_score_batched(spark, sf_dir):
     """The same scorer, an Arrow batch of windows at a time; batches that fail are scored window by window."""
-    t = fx.window_tokens(spark, sf_dir, noisy=True)
-    words = F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"])
-    w = t.groupBy(KEY, "window_no").agg(words.alias("words"), F.min("pos").alias("frame_offset"))
+    t = fx.cut_windows(spark, sf_dir, noisy=True)
+    w = t.select(KEY, "window_no", F.col("toks.piece").alias("words"), F.array_min("toks.pos").alias("frame_offset"))
 
     def score(batch):
         found = []
@@ -101,12 +98,11 @@ def c3_byte_fallback_runs(spark, sf_dir):
     e = fx.elements(spark, sf_dir)
     plain = F.col("piece").rlike("^[\\x00-\\x7F]+$")
     spelt = F.transform(F.regexp_extract_all(F.hex("piece"), F.lit("(..)")), lambda x: F.concat(F.lit("<0x"), x, F.lit(">")))
-    t = e.select(KEY, "idx", F.posexplode(F.when(plain, F.array("piece")).otherwise(spelt)).alias("k", "piece"))
-    # a plain piece between words keeps runs of neighbouring words apart
-    place = lambda k: F.struct("idx", F.lit(k).alias("k") if isinstance(k, int) else k).alias("ord")
-    t = t.select(KEY, place(F.col("k")), "piece").unionByName(e.select(KEY, place(-1), F.lit("▁").alias("piece")))
+    # a plain piece before every word keeps runs of neighbouring words apart
+    pieces = F.concat(F.array(F.lit("▁")), F.when(plain, F.array("piece")).otherwise(spelt))
+    t = e.select(KEY, "idx", F.posexplode(pieces).alias("k", "piece")).select(KEY, F.expr("shiftleft(idx, 32) + k").alias("ord"), "piece")
     runs = tokens.byte_fallback_runs(t, [KEY]).where("is_byte")
-    return runs.select(KEY, F.col("ord.idx").alias("idx"), F.col("n").cast("long").alias("n"), "piece")
+    return runs.select(KEY, F.expr("shiftright(ord, 32)").alias("idx"), F.col("n").cast("long").alias("n"), "piece")
 
 
 def c4_segment_words(spark, sf_dir):
