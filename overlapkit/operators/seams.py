@@ -3,23 +3,25 @@
 Tokens are rows (key, window_no, ord, piece, initial, pos); ``ord`` counts from 0 in a window. Two
 neighbouring windows are spliced at the longest run of words that both have. The work is done on
 *window rows* (key, window_no, toks: the window's tokens as an array in order), which every function
-here takes as well as token rows: each window meets the one before it by ``lag``, and the run is found
-inside the row. Only stretches of windows whose seams depend on each other are folded, window by window.
+here takes as well as token rows: windows are streamed in order, each with the one before it, and the runs
+of many seams are found together in numpy. Only stretches of windows whose seams depend on each other are folded, window by window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from overlapkit.functions import word_core
 from overlapkit.sources import written
 
 WORD_TYPE = "array<struct<at: int, pos: bigint, core: string>>"
+PAIR = "left_n: long, n: long, falls: boolean, keep_len: long, append_from: long, run: long, spliced: boolean, left_at: long, right_at: long, slice_start: long, dropped: long"
 
 
 def window_rows(tokens: DataFrame, key: str) -> DataFrame:
@@ -73,54 +75,196 @@ def words_of(toks: Column) -> Column:
     return _let(toks, words)
 
 
-def longest_common_run(left: Column, right: Column, tolerance: int | None = None) -> Column:
-    """struct(run, left_at, right_at): the longest run of words (as of ``words_of``) with equal cores, in place.
-
-    Two words match with the same core, not empty, and positions at most ``tolerance`` apart. The
-    smallest place on the left, then on the right, wins ties. Many pairs of lists go through numpy
-    together, a word of the left at a time (array functions took some 2 us for two words).
+#: Code points from U+0080 on that a core keeps at its ends, as (first, last + 1) in turn; those that lower case changes; characters looked up so far.
+Letters = tuple[np.ndarray, dict[int, str], dict[str, bool]]
+_letters: list[Letters] = []
+
+
+def _letters_of(spark: SparkSession) -> Letters:
+    """What ``word_core`` makes of each character beyond ASCII, asked of Spark once, so that tasks spell cores as it does."""
+    if not _letters:
+        some = spark.range(0x80, 0x110000).where(~F.col("id").between(0xD800, 0xDFFF))
+        some = some.select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+        found = some.select("id", "c", F.lower("c").alias("low"), (word_core(F.col("c")) != "").alias("kept")).where("kept or low != c").toArrow()
+        at = found["id"].to_numpy()
+        at = np.sort(at[found["kept"].to_numpy()])
+        edges = np.flatnonzero(np.diff(at, prepend=-1, append=1 << 30) > 1)
+        ranges = np.stack([at[edges[:-1]], at[edges[1:] - 1] + 1], axis=1).ravel()
+        lower = {k: chr(k).lower() for k in range(0x80)} | {i: low for i, c, low in zip(*(found[n].to_pylist() for n in ("id", "c", "low")), strict=True) if low != c}
+        _letters.append((ranges, lower, {}))
+    return _letters[0]
+
+
+ODD = "".join(chr(k) for k in range(0x80) if not chr(k).isalnum())
+
+
+def _core(word: str, letters: Letters) -> str:
+    """``word_core`` of a word."""
+    ranges, lower, known = letters
+
+    def kept(c: str) -> bool:
+        if c not in known:
+            known[c] = c.isalnum() if c < "\x80" else bool(np.searchsorted(ranges, ord(c), "right") % 2)
+        return known[c]
+
+    i, j = 0, len(word)
+    while i < j and not kept(word[i]):
+        i += 1
+    while i < j and not kept(word[j - 1]):
+        j -= 1
+    core = word[i:j]
+    return core.lower() if "Σ" in core else core.translate(lower)  # the one letter whose lower case depends on its neighbours
+
+
+def _cores(words: pa.Array, letters: Letters) -> pa.Array:
+    """``word_core`` of many words; those of ASCII go together."""
+    plain = pc.string_is_ascii(words)
+    cores = pc.ascii_lower(pc.utf8_trim(words, characters=ODD))
+    if pc.all(plain).as_py() is not False:
+        return cores
+    other = pc.invert(plain)
+    return pc.replace_with_mask(cores, other, pa.array([_core(x, letters) for x in words.filter(other).to_pylist()], words.type))
+
+
+def _by_row(ufunc: np.ufunc, values: np.ndarray, size: np.ndarray, empty: float) -> np.ndarray:
+    """``ufunc`` over each row's values, which lie one row after the other."""
+    out, some = np.full(len(size), empty, dtype=values.dtype), size > 0
+    if some.any():
+        out[some] = ufunc.reduceat(values, (np.cumsum(size) - size)[some])
+    return out
+
+
+class _Words:
+    """Words of a part of each row's tokens: their row, place, position and core's number (0: empty), and how many a row has."""
+
+    def __init__(self, taken: np.ndarray, begins: np.ndarray, toks: _Toks):
+        index = np.flatnonzero(taken)
+        heads = np.flatnonzero(begins[index])
+        many = np.diff(heads, append=len(index))
+        head = index[heads]
+        self.at, self.pos, self.core = toks.at[head], np.trunc(toks.pos[head]), toks.single[toks.code[head]]
+        if len(longer := np.flatnonzero(many > 1)):
+            self.core[longer] = toks.numbers([toks.code[head[k] : head[k] + many[k]].tolist() for k in longer])
+        self.n = np.bincount(toks.row[head], minlength=len(toks.size))
+        self.start = np.cumsum(self.n) - self.n
+
+
+class _Toks:
+    """The tokens of window rows, flat: row, place in the row, position, whether one begins a word, and its piece's code."""
+
+    def __init__(self, lists: pa.ListArray, letters: Letters):
+        self.size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.end = np.cumsum(self.size)
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        self.at = np.arange(len(self.row)) - (self.end - self.size)[self.row]
+        flat = lists.flatten()
+        self.pos = pc.struct_field(flat, "pos").to_numpy(zero_copy_only=False)
+        if not self.size.all():
+            self.pos = self.pos.astype(np.float64)  # an empty row's last position is none
+        self.initial = pc.fill_null(pc.struct_field(flat, "initial").cast(pa.bool_()), False).to_numpy(zero_copy_only=False)
+        codes = pc.fill_null(pc.struct_field(flat, "piece").cast(pa.string()), "").dictionary_encode()
+        self.code, self.pieces = codes.indices.to_numpy(), codes.dictionary
+        cores = pa.concat_arrays([pa.array([""]), _cores(self.pieces, letters)]).dictionary_encode()
+        self.single, self._letters = cores.indices.to_numpy()[1:].astype(np.int64), letters
+        self._single_cores, self._known = cores.dictionary, None
+
+    def numbers(self, words: list[list[int]]) -> list[int]:
+        """The cores' numbers of words of several pieces, which are given by their codes."""
+        if self._known is None:
+            self._known = {x: k for k, x in enumerate(self._single_cores.to_pylist())}
+        pieces, known = self.pieces.to_pylist(), self._known  # both sides' words share the numbers
+        cores = _cores(pa.array(["".join(pieces[c] for c in word) for word in words], pa.string()), self._letters)
+        return [known.setdefault(x, len(known)) for x in cores.to_pylist()]
+
+    def of_row(self, k: np.ndarray) -> np.ndarray:
+        """The position of the token at ``k`` (of all) of each row; none where the row is empty."""
+        if not self.size.all():
+            return np.where(self.size > 0, np.append(self.pos, np.nan)[np.where(self.size > 0, k, 0)], np.nan)
+        return self.pos[k]
+
+
+def _longest_runs(a: _Words, b: _Words, left: np.ndarray, right: np.ndarray, near: float) -> np.ndarray:
+    """(run, left_at, right_at) of each pair of rows: the longest run of words with equal cores, in place.
+
+    Two words match with the same core, not empty, and positions at most ``near`` apart. The smallest
+    place on the left, then on the right, wins ties. Many pairs go together, a word of the left at a time.
+    """
+    found = np.zeros((3, len(left)), dtype=np.int64)
+    for part in np.array_split(np.arange(len(left)), max(1, len(left) * max(1, b.n.max(initial=0)) // 1_000_000)):
+        if not len(part):
+            continue
+        grid = []
+        for words, rows, missing in ((a, left[part], -1), (b, right[part], -2)):
+            col = np.arange(max(1, words.n[rows].max()))
+            real = col < words.n[rows][:, None]
+            index = np.where(real, words.start[rows][:, None] + col, 0)
+            core = np.where(real, words.core[index] if len(words.core) else 0, missing)
+            grid += [np.where(core == 0, missing, core), np.where(real, words.pos[index] if len(words.pos) else 0, 0)]
+        x, p, y, q = grid
+        rows, length = np.arange(len(part)), np.zeros((len(part), y.shape[1] + 1), dtype=np.int64)
+        best = np.zeros((3, len(part)), dtype=np.int64)
+        for i in range(x.shape[1]):
+            same = (x[:, i, None] == y) & (np.abs(q - p[:, i, None]) <= near)
+            length[:, 1:] = np.where(same, length[:, :-1] + 1, 0)
+            j = length[:, 1:].argmax(axis=1)
+            n = length[rows, j + 1]
+            more = n > best[0]
+            best[:, more] = n[more], (i - n + 1)[more], (j - n + 1)[more]
+        found[:, part] = best
+    return found
+
+
+def _seams(lists: pa.ListArray, first: np.ndarray, reach: float | None, search: int | None, tolerance: int | None, letters: Letters) -> tuple[dict[str, np.ndarray], float | None]:
+    """The columns of ``PAIR`` for rows in order; where not ``first``, a row's left window is the row before it.
+
+    ``reach`` is the furthest position of the first row's key before it; what it is after the last row comes back.
     """
-    near = np.inf if tolerance is None else tolerance
-
-    @F.arrow_udf("struct<run: long, left_at: long, right_at: long>")
-    def run(core_a: pa.Array, pos_a: pa.Array, core_b: pa.Array, pos_b: pa.Array) -> pa.Array:
-        found = np.zeros((3, len(core_a)), dtype=np.int64)
-        sizes = [np.diff(x.offsets.to_numpy()) if len(x) else np.zeros(0, int) for x in (core_a, core_b)]
-        codes = pa.concat_arrays([core_a.flatten(), core_b.flatten()]).cast(pa.string()).dictionary_encode()
-        words = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        none = [k for k, x in enumerate(codes.dictionary.to_pylist()) if not x]
-        sides = (words[: sizes[0].sum()], words[sizes[0].sum() :])
-        places = [x.flatten().to_numpy(zero_copy_only=False) for x in (pos_a, pos_b)]
-        starts = [np.cumsum(n) - n for n in sizes]
-        for part in np.array_split(np.arange(len(core_a)), max(1, len(core_a) * max(1, sizes[1].max(initial=0)) // 2_000_000)):
-            if not len(part):
-                continue
-            grid = []
-            for n, at, word, place, missing in zip(sizes, starts, sides, places, (-1, -2), strict=True):
-                col = np.arange(max(1, n[part].max()))
-                real = col < n[part][:, None]
-                index = np.where(real, at[part][:, None] + col, 0)
-                grid += [np.where(real, word[index] if len(word) else 0, missing), np.where(real, place[index] if len(place) else 0, 0)]
-            a, p, b, q = grid
-            a[np.isin(a, none)] = -1
-            rows, length = np.arange(len(part)), np.zeros(b.shape, dtype=np.int64)
-            best = np.zeros((3, len(part)), dtype=np.int64)
-            for i in range(a.shape[1]):
-                before = np.pad(length[:, :-1], ((0, 0), (1, 0)))
-                length = np.where((a[:, i, None] == b) & (np.abs(q - p[:, i, None]) <= near), before + 1, 0)
-                j = length.argmax(axis=1)
-                n = length[rows, j]
-                more = n > best[0]
-                best[:, more] = n[more], (i - n + 1)[more], (j - n + 1)[more]
-            found[:, part] = best
-        return pa.StructArray.from_arrays([pa.array(x) for x in found], names=["run", "left_at", "right_at"])
-
-    full = lambda words, field, kind: F.coalesce(words[field], F.array().cast(f"array<{kind}>"))
-    return run(full(left, "core", "string"), full(left, "pos", "bigint"), full(right, "core", "string"), full(right, "pos", "bigint"))
+    t = _Toks(lists, letters)
+    none = np.nan if t.pos.dtype.kind == "f" else np.iinfo(t.pos.dtype).min
+    tops = _by_row(np.fmax, t.pos, t.size, none)
+    reaches = np.full(len(first), none, dtype=t.pos.dtype)
+    begins, after = np.flatnonzero(np.append(True, first[1:])[: len(first)]), reach
+    for i, j in zip(begins, [*begins[1:], len(first)], strict=True):
+        known = none if first[i] or reach is None else reach
+        so_far = np.fmax.accumulate(np.concatenate([[known], tops[i:j]]))
+        reaches[i:j], after = so_far[:-1], so_far[-1]
+    last, head = t.of_row(t.end - 1), t.of_row(t.end - t.size)
+    boundary = np.roll(last, 1)
+    if search is None:
+        lo, upto, dropped = np.zeros_like(t.size), t.size, t.size
+    else:
+        dropped = _by_row(np.minimum, np.where(t.pos > (np.fmax(reaches, head) + search)[t.row], t.at, t.size[t.row]), t.size, 0)
+        lo = _by_row(np.maximum, np.where(t.pos < (last - search)[t.row], t.at + 1, 0), t.size, 0)
+        upto = _by_row(np.minimum, np.where(t.pos > (np.fmax(boundary, head) + search)[t.row], t.at, t.size[t.row]), t.size, 0)
+    beyond = _by_row(np.minimum, np.where(t.pos > boundary[t.row], t.at, t.size[t.row]), t.size, 0)
+    right = np.flatnonzero(~first[1:]) + 1
+    left = right - 1
+    is_left, is_right = np.zeros((2, len(first)), dtype=bool)
+    is_left[left], is_right[right] = True, True
+    a = _Words(is_left[t.row] & (t.at >= lo[t.row]), t.initial | (t.at == lo[t.row]), t)
+    b = _Words(is_right[t.row] & (t.at < upto[t.row]), t.initial | (t.at == 0), t)
+    found = _longest_runs(a, b, left, right, np.inf if tolerance is None else tolerance)
+    run, left_at, right_at, keep, start, slice_start, left_n = np.zeros((7, len(first)), dtype=np.int64)
+    run[right], left_at[right], right_at[right] = found
+    # a run of two words or more cuts the left where it starts and takes the right's copy; else the left is whole, and the right loses what lies at or before the boundary
+    left_n[right], slice_start[right] = t.size[left], lo[left]
+    keep[right], start[right] = t.size[left], beyond[right]
+    good = run >= 2
+    of = np.flatnonzero(good)
+    keep[of], start[of] = a.at[a.start[of - 1] + left_at[of]], b.at[b.start[of] + right_at[of]]
+    # descending anywhere, nulls first
+    order = np.where(np.isnan(t.pos), -np.inf, t.pos) if t.pos.dtype.kind == "f" else t.pos
+    down = np.zeros(len(t.pos), dtype=bool)
+    down[1:] = (order[1:] < order[:-1]) & (t.at[1:] > 0)
+    return {
+        "left_n": left_n, "n": t.size, "falls": _by_row(np.logical_or, down, t.size, False), "keep_len": keep, "append_from": start, "run": run, "spliced": good,
+        "left_at": left_at, "right_at": right_at, "slice_start": slice_start,
+        "dropped": np.where(first, 0, dropped),
+    }, after
 
 
 def _run_in_row(left: Column, right: Column, tolerance: int | None) -> Column:
-    """``longest_common_run`` in array functions, for use inside a fold."""
+    """``_longest_runs`` in array functions, for use inside a fold."""
 
     def extend(state: Column, w: Column) -> Column:
         def length(v: Column, j: Column) -> Column:
@@ -185,27 +329,31 @@ def overlap_slices(tokens: DataFrame, key: str, search: int | None = None) -> Da
 
 
 def splice_pairs(tokens: DataFrame, key: str, search: int | None = None, tolerance: int | None = None) -> DataFrame:
-    """One row per window: (key, seam, toks, left_n, n, falls, keep_len, append_from, run, spliced, left_at, right_at, slice_start).
+    """One row per window: (key, seam, toks, left_n, n, falls, keep_len, append_from, run, spliced, left_at, right_at, slice_start, dropped).
 
     The seam is that with the window before; a key's first window has none and appends all it has.
+    ``dropped`` is the most that the window can lose at its start, whatever came before. Windows are
+    streamed in order, a batch and the window before it at a time: many seams go through numpy together.
     """
-    w = Window.partitionBy(key).orderBy("window_no")
-    t = window_rows(tokens, key).withColumn("_left", F.lag("toks").over(w))
-    falls = F.col("toks.pos") != F.sort_array("toks.pos")
-    t = t.select(
-        key, F.col("window_no").alias("seam"), "toks", "_left", falls.alias("falls"),
-        F.inline_outer(F.when(F.col("_left").isNotNull(), F.array(_candidates(F.col("_left"), F.col("toks"), search)))),
-    )
-    # a generator, so that no filter is pushed below it and makes the runs twice
-    t = t.select(key, "seam", "toks", "_left", "falls", "lo", "a", "b", F.inline_outer(F.array(longest_common_run(F.col("a"), F.col("b"), tolerance))))
-    t = t.withColumn("_run", F.struct("run", "left_at", "right_at"))
-    keep, start = _cut(F.col("_left"), F.col("toks"), F.col("lo"), F.col("a"), F.col("b"), F.col("_run"))
-    first = F.col("_left").isNull()
-    return t.select(
-        key, "seam", "toks", F.when(~first, F.size("_left")).cast("bigint").alias("left_n"), F.size("toks").cast("bigint").alias("n"), "falls",
-        F.when(~first, keep).alias("keep_len"), F.when(first, 0).otherwise(start).cast("bigint").alias("append_from"), "run",
-        (F.col("run") >= 2).alias("spliced"), "left_at", "right_at", F.col("lo").cast("bigint").alias("slice_start"),
-    )
+    w, letters = Window.partitionBy(key).orderBy("window_no"), _letters_of(tokens.sparkSession)
+    t = window_rows(tokens, key).select(key, F.col("window_no").alias("seam"), "toks", (F.row_number().over(w) == 1).alias("_first")).sortWithinPartitions(key, "seam")
+
+    @F.arrow_udf(f"struct<{PAIR}>")
+    def pairs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        before, reach = None, None
+        for toks, begins in batches:
+            first, rows = begins.to_numpy(zero_copy_only=False), toks
+            carried = not first[:1].all()
+            if carried:
+                rows, first = pa.concat_arrays([before, toks]), np.append(False, first)
+            made, reach = _seams(rows, first, reach, search, tolerance, letters)
+            before = rows.slice(max(0, len(rows) - 1))
+            found = [pa.array(x, mask=None if n in ("n", "falls", "append_from", "dropped") else first)[int(carried) :] for n, x in made.items()]
+            yield pa.StructArray.from_arrays(found, names=list(made))
+
+    # what comes out depends on the row before: no filter may pass below
+    t = t.select(key, "seam", "toks", pairs.asNondeterministic()("toks", "_first").alias("_pair"))
+    return t.select(key, "seam", "toks", "_pair.*")
 
 
 def _folded(windows: DataFrame, key: str, search: int | None, tolerance: int | None) -> DataFrame:
@@ -266,19 +414,18 @@ def window_spans(tokens: DataFrame, key: str, search: int | None = None, toleran
     w = Window.partitionBy(key).orderBy("window_no")
     past, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumns({
-        "cut": F.lead("keep_len").over(w), "next_slice": F.lead("slice_start").over(w), "is_last": F.lead("window_no").over(w).isNull(), "reach": F.max(F.array_max("toks.pos")).over(past),
+        "cut": F.lead("keep_len").over(w), "next_slice": F.lead("slice_start").over(w), "is_last": F.lead("window_no").over(w).isNull(),
     })
     first = F.col("left_n").isNull()
     held = F.coalesce(F.col("next_slice") > F.col("append_from"), F.lit(False))
-    dropped = F.when(first, 0).otherwise(F.size(right_slice(F.col("toks"), F.col("reach"), search)))
-    s = s.withColumn("free", F.coalesce(F.col("next_slice") > dropped, F.lit(False)))
+    s = s.withColumn("free", F.coalesce(F.col("next_slice") > F.col("dropped"), F.lit(False)))
     s = s.withColumn("stretch", F.sum((first | (F.lag("free").over(w) & (F.col("is_last") | held))).cast("long")).over(w))
     # a pair's decision on the next seam needs the window to leave its candidates
     bad = ~F.col("is_last") & ((F.col("append_from") >= F.col("n")) | (F.col("append_from") > F.col("cut")) | (~first & ~held))
     at = F.when(first | (F.col("stretch") == 1), None).otherwise(F.get("toks", F.col("append_from").cast("int"))["pos"])
     v = Window.partitionBy(key, "stretch").orderBy("window_no")
     of_stretch = v.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lasts = F.min(F.when(~F.col("is_last"), F.element_at("toks.pos", -1))).over(of_stretch)
+    lasts = F.min(F.when(~F.col("is_last"), F.element_at("toks", -1)["pos"])).over(of_stretch)
     s = s.withColumns({"_bad": F.max(F.coalesce(bad, F.lit(True))).over(of_stretch) & (F.count("*").over(of_stretch) > 1), "_first": F.first(at).over(of_stretch), "_lasts": lasts})
     torn = F.col("_bad") & (F.col("stretch") > 1) & ~F.coalesce(F.col("_lasts") - (search or 0) > F.col("_first"), F.lit(False))
     s = s.withColumns({"_torn": F.max(torn).over(whole)}).withColumns({"_bad": F.col("_bad") | F.col("_torn"), "stretch": F.when(F.col("_torn"), 0).otherwise(F.col("stretch"))})

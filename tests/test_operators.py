@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,38 @@ def test_seams_read_their_input_once(spark):
     assert plan.count("ArrowEvalPython") == 1 and plan.count("ExistingRDD") == 1
 
 
+def test_seams_across_batches(spark):
+    """A batch's first window meets the last one of the batch before; a filter on the result drops no window before that."""
+    rows, keys = random_streams(7, True)
+    t = frame(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = seams.window_spans(t, "series_id", 6, 3).drop("toks").collect()
+        pairs = {(r.series_id, r.seam): r for r in seams.splice_pairs(t, "series_id", 6, 3).collect()}
+        some = seams.splice_pairs(t, "series_id", 6, 3).where("seam % 2 = 1").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(k, w): span for k, ws in keys.items() for w, span in fold(ws, 6, 3).items()}
+    assert {(r.series_id, r.window_no): (r.append_from, max(r.append_from, r.cut)) for r in found} == want
+    assert some and all(r == pairs[r.series_id, r.seam] for r in some)
+
+
+def test_seams_are_found_in_arrays(spark):
+    """No word of a window is spelt by expressions of the plan, a token at a time."""
+    t = spark.createDataFrame([("s", 0, [("a", True, 0), ("b", True, 1)]), ("s", 1, [("b", True, 1), ("c", True, 2)])], "series_id string, window_no long, toks array<struct<piece: string, initial: boolean, pos: long>>")
+    df = seams.splice_pairs(t, "series_id", 5, 1)
+    assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.keep_len, r.append_from, r.run, r.left_n) for r in df.orderBy("seam").collect()] == [(None, 0, None, None), (2, 1, 1, 2)]
+
+
+def test_cores_are_those_of_spark(spark):
+    rng = random.Random(3)
+    letters = "aZ9.,-_ \tßÄéİıΣσς\u0301\u0345Ⓐ²½Ⅷ٣ñ“”–…中\U0001d400\U0001f600ǅŉ\u200d"
+    words = ["", "..", "É\u0301,"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(3_000)]
+    want = [r.core for r in spark.createDataFrame(list(enumerate(words)), "k int, w string").orderBy("k").select(word_core(F.col("w")).alias("core")).collect()]
+    assert seams._cores(pa.array(words), seams._letters_of(spark)).to_pylist() == want
+
+
 def plan(spark, n, **k):
     return [(r.start, r.len) for r in windows.plan_windows(spark.createDataFrame([("s", n)], "k string, n long"), "k", "n", **k).orderBy("window_no").collect()]
 
