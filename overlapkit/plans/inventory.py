@@ -58,7 +58,7 @@ def s3_read_manifest(spark, sf_dir):
 def s4_scan_artifacts(spark, sf_dir):
     """The pages written out as files, a folder each, and scanned at full depth."""
     at = sources.scratch_dir(spark)
-    read(spark, sf_dir, "pages").where("html is not null").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(at, lineSep="\n")
+    sources.write_texts(read(spark, sf_dir, "pages").where("html is not null"), at, "page_id", "html")
     f = sources.scan_artifacts(spark, at, full=True)
     page = F.regexp_extract("path", "page_id=([0-9]+)/part-", 1)
     return f.where(page != "").select(page.cast("long").alias("page_id"), "size", "sha256")

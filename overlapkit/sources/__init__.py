@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import os
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import SparkContext
@@ -124,6 +126,41 @@ def scan_artifacts(spark: SparkSession, root: str, full: bool = False, component
     return out.where(F.split_part("path", F.lit("/"), F.lit(1)).isin(components)) if components else out
 
 
+def write_texts(df: DataFrame, root: str, by: str, text: str) -> None:
+    """Each row's ``text``, a line feed after it, as a file of its own, in a folder ``by=value`` under ``root``.
+
+    On a file system that tasks mount, they write their files themselves and rename them into place, so that
+    no file waits for the driver and a task that runs again replaces whole files. Elsewhere Spark's writer
+    puts rows of one value and task into one file, which its task commits.
+    """
+    fs, at = _fs(df.sparkSession, root)
+    to = fs.makeQualified(at).toString()
+    if not to.startswith("file:"):
+        out = df.select(by, F.col(text).alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        return out.partitionBy(by).text(root, lineSep="\n")
+    to = _local(to)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, value, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{to}/{by}={'__HIVE_DEFAULT_PARTITION__' if value is None else quote(value, safe='')}"
+                os.makedirs(folder, exist_ok=True)
+                partial = f"{folder}/.{uuid.uuid4().hex}"
+                with open(partial, "wb") as file:
+                    file.write(data)
+                os.rename(partial, f"{folder}/part-{no}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    fs.mkdirs(at)
+    data = F.concat(F.coalesce(text, F.lit("")), F.lit("\n")).cast("binary")
+    rows = df.select(F.monotonically_increasing_id().alias("no"), F.col(by).cast("string").alias("by"), data.alias("data"))
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def _local(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def _hash_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
@@ -131,7 +168,7 @@ def _hash_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         hashes = []
         for path in batch.column("path").to_pylist():
             local = path.startswith("file:")
-            store, at = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            store, at = (fs.LocalFileSystem(), _local(path)) if local else fs.FileSystem.from_uri(path)
             digest = hashlib.sha256()
             with store.open_input_stream(at, buffer_size=0) as file:
                 while piece := file.read(PIECE):

@@ -1,5 +1,6 @@
 """Hand-made cases of the operators: overlaps, windows, vocabularies, cleaning, gates, sessions, inventories."""
 
+import hashlib
 import random
 
 import pandas as pd
@@ -305,6 +306,16 @@ def test_large_files_are_hashed_in_pieces(spark, tmp_path):
     assert got == {"m/small": (3, hashlib.sha256(b"abc").hexdigest()), "m/sparse": (3 << 30, h.hexdigest())}
 
 
+def test_texts_are_files_of_their_own(spark, tmp_path):
+    """A row is a file, whatever its value; no file is left to the driver to commit."""
+    rows = [(1, "a\nb"), (1, "ö"), (2, ""), (None, "x"), (7, None)]
+    sources.write_texts(spark.createDataFrame(rows, "k int, t string").coalesce(1), str(tmp_path / "out"), "k", "t")
+    files = [(p.parent.name, p.read_text()) for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert sorted(files) == [("k=1", "a\nb\n"), ("k=1", "ö\n"), ("k=2", "\n"), ("k=7", "\n"), ("k=__HIVE_DEFAULT_PARTITION__", "x\n")]
+    found = sources.scan_artifacts(spark, str(tmp_path / "out"), full=True).collect()
+    assert sorted((r.size, r.sha256) for r in found) == sorted((len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for _, t in files)
+
+
 def test_upsert_writes_touched_partitions_only(spark, tmp_path):
     path = str(tmp_path / "t")
     table = lambda rows: spark.createDataFrame(rows, "id long, v string, ver long, p string")
