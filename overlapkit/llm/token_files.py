@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -144,35 +145,48 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 PLAIN = r"\A[\t\n\r -~¡-įı-ɏ]*\z"  # letters without context in lower-casing, and no combining marks
-ENDS = ".,!?;:"
+MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""  # one piece together, as the apostrophe, which may begin one, is not among them
+BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level pieces spell these as they are, others from U+0100 on
+SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in BYTES)}
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose pieces never cross white space.
 
     Texts of plain letters are lower-cased, cut at white space and numbered by their distinct stretches
-    as Arrow arrays; each new stretch is encoded by the tokenizer (many at once, told apart by the
-    word-end mark of their last piece) and remembered, up to ``room`` bytes of them: half a room of new
-    ones at most, and what the half before has seen. Any other text, or one that may hold a special
-    token, is encoded as it is.
+    as Arrow arrays; each new stretch is encoded by the tokenizer and remembered, up to ``room`` bytes of
+    them: half a room of new ones at most, and what the half before has seen. A stretch of letters is one
+    piece and goes to the tokenizer's model at once, marks after it are a piece of their own; other
+    stretches are encoded many together, told apart by the word-end mark of their last piece. Any other
+    text, or one that may hold a special token, is encoded as it is.
     """
 
     def __init__(self, path: str, room: int = 128_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known, self.older, self.held = Tokenizer.from_file(path), room, {}, {}, 0
-        vocab = self.tokenizer.get_vocab()
+        self.model, vocab = self.tokenizer.model, self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
 
-    def _learn(self, stretches: set[str]) -> None:
-        known = self.known
-        simple = {x: x[:-1] for x in stretches if x[-1] in ENDS and x[:-1].isalpha()}
-        need = [x for x in {*(stretches - simple.keys()), *simple.values(), *(x[-1] for x in simple)} if x not in known]
+    def _learn(self, stretches: list[str]) -> None:
+        known, tokenize = self.known, self.model.tokenize
+        cut, rest = [], set()
+        for x in stretches:
+            stem = x.rstrip(MARKS)
+            if not stem.isalpha():
+                rest.add(x)
+                continue
+            if stem not in known:
+                word = stem if stem.isascii() else stem.encode().decode("latin-1").translate(SPELT)
+                known[stem] = array("I", [t.id for t in tokenize(word)]).tobytes()
+            if len(stem) < len(x):
+                cut.append((x, stem, x[len(stem) :]))
+        need = [x for x in rest.union(marks for _, _, marks in cut) if x not in known]
         for a in range(0, len(need), 5_000):
             part = need[a : a + 5_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            words = np.cumsum([1 if x.isalpha() else len(WORDS.findall(x)) for x in part])
+            words = np.cumsum([len(WORDS.findall(x)) for x in part])
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == words[-1]:
                 cuts = [0, *ends[words - 1].tolist()]
@@ -180,8 +194,8 @@ class WordEncoder:
             else:
                 for x in part:
                     known[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-        for x, stem in simple.items():
-            known[x] = known[stem] + known[x[-1]]
+        for x, stem, marks in cut:
+            known[x] = known[stem] + known[marks]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
@@ -189,20 +203,21 @@ class WordEncoder:
     def _plain(self, texts: pa.Array) -> list[bytes]:
         words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         numbered = words.flatten().dictionary_encode()
-        names = numbered.dictionary.to_pylist()
+        names = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.held > self.room / 2:
             self.known, self.older, self.held = {}, self.known, 0
-        new, before = {w for w in names if w not in self.known and w}, len(self.known)
+        self.known[""], before = b"", len(self.known)
+        ids = list(map(self.known.get, names))
+        new = [w for w, x in zip(names, ids, strict=True) if x is None]
         old = {w: self.older[w] for w in new if w in self.older}
         self.known.update(old)
-        new -= old.keys()
-        if new:
-            self._learn(new)
-        self.held += sum(2 * len(w) + 8 for w in new) + sum(len(w) + len(x) for w, x in old.items())
+        if len(old) < len(new):
+            self._learn([w for w in new if w not in old] if old else new)
+        self.held += 2 * sum(map(len, new)) + sum(map(len, old.values())) + 8 * len(new)
         self.held += 150 * (len(self.known) - before)  # what Python adds to two small objects
-        self.known[""] = b""
-        ids = [self.known[w] for w in names]
-        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        if new:
+            ids = [self.known[w] if x is None else x for w, x in zip(names, ids, strict=True)]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         start = np.cumsum(size) - size
         flat, code = np.frombuffer(b"".join(ids), dtype="<u4"), numbered.indices.to_numpy()
         n = size[code]

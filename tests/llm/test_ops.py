@@ -696,3 +696,25 @@ def test_chat(spark):
     many = spark.createDataFrame([(1, 5, "ann" if k % 2 else "bob", "same") for k in range(600)], "conv_id long, turn long, role string, text string")
     parts = chat.render_perspectives(many, part_turns=100).collect()
     assert sorted((r.part, r.n_turns) for r in parts) == [(k, 100) for k in range(6) for _ in range(2)] and sum(r.n_own for r in parts) == 600
+
+
+def test_words_of_letters_go_to_the_model_at_once():
+    """Only stretches that are cut into pieces pass the tokenizer's normalizer and pattern; ids are those of whole texts."""
+    path = P.path("word_bpe_49k.json")
+    enc = token_files.WordEncoder(path)
+    words = [a + b + c for a in ("ana", "über", "çé", "zz", "ñ") for b in ("tion", "ßung", "ôr", "") for c in ("en", "ity", "ª", "x")]
+    marked = [w + m for w in words[::3] for m in (".", "!!", "###", '",', "_", ")")]
+    rest = ["it's", "don't.", "3rd", "a-b", "(x", "½x", "²", "x²", "'s", "a'", "--", "x'.", "_", "a_b"]
+    texts = [" ".join(words), " ".join(marked), "\n".join(rest), "", "Ana\tÜBER. ÑX!! ŸŽ,"]
+    passed, whole = [], enc.tokenizer
+
+    class Counted:
+        def encode(self, text, **options):
+            passed.extend(text.split())
+            return whole.encode(text, **options)
+
+    enc.tokenizer = Counted()
+    expected = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert enc(texts) == expected
+    assert not {x for x in passed if x.isalpha()} - {x for x in rest if x.isalpha()} and not set(marked) & set(passed)
+    assert enc(texts[::-1]) == expected[::-1]
