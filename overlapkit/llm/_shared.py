@@ -14,12 +14,17 @@ from pyspark.sql.types import StructField, StructType
 from overlapkit.sources import scratch_dir
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, codec: str = "zstd", few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there.
 
-    ``discard`` deletes the table; what is left goes when the driver ends.
+    ``discard`` deletes the table; what is left goes when the driver ends. ``few``: rows of a few numbers
+    are dealt anew before they are written, to an eighth of the shuffle's partitions (one a core at least),
+    so that many tasks with few rows do not write a file each. Tasks before that are as many as ever.
     """
     path = scratch_dir(df.sparkSession)
+    if few:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
+        df = df.hint("rebalance", max(1, df.sparkSession.sparkContext.defaultParallelism, parts))
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._overlapkit_path = path
@@ -126,7 +131,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     spark = edges.sparkSession
     now = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") > F.col("v")).distinct()
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") > F.col("v")).distinct(), few=True
     )
     nodes = spark.createDataFrame([], f"node {dict(now.dtypes)['u']}, component {dict(now.dtypes)['u']}")
     if now.isEmpty():
@@ -145,7 +150,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where(F.col("u") != F.col("v"))
         )
-        new = materialize(small.distinct())
+        new = materialize(small.distinct(), few=True)
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = new

@@ -173,13 +173,13 @@ def _passing(pairs: DataFrame, sets: DataFrame, dtype: type, test) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = _attach(_attach(pairs, sets, "a"), sets, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    return S.materialize(both.mapInArrow(run, "a long, b long"))
+    return S.materialize(both.mapInArrow(run, "a long, b long"), few=True)
 
 
 def _whole_sets(pairs: DataFrame, docs: DataFrame, text: str, rows: DataFrame, words_in_shingle: int) -> DataFrame:
     """node, n and the whole set s of the nodes in ``pairs``, made from the text of one row each."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    where = S.materialize(rows.join(asked, "node", "left_semi").select("h1", "h2").distinct())
+    where = S.materialize(rows.join(asked, "node", "left_semi").select("h1", "h2").distinct(), few=True)
 
     def whole(sets: list[np.ndarray]):
         return None, {"node": pa.array(_names(sets)), "n": pa.array([len(s) for s in sets], pa.int32()), "s": pa.array([s.tobytes() for s in sets], pa.binary())}
@@ -204,7 +204,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, rows
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= similarity * (n + m - both) - EPS
 
-    pairs = S.materialize(pairs.distinct())
+    pairs = S.materialize(pairs.distinct(), few=True)
     close = _passing(pairs, sets, np.uint8, near)
     S.discard(pairs)
     whole = _whole_sets(close, docs, text, rows, words_in_shingle)
@@ -271,8 +271,8 @@ def _hung(ties: DataFrame) -> DataFrame:
     Groups of one head hang together. That need not be the whole component: what is left apart meets again later.
     """
     both = ties.select("u", "v").unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = S.materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")))
-    out = S.materialize(least.join(least.toDF("v", "head"), "v").select(F.col("u").alias("grp"), "head"))
+    least = S.materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")), few=True)
+    out = S.materialize(least.join(least.toDF("v", "head"), "v").select(F.col("u").alias("grp"), "head"), few=True)
     S.discard(least)
     return out
 
@@ -336,11 +336,11 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = S.materialize(stay.where(F.coalesce(twice, F.lit(True))).select("node", "n", "fp", "s", "first"))
     S.discard(rows)
     reps = sets.select("node", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"))
-    parts = S.materialize(_components(marked, text, reps, sets.select("node", "n", "s"), sets.select("node", "fp"), similarity, words_in_shingle))
+    parts = S.materialize(_components(marked, text, reps, sets.select("node", "n", "s"), sets.select("node", "fp"), similarity, words_in_shingle), few=True)
     known = parts.join(sets.select(F.col("node").alias("named"), "first"), F.col("node") == F.col("named"))
     best = known.groupBy("component").agg(F.min(F.struct("first", "node")).alias("best")).select(F.col("best.node").alias("node"))
     gone = parts.select("node").join(best, "node", "left_anti")
-    kept = S.materialize(reps.join(gone, "node", "left_anti").select("h1", "h2").distinct())
+    kept = S.materialize(reps.join(gone, "node", "left_anti").select("h1", "h2").distinct(), few=True)
     S.discard(sets)
     S.discard(parts)
     # rows equal in all columns are told apart by nothing: one of them stays

@@ -197,7 +197,7 @@ def near_pairs(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
     """
     if not 0 <= max_distance <= 4:
         raise ValueError("the keys cover distances up to 4")
-    firsts = S.materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("fp", "node"))
+    firsts = S.materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("fp", "node"), few=True)
     same = nodes.join(firsts.select("fp", F.col("node").alias("b")), "fp").where("node != b").select(F.col("node").alias("a"), "b")
     kind = f"key long, fp long, node {dict(nodes.dtypes)['node']}"
     heads = firsts.mapInArrow(_emit("stored"), kind).groupBy("key").agg(F.min(F.struct("fp", "node")).alias("head"))

@@ -87,3 +87,30 @@ def test_golay_keys_give_candidates_within_four_bits(spark, monkeypatch):
     text = " ".join(f"w{k}" for k in range(200))
     docs = spark.createDataFrame([(1, text), (2, text + " one more"), (3, "another text")], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, SF).collect()} == {1, 3} and asked
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Tables of a few numbers a row are not written as a file from each of many shuffle partitions."""
+    import glob
+
+    from overlapkit.llm import _shared as S
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    written, write = [], S.materialize
+
+    def counted(df, *a, **b):
+        out = write(df, *a, **b)
+        written.append(len(glob.glob(f"{out._overlapkit_path.removeprefix('file:')}/part-*")))
+        return out
+
+    monkeypatch.setattr(S, "materialize", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(4000).selectExpr("id as a", "id - id % 4 as b")
+        found = {r.node: r.component for r in S.connected_components(edges).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == {i: i - i % 4 for i in range(4000)}
+    assert written and max(written) <= 8
