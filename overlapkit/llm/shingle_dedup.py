@@ -16,6 +16,9 @@ like sizes, and the join tells most of them apart by sketches folded to 512 bits
 be the first one of both (nothing before it overlaps), parity sketches (made once for a node, about a bit
 a shingle) bound the difference, and a candidate that passes both is verified on the two whole sets.
 
+Spark sizes a table by its files, which are far smaller than the rows in memory, and what an Arrow map or an
+explode makes by what it reads: tables of keys are never left to it to broadcast (``merge``).
+
 Texts are read in place for names and keys; they are shuffled once, when the rows that stay are picked,
 and the few texts to verify are fetched by name. Shingles are 64-bit hashes, a set's name one of 128
 bits, of which nodes carry the first half; two sets that share it are an error, not one document.
@@ -231,7 +234,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 def _mixed(held: DataFrame) -> DataFrame:
     """The rows under keys that still hold two groups; a set that came in several batches is there once."""
     keys = held.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low != high").select("key")
-    out = S.materialize(held.join(keys, "key").distinct())
+    out = S.materialize(held.join(keys.hint("merge"), "key").distinct())
     S.discard(held)
     return out
 
@@ -255,13 +258,13 @@ def _meetings(folded: DataFrame, similarity: float) -> DataFrame:
     one goes to every part, so that a heavy key is several tasks and no row is made for a pair that fails.
     """
     parts = folded.groupBy("key", "band").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
-    larger = folded.join(parts, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    larger = folded.join(parts.hint("merge"), ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
     early = F.col("n") - F.col("pos") >= F.lit(2 * similarity / (1 + similarity)) * F.col("n") - EPS
-    lower = folded.where(early).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(parts, ["key", "band"])
+    lower = folded.where(early).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(parts.hint("merge"), ["key", "band"])
     lower = lower.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in PLACE + FOLDS])
     differ = functools.reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in FOLDS])
     near = differ <= F.lit(_allowed(similarity)) * (F.col("n") + F.col("b_n")) + EPS
-    met = larger.join(lower, ["key", "band", "part"]).where("grp != b_grp and (b_n < n or b_n = n and b_node < node)")
+    met = larger.join(lower.hint("merge"), ["key", "band", "part"]).where("grp != b_grp and (b_n < n or b_n = n and b_node < node)")
     return met.where(_first(similarity)).where(near).select(*_ordered("node", "b_node"))
 
 
@@ -279,7 +282,7 @@ def _hung(ties: DataFrame) -> DataFrame:
 
 def _contracted(held: DataFrame, links: DataFrame) -> DataFrame:
     """``held`` with groups that ``links`` between nodes tie together made one."""
-    groups = held.select("node", "grp").distinct()
+    groups = held.select("node", "grp").distinct().hint("merge")
     parts = _hung(links.join(groups.toDF("a", "u"), "a").join(groups.toDF("b", "v"), "b").select("u", "v").where("u != v"))
     out = S.materialize(held.join(parts, "grp", "left").withColumn("grp", F.coalesce("head", "grp")).drop("head"))
     S.discard(held)
@@ -302,11 +305,11 @@ def _components(docs: DataFrame, text: str, rows: DataFrame, sets: DataFrame, pr
         held = _mixed(held)
         place = F.xxhash64("node") if k == 0 else F.xxhash64(F.lit(k), "key", "node")
         heads = held.groupBy("key").agg(F.min(F.struct(place.alias("place"), *PLACE)).alias("head"))
-        met = held.join(heads.select("key", *[F.col(f"head.{c}").alias(f"b_{c}") for c in PLACE]), "key").where("grp != b_grp")
+        met = held.join(heads.select("key", *[F.col(f"head.{c}").alias(f"b_{c}") for c in PLACE]).hint("merge"), "key").where("grp != b_grp")
         links.append(_similar(met.where(_first(similarity)).select(*_ordered("node", "b_node")), sets, docs, text, rows, similarity, words_in_shingle))
         held = _contracted(held, links[-1])
     held = _mixed(held)
-    folded = S.materialize(held.join(_folds(sets), "node").withColumn("band", _band(similarity)))
+    folded = S.materialize(held.join(_folds(sets).hint("merge"), "node").withColumn("band", _band(similarity)))
     links.append(_similar(_meetings(folded, similarity), sets, docs, text, rows, similarity, words_in_shingle))
     S.discard(held)
     S.discard(folded)
@@ -345,5 +348,5 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     S.discard(parts)
     # rows equal in all columns are told apart by nothing: one of them stays
     again = Window.partitionBy("h1", "h2").orderBy("h1")
-    out = marked.join(kept, ["h1", "h2"]).withColumn("again", F.row_number().over(again)).where("again = 1")
+    out = marked.join(kept.hint("merge"), ["h1", "h2"]).withColumn("again", F.row_number().over(again)).where("again = 1")
     return out.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)])

@@ -198,13 +198,14 @@ def near_pairs(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
     if not 0 <= max_distance <= 4:
         raise ValueError("the keys cover distances up to 4")
     firsts = S.materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("fp", "node"), few=True)
-    same = nodes.join(firsts.select("fp", F.col("node").alias("b")), "fp").where("node != b").select(F.col("node").alias("a"), "b")
+    same = nodes.join(firsts.select("fp", F.col("node").alias("b")).hint("merge"), "fp").where("node != b").select(F.col("node").alias("a"), "b")
     kind = f"key long, fp long, node {dict(nodes.dtypes)['node']}"
     heads = firsts.mapInArrow(_emit("stored"), kind).groupBy("key").agg(F.min(F.struct("fp", "node")).alias("head"))
     heads = heads.select("key", F.col("head.fp").alias("b_fp"), F.col("head.node").alias("b"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp"))) <= max_distance
     asked = firsts.mapInArrow(_emit("asked"), kind)
-    across = asked.join(heads, (asked.key == heads.key) & (F.col("fp") != F.col("b_fp")) & close).select(F.col("node").alias("a"), "b")
+    # without a hint Spark takes either side for as large as ``firsts``, and broadcasts all looked-up keys
+    across = asked.join(heads.hint("shuffle_hash"), (asked.key == heads.key) & (F.col("fp") != F.col("b_fp")) & close).select(F.col("node").alias("a"), "b")
     return same.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

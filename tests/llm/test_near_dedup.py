@@ -1,5 +1,6 @@
 """The pipeline's near_dedup stage against brute-force Jaccard similarity."""
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -114,3 +115,26 @@ def test_small_tables_are_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert found == {i: i - i % 4 for i in range(4000)}
     assert written and max(written) <= 8
+
+
+def test_tables_of_keys_are_not_broadcast(spark, monkeypatch):
+    """However small Spark takes them for: looked-up keys are some 88 a fingerprint, and files of prefixes are far smaller than their rows."""
+    from overlapkit.llm import _shared as S
+
+    nodes = spark.createDataFrame([(k, k * 0x9E3779B97F4A7) for k in range(300)], "node long, fp long")
+    explained = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, write = [], S.materialize
+
+    def noted(df, *a, **b):
+        plans.append(explained(df))
+        return write(df, *a, **b)
+
+    plans.append(explained(simhash.near_pairs(nodes)))
+    monkeypatch.setattr(S, "materialize", noted)
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(k, text + f" tail{k}" + " more" * (k // 2)) for k in range(6)], "doc_id long, text string")
+    plans.append(explained(corpus_pipeline.keep_distinct(spark, docs, SF)))
+    assert "ShuffledHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[-1]
+    for plan in plans:
+        assert not re.search(r"BroadcastHashJoin \[(key|fp)#", plan), plan
+        assert not ("f7#" in plan and "BroadcastHashJoin" in plan), plan
