@@ -59,13 +59,13 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("series_id", F.posexplode("words").alias("idx", "piece")).withColumn("idx", F.col("idx").cast("long"))
 
 
-def window_arrays(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
+def window_arrays(spark: SparkSession, sf_dir: str, noisy: bool = False, dealt: bool = True) -> DataFrame:
     """(series_id, window_no, toks): the words of every window, each word a token (piece, initial, pos).
 
     Noisy: in odd windows the word at pos % 11 = 0 is upper-cased (unless it has an "ß") with "," after it, and that at
-    pos % 29 = 0 is "zz". Texts are dealt out by document, then cut; windows slice the word array, so nothing is joined.
+    pos % 29 = 0 is "zz". Texts are dealt out by document (``dealt``), then cut; windows slice the word array, so nothing is joined.
     """
-    w = words(spark, sf_dir, dealt=True).withColumn("n", F.size("words").cast("long"))
+    w = words(spark, sf_dir, dealt).withColumn("n", F.size("words").cast("long"))
     plan = windows.plan_windows(w, "series_id", "n", W, OVERLAP, 1, keep=("words",)).where("len > 0")
 
     def token(piece, k):

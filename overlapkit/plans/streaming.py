@@ -9,26 +9,29 @@ from overlapkit.functions import micros
 from overlapkit.operators import windows
 from overlapkit.plans import fixtures as fx
 from overlapkit.plans import inventory, read, seams, sessions
-from overlapkit.sources import read_frames, scratch_dir
+from overlapkit.sources import delete, read_frames, scratch_dir
 
 
 KEY = "series_id"
 FILES, FILE_ROWS = 2, 5_000  # least number of files in a part and a micro-batch, and of rows in a file of a larger one
 
 
-def _in_parts(spark, rows, parts, closing=None, counted=None):
-    """``rows`` as a stream, a micro-batch a condition of ``parts``, written to a folder one after the other.
+def _in_parts(spark, rows, parts, closing=None, counted=None, at=None, dealt=None):
+    """``rows`` as a stream, a micro-batch a condition of ``parts``, written to a folder one after the other (``at``: one that only this stream reads).
 
     Every part has as many files, which grow with the smallest one (``counted``: rows that are counted in
     their place) up to the number of shuffle partitions. ``closing``: days after the last ``ts`` at which rows
     without any other value come as a part of their own, and once more after as many: they move the
-    watermark past all that waits.
+    watermark past all that waits. ``dealt``: rows lie in as many partitions already, and are written from there
+    without a shuffle (of a part that leaves a partition empty there is a file less, and its batch takes one of the next part).
     """
-    at = scratch_dir(spark)
+    once, at = bool(at), at or scratch_dir(spark)
     found = (rows if counted is None else counted).agg(*[F.count_if(part) for part in parts]).first()
     files = max(FILES, min(min(found) // FILE_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    files = min(files, dealt or files)
     for part in parts:
-        rows.where(part).repartition(files).write.mode("append").parquet(at)
+        own = rows.where(part)
+        (own.coalesce(files) if dealt else own.repartition(files)).write.mode("append").option("compression", "zstd").parquet(at)
     if closing:
         last = rows.schema["ts"].dataType
         end = spark.read.schema(rows.schema).parquet(at).agg(F.max("ts").alias("ts"))  # one row
@@ -36,7 +39,7 @@ def _in_parts(spark, rows, parts, closing=None, counted=None):
         copies = spark.range(0, files, 1, files).crossJoin(F.broadcast(end.select((F.col("ts") + F.expr(f"interval {k * closing} days")).alias("ts"))))
         copies = copies.select(*[F.col("ts").cast(last) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
         copies.write.mode("append").parquet(at)
-    return read_frames(spark, at, rows.schema, streaming=True, files=files).withColumn("ts", F.col("ts").cast("timestamp"))
+    return read_frames(spark, at, rows.schema, streaming=True, files=files, once=once).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _stream(spark, sf_dir, closing=None, late=False):
@@ -95,10 +98,15 @@ def st3_stream_transcript(spark, sf_dir):
 
 def st3_stream_splice(spark, sf_dir):
     """The windows of every document, scored apart, as a stream in which every third one comes late; spliced in state."""
-    w = fx.window_arrays(spark, sf_dir).select(KEY, F.timestamp_seconds((F.col("window_no") + 1) * 60).alias("ts"), "window_no", "toks")
+    at, parts, cores = scratch_dir(spark), read(spark, sf_dir, "documents").rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    w = fx.window_arrays(spark, sf_dir, dealt=parts < cores)  # texts of few splits are shuffled, windows never
+    w = w.select(KEY, F.timestamp_seconds((F.col("window_no") + 1) * 60).alias("ts"), "window_no", "toks")
     late = F.col("window_no") % 3 == 1
     plan = windows.plan_windows(fx.lengths(spark, sf_dir), KEY, "n", fx.W, fx.OVERLAP, 1).where("len > 0")
-    rows = st.run_available(st.stream_splice(_in_parts(spark, w, (~late, late), closing=30, counted=plan), KEY, fx.OVERLAP, 0), "append")
+    dealt = parts if parts >= cores else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = _in_parts(spark, w, (~late, late), closing=30, counted=plan, at=at, dealt=dealt)
+    rows = st.run_available(st.stream_splice(stream, KEY, fx.OVERLAP, 0), "append")
+    delete(spark, at)
     return st.spliced_text(rows, KEY)
 
 

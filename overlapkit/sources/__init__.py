@@ -59,6 +59,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later plan reads, by the file system that Spark has for it."""
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: its lineage ends there."""
     path = scratch_dir(df.sparkSession)
@@ -66,11 +72,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_frames(spark: SparkSession, path: str, schema: StructType | None = None, streaming: bool = False, files: int | None = None) -> DataFrame:
-    """Sample or frame rows from Parquet; as a stream, from a directory to which files are added (``files`` a batch)."""
+def read_frames(spark: SparkSession, path: str, schema: StructType | None = None, streaming: bool = False, files: int | None = None, once: bool = False) -> DataFrame:
+    """Sample or frame rows from Parquet; as a stream, from a directory to which files are added (``files`` a batch).
+
+    ``once``: the stream is the only reader, and files go when a batch has taken them.
+    """
     if streaming:
         schema = schema or spark.read.parquet(path).schema
         reader = spark.readStream.schema(schema)
+        reader = reader.option("cleanSource", "delete") if once else reader
         return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 

@@ -23,28 +23,33 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from overlapkit.functions import activity_level
-from overlapkit.sources import scratch_dir
+from overlapkit.sources import delete, scratch_dir
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A batch's checkpoint holds what it changed; without this every file that compaction makes anew is copied there again.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for the data now there: (batch, rows), written to the shared folder and read back."""
+    """What a stream gives for the data now there: (batch, rows), written to the shared folder and read back.
+
+    The stream's state ends with it: its checkpoint is deleted.
+    """
     spark, at = stream.sparkSession, scratch_dir(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/{number:06d}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/out/{number:06d}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    delete(spark, f"{at}/state")
     schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
 
@@ -87,7 +92,7 @@ def stream_utterances(df: DataFrame, key: str, ts: str, active: str = "active",
 
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -337,17 +342,21 @@ Token = tuple[str, bool, int]  # piece, whether it begins a word, position
 def splice(left: list[Token], right: list[Token], search: int, tolerance: int) -> tuple[int, int]:
     """(tokens of ``left`` that stay, tokens of ``right`` that go): one seam, as ``seams.splice_pairs`` decides it."""
     boundary = left[-1][2]
-    lo = max((k + 1 for k, t in enumerate(left) if t[2] + search < boundary), default=0)
+    lo = next((k + 1 for k in range(len(left) - 1, -1, -1) if left[k][2] + search < boundary), 0)
     limit = max(boundary, right[0][2]) + search
     end = next((k for k, t in enumerate(right) if t[2] > limit), len(right))
     a, b = _words(left, lo, len(left)), _words(right, 0, end)
-    best, row = (0, 0, 0), [0] * (len(b) + 1)
+    best, row, places = (0, 0, 0), {}, {}
+    for j, (_, _, core) in enumerate(b):
+        if core:
+            places.setdefault(core, []).append(j)
     for i, (_, p, core) in enumerate(a):
-        above, row = row, [0] * (len(b) + 1)
-        for j, (_, q, other) in enumerate(b):
-            if core and core == other and abs(p - q) <= tolerance:
-                n = row[j + 1] = above[j] + 1
-                best = max(best, (n, n - i - 1, n - j - 1))
+        above, row = row, {}  # the length of the common run that ends at i and j
+        for j in places.get(core, ()):
+            if abs(p - b[j][1]) <= tolerance:
+                n = row[j] = above.get(j - 1, 0) + 1
+                if n >= best[0]:
+                    best = max(best, (n, n - i - 1, n - j - 1))
     if best[0] >= 2:
         return a[-best[1]][0], b[-best[2]][0]
     return len(left), next((k for k, t in enumerate(right) if t[2] > boundary), len(right))
@@ -355,9 +364,11 @@ def splice(left: list[Token], right: list[Token], search: int, tolerance: int) -
 
 def _words(tokens: list[Token], start: int, end: int) -> list[tuple[int, int, str]]:
     """(index, position, core) of the words of a slice; a word begins at every initial token and at the first."""
+    own = tokens[start:end]
+    if all(t[1] for t in own):
+        return [(k, t[2], _core(t[0] or "")) for k, t in enumerate(own, start)]
     out: list[list] = []
-    for k in range(start, end):
-        piece, initial, pos = tokens[k]
+    for k, (piece, initial, pos) in enumerate(own, start):
         if initial or not out:
             out.append([k, pos, ""])
         out[-1][2] += piece or ""
@@ -381,13 +392,13 @@ class _Splice(_InOrder):
         before, tail = state or (0, [])
         out = []
         for _, window_no, toks in rows:
-            fresh = list(zip(*json.loads(toks), strict=True)) if toks else []
+            fresh = _tokens(toks) if toks else []
             keep, start = splice(tail, fresh, self.search, self.tolerance) if tail and fresh else (len(tail), 0)
             out.append((key, window_no, start, before + keep, [t[0] for t in fresh[start:]]))
             tail = tail[:keep] + fresh[start:]
             # a seam reaches ``search`` back from the end, which a run may have put back by as much and the tolerance
             far = 4 * (self.search + self.tolerance)
-            reach = max((k for k, t in enumerate(tail) if t[2] + far < tail[-1][2]), default=0)
+            reach = next((k for k in range(len(tail) - 1, -1, -1) if tail[k][2] + far < tail[-1][2]), 0)
             before, tail = before + reach, tail[reach:]
         return (before, tail), out
 
@@ -402,23 +413,54 @@ def stream_splice(windows: DataFrame, key: str, search: int, tolerance: int, del
     and ``tolerance`` of the end (windows that step further back than that are spliced at what is held).
     """
     kind = windows.schema[key].dataType.simpleString()
-    rows = windows.withColumnRenamed("window_no", "event_id").withColumn("toks", _token_lists(F.col("toks")))
+    rows = windows.withColumnRenamed("window_no", "event_id").withColumn("toks", _packed_tokens(F.col("toks")))
     out = f"{key} {kind}, window_no long, append_from long, start long, fresh array<string>"
     return _in_order(_Splice, rows, key, {"toks": "string"}, out, delay, idle_days, search, tolerance)
 
 
-def _token_lists(toks: Column) -> Column:
-    """[pieces, whether they begin words, positions] as JSON: field names are not repeated with every token."""
+BETWEEN, AFTER = "\x1f", "\x1e"  # two pieces, and the parts before them
+
+
+def _packed_tokens(toks: Column) -> Column:
+    """Tokens as a text: first position, what is unusual about positions, beginnings and pieces (JSON, empty if nothing is), pieces.
+
+    Most windows' positions follow each other and all their tokens begin words; then only the pieces take
+    room. Pieces that are null or hold the mark between them are JSON. Null and no tokens are null.
+    """
     text = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
-    begins = F.transform(toks, lambda t: F.coalesce(t["initial"], F.lit(False)).cast("int"))
-    return F.concat(F.lit("["), text(F.col("toks.piece")), F.lit(","), text(begins), F.lit(","), text(F.col("toks.pos")), F.lit("]"))
+    piece, initial, pos, n = F.col("toks.piece"), F.col("toks.initial"), F.col("toks.pos"), F.size(toks)
+    first = F.get(pos, F.lit(0))
+    along = F.when((first >= 0) & (first < 1 << 62), pos == F.sequence(first, first + n - 1))
+    joined = F.array_join(piece, BETWEEN)
+    marks = F.length(joined) - F.length(F.replace(joined, F.lit(BETWEEN), F.lit("")))
+    plain = (F.size(F.array_compact(piece)) == n) & (marks == n - 1)
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    begins = F.transform(toks, lambda t: sure(t["initial"]).cast("int"))
+    parts = [
+        F.coalesce(first, F.lit(0)).cast("string"), F.when(sure(along), "").otherwise(text(pos)),
+        F.when(sure(~F.array_contains(initial, False)), "").otherwise(text(begins)), F.when(sure(plain), "").otherwise(text(piece)), F.when(sure(plain), joined).otherwise(""),
+    ]
+    return F.when(n > 0, F.concat_ws(AFTER, *parts))
+
+
+def _tokens(packed: str) -> list[Token]:
+    first, pos, begins, strange, joined = packed.split(AFTER, 4)
+    pieces = json.loads(strange) if strange else joined.split(BETWEEN)
+    start = int(first)
+    return list(zip(pieces, json.loads(begins) if begins else [1] * len(pieces), json.loads(pos) if pos else range(start, start + len(pieces)), strict=True))
 
 
 def spliced_text(rows: DataFrame, key: str, separator: str = " ") -> DataFrame:
     """(key, n_tokens, text) of ``stream_splice`` rows: what each window added, less what a later one's start cuts off."""
+    # pieces go through the shuffle as one text, but where one is null or holds the mark between them
+    joined = F.array_join("fresh", BETWEEN)
+    marks = F.length(joined) - F.length(F.replace(joined, F.lit(BETWEEN), F.lit("")))
+    plain = (F.size(F.array_compact("fresh")) == F.size("fresh")) & (marks == F.size("fresh") - 1)
+    rows = rows.select(key, "window_no", "start", F.size("fresh").alias("_n"), F.when(plain, joined).alias("_text"), F.when(~plain, F.col("fresh")).alias("_list"))
     later = Window.partitionBy(key).orderBy(F.desc("window_no")).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.greatest(F.min("start").over(later), F.col("start")) - F.col("start")
-    end = F.when(F.min("start").over(later).isNull(), F.size("fresh")).otherwise(F.least(F.size("fresh"), cut)).cast("int")
-    left = rows.select(key, "window_no", F.slice("fresh", F.lit(1), end).alias("left")).where("size(left) > 0")
+    end = F.when(F.min("start").over(later).isNull(), F.col("_n")).otherwise(F.least("_n", cut)).cast("int")
+    pieces = F.when(F.col("_text").isNull(), F.col("_list")).otherwise(F.split("_text", BETWEEN))
+    left = rows.select(key, "window_no", "_text", "_list", end.alias("_end")).where("_end > 0").select(key, "window_no", F.slice(pieces, F.lit(1), F.col("_end")).alias("left"))
     text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("window_no", "left"))), lambda x: x["left"])), separator)
     return left.groupBy(key).agg(F.sum(F.size("left")).alias("n_tokens"), text.alias("text"))

@@ -1,6 +1,7 @@
 """Hand-made cases of the operators: overlaps, windows, vocabularies, cleaning, gates, sessions, inventories."""
 
 import hashlib
+import os
 import random
 
 import pandas as pd
@@ -703,3 +704,29 @@ def test_a_vocabulary_is_broadcast_at_any_size(spark):
         assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and found.where("initial").count() == 1 and found.count() == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_stream_splice_leaves_little_on_disk(spark, monkeypatch):
+    """Waiting windows are kept compressed, windows are not shuffled to be written, and what the stream read and kept goes with it."""
+    repartition = type(spark.range(1)).repartition
+    toks = "array<struct<piece: string, initial: boolean, pos: long>>"
+    places = [[10**6 + k for k in range(40)], [7, None, 9], [None, 5], [-(2**63), 2**63 - 1], [2**62, 2**63 - 1], [2**63 - 1], [-1, 0], [3]]
+    rows = [[(f"w{p}", True, p) for p in ps] for ps in places]
+    rows += [[("a\x1fb", True, 0), ("c", False, 1)], [("a\x1eb", True, 0), ("", True, 1)], [(None, None, 0), ("\x1f", True, 1)], [("", True, 4)]]
+    made = spark.createDataFrame([(r,) for r in [*rows, [], None]], f"toks {toks}").select(streaming._packed_tokens(F.col("toks")).alias("t")).collect()
+    assert [r.t for r in made[-2:]] == [None, None]
+    assert [[(p, bool(i), k) for p, i, k in streaming._tokens(r.t)] for r in made[:-2]] == [[(p, bool(i), k) for p, i, k in r] for r in rows]
+    table = pa.table({"key": [1] * 500, "toks": [made[0].t] * 500})
+    blob = streaming._packed(table)
+    assert list(streaming._rows(blob)) == [(1, made[0].t)] * 500 and len(blob) < table.nbytes / 4
+
+    def by_key(df, n, *by):
+        assert by, "windows are shuffled"
+        return repartition(df, n, *by)
+
+    monkeypatch.setattr(type(spark.range(1)), "repartition", by_key)
+    at = sources.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    assert streaming_plans.st3_stream_splice(spark, "/root/testdata/sf0.001").count() == 200
+    (left,) = set(os.listdir(at)) - before
+    assert os.listdir(f"{at}/{left}") == ["out"]
