@@ -33,12 +33,14 @@ SETTINGS = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives for the data now there: (batch, rows), written to the shared folder and read back.
 
-    The stream's state ends with it: its checkpoint is deleted.
+    The stream's state ends with it: its checkpoint is deleted. What a batch shuffled would stay on the executors'
+    disks until the driver collects its garbage (the first batch's until the stream ends); it goes once the batch is written.
     """
     spark, at = stream.sparkSession, scratch_dir(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/out/{number:06d}")
+        batch._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)
 
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     for k, v in SETTINGS.items():
@@ -92,7 +94,7 @@ def stream_utterances(df: DataFrame, key: str, ts: str, active: str = "active",
 
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
